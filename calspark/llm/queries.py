@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash",)
+MODULES = ("simhash", "editprint", "packing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
