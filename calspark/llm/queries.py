@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "editprint", "packing", "secrets", "extraction")
+MODULES = ("simhash", "editprint", "packing", "secrets", "extraction", "quality", "decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
