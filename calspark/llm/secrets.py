@@ -165,19 +165,34 @@ def thresholds(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return {r["band"]: r["least"] for r in found.groupBy("band").agg(F.min("grid").alias("least")).collect()}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and the base spans of every row, with the candidate tokens beside them. One pass over the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("t"))
-    spans = rows.select("doc_id", "t", *[c.alias(k) for c, k in zip(base_spans(F.col("t")), KINDS)])
-    base = F.array_sort(F.concat("assign", "access", "hex"))
-    with_base = spans.select("doc_id", "t", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _scan(docs: DataFrame, keep: list) -> DataFrame:
+    """Columns ``keep`` of every row beside _assign, _access, _hex, _base and _candidates. One pass over the text."""
+    names = [k if isinstance(k, str) else docs.select(k).columns[0] for k in keep]
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    spans = rows.select(*names, "_t", *[c.alias(f"_{k}") for c, k in zip(base_spans(F.col("_t")), KINDS)])
+    spans = spans.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
+    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     candidates = F.transform(
-        F.filter(_matches(F.col("t"), TOKEN, 3, lambda m: F.lit(True)), apart),
-        lambda s: F.struct(s.alias("span"), F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]).alias("token")),
+        F.filter(_matches(F.col("_t"), TOKEN, 3, lambda m: F.lit(True)), apart),
+        lambda s: F.struct(s.alias("span"), F.substring(F.col("_t"), s["start"] + 1, s["end"] - s["start"]).alias("token")),
     )
-    return with_base.select("doc_id", "n_assign", "n_access", "n_hex", "base", candidates.alias("candidates"))
+    return spans.withColumn("_candidates", candidates).drop("_t")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base spans and candidate tokens of every row."""
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return _scan(docs, [F.col("doc_id").cast("long").alias("doc_id")]).select("doc_id", *counts, F.col("_base").alias("base"), F.col("_candidates").alias("candidates"))
+
+
+def random_spans(scanned: DataFrame, row: str, candidates: str) -> DataFrame:
+    """(row, _random): the spans of the tokens that are discoveries, for the rows that have any."""
+    tokens = scanned.select(row, F.explode(candidates).alias("c")).select(row, "c.span", "c.token")
+    tokens = materialize(scored(tokens).drop("token"), "secret-tokens")
+    hit = F.lit(False)
+    for band, grid in thresholds(tokens).items():
+        hit = hit | ((F.col("band") == band) & (F.col("grid") >= grid))
+    return tokens.where(hit).groupBy(row).agg(F.collect_list("span").alias("_random"))
 
 
 def _joined(spans: Column) -> Column:
@@ -188,16 +203,10 @@ def _joined(spans: Column) -> Column:
 def found_spans(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base (array), all_spans (array of start, kind, end)."""
     scanned = materialize(scan(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    tokens = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.span", "c.token")
-    tokens = materialize(scored(tokens).drop("token"), "secret-tokens")
-    least = thresholds(tokens)
-    hit = F.lit(False)
-    for band, grid in least.items():
-        hit = hit | ((F.col("band") == band) & (F.col("grid") >= grid))
-    random = tokens.where(hit).groupBy("row").agg(F.collect_list("span").alias("random"))
+    random = random_spans(scanned, "row", "candidates")
     none = F.array().cast(f"array<{SPAN}>")
     return scanned.join(random, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", F.coalesce("random", none))).alias("all_spans")
+        "doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", F.coalesce("_random", none))).alias("all_spans")
     )
 
 
@@ -208,6 +217,36 @@ def secrets(docs: DataFrame) -> DataFrame:
     )
 
 
+def _masked(text, spans, mask: str):
+    def step(acc, s):
+        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        apart = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by ``mask``, overlapping spans once; n_chars, where present, follows.
+
+    Rows without candidate tokens are masked where they are; only the others meet
+    the verdicts on their tokens in a join.
+    """
+    wide = materialize(_scan(docs, list(docs.columns)).withColumn("_row", F.monotonically_increasing_id()), "secrets-wide")
+    none = F.array().cast(f"array<{SPAN}>")
+    some = wide.where(F.size("_candidates") > 0).join(random_spans(wide, "_row", "_candidates"), "_row", "left")
+    some = some.withColumn("_all", F.array_sort(F.concat("_base", F.coalesce("_random", none))))
+    rest = wide.where(F.size("_candidates") == 0).withColumn("_all", F.col("_base"))
+    both = rest.select(*docs.columns, "_all").unionByName(some.select(*docs.columns, "_all"))
+    text = F.when(F.size("_all") > 0, _masked(F.col("text").cast("string"), F.col("_all"), mask)).otherwise(F.col("text"))
+    both = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        both = both.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return both.select(*docs.columns)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 

@@ -62,3 +62,13 @@ def test_plan_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "token = abcdefghijklmnop")], "doc_id long, text string")
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_redaction_masks_spans_and_keeps_rows(spark):
+    r = random.Random(7)
+    key = "".join(r.choices(string.ascii_letters + string.digits, k=60))
+    rows = [(1, "a token = deadbeefdeadbeefdead b", 32, "x"), (2, f"k {key} z", 64, "x"), (3, "plain é", 7, "x"), (3, "plain é", 7, "x"), (None, None, None, "y"), (5, "", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, random string")
+    got = sorted(map(tuple, secrets.redact(docs).collect()), key=str)
+    want = sorted([(1, "a [secret] b", 12, "x"), (2, "k [secret] z", 12, "x"), *rows[2:]], key=str)
+    assert got == want
