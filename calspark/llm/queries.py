@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "editprint", "packing", "secrets", "extraction", "quality", "decontaminate")
+MODULES = ("warc", "licenses", "decontaminate", "simhash", "rollup", "extraction", "quality", "editprint", "packing", "secrets")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
