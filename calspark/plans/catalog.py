@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("trace_queries",)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for name in MODULES:
+        out |= import_module(f"calspark.plans.{name}").QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for name in MODULES:
+        out |= import_module(f"calspark.plans.{name}").ORACLES
+    return out
