@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calspark.operators.movie import exploded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,11 +69,6 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(movie(spark, sf_dir))
 
 
-def exploded(frames: DataFrame, width: int = 8) -> DataFrame:
-    p = frames.select("plane", "frame", F.posexplode("arr").alias("i", "v"))
-    return p.select("plane", "frame", F.expr(f"i div {width}").cast("int").alias("y"), F.expr(f"i % {width}").cast("int").alias("x"), "v")
-
-
 PIXELS = """
 arr as (select label plane, vec_id frame, unnest(range(64)) i, embedding from embeddings),
 pixels as (select plane, frame, cast(i // 8 as int) y, cast(i % 8 as int) x, cast(embedding[i + 1] as double) v from arr)"""
