@@ -111,10 +111,11 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     store = Rollup(spark, new_path(spark, "rollup"))
     first = count_changes(docs, "insert", 0)
-    labelled = docs.join(labels, "doc_id")
-    gone = count_changes(labelled.where("toxic = 1"), "delete", 1)
+    # texts are counted where they are; only the counts meet the labels
     distinct = {"words@1": lambda text: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))).cast("long")}
-    recounted = count_changes(labelled.where("quality = 0 and toxic = 0"), "revise", 1, distinct)
+    none = {name: lambda text: F.lit(0).cast("long") for name in COUNTERS}
+    gone = count_changes(docs, "delete", 1, none).join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    recounted = count_changes(docs, "revise", 1, distinct).join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
     for batch, changes in ((1, first), (1, first), (2, gone.unionByName(recounted)), (2, gone)):
         store.commit(batch, changes)
     return store.totals()
