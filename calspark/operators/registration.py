@@ -1,7 +1,8 @@
 """Motion correction: reference images, rigid and block-wise shifts, warping, crop, z alignment.
 
-Frames are rows with their pixels in an array; kernels work on Arrow batches of frames
-with NumPy, and what every frame needs (filtered reference, block grid, kernels) is
+Frames are rows with their pixels in an array of doubles or, faster, in a blob of int16;
+kernels work on Arrow batches of frames with NumPy, in double precision on arrays and
+in single precision on blobs, and what every frame needs (filtered reference, block grid, kernels) is
 small and made once on the driver. Frames are never exploded or shuffled here.
 """
 
@@ -13,10 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-5
+#: Frames that a kernel takes at a time, which bounds a task's memory.
+FRAMES_AT_A_TIME = 16
 
 
 @dataclass(frozen=True)
@@ -38,29 +42,33 @@ def taper(sigma: float, height: int, width: int) -> np.ndarray:
 
 
 def gaussian_spectrum(sigma: float, height: int, width: int) -> np.ndarray:
-    """Real spectrum of a unit-sum Gaussian centred at the origin."""
+    """Half-plane spectrum of a unit-sum Gaussian centred at the origin."""
 
     def axis(n: int) -> np.ndarray:
-        g = np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2) / sigma) ** 2)
-        return g
+        return np.exp(-0.5 * ((np.arange(n) - (n - 1) / 2) / sigma) ** 2)
 
     g = axis(height)[:, None] * axis(width)[None, :]
-    return np.real(np.fft.fft2(np.fft.ifftshift(g / g.sum())))
+    # a Gaussian between two pixels of an even axis keeps its real part only, as on the full plane
+    return np.real(np.fft.fft2(np.fft.ifftshift(g / g.sum())))[:, : width // 2 + 1]
 
 
 def whitened(x: np.ndarray) -> np.ndarray:
-    return x / (EPSILON + np.abs(x))
+    """x over its modulus, in place."""
+    x /= np.abs(x) + np.asarray(EPSILON, x.real.dtype)
+    return x
 
 
 def reference_spectrum(reference: np.ndarray, sigma: float | None) -> np.ndarray:
-    """Whitened conjugate spectrum of a reference, smoothed unless sigma is None."""
-    out = whitened(np.conj(np.fft.fft2(reference)))
+    """Whitened conjugate half-plane spectrum of a reference, smoothed unless sigma is None."""
+    out = whitened(np.conj(np.fft.rfft2(reference)))
     return out if sigma is None else out * gaussian_spectrum(sigma, *reference.shape[-2:])
 
 
 def correlation(frames: np.ndarray, spectrum: np.ndarray) -> np.ndarray:
-    """Phase correlation maps of a stack of frames."""
-    return np.real(np.fft.ifft2(whitened(np.fft.fft2(frames)) * spectrum))
+    """Phase correlation maps of a stack of frames; real input needs half of the plane only."""
+    x = whitened(np.fft.rfft2(frames))
+    x *= spectrum
+    return np.fft.irfft2(x, s=frames.shape[-2:])
 
 
 def centred_window(maps: np.ndarray, half: int) -> np.ndarray:
@@ -89,11 +97,13 @@ class Rigid:
         self.offset = ref.mean() * (1 - self.mask)
         self.spectrum = reference_spectrum(ref, settings.sigma if smooth else None)
         self.half = search_half(settings.max_shift, *ref.shape)
+        self.single = [a.astype(t) for a, t in ((self.mask, np.float32), (self.offset, np.float32), (self.spectrum, np.complex64))]
 
     def shifts(self, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(yoff, xoff, correlation); the first maximum in row order counts."""
         x = np.clip(frames, *self.bounds) if self.bounds else frames
-        window = centred_window(correlation(x * self.mask + self.offset, self.spectrum), self.half)
+        mask, offset, spectrum = self.single if x.dtype == np.float32 else (self.mask, self.offset, self.spectrum)
+        window = centred_window(correlation(x * mask + offset, spectrum), self.half)
         flat = window.reshape(len(window), -1)
         best = flat.argmax(1)
         side = 2 * self.half + 1
@@ -101,7 +111,12 @@ class Rigid:
 
 
 def rolled(frames: np.ndarray, yoff: np.ndarray, xoff: np.ndarray) -> np.ndarray:
-    return np.stack([np.roll(f, (-int(a), -int(b)), (0, 1)) for f, a, b in zip(frames, yoff, xoff)]) if len(frames) else frames
+    out = np.empty_like(frames)
+    for f, o, a, b in zip(frames, out, yoff, xoff):
+        h, w = f.shape
+        a, b = int(a) % h, int(b) % w
+        o[: h - a, : w - b], o[h - a :, : w - b], o[: h - a, w - b :], o[h - a :, w - b :] = f[a:, b:], f[:a, b:], f[a:, :b], f[:a, :b]
+    return out
 
 
 # ---- reference image
@@ -179,31 +194,57 @@ def seed_frames(frames: DataFrame, height: int, width: int, n: int = 400, top: i
 # ---- rigid registration of a table of frames
 
 
+def stacked(batch: pa.RecordBatch, height: int, width: int) -> np.ndarray:
+    """The frames of a batch: doubles from ``arr``, single precision from int16 blobs in ``pix``."""
+    if "pix" in batch.schema.names:
+        blobs = batch.column(batch.schema.names.index("pix"))
+        return np.frombuffer(b"".join(blobs.to_pylist()), "<i2").reshape(-1, height, width).astype(np.float32)
+    return batch.column(batch.schema.names.index("arr")).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, height, width)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists, without a Python object a value."""
+    x = np.ascontiguousarray(x.reshape(len(x), -1), np.float64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0)), pa.array(x.ravel()))
+
+
+def _pixels(x: np.ndarray, as_blobs: bool) -> pa.Array:
+    return pa.array([f.astype("<i2").tobytes() for f in x], pa.binary()) if as_blobs else _lists(x)
+
+
+def _representation(frames: DataFrame) -> str:
+    """The column that holds the pixels: blobs if there are any."""
+    return "pix" if "pix" in frames.columns else "arr"
+
+
 def _by_plane(frames: DataFrame, references: DataFrame, make: Callable, run: Callable, schema: str) -> DataFrame:
     """Apply run(kernel of the plane, rows of the plane) to Arrow batches; one kernel a plane is made in every worker."""
-    images = {r["plane"]: (np.array(r["arr"])) for r in references.collect()}  # an image a plane
+    images = {r["plane"]: np.array(r["arr"], float) for r in references.select("plane", "arr").collect()}  # an image a plane
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernels: dict = {}
-        for pdf in it:
-            for plane, part in pdf.groupby("plane", sort=False):
+        for batch in it:
+            planes = batch.column(0).to_numpy(zero_copy_only=False)
+            for plane in np.unique(planes):
+                part = batch.filter(pa.array(planes == plane))
                 if plane not in kernels:
                     kernels[plane] = make(images[plane])
-                yield run(kernels[plane], part)
+                for at in range(0, part.num_rows, FRAMES_AT_A_TIME):
+                    yield run(kernels[plane], part.slice(at, FRAMES_AT_A_TIME))
 
-    return frames.mapInPandas(batches, schema)
+    return frames.mapInArrow(batches, schema)
 
 
 def rigid_offsets(frames: DataFrame, references: DataFrame, height: int, width: int, settings: RigidSettings = RigidSettings(), smooth: bool = True, masked: bool = True) -> DataFrame:
     """plane, frame, yoff, xoff, corr of every frame against its plane's reference."""
 
-    def run(kernel: Rigid, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x, c = kernel.shifts(np.stack(pdf["arr"].to_numpy()).reshape(-1, height, width))
-        return pd.DataFrame({"plane": pdf["plane"].to_numpy(), "frame": pdf["frame"].to_numpy(), "yoff": y.astype("int32"), "xoff": x.astype("int32"), "corr": c})
+    def run(kernel: Rigid, batch: pa.RecordBatch) -> pa.RecordBatch:
+        y, x, c = kernel.shifts(stacked(batch, height, width))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(c.astype(float))], ["plane", "frame", "yoff", "xoff", "corr"])
 
     kinds = dict(frames.dtypes)
     make = lambda image: Rigid(image.reshape(height, width), settings, smooth, masked)
-    return _by_plane(frames.select("plane", "frame", "arr"), references, make, run, f"plane {kinds['plane']}, frame {kinds['frame']}, yoff int, xoff int, corr double")
+    return _by_plane(frames.select("plane", "frame", _representation(frames)), references, make, run, f"plane {kinds['plane']}, frame {kinds['frame']}, yoff int, xoff int, corr double")
 
 
 def shifted(frames: DataFrame, offsets: DataFrame, height: int, width: int) -> DataFrame:
@@ -303,6 +344,7 @@ class Blocks:
         self.offset = cut.mean((1, 2))[:, None, None] * (1 - self.mask)
         self.spectrum = np.stack([reference_spectrum(c, settings.sigma) for c in cut])
         self.half = int(min(round(settings.max_shift), min(self.size) // 2 - settings.pad))
+        self.single = [a.astype(t) for a, t in ((self.mask, np.float32), (self.offset, np.float32), (self.spectrum, np.complex64))]
         self.smoother = block_smoother(*self.counts)
         self.kriging, self.side = upsampler(settings.pad, settings.subpixel)
 
@@ -310,10 +352,10 @@ class Blocks:
         """Peak over the highest value outside its neighbourhood."""
         p, side = self.set.pad, 2 * self.half + 1
         inner = maps[:, p:-p, p:-p].reshape(len(maps), -1)
-        rest = maps.copy()
-        for m, k in zip(rest, inner.argmax(1)):
-            y, x = divmod(int(k), side)
-            m[y : y + 2 * p, x : x + 2 * p] = 0
+        y, x = np.divmod(inner.argmax(1), side)
+        k = np.arange(maps.shape[-1])
+        near_y, near_x = (k >= y[:, None]) & (k < y[:, None] + 2 * p), (k >= x[:, None]) & (k < x[:, None] + 2 * p)
+        rest = np.where(near_y[:, :, None] & near_x[:, None, :], 0, maps)
         return inner.max(1) / np.maximum(1e-10, rest.max((1, 2)))
 
     def shifts(self, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,7 +363,8 @@ class Blocks:
         x = np.clip(frames, *self.bounds) if self.bounds else frames
         cut = np.stack([x[:, y0:y1, x0:x1] for y0, y1, x0, x1 in self.blocks], 1)
         p, half = self.set.pad, self.half
-        maps = centred_window(correlation(cut * self.mask + self.offset, self.spectrum), half + p)
+        mask, offset, spectrum = self.single if cut.dtype == np.float32 else (self.mask, self.offset, self.spectrum)
+        maps = centred_window(correlation(cut * mask + offset, spectrum), half + p)
         chosen, done = maps.copy(), np.zeros(maps.shape[:2], bool)
         for power in range(3):
             if power:
@@ -352,7 +395,7 @@ def interpolate_grid(values: np.ndarray, height: int, width: int, blocks: list,
         span = centres[-1] - centres[0]
         at = np.clip(np.arange(n) - centres[0], 0, max(span - 1, 0)) * ((len(centres) - 1) / max(span - 1, 1))
         low = np.minimum(at.astype(int), max(len(centres) - 2, 0))
-        return low, at - low
+        return low, (at - low).astype(values.dtype)
 
     (yl, yf), (xl, xf) = positions(yc, height), positions(xc, width)
     v = values.reshape(-1, ny, nx)
@@ -365,39 +408,49 @@ def interpolate_grid(values: np.ndarray, height: int, width: int, blocks: list,
 def warp(frames: np.ndarray, yoff: np.ndarray, xoff: np.ndarray) -> np.ndarray:
     """Frames read at (y + yoff, x + xoff) by bilinear interpolation, borders replicated, truncated to whole numbers."""
     t, height, width = frames.shape
-    y = np.clip(np.arange(height)[:, None] + yoff, 0, height - 1)
-    x = np.clip(np.arange(width) + xoff, 0, width - 1)
-    yl, xl = np.minimum(y.astype(int), max(height - 2, 0)), np.minimum(x.astype(int), max(width - 2, 0))
-    yf, xf = y - yl, x - xl
-    k = np.arange(t)[:, None, None]
-    yh, xh = np.minimum(yl + 1, height - 1), np.minimum(xl + 1, width - 1)
-    out = (frames[k, yl, xl] * (1 - xf) + frames[k, yl, xh] * xf) * (1 - yf) + (frames[k, yh, xl] * (1 - xf) + frames[k, yh, xh] * xf) * yf
-    return np.trunc(out)
+    kind = frames.dtype if frames.dtype.kind == "f" else np.dtype(float)
+    out = np.empty(frames.shape, kind)
+    rows, columns = np.arange(height, dtype=kind)[:, None], np.arange(width, dtype=kind)
+    for k in range(t):  # a frame at a time stays in cache
+        y, x = np.clip(rows + yoff[k], 0, height - 1), np.clip(columns + xoff[k], 0, width - 1)
+        yl, xl = np.minimum(y.astype(np.int32), max(height - 2, 0)), np.minimum(x.astype(np.int32), max(width - 2, 0))
+        yf, xf = (y - yl).astype(kind), (x - xl).astype(kind)
+        flat, at = frames[k].ravel(), yl * width + xl
+        down, right = (width if height > 1 else 0), (1 if width > 1 else 0)
+        top = flat[at] * (1 - xf) + flat[at + right] * xf
+        low = flat[at + down] * (1 - xf) + flat[at + down + right] * xf
+        np.trunc(top * (1 - yf) + low * yf, out=out[k])
+    return out
 
 
 def register(frames: DataFrame, references: DataFrame, height: int, width: int, rigid: RigidSettings = RigidSettings(), blocks: BlockSettings | None = BlockSettings()) -> DataFrame:
-    """plane, frame, arr (registered), yoff, xoff, corr, yoff1, xoff1, corr1 of every frame; one narrow stage."""
+    """plane, frame, arr or pix (registered), yoff, xoff, corr, yoff1, xoff1, corr1 of every frame; one narrow stage."""
 
     def make(image: np.ndarray):
         ref = image.reshape(height, width)
         return Rigid(ref, rigid), Blocks(ref, blocks) if blocks else None
 
-    def run(kernels, pdf: pd.DataFrame) -> pd.DataFrame:
+    held = _representation(frames)
+
+    def run(kernels, batch: pa.RecordBatch) -> pa.RecordBatch:
         whole, local = kernels
-        x = np.stack(pdf["arr"].to_numpy()).reshape(-1, height, width)
+        x = stacked(batch, height, width)
         yoff, xoff, corr = whole.shifts(x)
         x = rolled(x, yoff, xoff)
-        y1 = x1 = c1 = [None] * len(x)
+        by_block = [pa.nulls(len(x), pa.list_(pa.float64()))] * 3
         if local:
             y1, x1, c1 = local.shifts(x)
-            x = warp(x, interpolate_grid(y1, height, width, local.blocks, local.counts), interpolate_grid(x1, height, width, local.blocks, local.counts))
-        return pd.DataFrame({
-            "plane": pdf["plane"].to_numpy(), "frame": pdf["frame"].to_numpy(), "arr": list(x.reshape(len(x), -1)), "yoff": yoff.astype("int32"), "xoff": xoff.astype("int32"), "corr": corr, "yoff1": list(y1), "xoff1": list(x1), "corr1": list(c1),
-        })
+            x = warp(x, *(interpolate_grid(v.astype(x.dtype), height, width, local.blocks, local.counts) for v in (y1, x1)))
+            by_block = [_lists(v) for v in (y1, x1, c1)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), _pixels(x, held == "pix"), pa.array(yoff.astype(np.int32)), pa.array(xoff.astype(np.int32)), pa.array(corr.astype(float)), *by_block],
+            ["plane", "frame", held, "yoff", "xoff", "corr", "yoff1", "xoff1", "corr1"],
+        )
 
     kinds = dict(frames.dtypes)
-    schema = f"plane {kinds['plane']}, frame {kinds['frame']}, arr array<double>, yoff int, xoff int, corr double, yoff1 array<double>, xoff1 array<double>, corr1 array<double>"
-    return _by_plane(frames.select("plane", "frame", "arr"), references, make, run, schema)
+    pixels = "pix binary" if held == "pix" else "arr array<double>"
+    schema = f"plane {kinds['plane']}, frame {kinds['frame']}, {pixels}, yoff int, xoff int, corr double, yoff1 array<double>, xoff1 array<double>, corr1 array<double>"
+    return _by_plane(frames.select("plane", "frame", held), references, make, run, schema)
 
 
 # ---- crop, z alignment, metrics

@@ -37,7 +37,7 @@ def movie_narrow_int16(spark, d):
 
 
 def _bins(spark, d, bad):
-    frames = C.movie(spark, d).select("plane", "frame").withColumn("bad", bad)
+    frames = C.movie(spark, d).select("plane", "frame", bad.alias("bad"))
     return V.binned(C.pixels(spark, d), V.frame_bins(frames, 4, batch=20, bins=30))
 
 
@@ -46,7 +46,7 @@ def movie_bin(spark, d):
 
 
 def movie_bin_badframes(spark, d):
-    return _r(_bins(spark, d, F.col("frame") % 7 < F.col("plane") % 6), "v")
+    return _r(_bins(spark, d, F.element_at("arr", 1) > 0.05 * (F.col("plane") % 3 - 1)), "v")
 
 
 def movie_mean_image(spark, d):
@@ -245,8 +245,9 @@ def pca_denoise_blocks(spark, d):
 
 
 def bleedthrough_regress(spark, d):
-    p = C.pixels(spark, d)
-    return _r(V.bleed_through(V.mean_image(p.where("frame % 2 = 0").withColumn("v", F.abs("v"))), V.mean_image(p.where("frame % 2 = 1").withColumn("v", F.abs("v"))), 4), "v")
+    """Two interleaved channels, demultiplexed by page."""
+    p = V.demux(C.pixels(spark, d).withColumn("page", F.col("frame")).withColumn("v", F.abs("v")).withColumnRenamed("plane", "label"), 1, 2).withColumn("plane", F.col("label"))
+    return _r(V.bleed_through(V.mean_image(p.where("channel = 0")), V.mean_image(p.where("channel = 1")), 4), "v")
 
 
 def extract_traces(spark, d):
@@ -294,7 +295,7 @@ _T = "fr as (select distinct plane, frame from pixels), tt as (select plane, fra
 
 
 def _binned(bad: str) -> str:
-    return f"""with {C.PIXELS}, f0 as (select plane, frame, {bad} bad from (select distinct plane, frame from pixels)),
+    return f"""with {C.PIXELS}, f0 as (select plane, frame, {bad} bad from pixels group by plane, frame),
 f1 as (select *, row_number() over (partition by plane order by frame) - 1 t, count(*) over (partition by plane) n, count(*) filter (not bad) over (partition by plane) good from f0),
 f2 as (select *, greatest(least(good, 20), 1) size from f1), f3 as (select *, t // size batch, cast(ceil(n / size) as bigint) there from f2),
 f4 as (select *, least(greatest(30 // greatest(size // 4, 1), 1), there) kept from f3),
@@ -327,7 +328,7 @@ ORACLES = {
     "movie_crop": f"with {C.PIXELS} select plane, frame, y - 2 y, x - 1 x, v from pixels where y between 2 and 5 and x between 1 and 7",
     "movie_narrow_int16": f"with {C.PIXELS} select frame, y, x, cast(least(greatest(floor(round(v * 100000) / 2), -32768), 32766) as int) halved, cast(least(greatest(round(v * 100000), -32768), 32766) as int) clamped from pixels",
     "movie_bin": _binned("false"),
-    "movie_bin_badframes": _binned("frame % 7 < plane % 6"),
+    "movie_bin_badframes": _binned("max(v) filter (y = 0 and x = 0) > cast(0.05 as double) * (plane % 3 - 1)"),
     "movie_mean_image": f"with {C.PIXELS} select plane, y, x, {R('avg(v)')} v from pixels group by plane, y, x",
     "movie_max_projection": f"with {C.PIXELS} select plane, y, x, max(v) v from pixels group by all",
     "movie_highpass_tumbling": f"with {C.PIXELS}, {_T} select plane, frame, y, x, {R('v - avg(v) over (partition by plane, y, x, t // 12)')} v from tp",

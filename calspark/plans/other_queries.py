@@ -96,12 +96,13 @@ def classifier_predict(spark, d):
 
 def classifier_override(spark, d):
     t = C.train(spark, d).select("roi", (F.col("iscell") == 1).alias("iscell"))
-    return K.flipped(t, t.where("roi % 10 = 3").select("roi", (~F.col("iscell")).alias("iscell")))
+    return K.flipped(t, C.train(spark, d).where("npix_norm > 0.05").select("roi", (F.col("iscell") != 1).alias("iscell")))
 
 
 def training_union(spark, d):
     t = C.train(spark, d)
-    parts = [(t.where(f"roi % 2 = {k}").drop("iscell"), t.where(f"roi % 2 = {k} and roi % 3 > 0").select("roi", "iscell")) for k in (0, 1)]
+    long, labelled = F.col("skew") > 7.0, F.col("compact") > 0.12
+    parts = [(t.where(side).drop("iscell"), t.where(side & labelled).select("roi", "iscell")) for side in (~long, long)]
     return K.training_union(parts).groupBy("recording", "iscell").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,21 +131,21 @@ def plane_field_configs(spark, d):
 
 def f1_match(spark, d):
     m = C.masks(spark, d)
-    a, b = m.where("pmod(x + y, 3) > 0").select("roi", "y", "x"), m.where("pmod(x * 7 + y, 4) > 0").select("roi", "y", "x")
+    a, b = m.where("lam > 15").select("roi", "y", "x"), m.where("lam < 45").select("roi", "y", "x")
     t = T.bin_mean(C.traces(spark, d), "f", BIN)
     return _r(E.matches(a, b, t, t, 0.3, 0.5), "iou", "r")
 
 
 def f1_score(spark, d):
     m = C.masks(spark, d)
-    a, b = m.where("pmod(x + y, 3) > 0").select("roi", "y", "x"), m.where("pmod(x * 7 + y, 4) > 0").select("roi", "y", "x")
+    a, b = m.where("lam > 15").select("roi", "y", "x"), m.where("lam < 45").select("roi", "y", "x")
     t = T.bin_mean(C.traces(spark, d), "f", BIN)
     return _r(E.f1(E.matches(a, b, t, t, 0.3, 0.5), a, b), "f1")
 
 
 def match_one_to_one(spark, d):
-    p = M.cosine_pairs(C.masks(spark, d).where("lam >= 50")).withColumn("plane", F.lit(0))
-    return _r(E.one_to_one(p.where("a % 2 = 0 and b % 2 = 1").withColumn("cosine", F.round("cosine", 6)), 0.05), "cosine")
+    p = M.cosine_pairs(C.masks(spark, d)).withColumn("plane", F.lit(0))
+    return _r(E.one_to_one(p.withColumn("cosine", F.round("cosine", 6)), 0.05), "cosine")
 
 
 def natural_sort_files(spark, d):
@@ -194,7 +195,7 @@ iv as (select bin, ix, lead(ix) over (order by bin) nx from ixs),
 gd as (select key, cast(bin as int) bin, max(case when rk = ix then v end) node, avg(case when rk < nx then iscell end) p from rkd join iv on rk >= ix and (rk < nx or (nx is null and rk = ix)) group by key, bin)"""
 _S = ", ".join(f"({k}, cast({w!r} as double))" for k, w in gaussian_taps(2.0, 8))
 _N = NODES - 1
-_MATCH = f"""a as (select roi, y, x from masks where (x + y) % 3 > 0), b as (select roi, y, x from masks where (x * 7 + y) % 4 > 0), na as (select roi, count(*) n from a group by 1), nb as (select roi, count(*) n from b group by 1),
+_MATCH = f"""a as (select roi, y, x from masks where lam > 15), b as (select roi, y, x from masks where lam < 45), na as (select roi, count(*) n from a group by 1), nb as (select roi, count(*) n from b group by 1),
 io as (select a.roi a, b.roi b, count(*) n from a join b using (y, x) group by 1, 2), iu as (select io.a, io.b, io.n / (na.n + nb.n - io.n) iou from io join na on na.roi = io.a join nb on nb.roi = io.b),
 mt as (select iu.a, iu.b, iou, corr(p.v, q.v) r from iu join bins p on p.roi = iu.a join bins q on q.roi = iu.b and p.bin = q.bin where iou > 0.3 group by 1, 2, 3 having corr(p.v, q.v) > 0.5)"""
 _SUM16 = "select label plane, count(*) frames, cast(sum(list_sum(list_transform(embedding, lambda v: cast(round(cast(v as double) * 1000) as bigint)))) as bigint) total from embeddings group by label"
@@ -203,8 +204,8 @@ ORACLES = {
     "classifier_grid": f"with {C.TRAIN}, {_GRID} select key, bin, {R('node')} node, {R('p')} p from gd",
     "classifier_smooth": f"with {C.TRAIN}, {_GRID}, taps(k, w) as (values {_S}), sm as (select a.key, a.bin, sum(w * b.p) s from gd a, taps, gd b where a.p is not null and b.key = a.key and b.bin = case when ((a.bin + k) % {2 * _N} + {2 * _N}) % {2 * _N} >= {_N} then {2 * _N - 1} - ((a.bin + k) % {2 * _N} + {2 * _N}) % {2 * _N} else ((a.bin + k) % {2 * _N} + {2 * _N}) % {2 * _N} end group by 1, 2) select key, bin, {R('node')} node, {R('s')} p from gd left join sm using (key, bin)",
     "classifier_logodds": f"with {C.TRAIN}, {_GRID}, g as (select bin, node, p from gd where key = 'compact'), z as (select roi, greatest(least(max(train.compact), (select max(node) from g)), (select min(node) from g)) v from train group by roi), b as (select roi, least(greatest((select count(*) from g where g.node < z.v) - 1, 0), {_N - 1}) bin from z) select roi, {R('ln(p + 1e-6) - ln(1 - p + 1e-6)')} z from b join g using (bin)",
-    "classifier_override": f"with {C.TRAIN} select roi, case when roi % 10 = 3 then iscell <> 1 else iscell = 1 end iscell from train",
-    "training_union": f"with {C.TRAIN} select cast(roi % 2 as int) recording, iscell, count(*) n from train where roi % 3 > 0 group by 1, 2",
+    "classifier_override": f"with {C.TRAIN} select roi, case when npix_norm > cast(0.05 as double) then iscell <> 1 else iscell = 1 end iscell from train",
+    "training_union": f"with {C.TRAIN} select case when skew > 7 then 1 else 0 end recording, iscell, count(*) n from train where compact > cast(0.12 as double) group by 1, 2",
     "canvas_layout": "with a as (select ceil(sqrt(300 * 420 * count(*)) / 420) c from nation) select n_nationkey plane, 300 as height, 420 as width, cast(floor(n_nationkey / c) * 300 as int) dy, cast(n_nationkey % c * 420 as int) dx from nation, a",
     "mosaic_layout": "with f as (select r_regionkey field, r_regionkey % 2 * 120 dy, cast(r_regionkey // 2 * 90 as int) dx from region), e as (select max(dy + 110) h, max(dx + 80) w, count(*) n from f), a as (select *, ceil(sqrt(h * w * 4) / w) c from e) select z.i * n + field plane, cast(z.i as int) depth, field, cast(dy + floor(z.i / c) * h as int) dy, cast(dx + z.i % c * w as int) dx from f, a, range(4) z(i)",
     "combine_planes": f"with {C.MASKS}, a as (select ceil(sqrt(300 * 420 * count(*)) / 420) c from nation) select cast(roi % 30 as int) plane, roi, cast(y + floor((roi % 30) / c) * 300 as int) y, cast(x + (roi % 30) % c * 420 as int) x, lam from masks, a where roi % 30 in (select n_nationkey from nation)",

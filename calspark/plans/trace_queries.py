@@ -104,7 +104,10 @@ def behaviour_resample_linear(spark, d):
 
 
 def behaviour_corr(spark, d):
-    series = C.behaviour(spark, d).groupBy(F.floor(F.col("t") / 30).cast("long").alias("bin")).agg(F.avg("v").alias("m"))
+    """The behaviour's span is cut into as many parts as a trace of 60 frames has bins."""
+    b = C.behaviour(spark, d)
+    span = b.agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") + 1).alias("days"))
+    series = b.join(F.broadcast(span)).groupBy(F.floor((F.col("t") - F.col("t0")) * 12 / F.col("days")).cast("long").alias("bin")).agg(F.avg("v").alias("m"))
     return _r(T.series_corr(_bins(spark, d), series), "r")
 
 
@@ -224,7 +227,7 @@ select roi, t frame, case when t = 0 then 0.0 else {R("c - exp(-0.1) * lag(c) ov
     "behaviour_resample_linear": f"""with {C.BEHAVIOUR}, s as (select * from (select t, v, lead(t) over (order by t) t1, lead(v) over (order by t) v1 from behaviour) where t1 is not null),
 q as (select i frame, i * cast(2.3 as double) t from range(-20, 1200) r(i)), z as (select min(t) t0, max(t) t9 from s), k as (select frame, t, least(greatest(t, t0), t9) key from q, z)
 select frame, {R("s.v + (k.t - s.t) * (s.v1 - s.v) / (s.t1 - s.t)", 3)} v from k asof join s on k.key >= s.t""",
-    "behaviour_corr": f"with {C.TRACES}, {_BINS}, {C.BEHAVIOUR}, s as (select cast(floor(t / 30) as bigint) bin, avg(v) m from behaviour group by 1) select roi, {R('corr(v, m)')} r from bins join s using (bin) group by roi",
+    "behaviour_corr": f"with {C.TRACES}, {_BINS}, {C.BEHAVIOUR}, z as (select min(t) t0, max(t) - min(t) + 1 nd from behaviour), s as (select cast(floor((t - t0) * 12 / nd) as bigint) bin, avg(v) m from behaviour, z group by 1) select roi, {R('corr(v, m)')} r from bins join s using (bin) group by roi",
     "roi_top_n": f"with {C.TRACES}, {_stats('traces', 'f')} select roi, {R('skew')} skew, {R('std')} std from sk order by round(std, 6) desc, roi limit 10",
     "roi_bottom_n": f"with {C.TRACES}, {_stats('traces', 'f')} select roi, {R('skew')} skew, {R('std')} std from sk order by round(std, 6), roi limit 10",
     "roi_snr_filter": f"with {C.TRACES}, {_stats('c', 'df')} select roi, count(*) n_frames from c where roi in (select roi from sn where snr > 0.05) group by roi",
