@@ -37,7 +37,7 @@ SEED_WORDS = 5
 PAD = 12
 RARE_LEAST, RARE_SHARE = 20, 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
-SCORE = 0.6
+SCORE = 0.5
 BLOCK_BYTES = 16 << 20
 #: Windows aligned at a time.
 ALIGN = 256

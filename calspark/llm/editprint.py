@@ -223,21 +223,26 @@ def _like(a, b):
 
 
 def linked_classes(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """doc_id, class_id: documents whose fingerprints are linked through verified band candidates.
+    """doc_id, class_id: the connected components of verified band candidates; class_id is the smallest doc_id of the class.
 
-    Equal fingerprints are one node. In a band's bucket every node is compared with
-    the bucket's smallest; a bucket therefore gives a row a member, and nodes meet in
-    many bands. class_id is the smallest doc_id of the class.
+    Equal fingerprints are one node. In a band's bucket every node is first compared
+    with the bucket's smallest, which gives a row a member; what that links is
+    contracted, and only pairs of different components are compared afterwards.
     """
     prints = materialize(prints, "editprint")
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", k * BAND + 1, BAND).alias("key")) for k in range(SLOTS // BAND)])
-    index = nodes.select("node", "fingerprint", F.explode(bands).alias("b")).select("node", "fingerprint", "b.band", "b.key")
+    index = materialize(nodes.select("node", "fingerprint", F.explode(bands).alias("b")).select("node", "fingerprint", "b.band", "b.key"), "editprint-bands")
     pivots = index.groupBy("band", "key").agg(F.min(F.struct("node", "fingerprint")).alias("pivot"))
     met = index.join(pivots, ["band", "key"]).where(F.col("node") != F.col("pivot.node"))
-    links = met.where(_like(F.col("fingerprint"), F.col("pivot.fingerprint")) >= least).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-    labels = connected_components(links).select(F.col("node"), "label")
-    named = nodes.join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("class_id"))
+    stars = met.where(_like(F.col("fingerprint"), F.col("pivot.fingerprint")) >= least).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+    first = connected_components(stars)
+    labelled = materialize(index.join(first, "node", "left").select("band", "key", "fingerprint", F.coalesce("label", "node").alias("label")), "editprint-labelled")
+    a, b = labelled.alias("a"), labelled.alias("b")
+    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (_like(F.col("a.fingerprint"), F.col("b.fingerprint")) >= least)
+    second = connected_components(a.join(b, near).select(F.col("a.label").alias("a"), F.col("b.label").alias("b")).distinct())
+    named = nodes.join(first, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("label"))
+    named = named.join(second.select(F.col("node").alias("label"), F.col("label").alias("outer")), "label", "left").select("fingerprint", F.coalesce("outer", "label").alias("class_id"))
     return prints.join(named, "fingerprint").select("doc_id", "class_id")
 
 

@@ -40,6 +40,8 @@ END_ID = 0
 GROUPS, LARGE, FILL = 1024, CAPACITY // 8, 0.998
 #: Hash buckets in which documents of one length are ranked, and pieces of a length's plan.
 BUCKETS, TILES = 256, 64
+#: A plan of more rows than this is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -212,9 +214,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         size = -(-histogram[length] // TILES)
         tiled += [(length, tile, lo, lo + n, seq, offset) for tile in range(lo // size, (lo + n - 1) // size + 1)]
     sizes = [(k, -(-n // TILES)) for k, n in histogram.items()]
-    # both tables grow with the capacity, not with the documents
+    # both tables grow with the capacity, not with the documents; the second one's size is checked all the same
     tiles = F.broadcast(spark.createDataFrame(sizes, "length long, tile_size long"))
-    places = F.broadcast(spark.createDataFrame(tiled, "p_length long, p_tile long, lo long, hi long, seq long, offset long"))
+    places = spark.createDataFrame(tiled, "p_length long, p_tile long, lo long, hi long, seq long, offset long")
+    places = F.broadcast(places) if len(tiled) <= BROADCAST_ROWS else places
     tile = F.floor(F.col("rank") / F.col("tile_size")).cast("long")
     placed = ranked.join(tiles, "length").withColumn("tile", tile).join(
         places, (F.col("length") == F.col("p_length")) & (F.col("tile") == F.col("p_tile")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))

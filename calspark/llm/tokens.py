@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -39,15 +39,21 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         table = _byte_of_char()
         self.added = [t["content"] for t in spec.get("added_tokens", ())]
         ranks = {bytes(table[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in self.added}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded by the few texts that need it."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
         if not any(t in text for t in self.added):
