@@ -236,3 +236,12 @@ def contrast(masks: DataFrame, rings: DataFrame, image: DataFrame) -> DataFrame:
     outside = rings.join(image, list(PIXEL)).groupBy("roi").agg(F.avg("v").alias("outside"))
     both = inside.join(outside, "roi").withColumn("inside", F.greatest("inside", F.lit(1e-3)))
     return both.withColumn("prob", F.try_divide("inside", F.col("inside") + F.col("outside")))
+
+
+def iou_between(masks: DataFrame, others: DataFrame) -> DataFrame:
+    """roi, iou: the largest IoU of every region with any region of another set; zero if it meets none."""
+    size = others.groupBy("roi").agg(F.count(F.lit(1)).alias("nb")).withColumnRenamed("roi", "b")
+    own = masks.groupBy("roi").agg(F.count(F.lit(1)).alias("na"))
+    inter = masks.select("roi", "y", "x").join(others.select(F.col("roi").alias("b"), "y", "x"), list(PIXEL)).groupBy("roi", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = inter.join(size, "b").join(own, "roi").groupBy("roi").agg(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
+    return own.select("roi").join(best, "roi", "left").select("roi", F.coalesce("iou", F.lit(0.0)).alias("iou"))

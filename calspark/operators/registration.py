@@ -453,6 +453,81 @@ def register(frames: DataFrame, references: DataFrame, height: int, width: int,
     return _by_plane(frames.select("plane", "frame", held), references, make, run, schema)
 
 
+def apply_offsets(frames: DataFrame, registered: DataFrame, height: int, width: int, blocks: BlockSettings | None = BlockSettings()) -> DataFrame:
+    """plane, frame, arr of another channel, moved by the shifts that ``register`` found (yoff, xoff, yoff1, xoff1)."""
+    grid, counts, _ = block_grid(height, width, blocks.block) if blocks else ([], (1, 1), None)
+    held = _representation(frames)
+    x = frames.select("plane", "frame", held).join(registered.select("plane", "frame", "yoff", "xoff", "yoff1", "xoff1"), ["plane", "frame"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, FRAMES_AT_A_TIME):
+                batch = whole.slice(at, FRAMES_AT_A_TIME)
+                moved = rolled(stacked(batch, height, width), batch.column(3).to_numpy(), batch.column(4).to_numpy())
+                if blocks and batch.column(5).null_count == 0:
+                    fields = (np.array(batch.column(k).to_pylist(), moved.dtype) for k in (5, 6))
+                    moved = warp(moved, *(interpolate_grid(v, height, width, grid, counts) for v in fields))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _pixels(moved, held == "pix")], ["plane", "frame", held])
+
+    kinds = dict(frames.dtypes)
+    return x.mapInArrow(run, f"plane {kinds['plane']}, frame {kinds['frame']}, {'pix binary' if held == 'pix' else 'arr array<double>'}")
+
+
+def rigid_offsets_smoothed(frames: DataFrame, references: DataFrame, height: int, width: int, sigma: float, batch: int = 100, settings: RigidSettings = RigidSettings()) -> DataFrame:
+    """rigid_offsets with correlation maps smoothed over the frames of a batch (reflected ends); batches are of consecutive frames."""
+    from calspark.functions.columns import gaussian_taps
+
+    images = {r["plane"]: np.array(r["arr"], float).reshape(height, width) for r in references.select("plane", "arr").collect()}  # an image a plane
+    taps = gaussian_taps(sigma, int(4 * sigma + 0.5))
+    ordered = frames.withColumn("_batch", F.expr(f"(row_number() over (partition by plane order by frame) - 1) div {batch}"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        kernel = Rigid(images[pdf["plane"].iloc[0]], settings)
+        x = np.stack(pdf["arr"].to_numpy()).reshape(-1, height, width)
+        x = np.clip(x, *kernel.bounds) if kernel.bounds else x
+        maps = centred_window(correlation(x * kernel.mask + kernel.offset, kernel.spectrum), kernel.half)
+        n = len(maps)
+        smooth = np.zeros_like(maps)
+        for k, w in taps:
+            j = (np.arange(n) + k) % (2 * n)
+            smooth += w * maps[np.where(j >= n, 2 * n - 1 - j, j)]
+        flat, side = smooth.reshape(n, -1), 2 * kernel.half + 1
+        best = flat.argmax(1)
+        return pd.DataFrame({"plane": pdf["plane"].to_numpy(), "frame": pdf["frame"].to_numpy(), "yoff": (best // side - kernel.half).astype("int32"), "xoff": (best % side - kernel.half).astype("int32"), "corr": flat[np.arange(n), best]})
+
+    kinds = dict(frames.dtypes)
+    return ordered.select("plane", "frame", "arr", "_batch").groupBy("plane", "_batch").applyInPandas(run, f"plane {kinds['plane']}, frame {kinds['frame']}, yoff int, xoff int, corr double")
+
+
+def upsampled_mean(frames: DataFrame, registered: DataFrame, height: int, width: int, factor: int, blocks: BlockSettings = BlockSettings()) -> DataFrame:
+    """plane, y, x, v, n: pixels of rolled frames added up on a grid ``factor`` times finer, at their sub-pixel places.
+
+    Workers hand back sums over their frames; the sums meet in one aggregation.
+    """
+    grid, counts, _ = block_grid(height, width, blocks.block)
+    x = frames.select("plane", "frame", "arr").join(registered.select("plane", "frame", "yoff", "xoff", "yoff1", "xoff1"), ["plane", "frame"])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict = {}
+        for pdf in it:
+            for r in pdf.itertuples():
+                image = rolled(np.asarray(r.arr).reshape(1, height, width), [r.yoff], [r.xoff])[0]
+                fields = [interpolate_grid(np.asarray(v, float)[None], height, width, grid, counts)[0] for v in (r.yoff1, r.xoff1)]
+                y = np.clip(np.floor(0.5 + (np.arange(height)[:, None] - fields[0]) * factor), 0, height * factor - 1).astype(int)
+                z = np.clip(np.floor(0.5 + (np.arange(width) - fields[1]) * factor), 0, width * factor - 1).astype(int)
+                at = (y * width * factor + z).ravel()
+                s, n = totals.setdefault(r.plane, (np.zeros(height * width * factor * factor), np.zeros(height * width * factor * factor)))
+                s += np.bincount(at, image.ravel(), len(s))
+                n += np.bincount(at, minlength=len(n))
+        for plane, (s, n) in totals.items():
+            at = np.nonzero(n)[0]
+            yield pd.DataFrame({"plane": plane, "y": (at // (width * factor)).astype("int32"), "x": (at % (width * factor)).astype("int32"), "s": s[at], "n": n[at].astype("int64")})
+
+    sums = x.mapInPandas(run, f"plane {dict(frames.dtypes)['plane']}, y int, x int, s double, n long")
+    return sums.groupBy("plane", "y", "x").agg((F.sum("s") / F.sum("n")).alias("v"), F.sum("n").alias("n"))
+
+
 # ---- crop, z alignment, metrics
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("trace_queries", "mask_queries", "movie_queries", "other_queries")
+MODULES = ("trace_queries", "mask_queries", "movie_queries", "other_queries", "view_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
