@@ -277,6 +277,20 @@ def bidiphase(frames: DataFrame, height: int, width: int, reach: int = 10) -> Da
     return sums.groupBy("plane").agg((-F.max_by("lag", F.struct("cc", -F.col("lag")))).alias("phase"))
 
 
+def lines_shifted(frames: DataFrame, phases: DataFrame, height: int, width: int) -> DataFrame:
+    """plane, frame, arr with odd lines moved by their plane's phase (plane, phase); pixels that nothing moves to keep their values."""
+    k = F.col("phase")
+    right = lambda row: F.concat(F.slice(row, F.lit(1), k), F.slice(row, F.lit(1), F.lit(width) - k))
+    left = lambda row: F.concat(F.slice(row, F.lit(1) - k, F.lit(width) + k), F.slice(row, F.lit(width + 1) + k, -k))
+
+    def line(y):
+        row = F.slice("arr", y * width + 1, width)
+        return F.when((y % 2 == 0) | (k == 0), row).when(k > 0, right(row)).otherwise(left(row))
+
+    x = frames.select("plane", "frame", "arr").join(F.broadcast(phases.select("plane", "phase")), "plane")
+    return x.withColumn("arr", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), line))).select("plane", "frame", "arr")
+
+
 # ---- block-wise registration
 
 

@@ -87,16 +87,33 @@ def statistics(regions: DataFrame, settings: Settings) -> DataFrame:
     return rois.roi_stats(regions, dy, dx, settings.detection.soma_crop)
 
 
-def run(frames: DataFrame, height: int, width: int, folder: str, settings: Settings = Settings(), classifier: classify.Classifier | None = None, zstack: list[np.ndarray] | None = None) -> dict[str, DataFrame]:
-    """All tables of a run by name. frames: plane, frame, arr."""
+def run(frames: DataFrame, height: int, width: int, folder: str, settings: Settings = Settings(), classifier: classify.Classifier | None = None, zstack: list[np.ndarray] | None = None, frames2: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of a run by name. frames: plane, frame, arr; frames2: the same of a second channel.
+
+    Shifts are found in the first channel, or in the second with align_by_chan2, and
+    applied to both.
+    """
     spark = frames.sparkSession
     stages = Stages(spark, folder)
     out: dict[str, DataFrame] = {}
+    s = settings.registration
+    if s.do_bidiphase or s.bidiphase:
+        phases = registration.bidiphase(frames, height, width) if not s.bidiphase else frames.select("plane").distinct().withColumn("phase", F.lit(s.bidiphase))
+        frames = registration.lines_shifted(frames, phases, height, width)
+        frames2 = frames2 and registration.lines_shifted(frames2, phases, height, width)
     flag = settings.run.do_registration
     if flag and (flag > 1 or not stages.exists("registered")):
-        done, references = register(frames, height, width, settings)
+        second = bool(frames2 and s.align_by_chan2)
+        done, references = register(frames2 if second else frames, height, width, settings)
         out["references"] = stages.save("references", references)
-        out["registered"] = stages.save("registered", done)
+        done = stages.save("registered2" if second else "registered", done)
+        if frames2:
+            blocks = registration.BlockSettings(tuple(s.block_size)) if s.nonrigid else None
+            moved = registration.apply_offsets(frames if second else frames2, done, height, width, blocks)
+            offsets = done.select("plane", "frame", "yoff", "xoff", "corr")
+            stages.save("registered" if second else "registered2", moved.join(offsets, ["plane", "frame"]))
+            out["registered2"] = stages.read("registered2")
+        out["registered"] = stages.read("registered")
     elif stages.exists("registered"):
         out["registered"] = stages.read("registered")
     else:
@@ -104,7 +121,6 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     moved = out["registered"]
     count = moved.groupBy("plane").count().agg(F.min("count")).first()[0]
     window = min((count // 2) * 2 - 1, 101)
-    s = settings.registration
     out["offsets"] = stages.save("offsets", registration.bad_frames(moved.select("plane", "frame", "yoff", "xoff", "corr"), height, width, s.th_badframes, s.maxregshift, max(1, window)))
     out["ranges"] = registration.crop_ranges(out["offsets"], height, width)
     out["mean_image"] = movie.mean_image(movie.exploded(moved, width))
@@ -142,6 +158,14 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     t = traces.filtered_by_snr(t, e.snr_threshold)
     out["traces"], out["masks"] = t, regions
     out["stats"] = stats.join(traces.snr(t), "roi").join(traces.skew_std(t), "roi")
+    if "registered2" in out:
+        image = movie.mean_image(movie.exploded(out["registered2"], width)).withColumnRenamed("plane", "_p")
+        ring = masks.dilated(regions.select("roi", "y", "x"), height, width, e.inner_neuropil_radius + 3).join(regions.select("roi", "y", "x"), ["roi", "y", "x"], "left_anti")
+        by_plane = lambda m: m.withColumn("_p", F.expr("cast(roi div 1000000 as int)"))
+        inside = masks.normalised(regions).transform(by_plane).join(image, ["_p", "y", "x"]).groupBy("roi").agg(F.greatest(F.sum(F.col("lam") * F.col("v")), F.lit(1e-3)).alias("inside"))
+        outside = ring.transform(by_plane).join(image, ["_p", "y", "x"]).groupBy("roi").agg(F.avg("v").alias("outside"))
+        prob = F.try_divide("inside", F.col("inside") + F.col("outside"))
+        out["redcell"] = inside.join(outside, "roi").select("roi", prob.alias("redprob"), (prob > d.chan2_threshold).alias("redcell"))
     if settings.run.do_deconvolution:
         b = settings.dcnv_preprocess
         flat = traces.preprocess(t, "df", b.baseline, int(b.win_baseline * settings.fs), b.sig_baseline, b.prctile_baseline)

@@ -68,6 +68,17 @@ def test_bidirectional_reference_cases(spark):
         assert got[1].tolist() == want and got[0].tolist() == list(range(1, 8))
 
 
+def test_line_shift_on_arrays_equals_the_pixel_form(spark):
+    from calspark.operators.movie import exploded
+
+    df = spark.createDataFrame([(p, 0, [float(p * 100 + i) for i in range(35)]) for p in range(3)], "plane int, frame long, arr array<double>")
+    phases = spark.createDataFrame([(0, 2), (1, -2), (2, 0)], "plane int, phase int")
+    got = exploded(G.lines_shifted(df, phases, 5, 7), 7).toPandas()
+    for plane, k in ((0, 2), (1, -2), (2, 0)):
+        want = V.bidirectional_shift(exploded(df, 7).where(f"plane = {plane}"), k).toPandas().sort_values(["y", "x"])["v"].tolist()
+        assert got[got["plane"] == plane].sort_values(["y", "x"])["v"].tolist() == want
+
+
 def test_reference_finds_the_common_image():
     base = scene(48, 48, 2)
     r = np.random.default_rng(1)

@@ -106,6 +106,9 @@ def test_stage_chain_finds_planted_regions(spark, tmp_path):
             assert min(abs(m["y"] - a) + abs(m["x"] - b) for m in mine["med"]) <= 5  # noise moves frames by up to two pixels an axis
     spikes = out["spikes"].toPandas()
     assert (spikes["spk"] >= -1e-9).all() and set(spikes["roi"]) == set(stats["roi"])
+    two = pipeline.run(frames.where("plane = 0"), 40, 40, str(tmp_path / "two"), S.overlay(s, {"run": {"do_deconvolution": False}, "registration": {"bidiphase": 1}}), frames2=frames.where("plane = 0"))
+    red = two["redcell"].toPandas()
+    assert two["registered2"].count() == 240 and len(red) == two["stats"].count() and red["redprob"].notna().all()
     again = pipeline.run(frames, 40, 40, str(tmp_path / "run"), S.overlay(s, {"run": {"do_detection": False}}))
     assert again["registered"].count() == 480
 
