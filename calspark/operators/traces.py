@@ -8,6 +8,7 @@ one partition and the shuffle on ``roi`` is shared by consecutive operators.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,15 +127,32 @@ def deconvolve_array(values: np.ndarray, decay: float) -> np.ndarray:
 
 
 def deconvolve(traces: DataFrame, value: str, tau: float = 1.0, fs: float = 10.0) -> DataFrame:
-    """roi, frame, spk. A trace at a time in a vectorised group function; traces are independent."""
+    """roi, frame, spk. Traces are dealt by roi, sorted, and read as a stream; only the trace at a batch's end is held over."""
     decay = math.exp(-1.0 / (tau * fs))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        return pd.DataFrame({"roi": pdf["roi"], "frame": pdf["frame"], "spk": deconvolve_array(pdf["v"].to_numpy(), decay)})
+    def spikes(pdf: pd.DataFrame) -> pd.DataFrame:
+        roi, v = pdf["roi"].to_numpy(), pdf["v"].to_numpy()
+        edges = [0, *(np.flatnonzero(roi[1:] != roi[:-1]) + 1).tolist(), len(roi)]
+        return pd.DataFrame({"roi": roi, "frame": pdf["frame"].to_numpy(), "spk": np.concatenate([deconvolve_array(v[a:b], decay) for a, b in zip(edges, edges[1:])])})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in it:
+            if not len(pdf):
+                continue
+            start = int(np.flatnonzero((pdf["roi"] == pdf["roi"].iloc[-1]).to_numpy())[0])
+            if start or held and held[-1]["roi"].iloc[-1] != pdf["roi"].iloc[0]:
+                done = pd.concat([*held, pdf.iloc[:start]])
+                held = []
+                if len(done):
+                    yield spikes(done)
+            held.append(pdf.iloc[start:])
+        if held:
+            yield spikes(pd.concat(held))
 
     kind = dict(traces.dtypes)["roi"]
-    return traces.select("roi", F.col("frame").cast("long"), F.col(value).cast("double").alias("v")).groupBy("roi").applyInPandas(run, f"roi {kind}, frame long, spk double")
+    dealt = traces.select("roi", F.col("frame").cast("long"), F.col(value).cast("double").alias("v")).repartition("roi").sortWithinPartitions("roi", "frame")
+    return dealt.mapInPandas(run, f"roi {kind}, frame long, spk double")
 
 
 def bin_mean(traces: DataFrame, value: str, size: int) -> DataFrame:

@@ -109,6 +109,19 @@ def test_deconvolution_matches_the_closed_form_and_stays_in_range():
     assert np.isfinite(long).all() and (long >= -1e-12).all() and long[0] == 0
 
 
+def test_deconvolution_streams_over_batches(spark):
+    r = np.random.default_rng(3)
+    lengths = [1, 7, 50, 3, 14, 2]
+    rows = pd.DataFrame([(k, t, float(v)) for k, n in enumerate(lengths) for t, v in enumerate(r.normal(0, 1, n))], columns=["roi", "frame", "v"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = T.deconvolve(spark.createDataFrame(rows.sample(frac=1, random_state=0)), "v").toPandas().sort_values(["roi", "frame"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = np.concatenate([T.deconvolve_array(g["v"].to_numpy(), math.exp(-0.1)) for _, g in rows.groupby("roi")])
+    assert np.allclose(got["spk"], want)
+
+
 def test_deconvolution_finds_planted_spikes():
     g, s = math.exp(-0.1), np.zeros(300)
     s[[30, 100, 180]] = [3, 5, 4]
