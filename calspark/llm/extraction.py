@@ -49,27 +49,31 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article body main section div td blockquote center html".split())
 CLOSES_P = BLOCK - frozenset("html body head".split())
 DROPPED = frozenset("nav aside footer form dialog menu head fieldset".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status note feed".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
 #: Words of class and id that name boilerplate, and those that name the article.
 NEGATIVE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar header comment comments commentary disqus respond responses reply replies discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login search share sharing shares social follow related recommended recommendations recommendation widget widgets toolbar pagination pager paging skip hidden disclaimer toc".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar header comment comments disqus respond responses reply replies discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login search share sharing shares social follow related recommended recommendations recommendation widget widgets toolbar pagination pager paging skip hidden disclaimer toc".split()
 )
+#: Longer names that run words together are known by how they begin.
+NEGATIVE_START = ("advert", "adsby", "adslot", "adbox", "adunit", "sponsor", "comment", "cookie", "sidebar", "newsletter", "navbar", "navmenu", "breadcrumb", "footer", "masthead", "subscri", "usercomment", "usernote")
 POSITIVE = frozenset("article content post entry main body story text blog page hentry prose".split())
 PAIRED = {"li": ("li", {"ul", "ol", "menu", "dir"}), "td": ("td", {"tr", "table"}), "th": ("th", {"tr", "table"}), "tr": ("tr", {"table"}), "dt": ("dd", {"dl"}), "dd": ("dt", {"dl"})}
 
 
+#: Boilerplate; a header, of which an article keeps the headings.
+HARD, SOFT = 2, 1
+
+
 class Node:
     __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, bad: bool, good: bool):
+    def __init__(self, tag: str, parent: Node | None, label: str, bad: int, good: bool):
         self.tag, self.parent, self.label, self.bad, self.good = tag, parent, label, bad, good
         self.score, self.size, self.linked, self.first, self.last, self.heading = 0.0, 0, 0, 0, 0, False
 
 
 def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
-    label, bad, good = tag, tag in DROPPED, tag in ("article", "main")
-    if tag == "header":
-        bad = True
+    label, bad, good = tag, HARD if tag in DROPPED else SOFT if tag == "header" else 0, tag in ("article", "main")
     if attributes and "=" in attributes or "hidden" in attributes:
         found = {}
         for m in ATTRIBUTE.finditer(attributes):
@@ -80,14 +84,16 @@ def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
         if role == "main" or role == "article":
             good = True
         elif role in DROPPED_ROLES:
-            bad = True
-        if words & NEGATIVE:
-            bad = bad or tag not in ("html", "body", "main") and not (words & POSITIVE and words & NEGATIVE <= {"header", "banner", "page", "sidebar", "related"} and tag == "article")
+            bad = HARD
+        against = words & NEGATIVE | {w for w in words if w.startswith(NEGATIVE_START) and w != "commentary"}
+        if against:
+            if tag not in ("html", "body", "main") and not (tag == "article" and words & POSITIVE and against <= {"header", "banner", "sidebar", "related"}):
+                bad = max(bad, SOFT if against == {"header"} else HARD)
         elif words & POSITIVE:
             good = True
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            bad = True
+            bad = HARD
         if found.get("class", "").split():
             label += "." + re.sub(r"\d+", "#", found["class"].split()[0].lower())
     return Node(tag, parent, label, bad, good)
@@ -95,7 +101,7 @@ def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
 
 def parse(html: str) -> tuple[list[Node], list[tuple]]:
     """Nodes in document order and events: (node, text) for text, (node, None) where a block begins or ends."""
-    root = Node("html", None, "", False, False)
+    root = Node("html", None, "", 0, False)
     nodes, events, stack = [root], [], [root]
     at, end, lower = 0, len(html), None
 
@@ -185,7 +191,7 @@ def _dropped(node: Node | None, root: Node) -> bool:
     heading = False
     while node is not None and node is not root:
         heading = heading or node.tag in ("h1", "h2", "h3")
-        if node.bad and not (node.tag == "header" and heading and root.tag != "html"):
+        if node.bad == HARD or node.bad == SOFT and not (heading and root.tag != "html"):
             return True
         node = node.parent
     return False

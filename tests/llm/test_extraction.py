@@ -23,7 +23,8 @@ def test_blog_template():
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<b", "a"), ("<div hidden>x</div><p>y &lt; z &nbsp; w</p>", "y < z w"), ("<p>one<p>two", "one\n\ntwo"),
     ("<script>var a='<p>no</p>'</script><p>yes", "yes"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<nav>n</nav>", ""), ("a<br>b", "a b"), ("<textarea>t</textarea><p>x", "x"), ("<p>&amp;amp; &copy</p>", "&amp; ©"),
     ("<article><h1>H</h1><p>x</article><aside>s</aside>", "H\n\nx"), ('<div class="content"><p>text, text</p><div class="newsletter-box">n</div></div>', "text, text"), ("<p title='>'>q</p>", "q"),
-    ("<SCRIPT>no</SCRIPT><P>Up</P>", "Up"), ("<pre>a\n  b</pre>", "a b"), ("<p>a<!-- unclosed <p>b", "a"), ("<script>never closed <p>x", ""),
+    ("<SCRIPT>no</SCRIPT><P>Up</P>", "Up"), ('<article><div class="entry-header"><h1>T</h1><span>by me</span></div><p>x</p><ins class="adsbygoogle">ad</ins><div class="commentlist"><p>c</p></div></article>', "T\n\nx"),
+    ('<article class="commentary"><p>opinion</p><div role="note">aside</div></article>', "opinion\n\naside"), ('<div role="main"><p>m</p><div role="alert">a</div></div>', "m"), ("<pre>a\n  b</pre>", "a b"), ("<p>a<!-- unclosed <p>b", "a"), ("<script>never closed <p>x", ""),
 ])
 def test_small_pages(page, want):
     assert extraction.extract(page or "", None)[0] == want
