@@ -65,11 +65,16 @@ HARD, SOFT = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading")
+    __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading", "holder", "path_hash", "in_link", "index")
 
     def __init__(self, tag: str, parent: Node | None, label: str, bad: int, good: bool):
         self.tag, self.parent, self.label, self.bad, self.good = tag, parent, label, bad, good
         self.score, self.size, self.linked, self.first, self.last, self.heading = 0.0, 0, 0, 0, 0, False
+        self.index = 0
+        # what every node inherits is kept in it, so that deep pages cost no more than flat ones
+        self.holder = self if tag in CONTAINER or parent is None else parent.holder
+        self.path_hash = hash((parent.path_hash, label)) if parent is not None else 0
+        self.in_link = tag == "a" or parent is not None and parent.in_link
 
 
 def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
@@ -177,7 +182,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
             events.append((stack[-1], None))
         if tag in ("h1", "h2"):
             stack[-1].heading = True
-        node.first = len(events)
+        node.first, node.index = len(events), len(nodes)
         nodes.append(node)
         if not (m[3] or "").rstrip().endswith("/") or tag in BLOCK:
             stack.append(node)
@@ -186,15 +191,22 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
     return nodes, events
 
 
-def _dropped(node: Node | None, root: Node) -> bool:
-    """Is the text of ``node`` boilerplate below ``root``? A heading in an article's own header stays."""
-    heading = False
-    while node is not None and node is not root:
-        heading = heading or node.tag in ("h1", "h2", "h3")
-        if node.bad == HARD or node.bad == SOFT and not (heading and root.tag != "html"):
-            return True
-        node = node.parent
-    return False
+def _shown(nodes: list[Node], root: Node) -> set[int]:
+    """Ids of the nodes from ``root`` down that are no boilerplate. Headings in an article's own header stay."""
+    shown, waiting, inside, page = {id(root)}, set(), {id(root)}, root.tag == "html"
+    for k in range(root.index + 1, len(nodes)):  # what is below a node follows it
+        node = nodes[k]
+        key = id(node.parent)
+        if key not in inside:
+            break
+        inside.add(id(node))
+        if key not in shown and key not in waiting or node.bad == HARD or node.bad == SOFT and page:
+            continue
+        if node.tag not in ("h1", "h2", "h3") and (node.bad == SOFT or key in waiting):
+            waiting.add(id(node))
+        else:
+            shown.add(id(node))
+    return shown
 
 
 def path_of(node: Node) -> str:
@@ -225,54 +237,44 @@ def _promote(node: Node) -> Node:
 
 def score(nodes: list[Node], events: list[tuple]) -> list[Node]:
     """Scores every container; returns the containers of a text, best first."""
-    root = nodes[0]
+    shown = _shown(nodes, nodes[0])
     block: list[str] = []
     owner: Node | None = None
 
     def credit() -> None:
         text = " ".join("".join(block).split())
-        holder = owner
-        while holder is not None and holder.tag not in CONTAINER:
-            holder = holder.parent
-        if text and holder is not None:
+        if text:
+            holder: Node | None = owner.holder
             worth = 1 + text.count(",") + min(len(text) / 100, 10) if len(text) >= 25 else 0.2
             for share in (1.0, 0.5, 1 / 3):
                 if holder is None:
                     break
                 holder.score += worth * share
-                holder = holder.parent
-                while holder is not None and holder.tag not in CONTAINER:
-                    holder = holder.parent
+                holder = holder.parent and holder.parent.holder
 
-    hidden: dict[int, bool] = {}
     for node, text in events:
         if text is None:
             if block:
                 credit()
                 block = []
-            owner = None
             continue
-        key = id(node)
-        if key not in hidden:
-            hidden[key] = _dropped(node, root)
-        if hidden[key]:
+        if id(node) not in shown:
             continue
         if not block:
             owner = node
         block.append(text)
         n = len(text.strip())
-        linked, up = False, node
-        while up is not None:
-            linked = linked or up.tag == "a"
-            up.size += n
-            up.linked += n * linked
-            up = up.parent
+        node.size += n
+        node.linked += n * node.in_link
     if block:
         credit()
-    for node in nodes:
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
         if node.size:
             node.score *= max(0.0, 1 - node.linked / node.size) * (1.25 if node.good else 1.0)
-    seen = [n for n in nodes if n.tag in CONTAINER and n.score > 0 and not _dropped(n, root)]
+    seen = [n for n in nodes if n.tag in CONTAINER and n.score > 0 and id(n) in shown]
     return sorted(seen, key=lambda n: -n.score)
 
 
@@ -287,42 +289,46 @@ def votes(html: str) -> list[tuple[str, int]]:
     return list(out.items())
 
 
-def _text(roots: list[Node], events: list[tuple]) -> str:
+def _text(roots: list[Node], nodes: list[Node], events: list[tuple]) -> str:
     blocks: list[str] = []
     for root in roots:
         parts: list[str] = []
-        hidden: dict[int, bool] = {}
+        shown = _shown(nodes, root)
         for node, text in [*events[root.first : root.last], (root, None)]:
-            if text is None:
-                if parts:
-                    if found := " ".join("".join(parts).split()):
-                        blocks.append(found)
-                    parts = []
-                continue
-            key = id(node)
-            if key not in hidden:
-                hidden[key] = _dropped(node, root)
-            if not hidden[key]:
-                parts.append(text)
+            if text is not None:
+                if id(node) in shown:
+                    parts.append(text)
+            elif parts:
+                if found := " ".join("".join(parts).split()):
+                    blocks.append(found)
+                parts = []
     return "\n\n".join(blocks)
 
 
+def _on_path(nodes: list[Node], winner: str) -> list[Node]:
+    """The outermost containers on a path, in page order."""
+    wanted = 0
+    for label in winner.split(">"):
+        wanted = hash((wanted, label))
+    found, inside, shown = [], set(), _shown(nodes, nodes[0])
+    for node in nodes[1:]:
+        if id(node.parent) in inside:
+            inside.add(id(node))
+        elif node.path_hash == wanted and id(node) in shown and path_of(node) == winner:
+            found.append(node)
+            inside.add(id(node))
+    return found
+
+
 def extract(html: str, winner: str | None) -> tuple[str, str]:
     """(text, path): the page's text by the host's path, or by its own best container."""
     nodes, events = parse(html)
     ranked = score(nodes, events)
     own = _promote(ranked[0]) if ranked else nodes[0]
-    chosen: list[Node] = []
-    for node in nodes[1:]:
-        if winner and node.label and winner.endswith(node.label) and path_of(node) == winner and not _dropped(node, nodes[0]):
-            up = node.parent
-            while up is not None and up not in chosen:
-                up = up.parent
-            if up is None:
-                chosen.append(node)
+    chosen = _on_path(nodes, winner) if winner else []
     if not chosen or 2 * sum(n.size - n.linked for n in chosen) < own.size - own.linked:
         chosen = [own]
-    return _text(chosen, events), path_of(chosen[0])
+    return _text(chosen, nodes, events), path_of(chosen[0])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
