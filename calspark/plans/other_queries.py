@@ -126,7 +126,7 @@ def combine_planes(spark, d):
 
 
 def plane_field_configs(spark, d):
-    return L.plane_configs(5, [[1, 2], [3, 4, 5]], [4], spark)
+    return L.plane_configs(5, [[1, 2], [3, 4, 5]], [4], spark).select("plane", "field", F.size("lines").alias("n_lines"))
 
 
 def f1_match(spark, d):
@@ -209,7 +209,7 @@ ORACLES = {
     "canvas_layout": "with a as (select ceil(sqrt(300 * 420 * count(*)) / 420) c from nation) select n_nationkey plane, 300 as height, 420 as width, cast(floor(n_nationkey / c) * 300 as int) dy, cast(n_nationkey % c * 420 as int) dx from nation, a",
     "mosaic_layout": "with f as (select r_regionkey field, r_regionkey % 2 * 120 dy, cast(r_regionkey // 2 * 90 as int) dx from region), e as (select max(dy + 110) h, max(dx + 80) w, count(*) n from f), a as (select *, ceil(sqrt(h * w * 4) / w) c from e) select z.i * n + field plane, cast(z.i as int) depth, field, cast(dy + floor(z.i / c) * h as int) dy, cast(dx + z.i % c * w as int) dx from f, a, range(4) z(i)",
     "combine_planes": f"with {C.MASKS}, a as (select ceil(sqrt(300 * 420 * count(*)) / 420) c from nation) select cast(roi % 30 as int) plane, roi, cast(y + floor((roi % 30) / c) * 300 as int) y, cast(x + (roi % 30) % c * 420 as int) x, lam from masks, a where roi % 30 in (select n_nationkey from nation)",
-    "plane_field_configs": "select cast(p.i as int) plane, cast(f.i as int) field, case when f.i = 0 then [cast(1 as int), 2] else [cast(3 as int), 4, 5] end lines from range(4) p(i), range(2) f(i)",
+    "plane_field_configs": "select cast(p.i as int) plane, cast(f.i as int) field, cast(case when f.i = 0 then 2 else 3 end as int) n_lines from range(4) p(i), range(2) f(i)",
     "f1_match": f"with {C.TRACES}, {_BINS}, {C.MASKS}, {_MATCH} select a, b, {R('iou')} iou, {R('r')} r from mt",
     "f1_score": f"with {C.TRACES}, {_BINS}, {C.MASKS}, {_MATCH}, s as (select count(distinct mt.a) tp, (select count(*) from na) f, (select count(*) from nb) t from mt) select tp, f - tp fp, t - tp fn, {R('tp / (tp + 0.5 * (f - tp + t - tp))')} f1 from s",
     "natural_sort_files": r"""with p as (select distinct url path, regexp_extract(url, '^(.*/)[^/]*$', 1) folder from pages), k as (select *, array_to_string(list_transform(regexp_extract_all(path, '(\d+|\D+)', 1), lambda z: case when regexp_matches(z, '^\d') then lpad(z, 20, '0') else z end), '') nk from p)

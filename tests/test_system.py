@@ -146,3 +146,20 @@ def test_command_line(capsys, tmp_path):
     assert S.overlay(S.Settings(), S.load(str(tmp_path / "s.json"))).fs == 5
     with pytest.raises(SystemExit):
         main([])
+
+
+def test_package_reaches_the_workers(spark):
+    from pyspark import SparkFiles
+
+    from calspark.session import ship
+
+    ship(spark)
+    ship(spark)
+
+    def where(it):
+        import os
+
+        for pdf in it:
+            yield pd.DataFrame({"there": [os.path.exists(SparkFiles.get("calspark.zip"))]})
+
+    assert spark.range(1).mapInPandas(where, "there boolean").first().there
