@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from calspark.functions.columns import BOUNDARIES, gaussian_taps
 
 PIXEL = ("plane", "y", "x")
+#: Sums of frames that a task holds before it hands them on.
+HELD_IMAGES = 64
 
 
 def exploded(frames: DataFrame, width: int = 8) -> DataFrame:
@@ -135,6 +137,44 @@ def threshold_reduce(pixels: DataFrame, threshold: float) -> DataFrame:
     return pixels.groupBy(*PIXEL).agg(F.sqrt(F.sum(F.when(F.col("v") > threshold, F.col("v") * F.col("v")).otherwise(0.0))).alias("v"))
 
 
+def summed_frames(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, arr: number and pixel-wise mean of the array frames of every key.
+
+    Every task adds up what it has before anything is shuffled, so a key costs one
+    image a task, and pixels never become rows.
+    """
+
+    def add(it):
+        totals: dict = {}
+        for pdf in it:
+            for key, part in pdf.groupby(keys, sort=False):
+                s = np.stack(part["arr"].to_numpy()).astype(float).sum(0)
+                old = totals.get(key)
+                totals[key] = (len(part), s) if old is None else (old[0] + len(part), old[1] + s)
+                if len(totals) >= HELD_IMAGES:
+                    yield rows(totals)
+                    totals = {}
+        if totals:
+            yield rows(totals)
+
+    def rows(totals: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(totals), columns=keys)
+        return out.assign(n=[n for n, _ in totals.values()], arr=[a for _, a in totals.values()])
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].sum())
+        return pdf.iloc[:1][keys].assign(n=n, arr=[np.stack(pdf["arr"].to_numpy()).sum(0) / n])
+
+    kinds = dict(frames.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, arr array<double>"
+    return frames.select(*keys, "arr").mapInPandas(add, schema).groupBy(*keys).applyInPandas(mean, schema)
+
+
+def binned_frames(frames: DataFrame, bins: DataFrame) -> DataFrame:
+    """plane, batch, bin, arr: mean frames of each bin (``bins`` from frame_bins)."""
+    return summed_frames(frames.join(bins, ["plane", "frame"]), ["plane", "batch", "bin"]).drop("n")
+
+
 # ---- space: pooling, box and template filters, maxima, morphology
 
 

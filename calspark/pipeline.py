@@ -51,7 +51,7 @@ def register(frames: DataFrame, height: int, width: int, settings: Settings) ->
     references = registration.reference_images(frames, height, width, s.nimg_init, rigid)
     done = registration.register(frames, references, height, width, rigid, blocks)
     if s.two_step_registration:
-        mean = movie.mean_image(movie.exploded(done, width)).groupBy("plane").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("arr"))
+        mean = movie.summed_frames(done, ["plane"]).drop("n")
         done = registration.register(frames, mean, height, width, rigid, blocks)
         references = mean
     return done, references
@@ -66,9 +66,7 @@ def detect(registered: DataFrame, marked: DataFrame, ranges: DataFrame, height:
     cut = movie.crop_frames(registered.select("plane", "frame", "arr"), width, r["y0"], r["y1"], r["x0"], r["x1"])
     h, w = r["y1"] - r["y0"], r["x1"] - r["x0"]
     sign = -1.0 if settings.detection.inverted_activity else 1.0
-    summed = cut.join(bins, ["plane", "frame"]).select("plane", (F.col("batch") * 1_000_000 + F.col("bin")).alias("frame"), F.posexplode("arr").alias("i", "v"))
-    means = summed.groupBy("plane", "frame", "i").agg((sign * F.avg("v")).alias("v"))
-    binned = means.groupBy("plane", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("arr"))
+    binned = movie.binned_frames(cut, bins).select("plane", (F.col("batch") * 1_000_000 + F.col("bin")).alias("frame"), F.transform("arr", lambda v: sign * v).alias("arr"))
     if settings.detection.denoise:
         binned = movie.pca_denoised(binned, h, w, tuple(settings.detection.block_size), 0.5)
     d = settings.detection
@@ -77,6 +75,11 @@ def detect(registered: DataFrame, marked: DataFrame, ranges: DataFrame, height:
     return found.select("plane", "roi", (F.col("y") + r["y0"]).alias("y"), (F.col("x") + r["x0"]).alias("x"), "lam")
 
 
+def mean_pixels(frames: DataFrame, width: int) -> DataFrame:
+    """plane, y, x, v of the mean frame of every plane."""
+    return movie.exploded(movie.summed_frames(frames, ["plane"]).withColumn("frame", F.lit(0)), width).drop("frame")
+
+
 def keyed(m: DataFrame) -> DataFrame:
     """Masks of all planes as one table: roi becomes plane and number in one."""
     return m.select("plane", (F.col("plane").cast("long") * 1_000_000 + F.col("roi")).alias("roi"), "y", "x", "lam", (F.col("y") * 100_000 + F.col("x")).alias("ord"))
@@ -123,7 +126,7 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     window = min((count // 2) * 2 - 1, 101)
     out["offsets"] = stages.save("offsets", registration.bad_frames(moved.select("plane", "frame", "yoff", "xoff", "corr"), height, width, s.th_badframes, s.maxregshift, max(1, window)))
     out["ranges"] = registration.crop_ranges(out["offsets"], height, width)
-    out["mean_image"] = movie.mean_image(movie.exploded(moved, width))
+    out["mean_image"] = mean_pixels(moved, width)
     if settings.run.do_regmetrics and count >= 1500:
         low_high = movie.low_high_frames(registration.sample_frames(moved.select("plane", "frame", "arr"), 2000), 30, 300)
         out["regmetrics"] = registration.component_shifts(low_high, height, width)
@@ -159,7 +162,7 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     out["traces"], out["masks"] = t, regions
     out["stats"] = stats.join(traces.snr(t), "roi").join(traces.skew_std(t), "roi")
     if "registered2" in out:
-        image = movie.mean_image(movie.exploded(out["registered2"], width)).withColumnRenamed("plane", "_p")
+        image = mean_pixels(out["registered2"], width).withColumnRenamed("plane", "_p")
         ring = masks.dilated(regions.select("roi", "y", "x"), height, width, e.inner_neuropil_radius + 3).join(regions.select("roi", "y", "x"), ["roi", "y", "x"], "left_anti")
         by_plane = lambda m: m.withColumn("_p", F.expr("cast(roi div 1000000 as int)"))
         inside = masks.normalised(regions).transform(by_plane).join(image, ["_p", "y", "x"]).groupBy("roi").agg(F.greatest(F.sum(F.col("lam") * F.col("v")), F.lit(1e-3)).alias("inside"))

@@ -53,6 +53,18 @@ def movie_mean_image(spark, d):
     return _r(V.mean_image(C.pixels(spark, d)), "v")
 
 
+def movie_bin_blocks(spark, d):
+    """The same bins on array frames: sums by task, no pixel rows."""
+    frames = C.movie(spark, d).select("plane", "frame", (F.element_at("arr", 1) > 0.05 * (F.col("plane") % 3 - 1)).alias("bad"))
+    x = V.binned_frames(C.movie(spark, d), V.frame_bins(frames, 4, batch=20, bins=30))
+    pixels = C.exploded(x.withColumn("frame", F.col("batch") * 1000 + F.col("bin")))
+    return _r(pixels.select("plane", F.expr("frame div 1000").alias("batch"), (F.col("frame") % 1000).alias("bin"), "y", "x", "v"), "v")
+
+
+def movie_mean_image_blocks(spark, d):
+    return _r(C.exploded(V.summed_frames(C.movie(spark, d), ["plane"]).withColumn("frame", F.lit(0))).drop("frame"), "v")
+
+
 def movie_max_projection(spark, d):
     return V.max_projection(C.pixels(spark, d))
 
@@ -275,7 +287,7 @@ def extract_traces_blocks(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    movie_demux_planes, movie_pingpong_planes, movie_crop, movie_narrow_int16, movie_bin, movie_bin_badframes, movie_mean_image, movie_max_projection, movie_highpass_tumbling, movie_highpass_gaussian, movie_noise_std,
+    movie_demux_planes, movie_pingpong_planes, movie_crop, movie_narrow_int16, movie_bin, movie_bin_badframes, movie_bin_blocks, movie_mean_image, movie_mean_image_blocks, movie_max_projection, movie_highpass_tumbling, movie_highpass_gaussian, movie_noise_std,
     movie_downsample2, movie_box_subtract, movie_square_filter, movie_threshold_reduce, movie_local_maxima, movie_scale_mode, movie_morph_open, correlation_map, shift_roll, shift_stored_offsets, shift_bidirectional,
     reference_seed, reference_refine, phase_corr_rigid, phase_corr_masked, bidiphase_estimate, block_grid, block_assign, kernel_smooth, kriging_upsample, nonrigid_shift, nonrigid_warp, zstack_argmax, zstack_pivot, zstack_correlate,
     crop_bad_frames, crop_range, pca_low_high, pc_shift_metrics, pca_denoise_blocks, bleedthrough_regress, extract_traces, extract_neuropil, extract_traces_blocks,
@@ -374,4 +386,6 @@ cc as (select plane, l.i - 3 lag, sum(re * cos(2 * pi() * w * (l.i - 3) / 8) - i
     "extract_traces": f"with {C.TILES}, {C.PIXELS}, k as (select *, count(*) over (partition by y, x) n from tiles), m as (select roi, y, x, lam / sum(lam) over (partition by roi) lam from k where n = 1) select plane, roi, frame, {R('sum(v * lam)')} f from pixels join m using (y, x) group by plane, roi, frame",
     "extract_neuropil": f"with {C.TILES}, {C.PIXELS}, {_DIL.format(a='tiles', b='d1', h=7)}, ring as (select * from d1 where (roi, y, x) not in (select (roi, y, x) from tiles)) select plane, roi, frame, {R('avg(v)')} fneu from pixels join ring using (y, x) group by plane, roi, frame",
 }
+ORACLES["movie_bin_blocks"] = ORACLES["movie_bin_badframes"]
+ORACLES["movie_mean_image_blocks"] = ORACLES["movie_mean_image"]
 ORACLES["extract_traces_blocks"] = f"select * from ({ORACLES['extract_traces']}) join ({ORACLES['extract_neuropil']}) using (plane, roi, frame)"
