@@ -27,6 +27,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,8 +43,24 @@ TAU = 4
 SEGMENTS = 5
 SHINGLE_WORDS = 4
 SEED = 42
-#: Shingles hashed at a time within one text: bounds memory for very long texts.
-BLOCK = 1 << 16
+#: Bytes of a text split at a time and hashes counted at a time: bound memory for very long texts.
+PIECE, BLOCK = 1 << 22, 1 << 16
+SPACE = re.compile(rb"[ \t-\r]")
+
+
+def _tokens(text: str, words: int) -> Iterator[list[bytes]]:
+    """The words of a text in pieces of about PIECE bytes, each led by the last words - 1 of the piece before."""
+    data = text.encode("utf-8").lower()  # bytes: ASCII letters and white space only
+    held: list[bytes] = []
+    at = 0
+    while at < len(data):
+        stop = at + PIECE
+        gap = SPACE.search(data, stop) if stop < len(data) else None
+        stop = gap.start() if gap else len(data)
+        held = held[-(words - 1) :] + data[at:stop].split() if words > 1 else data[at:stop].split()
+        if held:
+            yield held
+        at = stop
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -51,20 +68,21 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    tokens = (text or "").encode("utf-8").lower().split()  # bytes: ASCII letters and white space only
-    if not tokens:
-        return 0
-    if len(tokens) <= words:
-        return digest(b" ".join(tokens), SEED)
-    total, ones = len(tokens) - words + 1, np.zeros(64, np.int64)
-    for at in range(0, total, BLOCK):
-        part = tokens[at : at + BLOCK + words - 1]
+    total, ones, few = 0, np.zeros(64, np.int64), []
+    for part in _tokens(text or "", words):
+        few = part
+        if len(part) < words:
+            continue
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.concatenate(([0], ends[:-1])).tolist()
         ends = (ends[words - 1 :] - 1).tolist()
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for at in range(0, len(hashes), BLOCK):
+            ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(hashes)
+    if not total:
+        return digest(b" ".join(few), SEED) if few else 0
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 

@@ -55,6 +55,14 @@ def test_against_all_pairs(spark):
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == brute(rows)
 
 
+def test_pieces_of_a_long_text_count_as_one(monkeypatch):
+    texts = [t for _, t in corpus(60)] + ["x" * 500 + " a b c d", " " * 300 + "a b", "a b c", ""]
+    whole = [simhash.fingerprint(t) for t in texts]
+    for size in (1, 7, 64, 333):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        assert [simhash.fingerprint(t) for t in texts] == whole
+
+
 def test_index_loses_no_pair_within_tau():
     r = random.Random(3)
     masks = simhash._masks()
