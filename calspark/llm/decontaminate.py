@@ -39,6 +39,8 @@ RARE_LEAST, RARE_SHARE = 20, 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK_BYTES = 16 << 20
+#: Up to this many leaking texts are taken out by a broadcast of their keys, more by a shuffle of all texts.
+BROADCAST_KEYS = 1_000_000
 #: Windows aligned at a time.
 ALIGN = 256
 
@@ -188,7 +190,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """The rows of ``docs`` whose text leaks no item."""
-    found = leaks(docs, benchmark, least).select("text_key").distinct()
+    found = materialize(leaks(docs, benchmark, least).select("text_key").distinct(), "leaking-texts")
+    found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
     keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
     return keyed.join(found, F.col("_text_key") == F.col("text_key"), "left_anti").select(*docs.columns)
 
