@@ -53,6 +53,8 @@ STEMS = (4, 5, 6, 7)
 SHINGLE_WORDS, MIN_HASHES = 5, 3
 STRENGTH = (2.0, 1000.0)
 BROADCAST_BYTES = 32 << 20
+#: Rows scored at a time: bounds a worker's memory.
+ROWS = 500
 
 WORD = re.compile(r"[^\W\d_]+")
 PLAIN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*[.,;:!?)\"'»”]*")
@@ -155,9 +157,8 @@ class Model:
         bad = np.full(len(texts), -30.0)
         if self.toxic:
             heads = heads_of(self.lexicon)
-            for at in range(0, len(texts), 500):
-                part = [lexicon_counts(t, self.lexicon, heads) for t in texts[at : at + 500]]
-                bad[at : at + len(part)] = self.toxic.logits(densities(part, len(self.lexicon)))
+            found = [lexicon_counts(t, self.lexicon, heads) for t in texts]
+            bad = self.toxic.logits(densities(found, len(self.lexicon))) if texts else bad
         return good, bad
 
 
@@ -244,9 +245,11 @@ def _scorer(model: Model):
     """The last column is the text, which is not handed back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good, bad = model.score([t.as_py() or "" for t in batch.columns[-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(good), pa.array(bad)], [*batch.schema.names[:-1], "_good", "_bad"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                good, bad = model.score([t.as_py() or "" for t in batch.columns[-1]])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(good), pa.array(bad)], [*batch.schema.names[:-1], "_good", "_bad"])
 
     return run
 
