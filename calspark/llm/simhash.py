@@ -21,7 +21,7 @@ bucket of mutually close copies therefore gives a row a member, not all pairs.
 Defined cases. Null or blank text: fingerprint zero, linked like any other.
 Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows
 stay as they are and share a component. Null ids take part but never name a
-component unless nothing else does. Extra columns are ignored. An empty table
+component unless nothing else does; of documents without one, one of a group stays. Extra columns are ignored. An empty table
 gives an empty result.
 """
 
@@ -87,14 +87,19 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column is the text; its fingerprint takes its place."""
     for batch in batches:
-        values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        values = np.fromiter((fingerprint(t.as_py()) for t in batch.columns[-1]), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+
+
+def text_key(docs: DataFrame):
+    return F.xxhash64(docs["text"].cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, key, fp) of every row; fp is the fingerprint's bits as a signed long, key a hash of the text."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs).alias("key"), docs["text"].cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def _ring() -> list[tuple[int, int]]:
@@ -174,20 +179,31 @@ def components(fps: DataFrame) -> DataFrame:
     return both.unionByName(second.join(first.select("node"), "node", "left_anti")).select(F.col("node").alias("fp"), "label")
 
 
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, key, fp) of every row, (fp, label) of every fingerprint), both written."""
+    fps = materialize(fingerprints(docs), "simhash")
+    nodes = fps.select("fp").distinct().join(components(fps), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return fps, materialize(nodes, "simhash-nodes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
-    fps = materialize(fingerprints(docs), "simhash")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    group = materialize(least.join(components(fps), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "simhash-nodes")
-    names = group.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = group.join(names, "label").select("fp", "component_id")
+    fps, nodes = grouped(docs)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(nodes, "fp")
+    names = least.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = nodes.join(names, "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id names their group: one document of each group stays, repeated rows of it once."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group: the one of smallest doc_id (rows without one come last), repeated rows of it once."""
+    fps, nodes = grouped(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(nodes, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.id").alias("_kept_id"), F.col("first.key").alias("_kept_key"))
+    keyed = docs.withColumn("_key", text_key(docs))
+    rows = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (keyed["_key"] == kept["_kept_key"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

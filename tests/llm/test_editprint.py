@@ -82,6 +82,19 @@ def test_query_against_brute_force(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_chunks_of_a_stream_make_no_difference(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(8)
+    rows = [(b, p, n, prose(r, r.choice([0, 3, 60]))) for n, (b, p) in enumerate([(0, False)] * 9 + [(0, True), (2, False), (2, True)] + [(5, False)] * 4 + [(5, True)] * 2)]
+    batches = lambda: iter([pa.RecordBatch.from_pylist([dict(zip(("bucket", "peek", "doc_id", "text"), x)) for x in rows[a : a + 4]]) for a in range(0, len(rows), 4)])
+    results = []
+    for size in (1, 40, 500, 10**9):
+        monkeypatch.setattr(editprint, "CHUNK_CHARS", size)
+        results.append([x for b in editprint._stream(batches()) for x in b.to_pylist()])
+    assert len(results[0]) == 14 and all(x == results[0] for x in results)
+
+
 def test_one_row_and_none(spark):
     x = editprint.edited_fingerprints(spark.createDataFrame([(9, "abcdefgh")], "doc_id long, text string")).first()
     assert x.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and x.near_next == 1.0

@@ -87,5 +87,5 @@ def test_empty(spark):
 
 def test_keep_one_of_each_group(spark):
     t = " ".join(map(str, range(50)))
-    docs = spark.createDataFrame([(3, t, 1), (1, t, 2), (1, t, 2), (9, "other words entirely here now", 3)], "doc_id long, text string, n int")
-    assert sorted(r.doc_id for r in simhash.keep_representatives(docs).collect()) == [1, 9]
+    docs = spark.createDataFrame([(3, t, 1), (1, t, 2), (1, t, 2), (9, "other words entirely here now", 3), (None, t, 4), (None, "no id but words of its own", 5), (None, "no id but words of its own", 5)], "doc_id long, text string, n int")
+    assert sorted((r.doc_id or -1, r.n) for r in simhash.keep_representatives(docs).collect()) == [(-1, 5), (1, 2), (9, 3)]
