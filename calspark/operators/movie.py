@@ -82,8 +82,13 @@ def frame_bins(frames: DataFrame, size: int, batch: int = 500, bins: int = 5000)
     x = x.withColumn("there", there).withColumn("kept", kept)
     # linspace(0, there - 1, kept) truncated holds batch b
     step = F.when(F.col("kept") > 1, (F.col("there") - 1) / (F.col("kept") - 1)).otherwise(F.lit(0.0))
-    chosen = F.exists(F.sequence(F.lit(0).cast("long"), F.col("kept") - 1), lambda k: F.floor(k * step) == F.col("batch"))
-    x = x.where(chosen).withColumn("share", F.avg((~F.col("bad")).cast("double")).over(Window.partitionBy("plane", "batch")))
+    near = F.when(step > 0, F.floor(F.col("batch") / step)).otherwise(F.lit(0).cast("long"))
+    hits = [(k >= 0) & (k < F.col("kept")) & (F.floor(k * step) == F.col("batch")) for k in (near - 1, near, near + 1)]  # steps are one at least
+    inner = hits[0] | hits[1] | hits[2]
+    last = (F.col("kept") > 1) & (F.col("batch") == F.col("there") - 1)
+    # the last of several is the last batch whatever the step rounds to, and no other batch takes its place
+    short = (F.col("kept") > 1) & (F.floor((F.col("kept") - 1) * step) == F.col("batch")) & (F.floor((F.col("kept") - 2) * step) != F.col("batch"))
+    x = x.where(last | inner & ~short).withColumn("share", F.avg((~F.col("bad")).cast("double")).over(Window.partitionBy("plane", "batch")))
     x = x.where((F.col("share") <= 0.5) | ~F.col("bad"))
     o = Window.partitionBy("plane", "batch").orderBy("frame")
     x = x.withColumn("k", F.row_number().over(o) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("plane", "batch")))

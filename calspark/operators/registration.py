@@ -161,7 +161,9 @@ def sample_frames(frames: DataFrame, n: int) -> DataFrame:
     total = x.groupBy("plane").agg(F.count(F.lit(1)).alias("total"))
     count = F.least(F.col("total"), F.lit(n))
     step = F.when(count > 1, (F.col("total") - 1) / (count - 1)).otherwise(F.lit(0.0))
-    wanted = total.select("plane", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"), step.alias("step")).select("plane", F.floor(F.col("k") * F.col("step")).cast("int").alias("t")).distinct()
+    wanted = total.select("plane", "total", count.alias("count"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"), step.alias("step"))
+    at = F.when((F.col("count") > 1) & (F.col("k") == F.col("count") - 1), F.col("total") - 1).otherwise(F.floor(F.col("k") * F.col("step")))
+    wanted = wanted.select("plane", at.cast("int").alias("t")).distinct()
     return x.join(wanted, ["plane", "t"], "left_semi").drop("t")
 
 

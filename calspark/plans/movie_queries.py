@@ -311,7 +311,7 @@ def _binned(bad: str) -> str:
 f1 as (select *, row_number() over (partition by plane order by frame) - 1 t, count(*) over (partition by plane) n, count(*) filter (not bad) over (partition by plane) good from f0),
 f2 as (select *, greatest(least(good, 20), 1) size from f1), f3 as (select *, t // size batch, cast(ceil(n / size) as bigint) there from f2),
 f4 as (select *, least(greatest(30 // greatest(size // 4, 1), 1), there) kept from f3),
-f5 as (select * from f4 where batch in (select unnest(list_transform(range(0, kept), lambda k: cast(floor(case when kept > 1 then k * ((there - 1) / (kept - 1)) else 0 end) as bigint))))),
+f5 as (select * from f4 where batch in (select unnest(list_transform(range(0, kept), lambda k: case when kept > 1 and k = kept - 1 then there - 1 else cast(floor(case when kept > 1 then k * ((there - 1) / (kept - 1)) else 0 end) as bigint) end)))),
 f6 as (select *, avg(case when bad then 0 else 1 end) over (partition by plane, batch) share from f5),
 f7 as (select plane, frame, batch, row_number() over (partition by plane, batch order by frame) - 1 k, count(*) over (partition by plane, batch) m from f6 where share <= 0.5 or not bad),
 f8 as (select plane, frame, batch, case when m > 4 then k // 4 else 0 end bin from f7 where m <= 4 or k // 4 < m // 4)

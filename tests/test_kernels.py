@@ -173,6 +173,22 @@ def test_binning_keeps_good_frames_only(spark):
     assert V.frame_bins(frames.withColumn("bad", frames.plane > 0), 1).count() == 1500
 
 
+def test_evenly_spaced_batches_are_those_of_linspace(spark):
+    frames = spark.range(3000).selectExpr("0 plane", "id frame", "false bad")
+    for size, batch, bins in ((5, 100, 200), (5, 100, 330), (1, 7, 100), (10, 500, 1), (3, 100, 10_000)):
+        there = -(-3000 // batch)
+        kept = min(max(bins // max(batch // size, 1), 1), there)
+        want = set(np.linspace(0, there - 1, kept).astype(int).tolist())
+        assert {r.batch for r in V.frame_bins(frames, size, batch, bins).select("batch").distinct().collect()} == want
+
+
+def test_sampled_frames_are_those_of_linspace(spark):
+    frames = spark.range(1000).selectExpr("cast(id div 429 as int) plane", "id frame")
+    for n in (1, 14, 400, 2000):
+        got = {(r.plane, r.frame) for r in G.sample_frames(frames, n).collect()}
+        assert got == {(p, first + int(k)) for p, first, total in ((0, 0, 429), (1, 429, 429), (2, 858, 142)) for k in np.linspace(0, total - 1, min(n, total)).astype(int)}
+
+
 def test_denoising_keeps_a_low_rank_movie(spark):
     r = np.random.default_rng(0)
     movie = np.outer(r.normal(size=30), r.normal(size=64)) + np.outer(r.normal(size=30), r.normal(size=64))
