@@ -28,6 +28,22 @@ def test_rigid_shift_is_recovered(dy, dx):
     assert np.array_equal(G.rolled(np.roll(ref, (dy, dx), (0, 1))[None], y, x)[0], ref)
 
 
+def test_blobs_and_arrays_register_alike(spark):
+    ref = np.round(scene(48, 48, 4))
+    moved = [np.roll(ref, (k % 3 - 1, k % 5 - 2), (0, 1)) for k in range(20)]
+    arrays = spark.createDataFrame([(0, k, m.ravel().tolist()) for k, m in enumerate(moved)], "plane int, frame long, arr array<double>")
+    blobs = spark.createDataFrame([(0, k, bytearray(m.astype("<i2").tobytes())) for k, m in enumerate(moved)], "plane int, frame long, pix binary")
+    reference = spark.createDataFrame([(0, ref.ravel().tolist())], "plane int, arr array<double>")
+    rigid, blocks = G.RigidSettings(max_shift=0.1), G.BlockSettings(block=(24, 24), max_shift=2)
+    a = G.register(arrays, reference, 48, 48, rigid, blocks).toPandas().sort_values("frame")
+    b = G.register(blobs, reference, 48, 48, rigid, blocks).toPandas().sort_values("frame")
+    assert a["yoff"].tolist() == b["yoff"].tolist() == [k % 3 - 1 for k in range(20)] and a["xoff"].tolist() == b["xoff"].tolist()
+    got = np.stack([np.frombuffer(p, "<i2") for p in b["pix"]])
+    assert (np.abs(got - np.stack(a["arr"])) <= 1).mean() > 0.98 and np.corrcoef(got.ravel(), np.tile(ref.ravel(), 20))[0, 1] > 0.99
+    again = G.apply_offsets(blobs, G.register(blobs, reference, 48, 48, rigid, blocks), 48, 48, blocks).toPandas().sort_values("frame")
+    assert np.array_equal(np.stack([np.frombuffer(p, "<i2") for p in again["pix"]]), got)
+
+
 def test_blocks_recover_local_motion():
     ref = scene(96, 96, 1)
     y, x = np.mgrid[:96, :96]
