@@ -200,10 +200,12 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     fps, nodes = grouped(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
     first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(nodes, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    kept = first.select(F.col("first.id").alias("_kept_id"), F.col("first.key").alias("_kept_key"))
-    keyed = docs.withColumn("_key", text_key(docs))
-    rows = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (keyed["_key"] == kept["_kept_key"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    # one set of join keys for the choice of documents and of repeated rows: texts are shuffled once
+    keys = ["_none", "_id", "_key"]
+    kept = first.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.key").alias("_key"))
+    number = docs["doc_id"].cast("long")
+    keyed = docs.withColumns({"_none": number.isNull(), "_id": F.coalesce(number, F.lit(0)), "_key": text_key(docs)})
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
