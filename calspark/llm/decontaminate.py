@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Every run of SEED_WORDS words of a benchmark item (or the whole item if shorter) is
    a seed. The texts are scanned for seeds; hits on nearby diagonals give a window of
    the text as long as the item and PAD words on either side.
-2. A seed is rare if at most max(RARE_LEAST, RARE_SHARE of the windows' documents) hit
-   it. Windows that only one common seed supports are dropped before alignment;
-   windows of several seeds stay, so a passage that leaked into a third of the corpus
-   is not lost because all its seeds became common.
+2. Every window is aligned, however common its seeds are. Windows of the same item and
+   words are aligned once and the score is joined back, so a passage repeated in many
+   documents costs one alignment.
 3. Windows are aligned with their items by words (local alignment, linear gaps). The
    score is divided by that of a perfect copy; at SCORE or more the document leaks.
 
@@ -35,7 +34,6 @@ from calspark.llm.storage import documents, materialize
 
 SEED_WORDS = 5
 PAD = 12
-RARE_LEAST, RARE_SHARE = 20, 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK_BYTES = 16 << 20
@@ -136,13 +134,9 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [words_of(t) for t in shared.value]
         for batch in batches:
-            pairs = [(items[i.as_py()], (w.as_py() or "").split(" ")) for i, w in zip(batch.column(2), batch.column(4))]
-            found = align(pairs)
-            starts = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([s + e for s, (_, e) in zip(starts, found)], pa.int64()), pa.array([round(s, 6) for s, _ in found], pa.float64()), batch.column(5)],
-                ["doc_id", "text_key", "item", "end_word", "score", "seeds"],
-            )
+            found = align([(items[i.as_py()], (w.as_py() or "").split(" ")) for i, w in zip(*batch.columns)])
+            ends, scores = pa.array([e for _, e in found], pa.int64()), pa.array([round(s, 6) for s, _ in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ends, scores], ["item", "window", "end", "score"])
 
     return run
 
@@ -168,13 +162,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFr
         shared = spark.sparkContext.broadcast(texts)
         hits = rows.mapInArrow(_find(shared), "doc_id long, text_key long, item int, start long, window string, seeds array<string>")
         hits = materialize(hits, "leak-windows")
-        seen = hits.select("text_key", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-        limit = max(RARE_LEAST, RARE_SHARE * hits.count())
-        common = [r["seed"] for r in seen.where(F.col("df") > limit).select("seed").collect()]  # seeds of one block: bounded
-        if common:
-            marked = F.array(*[F.lit(g) for g in sorted(common)])
-            hits = hits.where((F.size("seeds") > 1) | (F.size(F.array_except("seeds", marked)) > 0))
-        scored = hits.mapInArrow(_score(shared), "doc_id long, text_key long, item int, end_word long, score double, seeds array<string>").where(F.col("score") >= least)
+        pairs = hits.select("item", "window").distinct()
+        scored = pairs.mapInArrow(_score(shared), "item int, window string, end long, score double").where(F.col("score") >= least)
+        scored = hits.join(scored, ["item", "window"]).withColumn("end_word", F.col("start") + F.col("end"))
         best = scored.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"), F.size("seeds").alias("n_seeds"))).alias("b"))
         names = spark.createDataFrame(list(enumerate(texts)), "item int, item_text string")
         named = best.join(F.broadcast(names), "item").join(F.broadcast(ids) if len(texts) < 100_000 else ids, "item_text")

@@ -76,6 +76,16 @@ def test_a_passage_in_a_third_of_all_documents_is_not_lost(spark):
     assert {x.doc_id for x in D.contaminated(docs, bench).collect()} == set(range(0, 300, 3))
 
 
+def test_copies_with_one_seed_are_found_however_many_there_are(spark):
+    r = random.Random(4)
+    vocab = vocabulary(r)
+    short, item = r.sample(vocab[:3000], 4), r.sample(vocab[:3000], 14)
+    edited = [w if 3 <= i < 8 or i % 3 else "edited" for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(d, " ".join(r.choices(vocab, k=30) + (short if d % 2 else edited) + r.choices(vocab, k=30))) for d in range(120)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(item))], "item_id int, text string")
+    assert {(x.doc_id, x.item_id) for x in D.contaminated(docs, bench).collect()} == {(d, 1 if d % 2 else 2) for d in range(120)}
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id int, text string")
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0 and D.keep_clean(docs, bench.limit(0)).count() == 1
