@@ -1,11 +1,13 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. Every run of SEED_WORDS words of a benchmark item (or the whole item if shorter) is
-   a seed. The texts are scanned for seeds; hits on nearby diagonals give a window of
-   the text as long as the item and PAD words on either side.
-2. Every window is aligned, however common its seeds are. Windows of the same item and
-   words are aligned once and the score is joined back, so a passage repeated in many
-   documents costs one alignment.
+"""Benchmark decontamination: rare word seeds, then Smith-Waterman alignment.
+
+1. An alignment of SCORE or more matches at least ``need`` of an item's words. So of the
+   rarest (words - need + k) places of the item it matches k or more, within a bounded
+   stretch of the text. These places' words are the item's seeds; every stretch of a
+   text with k of them gives a window that holds any such alignment whole. Rarity (by
+   the benchmark's items) and k only order the work: no alignment is missed.
+2. Windows that share too few words with their item to reach SCORE are dropped by that
+   bound. Windows of the same item and words are aligned once and the score is joined
+   back, so a passage repeated in many documents costs one alignment.
 3. Windows are aligned with their items by words (local alignment, linear gaps). The
    score is divided by that of a perfect copy; at SCORE or more the document leaks.
 
@@ -22,7 +24,9 @@ tables give an empty result.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +36,17 @@ from pyspark.sql import functions as F
 
 from calspark.llm.storage import documents, materialize
 
+#: Runs of words counted in n_seeds.
 SEED_WORDS = 5
-PAD = 12
+#: A stretch needs a seed for every SEED_EVERY words of the item.
+SEED_EVERY = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 BLOCK_BYTES = 16 << 20
 #: Up to this many leaking texts are taken out by a broadcast of their keys, more by a shuffle of all texts.
 BROADCAST_KEYS = 1_000_000
-#: Windows aligned at a time.
+#: Texts scanned and windows aligned at a time.
+SCAN = 256
 ALIGN = 256
 
 WORD = re.compile(r"[^\W_]+")
@@ -49,36 +56,79 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def seeds_of(items: list[list[str]]) -> dict[str, list[tuple[int, int]]]:
-    """Seed -> (item, position) of each place."""
-    out: dict[str, list[tuple[int, int]]] = {}
-    for n, words in enumerate(items):
-        size = min(SEED_WORDS, len(words))
-        for i in range(len(words) - size + 1) if size else ():
-            out.setdefault(" ".join(words[i : i + size]), []).append((n, i))
-    return out
-
-
-def windows(text: str | None, items: list[list[str]], seeds: dict[str, list[tuple[int, int]]], firsts: frozenset[str], sizes: list[int]) -> list[tuple[int, int, str, list[str]]]:
-    """(item, first word, window, seeds hit) of a text."""
-    words = words_of(text)
-    hits: dict[int, list[tuple[int, str]]] = {}
-    for i in [i for i, w in enumerate(words) if w in firsts]:
-        for size in sizes:
-            gram = " ".join(words[i : i + size])
-            for item, at in seeds.get(gram, ()):
-                hits.setdefault(item, []).append((i - at, gram))
-    out = []
-    for item, found in hits.items():
-        found.sort()
-        start = 0
-        for k in range(1, len(found) + 1):
-            if k == len(found) or found[k][0] - found[start][0] > PAD:
-                low = max(0, found[start][0] - PAD)
-                high = found[k - 1][0] + len(items[item]) + PAD
-                out.append((item, low, " ".join(words[low:high]), sorted({g for _, g in found[start:k]})))
-                start = k
-    return out
+def grams_of(words: list[str]) -> set[str]:
+    """Every run of SEED_WORDS words, or all words if there are fewer."""
+    size = min(SEED_WORDS, len(words))
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
+
+
+class Seeds:
+    """The seeds of a block of items, for alignments that score ``least`` or more."""
+
+    def __init__(self, items: list[list[str]], least: float):
+        spread = Counter(w for words in items for w in set(words))
+        self.items = items
+        self.counts = [Counter(words) for words in items]
+        size = [len(words) for words in items]
+        # score = (MATCH * matches - other steps) / (MATCH * size), rounded to 6 digits
+        self.need = [min(n, max(1, math.ceil((least - 1e-6) * n))) for n in size]
+        self.k = np.array([max(1, min(need, n // SEED_EVERY)) for need, n in zip(self.need, size)], np.int64)
+        # matches + other steps, where other steps <= MATCH * (matches - least * size) and matches <= size
+        self.span = np.array([max(1, math.ceil(n * (1 + MATCH * (1 - max(0.0, least - 1e-6))))) for n in size], np.int64)
+        places: dict[str, list[int]] = {}
+        for n, words in enumerate(items):
+            ranked = sorted(range(size[n]), key=lambda i: (spread[words[i]], -len(words[i]), words[i]))
+            for w in {words[i] for i in ranked[: size[n] - self.need[n] + int(self.k[n])]}:
+                places.setdefault(w, []).append(n)
+        self.codes = {w: c for c, w in enumerate(places)}
+        self.first = np.cumsum([0] + [len(p) for p in places.values()])
+        self.posts = np.array([n for p in places.values() for n in p], np.int64)
+
+    def windows(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int, list[str]]]:
+        """(text, item, first word, window) of every stretch that may hold an alignment. Windows are at most two spans long."""
+        get, at, codes, starts, gap = self.codes.get, [], [], [], int(self.span.max(initial=1)) + 1
+        total = 0
+        for words in texts:
+            starts.append(total)
+            for i, w in enumerate(words):
+                if (c := get(w)) is not None:
+                    at.append(total + i)
+                    codes.append(c)
+            total += len(words) + gap
+        if not at:
+            return
+        code = np.array(codes, np.int64)
+        many = self.first[code + 1] - self.first[code]
+        ends = np.cumsum(many)
+        item = self.posts[np.repeat(self.first[code] - ends + many, many) + np.arange(ends[-1])]
+        place = np.repeat(np.array(at, np.int64), many)
+        order = np.argsort(item * total + place)
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + self.k[item] - 1
+        inside = last < len(item)
+        later = np.minimum(last, len(item) - 1)
+        hit = np.flatnonzero(inside & (item[later] == item) & (place[later] - place < self.span[item]))
+        if not len(hit):
+            return
+        n, low, high = item[hit], place[later[hit]] - self.span[item[hit]] + 1, place[hit] + self.span[item[hit]]
+        text = np.searchsorted(np.array(starts), place[hit], "right") - 1
+        fresh = np.ones(len(hit), bool)
+        fresh[1:] = (n[1:] != n[:-1]) | (text[1:] != text[:-1]) | (low[1:] > high[:-1])
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(hit)) - 1
+        for t, k, lo, hi in zip(text[head].tolist(), n[head].tolist(), low[head].tolist(), high[tail].tolist()):
+            words, span, counts, need = texts[t], int(self.span[k]), self.counts[k], self.need[k]
+            lo, hi = max(0, lo - starts[t]), min(len(words), hi - starts[t])
+            for start in range(lo, max(lo + 1, hi - span), span):  # every stretch of one span lies in one of them
+                window = words[start : min(hi, start + 2 * span)]
+                if self._shared(window, counts) >= need:
+                    yield t, k, start, window
+
+    @staticmethod
+    def _shared(window: list[str], counts: Counter) -> int:
+        """Words in common, each as often as it is in both: no alignment has more matches."""
+        mine = Counter([w for w in window if w in counts])
+        return sum(min(c, counts[w]) for w, c in mine.items())
 
 
 def align(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[float, int]]:
@@ -113,30 +163,32 @@ def align(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[float, int]]:
     return out
 
 
-def _find(shared):
+def _find(shared, least):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [words_of(t) for t in shared.value]
-        seeds = seeds_of(items)
-        firsts, sizes = frozenset(g.split(" ", 1)[0] for g in seeds), sorted({g.count(" ") + 1 for g in seeds})
+        seeds = Seeds([words_of(t) for t in shared.value], least)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, key, text in zip(*batch.columns):
-                for item, start, window, grams in windows(text.as_py(), items, seeds, firsts, sizes):
-                    for column, value in zip(out, (doc.as_py(), key.as_py(), item, start, window, grams)):
+            docs, keys = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, SCAN):
+                out: list[list] = [[], [], [], [], []]
+                texts = [words_of(t) for t in batch.column(2).slice(at, SCAN).to_pylist()]
+                for row, item, start, window in seeds.windows(texts):
+                    for column, value in zip(out, (docs[at + row].as_py(), keys[at + row].as_py(), item, start, " ".join(window))):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "text_key", "item", "start", "window", "seeds"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "text_key", "item", "start", "window"])
 
     return run
 
 
-def _score(shared):
+def _score(shared, least):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [words_of(t) for t in shared.value]
         for batch in batches:
-            found = align([(items[i.as_py()], (w.as_py() or "").split(" ")) for i, w in zip(*batch.columns)])
+            pairs = [(items[i.as_py()], (w.as_py() or "").split(" ")) for i, w in zip(*batch.columns)]
+            found = align(pairs)
             ends, scores = pa.array([e for _, e in found], pa.int64()), pa.array([round(s, 6) for s, _ in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ends, scores], ["item", "window", "end", "score"])
+            seeds = pa.array([len(grams_of(a) & grams_of(b)) if s >= least else 0 for (a, b), (s, _) in zip(pairs, found)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ends, scores, seeds], ["item", "window", "end", "score", "n_seeds"])
 
     return run
 
@@ -160,12 +212,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFr
     out = spark.createDataFrame([], f"doc_id long, text_key long, item_id {kind}, score double, end_word long, n_seeds int")
     for texts in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(texts)
-        hits = rows.mapInArrow(_find(shared), "doc_id long, text_key long, item int, start long, window string, seeds array<string>")
+        hits = rows.mapInArrow(_find(shared, least), "doc_id long, text_key long, item int, start long, window string")
         hits = materialize(hits, "leak-windows")
         pairs = hits.select("item", "window").distinct()
-        scored = pairs.mapInArrow(_score(shared), "item int, window string, end long, score double").where(F.col("score") >= least)
+        scored = pairs.mapInArrow(_score(shared, least), "item int, window string, end long, score double, n_seeds int").where(F.col("score") >= least)
         scored = hits.join(scored, ["item", "window"]).withColumn("end_word", F.col("start") + F.col("end"))
-        best = scored.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"), F.size("seeds").alias("n_seeds"))).alias("b"))
+        best = scored.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"), "n_seeds")).alias("b"))
         names = spark.createDataFrame(list(enumerate(texts)), "item int, item_text string")
         named = best.join(F.broadcast(names), "item").join(F.broadcast(ids) if len(texts) < 100_000 else ids, "item_text")
         out = out.unionByName(named.select("doc_id", "text_key", "item_id", "b.score", (-F.col("b.back")).alias("end_word"), "b.n_seeds"))

@@ -86,6 +86,26 @@ def test_copies_with_one_seed_are_found_however_many_there_are(spark):
     assert {(x.doc_id, x.item_id) for x in D.contaminated(docs, bench).collect()} == {(d, 1 if d % 2 else 2) for d in range(120)}
 
 
+def test_short_and_heavily_edited_copies_against_aligning_all_pairs(spark):
+    r = random.Random(5)
+    vocab = vocabulary(r)
+    items = {n: r.choices(vocab, k=[3, 6, 9, 16, 20, 30][n % 6]) for n in range(18)}
+    docs = []
+    for d in range(150):
+        copy = []
+        for i, w in enumerate(items[d % 18]):
+            how = d // 18 % 4
+            edit = i % 5 == 4 if how == 0 else i % 3 == 2 if how == 1 else r.random() < (0.2, 0.3)[how - 2]
+            copy += [r.choice(vocab)] if edit and r.random() < 0.6 else [w, r.choice(vocab)] if edit else [w]
+        docs.append((d, " ".join(r.choices(vocab, k=r.randint(0, 80)) + copy + r.choices(vocab, k=r.randint(0, 80)))))
+    docs.append((150, " ".join(w + " x" for w in items[5])))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {(d, n): s for d, text in docs for n, item in items.items() if (s := slow_score(D.words_of(" ".join(item)), D.words_of(text))) >= D.SCORE}
+    assert len(want) > 100 and (150, 5) in want
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id int, text string")
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0 and D.keep_clean(docs, bench.limit(0)).count() == 1
