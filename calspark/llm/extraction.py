@@ -13,11 +13,12 @@
 The winners are broadcast if their measured size is at most BROADCAST_BYTES, else
 joined by host; skewed hosts are then split by adaptive execution.
 
-Within the article, menus, headers, footers, sidebars, notices, adverts, forms,
+Within the article, menus, headers, footers, sidebars, notices, adverts, forms (but
+for one that wraps the page or its article, of which only the controls go),
 comments, scripts and styles are left out by tag, role, visibility and words of
 class and id. Defined cases. Null or empty html: empty text. Null url: its pages
 share the host ''. Truncated markup: an unfinished tag is dropped, open elements
-end with the page. No container: the body's text. Repeated rows give repeated
+end with the page; a head without an end tag ends before what belongs in a body. No container: the body's text. Repeated rows give repeated
 rows. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -48,7 +49,11 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body main section div td blockquote center html".split())
 CLOSES_P = BLOCK - frozenset("html body head".split())
+#: What a head can hold; anything else ends it.
+HEADED = frozenset("base basefont bgsound link meta title style script noscript noframes template head".split())
 DROPPED = frozenset("nav aside footer form dialog menu head fieldset".split())
+#: Dropped in a form that wraps the page, beside what RAW drops.
+CONTROLS = frozenset("label legend option optgroup datalist output".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
 #: Words of class and id that name boilerplate, and those that name the article.
 NEGATIVE = frozenset(
@@ -65,12 +70,12 @@ HARD, SOFT = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading", "holder", "path_hash", "in_link", "index")
+    __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading", "holder", "path_hash", "in_link", "index", "plain_form")
 
     def __init__(self, tag: str, parent: Node | None, label: str, bad: int, good: bool):
         self.tag, self.parent, self.label, self.bad, self.good = tag, parent, label, bad, good
         self.score, self.size, self.linked, self.first, self.last, self.heading = 0.0, 0, 0, 0, 0, False
-        self.index = 0
+        self.index, self.plain_form = 0, False
         # what every node inherits is kept in it, so that deep pages cost no more than flat ones
         self.holder = self if tag in CONTAINER or parent is None else parent.holder
         self.path_hash = hash((parent.path_hash, label)) if parent is not None else 0
@@ -78,7 +83,7 @@ class Node:
 
 
 def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
-    label, bad, good = tag, HARD if tag in DROPPED else SOFT if tag == "header" else 0, tag in ("article", "main")
+    label, bad, good = tag, HARD if tag in DROPPED and tag != "form" else SOFT if tag == "header" else 0, tag in ("article", "main")
     if attributes and "=" in attributes or "hidden" in attributes:
         found = {}
         for m in ATTRIBUTE.finditer(attributes):
@@ -88,7 +93,7 @@ def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
         role = found.get("role", "").lower()
         if role == "main" or role == "article":
             good = True
-        elif role in DROPPED_ROLES:
+        elif role in DROPPED_ROLES and role != tag:
             bad = HARD
         against = words & NEGATIVE | {w for w in words if w.startswith(NEGATIVE_START) and w != "commentary"}
         if against:
@@ -101,7 +106,9 @@ def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
             bad = HARD
         if found.get("class", "").split():
             label += "." + re.sub(r"\d+", "#", found["class"].split()[0].lower())
-    return Node(tag, parent, label, bad, good)
+    node = Node(tag, parent, label, HARD if tag == "form" else bad, good)
+    node.plain_form = tag == "form" and not bad
+    return node
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple]]:
@@ -120,6 +127,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
     while at < end:
         m = TOKEN.search(html, at)
         text = html[at : m.start() if m else end]
+        if stack[-1].tag == "head" and text and not text.isspace():
+            close_to(len(stack) - 1)
         if text and not text.isspace() or text and events:
             events.append((stack[-1], unescape(text) if "&" in text else text))
         if not m:
@@ -139,6 +148,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break  # an inline end tag does not close blocks
             continue
+        if stack[-1].tag == "head" and tag not in HEADED and tag != "html":
+            close_to(len(stack) - 1)  # nothing is ever open in a head
         if tag in RAW:
             if m[3].rstrip().endswith("/"):
                 continue
@@ -188,9 +199,35 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
             stack.append(node)
     close_to(1)
     root.last = len(events)
+    if any(n.plain_form for n in nodes):
+        _free_forms(nodes, events)
     return nodes, events
 
 
+def _free_forms(nodes: list[Node], events: list[tuple]) -> None:
+    """A form that holds most of the page's text, or its article, is a wrapper: only its controls stay boilerplate."""
+    clean, formed, size, holds = [True] * len(nodes), [False] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+    for k, node in enumerate(nodes[1:], 1):
+        up = node.parent.index
+        formed[k] = formed[up] or node.plain_form
+        clean[k] = clean[up] and (not node.bad or node.plain_form) and not (formed[k] and node.tag in CONTROLS)
+        holds[k] = clean[k] and node.tag in ("article", "main")
+    for node, text in events:
+        if text is not None and clean[node.index]:
+            size[node.index] += len(text.strip())
+    for node in reversed(nodes[1:]):
+        size[node.parent.index] += size[node.index]
+        holds[node.parent.index] |= holds[node.index]
+    wrapped = [False] * len(nodes)
+    for k, node in enumerate(nodes[1:], 1):
+        free = node.plain_form and clean[k] and (2 * size[k] > size[0] or holds[k])
+        wrapped[k] = wrapped[node.parent.index] or free
+        if free:
+            node.bad = 0
+        elif wrapped[k] and node.tag in CONTROLS:
+            node.bad = HARD
+
+
 def _shown(nodes: list[Node], root: Node) -> set[int]:
     """Ids of the nodes from ``root`` down that are no boilerplate. Headings in an article's own header stay."""
     shown, waiting, inside, page = {id(root)}, set(), {id(root)}, root.tag == "html"

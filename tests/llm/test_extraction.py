@@ -30,6 +30,25 @@ def test_small_pages(page, want):
     assert extraction.extract(page or "", None)[0] == want
 
 
+STORY = "The story itself, told at length, with all its commas, and more of it."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<html><head><title>T</title></head><body><form id=aspnetForm method=post><input type=hidden><nav>n</nav><label>Find</label><select><option>o</select><div><h1>H</h1><p>{STORY}</p></div></form></body></html>", f"H\n\n{STORY}"),
+    (f"<form role=form><main><p>{STORY}</p><form><label>Mail</label>join</form></main><button>b</button></form>", STORY),
+    (f"<form><article><p>{STORY}</article></form><p><a href=x>{STORY} {STORY}</a></p>", STORY),
+    (f'<p>{STORY}</p><form><label>Mail</label>join</form>', STORY),
+    (f'<form class="comment-form"><p>{STORY}</p></form>', ""),
+    (f"<html><head><title>T</title><meta name=x><style>p{{}}</style><body><p>{STORY}</p></body></html>", STORY),
+    (f"<head><title>T</title><script>no</script><div><p>{STORY}</p></div>", STORY),
+    (f"<head><title>T</title>{STORY}", STORY),
+    (f"<head><title>T</title><header>h</header><p>{STORY}</p><nav>n</nav>", STORY),
+    (f"<head><title>T</title><svg>s</svg>plain <b>{STORY}</b>", f"plain {STORY}"),
+])
+def test_forms_around_the_page_and_heads_without_end(page, want):
+    assert extraction.extract(page, None)[0] == want
+
+
 def generated(r):
     blocks = [" ".join("".join(r.choices("abcdeäß&<", k=r.randint(1, 8))) for _ in range(r.randint(3, 40))) for _ in range(r.randint(1, 8))]
     body = "".join(f"<p>{html.escape(b)}</p>" if r.random() < 0.8 else f"<p><b>{html.escape(b)}<br>" for b in blocks)
