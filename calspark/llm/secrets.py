@@ -6,7 +6,10 @@ parts' lengths gives code point offsets. The marker in a text is first replaced
 another control character, which no pattern takes.
 
 Battery. Candidate tokens are the maximal runs of MIN_TOKEN or more characters of
-[A-Za-z0-9+/_=-] that no base span touches. The encoding is the smallest alphabet
+[A-Za-z0-9+/_-] with the '=' that follow, and the pieces of MIN_TOKEN or more of a run
+between '/', '-' and '_', so that neither a name before '=' nor a path hides a key. A
+candidate that a base span touches is none; of discoveries within one another the
+outermost stays. The encoding is the smallest alphabet
 that holds the token (hex, letters of one case, base32, base36, letters, base62, base64). Against a uniform draw
 from it: a chi-squared test of the symbols, one of the character classes, a runs
 test about the alphabet's middle and a lag-one serial correlation. A token that any
@@ -42,10 +45,11 @@ HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_TOKEN = 20
-TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+MIN_TOKEN = 16
+TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}=*"
+BREAK = "[/_-]"
 #: Least length of each band in which false discoveries are controlled.
-BANDS = (20, 28, 40, 64, 128)
+BANDS = (MIN_TOKEN, 20, 28, 40, 64, 128)
 BATTERY, FDR = 0.01, 0.01
 #: p-values are rounded up to exp(-k / STEP), k = 0 .. GRID - 1.
 STEP, GRID = 4.0, 400
@@ -218,6 +222,31 @@ def thresholds(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return {r["band"]: r["least"] for r in found.groupBy("band").agg(F.min("grid").alias("least")).collect()}
 
 
+def _pieces(run: Column) -> Column:
+    """Spans of the pieces of MIN_TOKEN or more characters of a run between breaks."""
+
+    def step(acc, part):
+        end = acc["at"] + F.length(part)
+        span = F.struct(acc["at"].alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+        long = F.length(F.rtrim(F.translate(part, "=", " "))) >= MIN_TOKEN
+        return F.struct((end + 1).alias("at"), F.when(long, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(run["span"]["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.aggregate(F.split(run["token"], BREAK, -1), start, step, lambda acc: acc["out"])
+
+
+def _outermost(spans: Column) -> Column:
+    """Spans without those that lie within another, where spans are apart or one within the other."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def step(acc, s):
+        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["back"]).alias("end"))
+        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+
+
 def _scan(docs: DataFrame, keep: list) -> DataFrame:
     """Columns ``keep`` of every row beside _assign, _access, _hex, _base and _candidates. One pass over the text."""
     names = [k if isinstance(k, str) else docs.select(k).columns[0] for k in keep]
@@ -225,11 +254,11 @@ def _scan(docs: DataFrame, keep: list) -> DataFrame:
     spans = rows.select(*names, "_t", *[c.alias(f"_{k}") for c, k in zip(base_spans(F.col("_t")), KINDS)])
     spans = spans.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    candidates = F.transform(
-        F.filter(_matches(F.col("_t"), TOKEN, 3, lambda m: F.lit(True)), apart),
-        lambda s: F.struct(s.alias("span"), F.substring(F.col("_t"), s["start"] + 1, s["end"] - s["start"]).alias("token")),
-    )
-    return spans.withColumn("_candidates", candidates).drop("_t")
+    token = lambda s: F.struct(s.alias("span"), F.substring(F.col("_t"), s["start"] + 1, s["end"] - s["start"]).alias("token"))
+    spans = spans.withColumn("_runs", F.transform(_matches(F.col("_t"), TOKEN, 3, lambda m: F.lit(True)), token))
+    pieces = F.flatten(F.transform("_runs", lambda r: F.when(r["token"].rlike(BREAK), _pieces(r)).otherwise(F.array().cast(f"array<{SPAN}>"))))
+    candidates = F.concat(F.filter("_runs", lambda r: apart(r["span"])), F.transform(F.filter(pieces, apart), token))
+    return spans.withColumn("_candidates", candidates).drop("_t", "_runs")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -245,7 +274,7 @@ def random_spans(scanned: DataFrame, row: str, candidates: str) -> DataFrame:
     hit = F.lit(False)
     for band, grid in thresholds(tokens).items():
         hit = hit | ((F.col("band") == band) & (F.col("grid") >= grid))
-    return tokens.where(hit).groupBy(row).agg(F.collect_list("span").alias("_random"))
+    return tokens.where(hit).groupBy(row).agg(F.collect_list("span").alias("_all")).select(row, _outermost(F.col("_all")).alias("_random"))
 
 
 def _joined(spans: Column) -> Column:

@@ -80,6 +80,25 @@ def test_ordinary_tokens_have_no_evidence(spark):
     assert not {t.token: t.grid for t in x if t.grid > secrets.STEP * 4.6}
 
 
+def test_keys_behind_names_and_in_paths_keep_their_offsets(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    around = [("AWS_ACCESS=", ""), ("export CLIENT_KEY=", " x"), ("GET https://a.example.com/blob/file?sig=", "&v=2"), ("/api/v1-beta/keys/", "/use"), ("name_of_the_configuration_value=", ";"), ("a=b=", "==")]
+    for n in range(240):
+        before, after = around[n % len(around)]
+        key = "".join(r.choices(string.ascii_letters + string.digits, k=[16, 19, 32, 40][n // 6 % 4]))
+        rows.append((n, f"é {before}{key}{after}"))
+        want[n] = f"random:{len(before) + 2}:{len(before) + 2 + len(key) + len(after) * (after == '==')}"
+    rows += [(1000 + n, f"SOME_LONG_SETTING_NAME=an-ordinary-value-of-words src/main/java/com/example/project/Main{n} https://www.example.com/2024/news-of-the-day") for n in range(240)]
+    got = {x.doc_id: x.spans for x in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not got[1000 + n] for n in range(240))
+    assert {got[n] for n in range(240)} - set(want.values()) <= {""}
+    for k in range(24):
+        mine = [n for n in range(240) if n % 24 == k]
+        assert sum(got[n] == want[n] for n in mine) >= len(mine) / 2
+    assert sum(got[n] == want[n] for n in want) >= 0.9 * 240
+
+
 def test_empty(spark):
     assert secrets.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
