@@ -43,7 +43,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template svg math canvas object audio video select button".split())
+RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template svg annotation annotation-xml canvas object audio video select button".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
 )
@@ -59,6 +59,14 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 NEGATIVE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar header comment comments disqus respond responses reply replies discussion cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login search share sharing shares social follow related recommended recommendations recommendation widget widgets toolbar pagination pager paging skip hidden disclaimer toc".split()
 )
+#: Of these, the words that also head a section of prose, and those that mark readers' comments.
+PROSE = frozenset("discussion related recommended recommendation recommendations responses search share sharing social follow promotion promotions menu navigation notification notifications subscription".split())
+REMARKS = ("comment", "disqus", "repl", "respon", "discussion", "usercomment", "usernote")
+#: Class names that state something about a page or a layout, not what it holds.
+STATE = re.compile(r"(?i)^(?:has|with|without|no|not|show|hide|allow|supports)[-_]|[-_](?:open|opened|closed|enabled|disabled|on|off|active|visible)$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of prose, and the most of them in links, for a section of an article named by a word of PROSE.
+SECTION_CHARS, SECTION_LINKED = 80, 0.3
 #: Longer names that run words together are known by how they begin.
 NEGATIVE_START = ("advert", "adsby", "adslot", "adbox", "adunit", "sponsor", "comment", "cookie", "sidebar", "newsletter", "navbar", "navmenu", "breadcrumb", "footer", "masthead", "subscri", "usercomment", "usernote")
 POSITIVE = frozenset("article content post entry main body story text blog page hentry prose".split())
@@ -70,44 +78,52 @@ HARD, SOFT = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading", "holder", "path_hash", "in_link", "index", "plain_form")
+    __slots__ = ("tag", "parent", "label", "bad", "good", "score", "size", "linked", "first", "last", "heading", "holder", "path_hash", "in_link", "index", "plain_form", "named", "remarks", "prose")
 
     def __init__(self, tag: str, parent: Node | None, label: str, bad: int, good: bool):
         self.tag, self.parent, self.label, self.bad, self.good = tag, parent, label, bad, good
         self.score, self.size, self.linked, self.first, self.last, self.heading = 0.0, 0, 0, 0, 0, False
         self.index, self.plain_form = 0, False
+        self.named = self.remarks = self.prose = False  # bad by name alone; a name of comments; an id that may head prose
         # what every node inherits is kept in it, so that deep pages cost no more than flat ones
         self.holder = self if tag in CONTAINER or parent is None else parent.holder
         self.path_hash = hash((parent.path_hash, label)) if parent is not None else 0
         self.in_link = tag == "a" or parent is not None and parent.in_link
 
 
-def _node(tag: str, attributes: str, parent: Node | None, inside: bool) -> Node:
+def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     label, bad, good = tag, HARD if tag in DROPPED and tag != "form" else SOFT if tag == "header" else 0, tag in ("article", "main")
+    named = remarks = prose = False
     if attributes and "=" in attributes or "hidden" in attributes:
         found = {}
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        words = {w.lower() for w in WORD.findall(names)}
+        classes = found.get("class", "").split()
+        by_class = {w.lower() for c in classes if not STATE.search(c) for w in WORD.findall(c)}
+        by_id = set() if tag in HEADINGS or STATE.search(found.get("id", "")) else {w.lower() for w in WORD.findall(found.get("id", ""))}
+        words = by_class | by_id
         role = found.get("role", "").lower()
         if role == "main" or role == "article":
             good = True
         elif role in DROPPED_ROLES and role != tag:
             bad = HARD
         against = words & NEGATIVE | {w for w in words if w.startswith(NEGATIVE_START) and w != "commentary"}
-        if against:
+        if against and (parent is None or parent.holder.tag != "pre" and parent.tag not in ("pre", "code")):
             if tag not in ("html", "body", "main") and not (tag == "article" and words & POSITIVE and against <= {"header", "banner", "sidebar", "related"}):
+                named = bad != HARD and against != {"header"}
+                remarks = any(w.startswith(REMARKS) for w in against)
+                prose = named and tag in ("section", "div") and against <= PROSE and not against & by_class
                 bad = max(bad, SOFT if against == {"header"} else HARD)
         elif words & POSITIVE:
             good = True
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            bad = HARD
-        if found.get("class", "").split():
-            label += "." + re.sub(r"\d+", "#", found["class"].split()[0].lower())
+            bad, named, prose = HARD, False, False
+        if classes:
+            label += "." + re.sub(r"\d+", "#", classes[0].lower())
     node = Node(tag, parent, label, HARD if tag == "form" else bad, good)
     node.plain_form = tag == "form" and not bad
+    node.named, node.remarks, node.prose = named, remarks, prose
     return node
 
 
@@ -188,7 +204,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
                 if stack[k].tag in (tag, other):
                     close_to(k)
                     break
-        node = _node(tag, m[3] or "", stack[-1], False)
+        node = _node(tag, m[3] or "", stack[-1])
         if tag in BLOCK:
             events.append((stack[-1], None))
         if tag in ("h1", "h2"):
@@ -199,33 +215,65 @@ def parse(html: str) -> tuple[list[Node], list[tuple]]:
             stack.append(node)
     close_to(1)
     root.last = len(events)
-    if any(n.plain_form for n in nodes):
-        _free_forms(nodes, events)
+    if any(n.plain_form or n.named for n in nodes):
+        _free_wrappers(nodes, events)
     return nodes, events
 
 
-def _free_forms(nodes: list[Node], events: list[tuple]) -> None:
-    """A form that holds most of the page's text, or its article, is a wrapper: only its controls stay boilerplate."""
-    clean, formed, size, holds = [True] * len(nodes), [False] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+def _free_wrappers(nodes: list[Node], events: list[tuple]) -> None:
+    """Takes back what forms and names say of nodes that hold the article itself.
+
+    A form that holds most of the page's text, or its article, is a wrapper: only its
+    controls stay boilerplate. So is a node called boilerplate by name that alone holds
+    the page's article, main or first heading and most of its text, or four fifths of
+    the text without being made of links; comments need the article and the heading.
+    Within an article, a section whose id may head prose stays if it holds prose.
+    """
+    count = len(nodes)
+    freeable = [n.plain_form or n.named for n in nodes]
+    clean, formed, fine, inside = [True] * count, [False] * count, [True] * count, [False] * count
+    size, linked, remarks, articles, titles, outer = [0] * count, [0] * count, [0] * count, [0] * count, [0] * count, [False] * count
     for k, node in enumerate(nodes[1:], 1):
         up = node.parent.index
         formed[k] = formed[up] or node.plain_form
-        clean[k] = clean[up] and (not node.bad or node.plain_form) and not (formed[k] and node.tag in CONTROLS)
-        holds[k] = clean[k] and node.tag in ("article", "main")
+        clean[k] = clean[up] and (not node.bad or freeable[k] or node.bad == SOFT) and not (formed[k] and node.tag in CONTROLS)
+        fine[k] = fine[up] and not node.named  # under no name that speaks against it
+        inside[k] = inside[up] or nodes[up].tag in ("article", "main") or nodes[up].good and not nodes[up].bad and nodes[up].tag in CONTAINER
+        articles[k] = int(clean[k] and node.tag in ("article", "main") and not node.named)
+        titles[k] = int(clean[k] and node.tag == "h1")
     for node, text in events:
         if text is not None and clean[node.index]:
-            size[node.index] += len(text.strip())
-    for node in reversed(nodes[1:]):
-        size[node.parent.index] += size[node.index]
-        holds[node.parent.index] |= holds[node.index]
-    wrapped = [False] * len(nodes)
+            n = len(text.strip())
+            size[node.index] += n
+            linked[node.index] += n * node.in_link
+    for k in range(count - 1, 0, -1):
+        up = nodes[k].parent.index
+        size[up] += size[k]
+        linked[up] += linked[k]
+        remarks[up] += size[k] if nodes[k].remarks else remarks[k]
+        articles[up] += articles[k]
+        titles[up] += titles[k]
+    wrapped = [False] * count
     for k, node in enumerate(nodes[1:], 1):
-        free = node.plain_form and clean[k] and (2 * size[k] > size[0] or holds[k])
-        wrapped[k] = wrapped[node.parent.index] or free
+        free = False
+        if node.plain_form:
+            free = clean[k] and (2 * size[k] > size[0] or articles[k] > 0)
+            wrapped[k] = wrapped[node.parent.index] or free
+        else:
+            wrapped[k] = wrapped[node.parent.index]
+            if wrapped[k] and node.tag in CONTROLS:
+                node.bad = HARD
+        if node.named and clean[k]:
+            most = 2 * size[k] > size[0] and 2 * linked[k] < size[k]
+            alone = articles[k] + titles[k] > 0 and articles[k] == articles[0] and titles[k] == titles[0]
+            if node.remarks:
+                free = most and alone and articles[k] > 0 and titles[k] > 0
+            else:
+                free = most and (alone or articles[0] + titles[0] == 0 and 5 * size[k] > 4 * size[0])
+            if not free and node.prose and inside[k]:
+                free = size[k] >= SECTION_CHARS and linked[k] < SECTION_LINKED * size[k] and 2 * remarks[k] < size[k]
         if free:
-            node.bad = 0
-        elif wrapped[k] and node.tag in CONTROLS:
-            node.bad = HARD
+            node.bad, node.named = 0, False
 
 
 def _shown(nodes: list[Node], root: Node) -> set[int]:

@@ -1,4 +1,5 @@
 import html
+import os
 import random
 import re
 
@@ -88,3 +89,49 @@ def test_same_as_a_plain_reading_of_the_template():
         inside = page[page.index("<article") :].split("</article>")[0]
         text, _ = extraction.extract(page, extraction.votes(page)[0][0])
         assert all(" ".join(html.unescape(re.sub(r"<br>", " ", p)).split()) in text for p in re.findall(r"<p>(.*?)(?:</p>|<ul>)", inside))
+
+
+PROSE = "The story itself, told at length, with all its commas, and words, and more of it than of anything else."
+SIDE = "<div class=sidebar><p>Short side note, here.</p></div>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body><div class="site has-sidebar"><article><h1>H</h1><p>{PROSE}</p></article>{SIDE}</div>', f"H\n\n{PROSE}"),
+    (f'<body><div class="layout comments-open"><div class="entry"><p>{PROSE}</p></div>{SIDE}</div>', PROSE),
+    (f'<body><div class="page sidebar"><div><h1>H</h1><p>{PROSE}</p></div>{SIDE}</div>', f"H\n\n{PROSE}"),
+    (f'<body><div id="social-wrapper"><p>{PROSE}</p></div><div class="footer">f</div>', PROSE),
+    (f'<article><h1>H</h1><p>{PROSE}</p><section id="discussion"><h2>Discussion</h2><p>{PROSE}</p></section></article>', f"H\n\n{PROSE}\n\nDiscussion\n\n{PROSE}"),
+    (f'<article><p>{PROSE}</p><section id="related-work"><h2 id=related>Related work</h2><p>{PROSE} <a href=x>one</a></p></section></article>', f"{PROSE}\n\nRelated work\n\n{PROSE} one"),
+    (f'<article><p>{PROSE}</p><section id="related"><ul><li><a href=x>{PROSE}</a></ul></section></article>', PROSE),
+    (f'<article><p>{PROSE}</p><section id="discussion"><h2>2 remarks</h2><div class="comment"><p>{PROSE}</p></div></section></article>', PROSE),
+    (f'<article><p>{PROSE}</p></article><section id="comments"><article><p>{PROSE} {PROSE} {PROSE}</p></article></section>', PROSE),
+    (f'<div class="post"><p>{PROSE}</p></div><div id="comments"><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>', PROSE),
+    (f"<article><p>{PROSE} <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>tex</annotation></math> holds.</p></article>", f"{PROSE} a=b holds."),
+    (f'<article><p>{PROSE}</p><pre><span class="comment"># why</span> x = 1</pre></article>', f"{PROSE}\n\n# why x = 1"),
+    (f'<body class="nav-open"><div class="no-sidebar"><p>{PROSE}</p></div><div class="sidebar">{PROSE}</div>', PROSE),
+    (f'<div class="hidden"><article><h1>H</h1></article></div><article><p>{PROSE}</p></article>', PROSE),
+])
+def test_names_do_not_hide_the_article(page, want):
+    assert extraction.extract(page, None)[0] == want
+
+
+def test_very_long_and_very_deep_pages():
+    long = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>"
+    assert extraction.extract(long, None)[0].count(PROSE) == 20_000
+    deep = "<div>" * 5_000 + f"<p>{PROSE}" + "</div>" * 5_000
+    assert extraction.extract(deep, None)[0] == PROSE
+
+
+def plain(html_text):
+    """The text of pages in the one form that the driver's tables have, by a line of patterns."""
+    inside = re.search(r"<article>(.*?)</article>", html_text, re.S)[1]
+    inside = re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1|ul|li)>", "\n\n", inside))
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in inside.split("\n\n")]
+    return "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_whole_query_against_a_plain_reading(spark):
+    pages = {x.page_id: x.html for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = extraction.op6_html_extraction(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages) and all(x.text == plain(pages[x.page_id]) and x.n_chars == len(x.text) for x in got)
