@@ -18,8 +18,9 @@ scans, never memory or pairs. Windows are at most linear in the text and the ite
 Defined cases. Null or empty texts and items without words match nothing. Repeated
 items of one text are scanned once and reported under each item_id. Repeated rows
 give one result row for each doc_id and item. Null ids are reported as null. Words are
-maximal runs of letters and digits, lower-cased. Extra columns are ignored. Empty
-tables give an empty result.
+maximal runs of letters and digits, lower-cased. Very long texts are read whole; a
+worker holds the words of SCAN texts. Extra columns, whatever their names, are ignored,
+and kept where documents are filtered. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -163,9 +164,19 @@ def align(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[float, int]]:
     return out
 
 
+#: The block of texts and the seeds that a Python worker made last: once a worker and block, not once a task.
+_MADE: list = []
+
+
+def _seeds_of(texts: list[str], least: float) -> Seeds:
+    if not _MADE or _MADE[0] is not texts or _MADE[1] != least:
+        _MADE[:] = texts, least, Seeds([words_of(t) for t in texts], least)
+    return _MADE[2]
+
+
 def _find(shared, least):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds([words_of(t) for t in shared.value], least)
+        seeds = _seeds_of(shared.value, least)
         for batch in batches:
             docs, keys = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, SCAN):
@@ -193,24 +204,24 @@ def _score(shared, least):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[list[str]]:
-    """The benchmark's distinct texts in blocks of bounded size; one block is on the driver at a time on a real cluster's benchmark."""
-    texts = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = texts.agg(F.sum(F.length("text") * 4)).first()[0] or 0
+def _blocks(items: DataFrame) -> Iterator[tuple[list[str], DataFrame]]:
+    """Blocks of (item_id, item_text) by the texts' hash: (distinct texts, of a bounded size; all items of the block)."""
+    texts = items.where("item_text is not null").select("item_text").distinct()
+    size = texts.agg(F.sum(F.length("item_text") * 4)).first()[0] or 0
     count = -(-size // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("text"), F.lit(max(1, count)))
+    block = F.pmod(F.xxhash64("item_text"), F.lit(max(1, count)))
     for n in range(count):
-        yield [r["text"] for r in texts.where(block == n).orderBy("text").collect()]
+        yield [r["item_text"] for r in texts.where(block == n).orderBy("item_text").collect()], items.where(block == n)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """doc_id, text_key, item_id, score, end_word, n_seeds: the best alignment of every leaking document and item."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    ids = benchmark.select("item_id", F.col("text").cast("string").alias("item_text"))
+    items = benchmark.select("item_id", benchmark["text"].cast("string").alias("item_text"))
     kind = dict(benchmark.dtypes)["item_id"]
     out = spark.createDataFrame([], f"doc_id long, text_key long, item_id {kind}, score double, end_word long, n_seeds int")
-    for texts in _blocks(benchmark):
+    for texts, ids in _blocks(items):
         shared = spark.sparkContext.broadcast(texts)
         hits = rows.mapInArrow(_find(shared, least), "doc_id long, text_key long, item int, start long, window string")
         hits = materialize(hits, "leak-windows")
@@ -219,7 +230,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFr
         scored = hits.join(scored, ["item", "window"]).withColumn("end_word", F.col("start") + F.col("end"))
         best = scored.groupBy("doc_id", "text_key", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"), "n_seeds")).alias("b"))
         names = spark.createDataFrame(list(enumerate(texts)), "item int, item_text string")
-        named = best.join(F.broadcast(names), "item").join(F.broadcast(ids) if len(texts) < 100_000 else ids, "item_text")
+        # the texts of a block are bounded, the items that share them are not: their join is left to the sizes at run time
+        named = best.join(F.broadcast(names), "item").join(ids, "item_text")
         out = out.unionByName(named.select("doc_id", "text_key", "item_id", "b.score", (-F.col("b.back")).alias("end_word"), "b.n_seeds"))
     return out
 
@@ -234,8 +246,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> D
     """The rows of ``docs`` whose text leaks no item."""
     found = materialize(leaks(docs, benchmark, least).select("text_key").distinct(), "leaking-texts")
     found = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(found, F.col("_text_key") == F.col("text_key"), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(docs["text"].cast("string")).alias("text_key"))
+    return keyed.join(found, "text_key", "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
