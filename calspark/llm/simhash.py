@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
     fps, nodes = grouped(docs)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(nodes, "fp")
-    names = least.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written, so that a component of very many fingerprints meets its name in a join that adaptive execution can split
+    names = materialize(least.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
     named = nodes.join(names, "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -200,12 +201,13 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     fps, nodes = grouped(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
     first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(nodes, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    # one set of join keys for the choice of documents and of repeated rows: texts are shuffled once
-    keys = ["_none", "_id", "_key"]
-    kept = first.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.key").alias("_key"))
+    # one set of join keys for repeated rows and for the choice of documents: texts are shuffled once, a repeated row once a task.
+    # The caller's row travels as one struct, so that no name of its columns can clash.
+    keys = ["none", "id", "key"]
+    kept = first.select("first.none", F.coalesce("first.id", F.lit(0)).alias("id"), F.col("first.key").alias("key"))
     number = docs["doc_id"].cast("long")
-    keyed = docs.withColumns({"_none": number.isNull(), "_id": F.coalesce(number, F.lit(0)), "_key": text_key(docs)})
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), text_key(docs).alias("key"))
+    return keyed.dropDuplicates(keys).join(kept, keys, "left_semi").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
