@@ -23,8 +23,9 @@ scored like any other. Null host or path: the site ''. Labels with null, repeate
 conflicting rows: nulls are dropped, the mean label above one half counts. A label
 column with one class only: the score is the smoothed share. No labels: every document
 gets probability one half from the classifier and is kept. Repeated rows are scored
-alike. Extra columns pass through untouched where documents are filtered. An empty
-table gives an empty result.
+alike. Very long texts are scored whole, ROWS rows at a time. Extra columns, whatever
+their names, pass through untouched where documents are filtered. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -242,22 +243,29 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 
 def _scorer(model: Model):
-    """The last column is the text, which is not handed back."""
+    """Rows (row, host, path[, text]) to (row, host, path, good, bad); without a text column the text is that of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                good, bad = model.score([t.as_py() or "" for t in batch.columns[-1]])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(good), pa.array(bad)], [*batch.schema.names[:-1], "_good", "_bad"])
+                texts = batch.column(3) if batch.num_columns > 3 else batch.column(0).field("text")
+                good, bad = model.score(["" if (x := t.as_py()) is None else str(x) for t in texts])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good), pa.array(bad)], ["row", "host", "path", "good", "bad"])
 
     return run
 
 
-def _scored(docs: DataFrame, model: Model, host: str, path: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, _host, _path, _good and _bad of every row."""
-    rows = docs.select(*keep, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_good", T.DoubleType()), T.StructField("_bad", T.DoubleType())])
+def _scored(docs: DataFrame, model: Model, host: str, path: str, whole: bool) -> DataFrame:
+    """row, host, path, good, bad of every row. ``row`` is a struct of all columns, so that no name can clash, or of doc_id alone.
+
+    A whole row goes to Python and back with its text in it once.
+    """
+    site = [F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in ((host, "host"), (path, "path"))]
+    text = docs["text"].cast("string")
+    inside = whole and dict(docs.dtypes)["text"] == "string"
+    rows = docs.select(F.struct("*" if whole else "doc_id").alias("row"), *site, *([] if inside else [text.alias("text")]))
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("good", T.DoubleType()), T.StructField("bad", T.DoubleType())])
     return rows.mapInArrow(_scorer(model), schema)
 
 
@@ -284,43 +292,43 @@ def _strength(groups: DataFrame, mean: str) -> float:
 
 
 def with_sites(scored: DataFrame) -> DataFrame:
-    """``scored`` (written already) with _p (document), _site (shrunk site mean without it), _final and _toxic."""
-    p = _probability(F.col("_good"))
-    paths = materialize(scored.groupBy("_host", "_path").agg(F.sum(p).alias("s"), F.count(F.lit(1)).cast("double").alias("n")), "sites")
-    total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.length("_host") + F.length("_path") + 64).alias("size")).first()
+    """``scored`` (row, host, path, good, bad; written already) with p (document), site (shrunk site mean without it), final and toxic."""
+    p = _probability(F.col("good"))
+    paths = materialize(scored.groupBy("host", "path").agg(F.sum(p).alias("s"), F.count(F.lit(1)).cast("double").alias("n")), "sites")
+    total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.length("host") + F.length("path") + 64).alias("size")).first()
     overall = (total["s"] or 0.0) / (total["n"] or 1.0) if total["n"] else 0.5
-    hosts = paths.groupBy("_host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     a = _strength(hosts.withColumn("m", F.lit(overall)), "m")
-    hosts = hosts.select("_host", F.col("s").alias("hs"), F.col("n").alias("hn"))
-    sites = paths.join(hosts, "_host").withColumn("m", (F.col("hs") + a * overall) / (F.col("hn") + a))
+    hosts = hosts.select("host", F.col("s").alias("hs"), F.col("n").alias("hn"))
+    sites = paths.join(hosts, "host").withColumn("m", (F.col("hs") + a * overall) / (F.col("hn") + a))
     b = _strength(sites, "m")
-    sites = sites.select("_host", "_path", "s", "n", "hs", "hn")
-    joined = scored.join(F.broadcast(sites) if (total["size"] or 0) <= BROADCAST_BYTES else sites, ["_host", "_path"])
-    host_mean = (F.col("hs") - F.col("_p") + a * overall) / (F.col("hn") - 1 + a)
-    site = (F.col("s") - F.col("_p") + b * host_mean) / (F.col("n") - 1 + b)
+    sites = sites.select("host", "path", "s", "n", "hs", "hn")
+    joined = scored.join(F.broadcast(sites) if (total["size"] or 0) <= BROADCAST_BYTES else sites, ["host", "path"])
+    host_mean = (F.col("hs") - F.col("p") + a * overall) / (F.col("hn") - 1 + a)
+    site = (F.col("s") - F.col("p") + b * host_mean) / (F.col("n") - 1 + b)
     return (
-        joined.withColumn("_p", p).withColumn("_site", site)
-        .withColumn("_final", _probability(F.col("_good") + SITE_WEIGHT * (_logit(F.col("_site")) - _logit(F.lit(overall))))).withColumn("_toxic", _probability(F.col("_bad")))
+        joined.withColumn("p", p).withColumn("site", site)
+        .withColumn("final", _probability(F.col("good") + SITE_WEIGHT * (_logit(F.col("site")) - _logit(F.lit(overall))))).withColumn("toxic", _probability(F.col("bad")))
     )
 
 
 def _kept():
-    return (F.col("_final") >= THRESHOLD) & (F.col("_toxic") < TOXIC)
+    return (F.col("final") >= THRESHOLD) & (F.col("toxic") < TOXIC)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, host, path, p_document, p_site, p_quality, p_toxic, keep of every row."""
-    scored = materialize(_scored(docs, fit(docs, labels), host, path, ["doc_id"]), "quality")
+    scored = materialize(_scored(docs, fit(docs, labels), host, path, False), "quality")
     return with_sites(scored).select(
-        "doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p_document"), F.col("_site").alias("p_site"),
-        F.col("_final").alias("p_quality"), F.col("_toxic").alias("p_toxic"), _kept().alias("keep"),
+        "row.doc_id", "host", "path", F.col("p").alias("p_document"), F.col("site").alias("p_site"),
+        F.col("final").alias("p_quality"), F.col("toxic").alias("p_toxic"), _kept().alias("keep"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    scored = materialize(_scored(docs, fit(docs, labels), host, path, list(docs.columns)), "quality")
-    return with_sites(scored).where(_kept()).select(*docs.columns)
+    scored = materialize(_scored(docs, fit(docs, labels), host, path, True), "quality")
+    return with_sites(scored).where(_kept()).select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,34 +247,33 @@ def _outermost(spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: acc["out"])
 
 
-def _scan(docs: DataFrame, keep: list) -> DataFrame:
-    """Columns ``keep`` of every row beside _assign, _access, _hex, _base and _candidates. One pass over the text."""
-    names = [k if isinstance(k, str) else docs.select(k).columns[0] for k in keep]
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    spans = rows.select(*names, "_t", *[c.alias(f"_{k}") for c, k in zip(base_spans(F.col("_t")), KINDS)])
-    spans = spans.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    token = lambda s: F.struct(s.alias("span"), F.substring(F.col("_t"), s["start"] + 1, s["end"] - s["start"]).alias("token"))
-    spans = spans.withColumn("_runs", F.transform(_matches(F.col("_t"), TOKEN, 3, lambda m: F.lit(True)), token))
-    pieces = F.flatten(F.transform("_runs", lambda r: F.when(r["token"].rlike(BREAK), _pieces(r)).otherwise(F.array().cast(f"array<{SPAN}>"))))
-    candidates = F.concat(F.filter("_runs", lambda r: apart(r["span"])), F.transform(F.filter(pieces, apart), token))
-    return spans.withColumn("_candidates", candidates).drop("_t", "_runs")
+def _scan(docs: DataFrame, row: Column) -> DataFrame:
+    """row, assign, access, hex, base and candidates of every row. One pass over the text; ``row`` carries what the caller needs."""
+    rows = docs.select(row.alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
+    spans = rows.select("row", "t", *[c.alias(k) for c, k in zip(base_spans(F.col("t")), KINDS)])
+    spans = spans.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    token = lambda s: F.struct(s.alias("span"), F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]).alias("token"))
+    spans = spans.withColumn("runs", F.transform(_matches(F.col("t"), TOKEN, 3, lambda m: F.lit(True)), token))
+    pieces = F.flatten(F.transform("runs", lambda r: F.when(r["token"].rlike(BREAK), _pieces(r)).otherwise(F.array().cast(f"array<{SPAN}>"))))
+    candidates = F.concat(F.filter("runs", lambda r: apart(r["span"])), F.transform(F.filter(pieces, apart), token))
+    return spans.withColumn("candidates", candidates).drop("t", "runs")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base spans and candidate tokens of every row."""
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return _scan(docs, [F.col("doc_id").cast("long").alias("doc_id")]).select("doc_id", *counts, F.col("_base").alias("base"), F.col("_candidates").alias("candidates"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return _scan(docs, docs["doc_id"].cast("long")).select(F.col("row").alias("doc_id"), *counts, "base", "candidates")
 
 
-def random_spans(scanned: DataFrame, row: str, candidates: str) -> DataFrame:
-    """(row, _random): the spans of the tokens that are discoveries, for the rows that have any."""
-    tokens = scanned.select(row, F.explode(candidates).alias("c")).select(row, "c.span", "c.token")
+def random_spans(scanned: DataFrame) -> DataFrame:
+    """(number, random): the spans of the tokens that are discoveries, for the rows (number, candidates) that have any."""
+    tokens = scanned.select("number", F.explode("candidates").alias("c")).select("number", "c.span", "c.token")
     tokens = materialize(scored(tokens).drop("token"), "secret-tokens")
     hit = F.lit(False)
     for band, grid in thresholds(tokens).items():
         hit = hit | ((F.col("band") == band) & (F.col("grid") >= grid))
-    return tokens.where(hit).groupBy(row).agg(F.collect_list("span").alias("_all")).select(row, _outermost(F.col("_all")).alias("_random"))
+    return tokens.where(hit).groupBy("number").agg(F.collect_list("span").alias("found")).select("number", _outermost(F.col("found")).alias("random"))
 
 
 def _joined(spans: Column) -> Column:
@@ -284,11 +283,10 @@ def _joined(spans: Column) -> Column:
 
 def found_spans(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base (array), all_spans (array of start, kind, end)."""
-    scanned = materialize(scan(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    random = random_spans(scanned, "row", "candidates")
+    scanned = materialize(scan(docs).withColumn("number", F.monotonically_increasing_id()), "secrets")
     none = F.array().cast(f"array<{SPAN}>")
-    return scanned.join(random, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", F.coalesce("_random", none))).alias("all_spans")
+    return scanned.join(random_spans(scanned), "number", "left").select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", F.coalesce("random", none))).alias("all_spans")
     )
 
 
@@ -313,20 +311,20 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``, overlapping spans once; n_chars, where present, follows.
 
     Rows without candidate tokens are masked where they are; only the others meet
-    the verdicts on their tokens in a join.
+    the verdicts on their tokens in a join. The caller's row travels as one struct, so
+    that no name of its columns can clash.
     """
-    wide = materialize(_scan(docs, list(docs.columns)).withColumn("_row", F.monotonically_increasing_id()), "secrets-wide")
+    wide = materialize(_scan(docs, F.struct("*")).withColumn("number", F.monotonically_increasing_id()), "secrets-wide")
     none = F.array().cast(f"array<{SPAN}>")
-    some = wide.where(F.size("_candidates") > 0).join(random_spans(wide, "_row", "_candidates"), "_row", "left")
-    some = some.withColumn("_all", F.array_sort(F.concat("_base", F.coalesce("_random", none))))
-    rest = wide.where(F.size("_candidates") == 0).withColumn("_all", F.col("_base"))
-    both = rest.select(*docs.columns, "_all").unionByName(some.select(*docs.columns, "_all"))
-    text = F.when(F.size("_all") > 0, _masked(F.col("text").cast("string"), F.col("_all"), mask)).otherwise(F.col("text"))
-    both = both.withColumn("text", text)
+    some = wide.where(F.size("candidates") > 0).join(random_spans(wide), "number", "left")
+    some = some.select("row", F.array_sort(F.concat("base", F.coalesce("random", none))).alias("spans"))
+    both = wide.where(F.size("candidates") == 0).select("row", F.col("base").alias("spans")).unionByName(some)
+    hit, text = F.size("spans") > 0, F.col("row")["text"]
+    both = both.withColumn("masked", F.when(hit, _masked(text.cast("string"), F.col("spans"), mask)))
+    changed = {"text": F.when(hit, F.col("masked")).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        both = both.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        changed["n_chars"] = F.when(hit, F.length("masked").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row")["n_chars"])
+    return both.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,15 +137,18 @@ def test_stages_take_nulls_repeats_long_texts_clashing_names_and_empty_tables(sp
     prose = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(n))
     texts = {n: prose(80) for n in range(30)}
     rows = [(n, t, "en", f"s{n % 3}", len(t)) for n, t in texts.items()] + [(0, texts[0], "en", "s0", 1), (40, texts[1] + " more", None, None, None), (41, None, "en", "s0", None), (None, prose(60), "en", "s1", 9), (42, "", "en", "s1", 0), (43, prose(30_000), "en", "s1", 0), (44, "key token = " + "0123456789abcdef" * 2 + " " + prose(50), "de", "s1", 5)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, `label` string, row int, _key long, _host string"
+    clashing = ("label", "row", "key", "_key", "_id", "_row", "_base", "_host", "host", "path", "s", "n", "p", "good", "text_key", "base", "number", "none", "first", "spans", "masked", "a.b")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing)
     spark.createDataFrame([(n, 1, 0) for n in range(20)] + [(None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, " ".join(texts[2].split()[10:60])), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([(*x, "l", 1, 2, "h") for x in rows], schema.replace("_key long, _host string", "k long, host string"))
+    extra = tuple(f"user's {c}" for c in clashing)
+    docs = spark.createDataFrame([(*x, *extra) for x in rows], schema)
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
         empty = stage(spark, empty, str(tmp_path))
         assert empty.columns == docs.columns and empty.count() == 0, name
+        assert all(tuple(x)[5:] == extra for x in docs.collect()), name
         ids = [x.doc_id for x in docs.collect()]
         if name == "quality":
             assert set(range(30)) <= set(ids) and None in ids
