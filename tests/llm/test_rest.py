@@ -114,15 +114,77 @@ def test_rollup_against_replay(spark):
     assert store.batches() == [1, 2, 3, 4]
 
 
+def test_the_order_of_arrival_does_not_matter(spark):
+    """Batches 1 to 7 in any order, compacted or not, give the totals of a replay in order."""
+    r = random.Random(1)
+    schema = "op string, seq int, doc_id long, source string, lang string, tokenizer string, n_tokens long"
+    batches = {b: [(r.choice(["insert", "revise", "delete"]), n, r.randrange(12), r.choice(["a", "b"]), "x", "t", r.randrange(100)) for n in range(6)] for b in range(1, 8)}
+    batches[3], batches[5], batches[6] = [("insert", 0, 99, "a", "x", "t", 3)], [("revise", 0, 99, "b", "x", "t", 5)], [("insert", 0, 99, "a", "x", "t", 7)]
+    state = {}
+    for b in sorted(batches):
+        for op, _, d, s, lang, t, n in batches[b]:
+            state[d] = None if op == "delete" else (s, n)
+    want = Counter()
+    for v in state.values():
+        if v:
+            want[v[0], "docs"] += 1
+            want[v[0], "tokens"] += v[1]
+    for order, compact_after in (([5, 3, 6, 1, 7, 2, 4], 99), ([7, 6, 5, 4, 3, 2, 1], 2)):
+        store = rollup.Rollup(spark, new_path(spark, "t"), compact_after)
+        for b in order:
+            assert store.commit(b, spark.createDataFrame(batches[b], schema)) and not store.commit(b, spark.createDataFrame(batches[b], schema))
+        if compact_after == 2:
+            assert store._base()[1] and store._base()[1] <= set(batches)
+            store.vacuum()
+        got = {(x.source, k): v for x in store.totals().collect() for k, v in (("docs", x.n_docs), ("tokens", x.n_tokens))}
+        assert got == dict(want) and store.batches() == sorted(batches)
+
+
 def test_a_batch_that_died_is_written_anew(spark):
     store = rollup.Rollup(spark, new_path(spark, "t"))
-    docs = spark.createDataFrame([(1, "a b  c", "s", "l"), (2, None, "s", "l")], "doc_id long, text string, source string, lang string")
+    docs = spark.createDataFrame([(1, "a b  c", "s", "l", 7, 8), (2, None, "s", "l", 7, 8)], "doc_id long, text string, source string, lang string, n_tokens int, counted int")
     spark.createDataFrame([("s", "l", "words@1", 9, 9)], rollup.LEDGER).write.parquet(store._folder("ledger", 1))
     from calspark.llm.storage import remove
 
     remove(spark, store._folder("ledger", 1) + "/_SUCCESS")
-    assert store.batches() == [] and store.commit(1, rollup.count_changes(docs, "insert", 0))
+    counted = rollup.counts(docs, tokenizers={})
+    assert store.batches() == [] and store.commit(1, rollup.changes(counted, "insert", 0))
     assert {(x.tokenizer, x.n_docs, x.n_tokens) for x in store.totals().collect()} == {("words@1", 2, 3), ("utf8@1", 2, 6)}
+    assert rollup.counts(docs.limit(0)).count() == 0
+
+
+WORDS_AND_BYTES = r"""
+with l as (select doc_id, max(toxic) toxic, min(quality) quality from labels group by doc_id),
+d as (select source, lang, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') w, coalesce(text, '') t, coalesce(quality, 1) quality, coalesce(toxic, 0) toxic
+      from documents left join l using (doc_id) where doc_id is not null),
+c as (select source, lang, 'words@1' tokenizer, case when quality = 0 then len(list_distinct(w)) else len(w) end n from d where toxic <> 1
+      union all select source, lang, 'utf8@1', octet_length(encode(t)) from d where toxic <> 1)
+select source, lang, tokenizer, count(*) n_docs, cast(sum(n) as bigint) n_tokens from c group by all
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_the_whole_rollup_against_sql_and_the_tokenizer_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    want = {r[:3]: r[3:] for r in con.execute(WORDS_AND_BYTES).fetchall()}
+    library, marks = Tokenizer.from_file(public_tokenizers.path(rollup.TOKENIZER)), {}
+    for d, q, t in con.execute("select doc_id, min(quality), max(toxic) from labels group by 1").fetchall():
+        marks[d] = (q, t)
+    bpe = Counter()
+    for d, text, source, lang in con.execute("select doc_id, text, source, lang from documents").fetchall():
+        quality_of, toxic = marks.get(d, (1, 0))
+        if toxic != 1:
+            ids = library.encode(text or "", add_special_tokens=False).ids
+            bpe[source, lang, "n"] += 1
+            bpe[source, lang, "t"] += len(set(ids)) if quality_of == 0 else len(ids)
+    want |= {(s, g, "byte_bpe_50k@1"): (bpe[s, g, "n"], bpe[s, g, "t"]) for s, g, k in bpe if k == "n"}
+    got = {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in rollup.op5_token_rollup(spark, DATA).collect()}
+    assert got == want
 
 
 # ---- pipeline
