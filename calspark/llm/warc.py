@@ -16,7 +16,10 @@ Defined cases. A revisit with a null or unusable URL or a null time is an orphan
 Responses with null times are ignored. Of several responses at one time the largest
 record_id counts; a response at the revisit's own time is not earlier. A revisit
 without validators, or whose response lacks the one it names: no_validator. Repeated
-rows give repeated rows. Null headers are empty. Empty tables give an empty result.
+rows give repeated rows. Null headers are empty. Header names that differ in case only
+are one header; its values are joined by ", " in the order of the spellings. Very long
+URLs and values are kept whole. Extra columns, whatever their names, are ignored. Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,16 +36,39 @@ KEPT_FROM_STORED = (
     "proxy-authentication-info", "proxy-authorization", "proxy-connection", "set-cookie", "te", "trailer", "transfer-encoding", "upgrade",
 )
 #: Query parameters that only track.
-TRACKING = "utm_[a-z]+|gclid|fbclid|ref|sid|sessionid|phpsessid|jsessionid"
+TRACKING = "utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid"
+UNRESERVED = "^[A-Za-z0-9._~-]"
+
+
+def _percent(part: Column) -> Column:
+    """Percent codes of unreserved characters decoded, the others in upper case."""
+
+    def code(p: Column) -> Column:
+        digits = F.substring(p, 1, 2)
+        letter, rest = F.char(F.conv(digits, 16, 10).cast("int")), F.substring(p, 3, F.length(p))
+        return F.when(~p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), p)).when(letter.rlike(UNRESERVED), F.concat(letter, rest)).otherwise(F.concat(F.lit("%"), F.upper(digits), rest))
+
+    parts = F.split(part, "%", -1)
+    return F.when(F.instr(part, "%") == 0, part).otherwise(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), code), "")))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its segments . and .. resolved."""
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))).otherwise(F.array_append(acc, s))
+
+    done = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    return F.when(F.instr(path, "/.") == 0, path).otherwise(F.array_join(done, "/"))
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, user, www. or m., default port, fragment, tracking parameters and a trailing slash go; host in lower case; parameters sorted. Null if unusable."""
+    """Scheme, user, www., default port, fragment, tracking parameters and a trailing slash go; host in lower case; percent codes and dot segments normalised; parameters sorted. Null if unusable."""
     part = lambda n: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?", n)
-    host = F.regexp_replace(F.lower(part(2)), r"^(www|m)\.", "")
+    host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
     port = F.when(part(3).isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), part(3)))
-    path = F.regexp_replace(part(4), "/+$", "")
-    kept = F.array_sort(F.filter(F.split(part(5), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({TRACKING})=")))
+    path = F.regexp_replace(_without_dots(_percent(part(4))), "/+$", "")
+    kept = F.array_sort(F.filter(F.split(_percent(part(5)), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^({TRACKING})=")))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when(F.length(host) > 0, F.concat(host, port, path, query))
 
@@ -51,6 +77,19 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """A header map with names in lower case; values of names that differ in case only are joined."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+
+    def one(name: Column) -> Column:
+        same = F.filter(entries, lambda e: F.lower(e["key"]) == name)
+        value = F.when(F.size(same) == 1, same[0]["value"]).otherwise(F.array_join(F.transform(same, lambda e: e["value"]), ", "))
+        return F.struct(name.alias("key"), value.alias("value"))
+
+    return F.map_from_entries(F.transform(names, one))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
     """Header maps with lower-case names: the fresh ones win unless they are KEPT_FROM_STORED."""
     permitted = F.map_filter(fresh, lambda k, v: ~k.isin(*KEPT_FROM_STORED))
@@ -69,7 +108,7 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
     """
     spark = records.sparkSession
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    lowered = F.transform_keys(F.coalesce("headers", none), lambda k, v: F.lower(k))
+    lowered = lower_names(F.coalesce("headers", none))
     rows = records.select(
         F.col("record_id").cast("long"), canonical_url(F.col("url").cast("string")).alias("key"), F.col("ts").cast("long"), F.col("status").cast("int"),
         F.col("etag").cast("string"), F.col("last_modified").cast("string"), lowered.alias("headers"),
@@ -138,16 +177,26 @@ def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = r"""
-case when length(h) > 0 then h || case when port in ('', '80', '443') then '' else ':' || port end || regexp_replace(path, '/+$', '') ||
+case when length(h) > 0 then h || case when port in ('', '80', '443') then '' else ':' || port end || regexp_replace(list_aggregate(segments, 'string_agg', '/'), '/+$', '') ||
   case when len(q) > 0 then '?' || array_to_string(list_sort(q), '&') else '' end end"""
 _PARTS = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?'"
 
+
+def _percent_sql(part: str) -> str:
+    letter = "chr(cast('0x' || p[1:2] as int))"
+    code = f"case when not regexp_matches(p, '^[0-9A-Fa-f]{{2}}') then '%' || p when regexp_matches({letter}, '{UNRESERVED}') then {letter} || p[3:] else '%' || upper(p[1:2]) || p[3:] end"
+    return f"(string_split({part}, '%')[1] || array_to_string(list_transform(string_split({part}, '%')[2:], lambda p: {code}), ''))"
+
+
+_SEGMENTS = f"""list_reduce(list_transform(string_split({_percent_sql(f"regexp_extract(url, {_PARTS}, 4)")}, '/'), lambda x: [x]),
+  lambda a, x: case when x[1] = '.' then a when x[1] = '..' then a[1:greatest(1, len(a) - 1)] else list_concat(a, x) end)"""
+
 QUERIES = {"op1_warc_revisit": op1_warc_revisit}
 ORACLES = {
     "op1_warc_revisit": rf"""
 with p as (select page_id n, '"' || md5(coalesce(html, '')) || '"' tag, 'day ' || (page_id % 1000) d,
-  regexp_replace(lower(regexp_extract(url, {_PARTS}, 2)), '^(www|m)\.', '') h, regexp_extract(url, {_PARTS}, 3) port, regexp_extract(url, {_PARTS}, 4) path,
-  list_filter(string_split(regexp_extract(url, {_PARTS}, 5), '&'), lambda x: x <> '' and not regexp_matches(lower(x), '^({TRACKING})=')) q from pages),
+  regexp_replace(lower(regexp_extract(url, {_PARTS}, 2)), '^www\.', '') h, regexp_extract(url, {_PARTS}, 3) port, {_SEGMENTS} segments,
+  list_filter(string_split({_percent_sql(f"regexp_extract(url, {_PARTS}, 5)")}, '&'), lambda x: x <> '' and not regexp_matches(lower(x), '^({TRACKING})=')) q from pages),
 r as (select n, tag, d, {_KEY} k, 10 * n t from p),
 v as (select *, 10 * n + case when n % 10 = 9 then -5 else 25 end rt,
   case when n % 11 = 0 then null when n % 7 = 0 then '"' || md5(cast(n as varchar)) || '"' when n % 5 = 0 then null else tag end et,

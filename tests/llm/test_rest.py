@@ -58,7 +58,7 @@ def brute_revisits(records):
 
 def test_revisits_against_brute_force_with_a_hot_url(spark):
     r = random.Random(0)
-    urls = [("http://www.A.com:80/x/?utm_source=q&b=2&a=1#f", "a.com/x?a=1&b=2"), ("https://a.com/x?a=1&b=2", "a.com/x?a=1&b=2"), ("http://u@b.org:8080/", "b.org:8080"), ("c.net/no-scheme", None), (None, None), ("HTTP://m.b.org:8080", "b.org:8080"), ("http://d.io/?ref=x", "d.io")]
+    urls = [("http://www.A.com:80/x/?utm_source=q&b=2&a=1#f", "a.com/x?a=1&b=2"), ("https://a.com/x?a=1&b=2", "a.com/x?a=1&b=2"), ("http://u@b.org:8080/", "b.org:8080"), ("c.net/no-scheme", None), (None, None), ("HTTP://m.b.org:8080", "m.b.org:8080"), ("http://d.io/?gclid=x", "d.io"), ("http://d.io/?ref=x", "d.io?ref=x"), ("https://a.com/y/../%78/./?%61=1&b=2", "a.com/x?a=1&b=2")]
     rows = []
     for n in range(600):
         url, key = urls[0] if n % 3 == 0 else r.choice(urls)
@@ -72,6 +72,32 @@ def test_revisits_against_brute_force_with_a_hot_url(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("url,key", [
+    ("http://A.com/%7Euser/%2f%zz%4", "a.com/~user/%2F%zz%4"), ("http://a.com/a/./b/../../c/", "a.com/c"), ("http://a.com/../../x", "a.com/x"), ("http://a.com/.hidden/a..b", "a.com/.hidden/a..b"),
+    ("http://a.com/x?sid=1&ref=2&UTM_Source=3", "a.com/x?ref=2&sid=1"), ("http://m.a.com/x", "m.a.com/x"), ("http://www.a.com", "a.com"), ("http://a.com/?q=%e4%B8%ad", "a.com?q=%E4%B8%AD"),
+    ("http://a.com/" + "x" * 100_000, "a.com/" + "x" * 100_000), ("", None), (None, None), ("http:///x", None),
+])
+def test_canonical_urls(spark, url, key):
+    df = spark.createDataFrame([(url,)], "url string")
+    assert df.select(warc.canonical_url(df.url).alias("k")).first().k == key
+    if url is not None:
+        con = duckdb.connect()
+        con.execute("create table pages as select 0 page_id, $1 url, '' html", [url])
+        found = con.execute(queries.oracle_sql()["op1_warc_revisit"]).fetchall()
+        assert found[0][1] == key
+
+
+def test_headers_that_differ_in_case_and_clashing_columns(spark):
+    schema = "record_id long, url string, ts long, status int, etag string, last_modified string, headers map<string,string>, key string, payload string, slice int"
+    rows = [
+        (1, "http://a.b/x", 1, 200, '"a"', None, {"Date": "d1", "date": "d0", "X-Long": "v" * 200_000, "Content-Type": "t"}, "k", "p", 3),
+        (2, "http://a.b/x", 2, 304, '"a"', None, {"DATE": "d2", "Date": "d3", "etag": None}, "k", "p", 3),
+    ]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()
+    assert [(x.record_id, x.refers_to, x.verdict) for x in got] == [(2, 1, "matched")]
+    assert got[0].headers == {"date": "d2, d3", "x-long": "v" * 200_000, "content-type": "t", "etag": None}
+
+
 # ---- licences
 
 
