@@ -10,7 +10,9 @@ One pass over the texts, no shuffle of texts: the known digests are a table of a
 rows, broadcast when it is the built-in one; a table of the caller's is joined as
 Spark sees fit.
 
-Defined cases. Null text is empty. A text of nothing but copyright lines or
+Short licences are known by their texts, long ones by their digests alone.
+
+Defined cases. Null text is empty. Very long texts are normalised whole. A text of nothing but copyright lines or
 punctuation normalises to the empty string and matches no licence. Known licences of
 equal normal form: the one with the smallest id. Repeated rows give repeated rows;
 extra columns are ignored; empty tables give an empty result.
@@ -24,7 +26,12 @@ from pyspark.sql import functions as F
 from calspark.llm.storage import documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(?m)^[^\na-z0-9]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that begins like a notice: copyright with (c), ©, a year (or a place for one) or by; (c) with either; ©; or all rights reserved alone.
+#: Lines of a licence that only happen to begin with the word, as wrapping has it, stay.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\na-z0-9]*(copyright[^\na-z0-9]*(c\)|[0-9]{4}|yyyy|year|by )[^\n]*|copyright[^\na-z0-9]*©[^\n]*"
+    r"|\(c\)[^\na-z0-9]*([0-9]{4}|copyright)[^\n]*|©[^\n]*|all rights reserved[^\na-z0-9]*)$"
+)
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Spellings held equal, as in public licence matching guidelines.
 EQUIVALENT = (
@@ -57,6 +64,31 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -71,6 +103,25 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+#: Long licences: SHA-256 of the normal forms of the texts that Debian's base files carry. tests/llm makes them anew.
+DIGESTS = {
+    "Apache-2.0": "dbb777d3ad1fb948fbe99e6748cbd3fea3f269381f3f7efe3f4259a28a9269c9",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "BSD-3-Clause-UC": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "118b2c814d7e3fa57c85f71b240c6a47d353e8acce9164ed6f28305ba85202b2",
+    "MPL-2.0": "2ae5d4417f09cff2e3412d0e35c4ee2439f6c18ca69d7d9cc799b33614c368a5",
+}
+
+
 def canonical(text: Column) -> Column:
     """The normal form of a text."""
     low = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
@@ -94,8 +145,9 @@ def known_digests(licenses: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (null where no known licence is the whole text) of every row."""
     if licenses is None:
-        built_in = docs.sparkSession.createDataFrame(sorted(KNOWN.items()), "license_id string, text string")
-        known = F.broadcast(known_digests(built_in))
+        spark = docs.sparkSession
+        built_in = known_digests(spark.createDataFrame(sorted(KNOWN.items()), "license_id string, text string"))
+        known = F.broadcast(built_in.unionByName(spark.createDataFrame(sorted(DIGESTS.items()), "license_id string, digest string")))
     else:
         known = known_digests(licenses)
     return docs.select("doc_id", digest(F.col("text")).alias("digest")).join(known, "digest", "left").select("doc_id", "digest", "license_id")
@@ -113,14 +165,15 @@ def _sql(text: str) -> str:
     return f"trim(replace({out}, '  ', ' '))"
 
 
-def _values() -> str:
-    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
+def _values(rows: dict[str, str]) -> str:
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(rows.items()))
 
 
 QUERIES = {"op2_license_scan": op2_license_scan}
 ORACLES = {
     "op2_license_scan": f"""
-with k as (select sha256({_sql("text")}) digest, min(license_id) license_id from (values {_values()}) v(license_id, text) group by 1),
+with k as (select sha256({_sql("text")}) digest, min(license_id) license_id from (values {_values(KNOWN)}) v(license_id, text) group by 1
+  union all select digest, license_id from (values {_values(DIGESTS)}) w(license_id, digest)),
 d as (select doc_id, sha256({_sql("text")}) digest from documents)
 select doc_id, digest, license_id from d left join k using (digest)
 """

@@ -2,6 +2,7 @@
 
 import os
 import random
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -116,6 +117,33 @@ def test_rewritten_licences_are_known_and_mentions_are_not(spark):
     assert "Python" not in licenses.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_wrapping_and_notices_do_not_matter(spark):
+    rows, n = [], 0
+    for name, text in licenses.KNOWN.items():
+        if not name.startswith("notice"):
+            for width in range(20, 100):
+                wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n\n"))
+                rows.append((n, "Copyright (c) 2001-2019, Jo Doe <jo@x.org>\nCopyright 1999 by others\n(C) 2004 a third\n© 2005\nAll rights reserved.\n\n" + wrapped, name))
+                n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {x.doc_id: x.license_id for x in licenses.license_scan(docs).collect()}
+    assert [(r[2], r[0]) for r in rows if got[r[0]] != r[2]] == []
+
+
+SYSTEM = "/usr/share/common-licenses"
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "BSD-3-Clause-UC": "BSD", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SYSTEM), reason="needs the licence texts of the system")
+def test_long_licences_by_their_digests(spark):
+    texts = {k: open(f"{SYSTEM}/{f}", encoding="utf-8", errors="replace").read() for k, f in FILES.items() if os.path.exists(f"{SYSTEM}/{f}")}
+    rows = [(n, t, k) for n, (k, t) in enumerate(texts.items())] + [(100 + n, t.upper().replace("\n", "\r\n\t"), k) for n, (k, t) in enumerate(texts.items())]
+    rows.append((999, "x" + texts["GPL-3.0"] * 40, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {x.doc_id: x.license_id for x in licenses.license_scan(docs).collect()}
+    assert set(FILES) == set(licenses.DIGESTS) and all(got[r[0]] == r[2] for r in rows)
+
+
 # ---- rollups
 
 
