@@ -11,22 +11,34 @@ The fingerprint samples SLOTS places of the emitted string. Slot k takes the ste
 of smallest shared priority among the steps the walk took, so that texts of
 different length mostly choose the same steps, and keeps four bits of a hash of
 (step, character): one hex digit. The likeness of two fingerprints is the share of
-equal digits. Bands of BAND consecutive slots, themselves a random sample of the
-string, find candidates; likeness verifies them.
-
-Edited texts need the next document. Rows are dealt to buckets of doc_id between
-quantiles, sorted there and read as a stream with one document of lookahead; the
-first document of a bucket is also sent to the bucket before it. Whole texts are
-shuffled once.
+equal digits.
+
+Banding. BANDS samples of BAND digits each are a fingerprint's index keys. Documents
+that share a key are candidates, likeness of LIKENESS or more verifies them, and the
+classes are the connected components: of equal fingerprints one node is left, in a
+key's bucket every node first meets the smallest one, which gives a row a member, what
+that links is contracted, and only nodes of different components meet afterwards.
+A pair of likeness 0.8 shares a key with probability 0.97, one of 0.9 with 0.9998.
+
+Edited texts need the next document. Texts are dealt to ranges of about RANGE_BYTES
+between keys (doc_id, hash of the text) drawn from the rows with chances in proportion
+to their bytes, a range a task, sorted there and read as a stream; a drawn row is the
+first of its range and is also sent to the range before. Texts travel compressed,
+with their fingerprints, once. Repeated rows of a task travel as one with a count, so
+that a row that a third of the table repeats does not fill a range.
 
 Defined cases. Null text: empty. Empty text: SLOTS zeros. Null doc_id sorts first,
-equal doc_ids by text. With one row the next document is that row itself. An
-empty table gives an empty result. Extra columns are ignored.
+equal doc_ids by a hash of the text. With one row the next document is that row itself.
+Very long texts are walked whole, CHUNK_CHARS characters or one text at a time. An
+empty table gives an empty result. Extra columns, whatever their names, are ignored.
+The class of a document without doc_id has the name of its others, if they have one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,8 +50,12 @@ from pyspark.sql import functions as F
 from calspark.llm.components import connected_components
 from calspark.llm.storage import documents, materialize, partitions
 
-SLOTS, BAND = 128, 4
+SLOTS, BANDS, BAND = 128, 16, 8
 LIKENESS = 0.8
+#: Bytes of text of a range, the most ranges, and the rows drawn for each to find where they begin.
+RANGE_BYTES, MOST_RANGES, DRAWN = 16 << 20, 20_000, 32
+#: Rows that a task remembers to know repeated ones, and copies that a row of the result stands for at most before it is spread.
+SEEN, SPREAD = 100_000, 1_000
 #: Steps after which the shared random bits repeat, classes of characters, seed.
 PERIOD, CLASSES, SEED = 4096, 256, 20_240_901
 #: Characters that walk together: bounds a task's memory.
@@ -49,6 +65,7 @@ SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, bands_edited int, bands_next int"
 )
+DEALT = "bucket int, peek boolean, known int, id long, h long, copies long, fingerprint string, body binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,8 +146,16 @@ def likeness(a: str, b: str) -> float:
     return float((x == y).mean())
 
 
+@cache
+def band_slots() -> np.ndarray:
+    """[band, k]: the slots of each band, drawn by shared priorities."""
+    drawn = _mix(np.arange(BANDS * SLOTS, dtype=np.uint64) + np.uint64((SEED + 3) << 20)).reshape(BANDS, SLOTS)
+    return np.sort(np.argsort(drawn, axis=1)[:, :BAND], axis=1)
+
+
 def shared_bands(a: str, b: str) -> int:
-    return sum(a[i : i + BAND] == b[i : i + BAND] for i in range(0, SLOTS, BAND))
+    same = np.frombuffer(a.encode(), np.uint8) == np.frombuffer(b.encode(), np.uint8)
+    return int(same[band_slots()].all(1).sum())
 
 
 def edited(text: str, following: str) -> str:
@@ -139,63 +164,149 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _deal(cuts: list[tuple], least: tuple):
+    """Rows (known, id, h, text) to rows of DEALT; what a task has seen before is only counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        names = [f.split()[0] for f in DEALT.split(", ")]
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        seen: dict[tuple, int] = {}
+
+        def rows_of(key: tuple, copies: int, mark: str | None, body: bytes | None) -> list[tuple]:
+            bucket = bisect_right(cuts, key)
+            out = [(bucket, False, *key, copies, mark, body)]
+            if body is not None and (key == least or bucket and key == cuts[bucket - 1]):
+                out.append((bucket - 1 if bucket else len(cuts), True, *key, 1, mark, body))
+            return out
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        def counted() -> list[tuple]:
+            out = [x for key, n in seen.items() if n for x in rows_of(key, n, None, None)]
+            seen.clear()
+            return out
+
+        def flush(fresh: list[tuple[tuple, str]]) -> pa.RecordBatch:
+            marks = fingerprint_all([t for _, t in fresh])
+            return batch_of([x for (key, t), mark in zip(fresh, marks) for x in rows_of(key, 1, mark, pack(t.encode()))])
+
+        for batch in batches:
+            fresh, size = [], 0
+            for known, doc, h, text in zip(*batch.columns):
+                key = (known.as_py(), doc.as_py(), h.as_py())
+                if key in seen:
+                    seen[key] += 1
+                    continue
+                seen[key] = 0
+                fresh.append((key, text.as_py()))
+                size += len(fresh[-1][1])
+                if size >= CHUNK_CHARS:
+                    yield flush(fresh)
+                    fresh, size = [], 0
+            if fresh:
+                yield flush(fresh)
+            if len(seen) > SEEN and (rest := counted()):
+                yield batch_of(rest)
+        if rest := counted():
+            yield batch_of(rest)
+
+    return run
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, peek, doc_id, text) in order to rows of SCHEMA; one row is held back for its successor."""
-    rows: list[tuple] = []
+    """Rows of DEALT, sorted, to rows of SCHEMA with copies; one document is held back for its successor."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    # (doc, text, fingerprint, what follows, its fingerprint, copies)
+    todo: list[tuple] = []
     size = 0
 
-    def flush(last: bool) -> pa.RecordBatch:
-        texts = [r[3] for r in rows]
-        todo = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
-        changed = [edited(texts[i], texts[i + 1]) for i in todo]
-        prints = fingerprint_all(texts + changed)
-        own, new = prints[: len(texts)], prints[len(texts) :]
+    def flush() -> pa.RecordBatch:
+        changed = [edited(t, f) for _, t, _, f, _, _ in todo]
+        new = fingerprint_all(changed)
         columns = [
-            [rows[i][2] for i in todo], [len(texts[i]) for i in todo], [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-            [own[i] for i in todo], new, [likeness(own[i], p) for i, p in zip(todo, new)], [likeness(own[i], own[i + 1]) for i in todo],
-            [shared_bands(own[i], p) for i, p in zip(todo, new)], [shared_bands(own[i], own[i + 1]) for i in todo],
+            [x[0] for x in todo], [len(x[1]) for x in todo], [hashlib.sha256(t.encode()).hexdigest() for t in changed], [x[2] for x in todo], new,
+            [likeness(x[2], p) for x, p in zip(todo, new)], [likeness(x[2], x[4]) for x in todo], [shared_bands(x[2], p) for x, p in zip(todo, new)], [shared_bands(x[2], x[4]) for x in todo], [x[5] for x in todo],
         ]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
-
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*(f.split()[0] for f in SCHEMA.split(", ")), "copies"])
+
+    def pairs(now: list, following: list | None) -> list[tuple]:
+        """What a finished group of equal rows gives: all but the last are followed by their own text."""
+        bucket, peek, known, doc, _, copies, mark, text = now
+        if peek or following is None:
+            return []
+        out = [(doc if known else None, text, mark, text, mark, n) for n in [SPREAD] * ((copies - 1) // SPREAD) + [(copies - 1) % SPREAD] if n]
+        return [*out, (doc if known else None, text, mark, following[7][: len(text) // 4], following[6], 1)]
+
+    now: list | None = None
     for batch in batches:
-        for bucket, peek, doc, text in zip(*batch.columns):
-            text = text.as_py() or ""
-            rows.append((bucket.as_py(), peek.as_py(), doc.as_py(), text))
-            size += len(text)
-            if size >= CHUNK_CHARS and len(rows) > 1:
-                yield flush(False)
-                rows, size = rows[-1:], len(text)
-    if rows:
-        yield flush(True)
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is not None and row[:5] == tuple(now[:5]):
+                now[5] += row[5]
+                continue
+            fresh = [*row[:7], unpack(row[7]).decode()]
+            if now is not None:
+                found = pairs(now, fresh if fresh[0] == now[0] else None)
+                todo += found
+                size += len(found) * len(now[7])
+            now = fresh
+            if size >= CHUNK_CHARS:
+                yield flush()
+                todo, size = [], 0
+    if todo:
+        yield flush()
+
+
+def _cuts(keys: DataFrame) -> tuple[list[tuple], tuple] | None:
+    """(keys at which ranges begin, least key) of rows (known, id, h, size). At most about MOST_RANGES x DRAWN drawn keys reach the driver."""
+    x = keys.agg(F.sum("size").alias("bytes"), F.min(F.struct("known", "id", "h")).alias("least")).first()
+    if x["bytes"] is None:
+        return None
+    ranges = min(MOST_RANGES, math.ceil(x["bytes"] / RANGE_BYTES))
+    step = x["bytes"] / (ranges * DRAWN)
+    chance = F.pmod(F.xxhash64("known", "id", "h", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = keys.withColumn("n", F.floor(F.col("size") / F.lit(step) + chance)).where("n > 0")
+    weights = sorted((tuple(r["k"]), r["n"]) for r in drawn.groupBy(F.struct("known", "id", "h").alias("k")).agg(F.sum("n").alias("n")).collect())
+    cuts, passed, least = [], 0, tuple(x["least"])
+    for key, n in weights:
+        if passed // DRAWN < (passed + n) // DRAWN and key != least:
+            cuts.append(key)
+        passed += n
+    return cuts, least
+
+
+def prints(docs: DataFrame) -> DataFrame | None:
+    """Rows of SCHEMA with copies, written; None for an empty table."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    doc = docs["doc_id"].cast("long")
+    rows = docs.select(doc.isNotNull().cast("int").alias("known"), F.coalesce(doc, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = materialize(rows.select("known", "id", "h", (F.octet_length("text") + 64).cast("long").alias("size")), "editprint-keys")
+    found = _cuts(keys)
+    if found is None:
+        return None
+    cuts, least = found
+    dealt = rows.mapInArrow(_deal(cuts, least), DEALT)
+    ordered = dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "peek", "known", "id", "h", F.col("body").isNull())
+    return materialize(ordered.mapInArrow(_stream, SCHEMA + ", copies long"), "editprint")
+
+
+def spread(found: DataFrame) -> DataFrame:
+    """Rows of SCHEMA from those with copies: what stands for many rows is dealt out before it is repeated."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    many = found.where("copies > 1").repartition(partitions(found.sparkSession)).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return found.where("copies = 1").select(*names).unionByName(many.select(*names))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside that of its edited text and its likeness to both neighbours (SCHEMA)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    count = partitions(spark)
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [k / count for k in range(1, count)], 0.25 / count))) if count > 1 else []
-    edges = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id")))).cast("int")
-    dealt = rows.withColumn("bucket", bucket)
-    # at most one row a bucket reaches the driver; null ids sort before all others
-    firsts = dict(
-        dealt.select("bucket", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order_id")).groupBy("bucket").agg(F.min("order_id").alias("first")).collect()
-    )
-    if not firsts:
-        return spark.createDataFrame([], SCHEMA)
-    used = sorted(firsts)
-    before = {b: used[n - 1] for n, b in enumerate(used)}
-    size = used[-1] + 1
-    first_of = F.array(*[F.lit(firsts.get(b)).cast("long") for b in range(size)])
-    before_of = F.array(*[F.lit(before.get(b)).cast("int") for b in range(size)])
-    starts = F.coalesce("doc_id", F.lit(-(1 << 63))) == F.element_at(first_of, F.col("bucket") + 1)
-    own = F.struct("bucket", F.lit(False).alias("peek"))
-    ahead = F.struct(F.element_at(before_of, F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("peek"))
-    sent = dealt.withColumn("to", F.explode(F.when(starts, F.array(own, ahead)).otherwise(F.array(own)))).select("to.bucket", "to.peek", "doc_id", "text")
-    ordered = sent.repartition(4 * count, "bucket").sortWithinPartitions("bucket", "peek", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(_stream, SCHEMA)
+    found = prints(docs)
+    return spread(found) if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def _simple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,40 +325,61 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_simple, "doc_id long, fingerprint string")
 
 
-def _like(a, b):
-    same = [(F.substring(a, k + 1, 1) == F.substring(b, k + 1, 1)).cast("int") for k in range(SLOTS)]
-    total = same[0]
-    for x in same[1:]:
-        total = total + x
-    return total / F.lit(float(SLOTS))
-
-
-def linked_classes(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """doc_id, class_id: the connected components of verified band candidates; class_id is the smallest doc_id of the class.
-
-    Equal fingerprints are one node. In a band's bucket every node is first compared
-    with the bucket's smallest, which gives a row a member; what that links is
-    contracted, and only pairs of different components are compared afterwards.
-    """
-    prints = materialize(prints, "editprint")
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", k * BAND + 1, BAND).alias("key")) for k in range(SLOTS // BAND)])
-    index = materialize(nodes.select("node", "fingerprint", F.explode(bands).alias("b")).select("node", "fingerprint", "b.band", "b.key"), "editprint-bands")
-    pivots = index.groupBy("band", "key").agg(F.min(F.struct("node", "fingerprint")).alias("pivot"))
-    met = index.join(pivots, ["band", "key"]).where(F.col("node") != F.col("pivot.node"))
-    stars = met.where(_like(F.col("fingerprint"), F.col("pivot.fingerprint")) >= least).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-    first = connected_components(stars)
-    labelled = materialize(index.join(first, "node", "left").select("band", "key", "fingerprint", F.coalesce("label", "node").alias("label")), "editprint-labelled")
-    a, b = labelled.alias("a"), labelled.alias("b")
-    near = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (_like(F.col("a.fingerprint"), F.col("b.fingerprint")) >= least)
-    second = connected_components(a.join(b, near).select(F.col("a.label").alias("a"), F.col("b.label").alias("b")).distinct())
-    named = nodes.join(first, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("label"))
-    named = named.join(second.select(F.col("node").alias("label"), F.col("label").alias("outer")), "label", "left").select("fingerprint", F.coalesce("outer", "label").alias("class_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "class_id")
+def _digit(slot: int):
+    return F.shiftrightunsigned(F.col("bits")[slot // 16], 60 - 4 * (slot % 16)).bitwiseAND(F.lit(15))
+
+
+def _keys():
+    """A key for each band: its number and the digits of its slots."""
+    out = []
+    for band, slots in enumerate(band_slots().tolist()):
+        key = F.lit(band).cast("long")
+        for slot in slots:
+            key = F.shiftleft(key, 4).bitwiseOR(_digit(slot))
+        out.append(key)
+    return F.array(*out)
+
+
+def _like(a: str, b: str):
+    """The share of equal digits of two arrays of 8 longs: the digits that do not differ in any bit."""
+    differing = F.lit(0)
+    for k in range(SLOTS // 16):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differing = differing + F.bit_count(x)
+    return (F.lit(SLOTS) - differing) / F.lit(float(SLOTS))
+
+
+def linked_classes(found: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(fingerprint, class_id) of (doc_id, fingerprint): the class is named by its smallest doc_id."""
+    bits = F.array(*[F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("long") for k in range(SLOTS // 16)])
+    named = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "editprint-nodes")
+    nodes = named.where("node is not null").select("node", bits.alias("bits"))
+    index = nodes.select("node", F.explode(_keys()).alias("key"))
+    # partial sums and a join that can be split, not a window: a key may be that of a third of all rows
+    pivots = index.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "pivot")
+    index = materialize(index.join(materialize(pivots, "editprint-pivots"), "key"), "editprint-bands")
+    a, b = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"))
+    like = _like("a_bits", "b_bits") >= F.lit(least)
+    met = index.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = connected_components(met.join(a, "a").join(b, "b").where(like).select("a", "b"))
+    labelled = index.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = materialize(labelled, "editprint-labelled")
+    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "editprint-mixed")
+    open_rows = labelled.join(mixed, "key", "left_semi").join(nodes, "node")
+    x, y = open_rows.select("key", F.col("label").alias("a"), F.col("bits").alias("a_bits")), open_rows.select(F.col("key").alias("key2"), F.col("label").alias("b"), F.col("bits").alias("b_bits"))
+    second = connected_components(x.join(y, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & like).select("a", "b").distinct())
+    classes = named.join(first, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("label"))
+    return classes.join(second.withColumnRenamed("label", "outer"), F.col("label") == F.col("node"), "left").select("fingerprint", F.coalesce("outer", "label").alias("class_id"))
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    found = prints(documents(spark, sf_dir))
+    if found is None:
+        return spark.createDataFrame([], SCHEMA + ", class_id long")
+    classes = materialize(linked_classes(found.select("doc_id", "fingerprint")), "editprint-classes")
+    return spread(found).join(classes, "fingerprint").select(*[f.split()[0] for f in SCHEMA.split(", ")], "class_id")
 
 
 QUERIES = {"op8_edit_fingerprint": op8_edit_fingerprint}

@@ -1,6 +1,10 @@
 import hashlib
+import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from calspark.llm import editprint
 
 
@@ -67,32 +71,48 @@ def test_likeness_falls_with_edits_and_is_low_between_strangers():
     assert means[0] > 0.85 and means[0] > means[1] > means[2] > stranger - 0.02 and stranger < 0.25
 
 
-def test_query_against_brute_force(spark):
+@pytest.mark.parametrize("size", [1_500, 20_000, 1 << 24])
+def test_query_against_brute_force(spark, monkeypatch, size):
     r = random.Random(2)
     rows = [(n * 7 % 101, prose(r, r.choice([0, 1, 10, 200]))) for n in range(90)] + [(3, None), (5, "dup"), (5, "dup"), (None, "first"), (1000, "é" * 33)]
+    rows += [(77, "hot " * 9)] * 2_500
     docs = spark.createDataFrame([(d, t, "f", 0) for d, t in rows], "doc_id long, text string, fingerprint string, bucket int").repartition(5)
+    monkeypatch.setattr(editprint, "RANGE_BYTES", size)
     got = sorted(((x.doc_id, x.n_chars, x.edited_sha256, x.fingerprint, x.edited_fingerprint, round(x.near_edited, 9), round(x.near_next, 9)) for x in editprint.edited_fingerprints(docs).collect()), key=repr)
-    order = sorted(((d is not None, d or 0, t or "") for d, t in rows))
-    want = []
-    for (known, d, t), (_, _, following) in zip(order, order[1:] + order[:1]):
+    hashes = {x.text: x.h for x in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) h").distinct().collect()}
+    order = sorted(((d is not None, d or 0, hashes[t or ""], t or "") for d, t in rows))
+    want, marks = [], {}
+    for known, d, _, t in set(order):
+        marks[t] = editprint.fingerprint_all([t])[0]
+    for (known, d, _, t), (_, _, _, following) in zip(order, order[1:] + order[:1]):
         k = len(t) // 4
         e = t[: len(t) - k] + following[:k]
-        p, q, s = editprint.fingerprint_all([t, e, following])
+        if e not in marks:
+            marks[e] = editprint.fingerprint_all([e])[0]
+        p, q, s = marks[t], marks[e], marks[following]
         want.append((d if known else None, len(t), hashlib.sha256(e.encode()).hexdigest(), p, q, round(editprint.likeness(p, q), 9), round(editprint.likeness(p, s), 9)))
     assert got == sorted(want, key=repr)
 
 
 def test_chunks_of_a_stream_make_no_difference(monkeypatch):
     import pyarrow as pa
+    import zstandard
 
     r = random.Random(8)
-    rows = [(b, p, n, prose(r, r.choice([0, 3, 60]))) for n, (b, p) in enumerate([(0, False)] * 9 + [(0, True), (2, False), (2, True)] + [(5, False)] * 4 + [(5, True)] * 2)]
-    batches = lambda: iter([pa.RecordBatch.from_pylist([dict(zip(("bucket", "peek", "doc_id", "text"), x)) for x in rows[a : a + 4]]) for a in range(0, len(rows), 4)])
+    rows = []
+    for n, (bucket, peek) in enumerate([(0, False)] * 9 + [(0, True), (2, False), (2, True)] + [(5, False)] * 4 + [(5, True)]):
+        t = prose(r, r.choice([0, 3, 60]))
+        rows.append((bucket, peek, 1, n, 7, 1, editprint.fingerprint_all([t])[0], zstandard.ZstdCompressor().compress(t.encode())))
+        if n % 3 == 0:
+            rows.append((bucket, peek, 1, n, 7, 2, None, None))
+    names = [f.split()[0] for f in editprint.DEALT.split(", ")]
+    batches = lambda: iter([pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows[a : a + 4]]) for a in range(0, len(rows), 4)])
     results = []
     for size in (1, 40, 500, 10**9):
         monkeypatch.setattr(editprint, "CHUNK_CHARS", size)
         results.append([x for b in editprint._stream(batches()) for x in b.to_pylist()])
-    assert len(results[0]) == 14 and all(x == results[0] for x in results)
+    own = [x for x in rows if not x[1]]
+    assert sum(x["copies"] for x in results[0]) == sum(x[5] for x in own) and all(x == results[0] for x in results)
 
 
 def test_one_row_and_none(spark):
@@ -101,10 +121,60 @@ def test_one_row_and_none(spark):
     assert editprint.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_linked_classes(spark):
+def test_bits_against_digits(spark):
+    r = random.Random(5)
+    pairs = [("".join(r.choices("0123456789abcdef", k=editprint.SLOTS)),) * 2 for _ in range(9)]
+    pairs = [(a, "".join(x if r.random() < 0.7 else r.choice("0123456789abcdef") for x in b)) for a, b in pairs]
+    bits = lambda c: F.array(*[F.conv(F.substring(c, 16 * k + 1, 16), 16, -10).cast("long") for k in range(editprint.SLOTS // 16)])
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", bits("a").alias("x"), bits("b").alias("y"), bits("a").alias("bits"))
+    for row in df.select("a", "b", editprint._like("x", "y").alias("like"), editprint._keys().alias("keys")).collect():
+        assert abs(row["like"] - editprint.likeness(row.a, row.b)) < 1e-12
+        for band, (key, slots) in enumerate(zip(row["keys"], editprint.band_slots())):
+            assert key == band << 32 | int("".join(row.a[k] for k in slots), 16)
+
+
+def test_classes_against_comparing_all_pairs(spark):
+    """At least 0.9 of the pairs of likeness 0.8 are in one class, and no class joins what no chain of them joins."""
     r = random.Random(3)
-    base = [prose(r, 200) for _ in range(5)]
-    rows = [(n, b) for n, b in enumerate(base)] + [(10 + n, mutated(r, b, 0.001)) for n, b in enumerate(base)] + [(20, base[0])]
-    prints = editprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {x.doc_id: x.class_id for x in editprint.linked_classes(prints, 0.6).collect()}
-    assert got[20] == 0 and sum(got[10 + n] == n for n in range(5)) >= 4 and len({got[n] for n in range(5)}) == 5
+    base = [prose(r, 150) for _ in range(30)]
+    rows = [(n, b) for n, b in enumerate(base)]
+    rows += [(100 + 40 * n + k, mutated(r, b, r.choice([0.0005, 0.002, 0.004]))) for n, b in enumerate(base) for k in range(8)]
+    rows += [(5_000 + n, base[0]) for n in range(400)] + [(9_000 + n, mutated(r, base[1], 0.003)) for n in range(200)] + [(None, base[2]), (None, prose(r, 99))]
+    found = editprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    prints = {x.doc_id: x.fingerprint for x in found.where("doc_id is not null").collect()}
+    classes = {x.fingerprint: x.class_id for x in editprint.linked_classes(found).collect()}
+    different, member = sorted(set(prints.values())), {}
+    for d, p in sorted(prints.items()):
+        member.setdefault(p, d)
+    group = {p: p for p in different}
+
+    def top(p):
+        while group[p] != p:
+            group[p] = group[group[p]]
+            p = group[p]
+        return p
+
+    linked = together = 0
+    for k, p in enumerate(different):
+        for q in different[:k]:
+            if editprint.likeness(p, q) >= editprint.LIKENESS:
+                linked += 1
+                together += classes[p] == classes[q]
+                group[top(p)] = top(q)
+    assert linked > 500 and together >= 0.9 * linked
+    for p in different:
+        assert top(p) == top(prints[classes[p]]) and classes[p] <= member[p]
+    assert classes[prints[0]] == 0 and len({classes[prints[n]] for n in range(30)}) == 30
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_whole_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = editprint.op8_edit_fingerprint(spark, "/root/testdata/sf0.001").collect()
+    texts = sorted((x.doc_id, x.text or "") for x in docs.collect())
+    assert len(got) == len(texts)
+    rows = {x.doc_id: x for x in got}
+    for (d, t), (_, following) in zip(texts, texts[1:] + texts[:1]):
+        e = editprint.edited(t, following)
+        x = rows[d]
+        assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and [x.fingerprint, x.edited_fingerprint] == editprint.fingerprint_all([t, e]) and x.class_id <= d
