@@ -3,22 +3,28 @@
 Lengths are at most the capacity, so their histogram is bounded (2048 rows) and the
 whole plan is made from it on the driver, whatever the number of documents:
 
-1. Large lengths are sorted and cut into groups of equal cardinality; each group
-   is rounded up to its longest member (linear grouping).
-2. Configurations over those few sizes: the largest size left plus the fullest
-   combination of the others (an exact subset sum), used as often as the counts
-   allow, as long as it fills nearly all of a sequence.
-3. Actual documents replace the rounded sizes, longest first, which leaves room.
+1. Lengths over LARGE of the capacity are sorted and cut into GROUPS groups of equal
+   cardinality; each group is rounded up to its longest member (linear grouping).
+2. Configurations of those few sizes are optimised together: the linear program of
+   the fewest sequences that hold all groups, by column generation (a knapsack finds
+   the configuration that the current prices make most worthwhile). It says how often
+   each configuration is used.
+3. Actual documents replace the rounded sizes: the longest left of each group, and in
+   the last place the longest of all documents left that still fits, so that what
+   rounding has left free is filled too.
 4. All documents left, small ones among them, go by best fit, longest first.
 
 The plan says: of the documents of this length, those ranked lo .. lo+n-1 go to
-sequences s .. s+n-1 at this offset. Ranks within a length are made in buckets of
-a hash with bucket offsets, so that a length shared by a third of all documents
-spreads over many tasks.
+sequences s .. s+n-1 at this offset. Pieces as long as a sequence need no plan: each
+takes a sequence of its own, numbered below zero by the row. The others are ranked
+within their length in buckets of about BUCKET_ROWS rows with bucket offsets; buckets
+are dealt by the row's number, so neither a length shared by a third of all documents
+nor a row repeated as often meets in one task, however large the corpus.
 
 Defined cases. Null text: empty, one token (the closing id). Longer documents than
 a sequence are cut into full pieces, the first may be shorter. Repeated rows and
-null ids are packed like any others. An empty table gives an empty result.
+null ids are packed like any others. Very long texts are tokenized whole, one at a time.
+Extra columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +42,12 @@ from calspark.llm.tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Sizes after grouping, the least large length, and the least fill of a configuration.
-GROUPS, LARGE, FILL = 1024, CAPACITY // 8, 0.998
-#: Hash buckets in which documents of one length are ranked, and pieces of a length's plan.
-BUCKETS, TILES = 256, 64
+#: Sizes after grouping, and the largest length that counts as small, as a share of the capacity.
+GROUPS, LARGE = 32, 1 / 3
+#: Most rounds of column generation; each leaves a plan that holds all groups.
+ROUNDS = 1_000
+#: Rows that are ranked together.
+BUCKET_ROWS = 50_000
 #: A plan of more rows than this is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -133,101 +141,151 @@ def _grouped(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return out
 
 
-def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[tuple[int, int]]:
-    """The largest size left and the fullest combination of what may go with it: [(group, times)]."""
-    first = next(g for g, n in enumerate(left) if n)
-    room = capacity - sizes[first]
-    limit, reach, steps = (1 << (room + 1)) - 1, 1, []
-    for g in range(first, len(sizes)):
-        most = min(left[g] - (g == first), room // sizes[g])
-        steps.append((g, most, reach))
-        for _ in range(most):
-            grown = reach | (reach << sizes[g]) & limit
-            if grown == reach:
-                break
-            reach = grown
-        if reach >> room & 1:
+def _dearest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of the greatest worth, by dynamic programming over the room: (worth, times of each size)."""
+    worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(int(sizes.min()), capacity + 1):
+        fits = np.flatnonzero(sizes <= room)
+        values = worth[room - sizes[fits]] + prices[fits]
+        best = int(values.argmax())
+        worth[room] = worth[room - 1]
+        if values[best] > worth[room] + 1e-12:
+            worth[room], last[room] = values[best], fits[best]
+    times, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if last[room] < 0:
+            room -= 1
+        else:
+            times[last[room]] += 1
+            room -= int(sizes[last[room]])
+    return float(worth[capacity]), times
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """(slots, times): how often each configuration is used when the fewest sequences hold ``demand`` items of each size.
+
+    The solution of the linear program, by column generation from one configuration a
+    size; ``slots`` names the size of each place. Stopping early leaves a solution that
+    only takes more sequences.
+    """
+    if not sizes:
+        return []
+    width, need = np.array(sizes), np.array(demand, float)
+    basis = np.diag((capacity // width).astype(float))
+    amounts = need / basis.diagonal()
+    for _ in range(ROUNDS):
+        inverse = np.linalg.inv(basis)
+        amounts = inverse @ need
+        worth, column = _dearest(width, np.maximum(inverse.sum(0), 0), capacity)
+        if worth <= 1 + 1e-7:
             break
-    want, used = reach.bit_length() - 1, {first: 1}
-    for g, most, before in reversed(steps):
-        while not before >> want & 1:
-            want -= sizes[g]
-            used[g] = used.get(g, 0) + 1
-    return sorted(used.items())
+        step = inverse @ column
+        out = np.full(len(sizes), np.inf)
+        out[step > 1e-9] = amounts[step > 1e-9] / step[step > 1e-9]
+        if not np.isfinite(out).any():
+            break
+        basis[:, int(out.argmin())] = column
+    slots = [[g for g in range(len(sizes)) for _ in range(int(basis[g, j]))] for j in range(len(sizes))]
+    return sorted(((c, float(n)) for c, n in zip(slots, amounts) if n > 0), key=lambda x: (-sum(sizes[g] for g in x[0]), x[0]))
+
+
+class _Stock:
+    """Documents left, by length."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.left = dict(histogram)
+        self.lengths = sum(1 << k for k in self.left)  # bit k: there are documents of length k
+
+    def longest(self, low: int, high: int, taken: dict[int, int]) -> int:
+        """The longest length from low to high that is there beyond ``taken``, or 0."""
+        while high >= low and (high := (self.lengths & ((1 << (high + 1)) - 1)).bit_length() - 1) >= low:
+            if self.left[high] > taken.get(high, 0):
+                return high
+            high -= 1
+        return 0
+
+    def take(self, length: int, n: int) -> None:
+        self.left[length] -= n
+        if not self.left[length]:
+            self.lengths &= ~(1 << length)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, lo, n, sequence, offset) that place every document of the histogram once."""
-    work = _Plan(capacity)
-    if full := histogram.get(capacity):
+    work, stock = _Plan(capacity), _Stock({k: n for k, n in histogram.items() if k and n})
+    if full := stock.left.get(capacity):
         work.place(capacity, work.new(full), full, 0)
-    large = {k: n for k, n in histogram.items() if capacity * LARGE // CAPACITY < k < capacity and n}
+        stock.take(capacity, full)
+    large = {k: n for k, n in stock.left.items() if capacity * LARGE < k and n}
     groups = _grouped(large, min(GROUPS, sum(large.values()))) if large else []
-    sizes, left = [g[0][0] for g in groups], [sum(n for _, n in g) for g in groups]
-    while any(left):
-        used = _configuration(sizes, left, capacity)
-        if sum(sizes[g] * k for g, k in used) < FILL * capacity:
-            # the largest size left cannot be combined well: best fit takes one of its documents a sequence
-            g = used[0][0]
-            left[g] = 0
-            continue
-        times = min(left[g] // k for g, k in used)
-        ranges = [(work.new(times), times, 0)]
-        for g, k in used:
-            left[g] -= k * times
-            for _ in range(k):
-                filled = []
-                for seq, n, offset in ranges:
-                    while n:
-                        run = groups[g][0]
-                        m = min(n, run[1])
-                        work.place(run[0], seq, m, offset)
-                        filled.append((seq, m, offset + run[0]))
-                        seq, n, run[1] = seq + m, n - m, run[1] - m
-                        if not run[1]:
-                            groups[g].pop(0)
-                ranges = filled
-        for seq, n, offset in ranges:
+    sizes, lows = [g[0][0] for g in groups], [g[-1][0] for g in groups]
+    for slots, amount in configurations(sizes, [sum(n for _, n in g) for g in groups], capacity):
+        times = round(amount)
+        while times > 0:
+            chosen: list[int] = []
+            taken: dict[int, int] = {}
+            for place, g in enumerate(slots, 1):
+                high = sizes[g] if place < len(slots) else capacity - sum(chosen)
+                length = stock.longest(lows[g], high, taken)
+                if not length:
+                    break
+                chosen.append(length)
+                taken[length] = taken.get(length, 0) + 1
+            if len(chosen) < len(slots):
+                break  # a group has run out: what is left of the others goes by best fit
+            n = min(times, *(stock.left[k] // c for k, c in taken.items()))
+            seq, offset = work.new(n), 0
+            for k in chosen:
+                work.place(k, seq, n, offset)
+                offset += k
+            for k, c in taken.items():
+                stock.take(k, c * n)
             work.put(capacity - offset, seq, n)
-    rest: dict[int, int] = {k: n for k, n in histogram.items() if k <= capacity * LARGE // CAPACITY}
-    for g in groups:
-        for length, n in g:
-            rest[length] = rest.get(length, 0) + n
-    for length in sorted(rest, reverse=True):
-        if length:
-            work.best_fit(length, rest[length])
+            times -= n
+    for length in sorted(stock.left, reverse=True):
+        work.best_fit(length, stock.left[length])
     return work.rows
 
 
+def numbered(parts: DataFrame) -> DataFrame:
+    """``parts`` with a number of its own for every row; to be written before it is read."""
+    return parts.withColumn("row", F.monotonically_increasing_id())
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (columns of ``pieces``, written already) with sequence_id and offset."""
+    """``parts`` (columns of ``pieces`` and row, written already) with sequence_id and offset."""
     spark = parts.sparkSession
-    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "bucket", "before")
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = keyed.withColumn("nth", F.row_number().over(within)).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
-    tiled = []
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = parts.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = parts.where(F.col("length") < capacity)
+    # at most ``capacity`` rows
+    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed: dict[int, list[tuple]] = {}
     for length, lo, n, seq, offset in plan(histogram, capacity):
-        size = -(-histogram[length] // TILES)
-        tiled += [(length, tile, lo, lo + n, seq, offset) for tile in range(lo // size, (lo + n - 1) // size + 1)]
-    sizes = [(k, -(-n // TILES)) for k, n in histogram.items()]
+        placed.setdefault(length, []).append((lo, lo + n, seq, offset))
+    # a length's ranks in as many tiles as it has rows of the plan: each meets few of them
+    sizes = [(k, -(-n // BUCKET_ROWS), -(-n // len(placed[k]))) for k, n in histogram.items()]
+    tiled = [(k, tile, *row) for k, _, size in sizes for row in placed[k] for tile in range(row[0] // size, (row[1] - 1) // size + 1)]
     # both tables grow with the capacity, not with the documents; the second one's size is checked all the same
-    tiles = F.broadcast(spark.createDataFrame(sizes, "length long, tile_size long"))
+    sizes = F.broadcast(spark.createDataFrame(sizes, "length long, buckets long, tile_size long"))
     places = spark.createDataFrame(tiled, "p_length long, p_tile long, lo long, hi long, seq long, offset long")
     places = F.broadcast(places) if len(tiled) <= BROADCAST_ROWS else places
+    keyed = rest.join(sizes, "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))
+    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "bucket").orderBy("row")
+    ranked = keyed.withColumn("nth", F.row_number().over(within)).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
     tile = F.floor(F.col("rank") / F.col("tile_size")).cast("long")
-    placed = ranked.join(tiles, "length").withColumn("tile", tile).join(
+    met = ranked.withColumn("tile", tile).join(
         places, (F.col("length") == F.col("p_length")) & (F.col("tile") == F.col("p_tile")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     )
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    return full.unionByName(met.select(*columns, (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id), "packing"), capacity)
+    return pack(materialize(numbered(pieces(docs, tokenizer, capacity, end_id)), "packing"), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,45 @@ def test_plans_place_everything_gaplessly_near_the_lower_bound():
     assert packing.plan({}, 100) == []
 
 
+def test_configurations_against_all_of_them():
+    """No linear program over all configurations takes fewer sequences: the prices of the solution allow none."""
+    r = random.Random(6)
+    for _ in range(40):
+        capacity = r.randint(20, 60)
+        sizes = sorted(r.sample(range(capacity // 5 + 1, capacity), r.randint(1, 5)), reverse=True)
+        demand = [r.randint(1, 500) for _ in sizes]
+        found = packing.configurations(sizes, demand, capacity)
+        held = Counter()
+        for slots, times in found:
+            assert sum(sizes[g] for g in slots) <= capacity
+            for g in slots:
+                held[g] += times
+        assert all(abs(held[g] - n) < 1e-6 for g, n in enumerate(demand))
+        # every configuration's worth at the best prices, found by trying all: none above one, and the prices pay for the solution
+        every = [[]]
+        for k in sizes:
+            every = [c + [n] for c in every for n in range(capacity // k + 1) if sum(a * b for a, b in zip(c, sizes)) + n * k <= capacity]
+        basis = np.zeros((len(sizes), len(sizes)))
+        if len(found) == len(sizes):
+            for j, (slots, _) in enumerate(found):
+                for g in slots:
+                    basis[g, j] += 1
+            prices = np.linalg.inv(basis).sum(0)
+            assert max(float(np.dot(prices, c)) for c in every) <= 1 + 1e-6 and abs(float(np.dot(prices, demand)) - sum(t for _, t in found)) < 1e-6
+
+
+def test_few_groups_pack_documents_within_a_thousandth_of_the_lower_bound():
+    r = random.Random(9)
+    for scale in (1, 1_000):
+        histogram = Counter()
+        for _ in range(40_000):
+            n = int(r.lognormvariate(6.2, 1.0)) + 1
+            histogram[n % 2048 or 2048] += scale
+        rows = packing.plan(dict(histogram), 2048)
+        n = placed(rows, histogram, 2048) if scale == 1 else max(s + c for _, _, c, s, _ in rows)
+        assert n <= 1.001 * -(-sum(k * v for k, v in histogram.items()) // 2048) and len(rows) < 20_000
+
+
 def best_fit(histogram, capacity):
     rooms = []
     for length in sorted(histogram.elements(), reverse=True):
@@ -81,8 +120,10 @@ def test_packed_documents_hold_their_ids_once(spark):
     assert len(sequences) <= -(-total // 512) + 1
 
 
-def test_one_length_for_all_documents_and_empty(spark):
-    docs = spark.range(5000).selectExpr("id doc_id", "'same words here' text")
-    rows = packing.best_fit_packing(docs, capacity=64).collect()
-    assert len({(x.sequence_id, x.offset) for x in rows}) == 5000
+def test_one_length_for_all_documents_and_empty(spark, monkeypatch):
+    for bucket_rows in (50_000, 7):
+        monkeypatch.setattr(packing, "BUCKET_ROWS", bucket_rows)
+        docs = spark.range(5000).selectExpr("if(id < 2000, 7, id) doc_id", "'same words here' text")
+        rows = packing.best_fit_packing(docs, capacity=64).collect()
+        assert len({(x.sequence_id, x.offset) for x in rows}) == 5000 and len({x.sequence_id for x in rows}) == -(-5000 // (64 // rows[0].length))
     assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string")).count() == 0
