@@ -9,8 +9,11 @@ from which every chain of l consecutive segments has at most floor(l*TAU/SEGMENT
 differing bits: none in segment i, at most 1 in two, 2 in three, 3 in four.
 At most two differing bits in segments i+1 and i+2 leave at least two of four
 pieces of these untouched, so the index key is (i, segment i, two of the four
-pieces): 30 keys of 26 bits for a fingerprint, whatever the corpus. Pairs that
-meet in a key are pruned by the chain budgets before the full Hamming check.
+pieces): 30 keys of 26 bits for a fingerprint. More pieces of more segments give more
+and longer keys by the same principle; the level of LEVELS with the fewest expected
+rows and chance meetings is taken, so that a large corpus does not fill its buckets.
+No level loses a pair. Pairs that meet in a key are pruned by the chain budgets
+before the full Hamming check.
 
 Skew. Equal texts and equal fingerprints collapse to one node before the
 search. In a bucket every member is first linked to the bucket's smallest
@@ -21,8 +24,10 @@ bucket of mutually close copies therefore gives a row a member, not all pairs.
 Defined cases. Null or blank text: fingerprint zero, linked like any other.
 Fewer words than a shingle: the whole sequence is the one shingle. Repeated rows
 stay as they are and share a component. Null ids take part but never name a
-component unless nothing else does; of documents without one, one of a group stays. Extra columns are ignored. An empty table
-gives an empty result.
+component unless nothing else does; of documents without one, one of a group stays.
+Very long texts are hashed whole, PIECE bytes at a time. Extra columns, whatever their
+names, are ignored, and kept where documents are filtered. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ TAU = 4
 SEGMENTS = 5
 SHINGLE_WORDS = 4
 SEED = 42
+#: Segments after the start that a key draws on, and pieces that they are cut in: 30 keys of 26 bits, 100 of 32, 420 of 39.
+LEVELS = ((2, 4), (3, 6), (3, 9))
 #: Bytes of a text split at a time and hashes counted at a time: bound memory for very long texts.
 PIECE, BLOCK = 1 << 22, 1 << 16
 SPACE = re.compile(rb"[ \t-\r]")
@@ -108,20 +115,31 @@ def _ring() -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _masks() -> list[tuple[int, int]]:
-    """(start segment, mask of the bits that a key holds), in a fixed order."""
+def _masks(level: int = 0) -> list[tuple[int, int]]:
+    """(start segment, mask of the bits that a key holds), in a fixed order, at a level of LEVELS."""
     out, ring = [], _ring()
+    after, pieces = LEVELS[level]
+    spoilt = (after + 1) * TAU // SEGMENTS  # pieces of the segments after the start that differing bits can touch
     for i in range(SEGMENTS):
         low, width = ring[i]
         exact = ((1 << width) - 1) << low
-        pieces = []
-        for low, width in (ring[(i + 1) % SEGMENTS], ring[(i + 2) % SEGMENTS]):
-            half = width // 2
-            pieces += [((1 << half) - 1) << low, ((1 << (width - half)) - 1) << (low + half)]
-        out += [(i, exact | a | b) for a, b in combinations(pieces, 2)]
+        bits = [b for k in range(1, after + 1) for b in range(ring[(i + k) % SEGMENTS][0], sum(ring[(i + k) % SEGMENTS]))]
+        cuts = [round(k * len(bits) / pieces) for k in range(pieces + 1)]
+        masks = [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:])]
+        out += [(i, exact | sum(chosen)) for chosen in combinations(masks, pieces - spoilt)]
     return out
 
 
+def level_for(count: int) -> int:
+    """The level whose index and expected chance meetings of ``count`` fingerprints are fewest."""
+
+    def rows(level: int) -> float:
+        masks = _masks(level)
+        return sum(1 + count / 2.0 ** m.bit_count() for _, m in masks)
+
+    return min(range(len(LEVELS)), key=rows)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -144,11 +162,11 @@ def _chain_ok(a, b, start):
     return test
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
+def buckets(nodes: DataFrame, level: int = 0) -> DataFrame:
     """Rows (start, slot, key, fp, pivot) of the index, only buckets with two members or more."""
     keys = F.array(*[
         F.struct(F.lit(n).alias("slot"), F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
-        for n, (i, mask) in enumerate(_masks())
+        for n, (i, mask) in enumerate(_masks(level))
     ])
     bucket = Window.partitionBy("slot", "key")
     return (
@@ -161,7 +179,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
 def components(fps: DataFrame) -> DataFrame:
     """(fp, label): the component of every distinct fingerprint of ``fps`` that has a neighbour."""
     nodes = fps.select("fp").distinct()
-    index = materialize(buckets(nodes), "simhash-buckets")
+    index = materialize(buckets(nodes, level_for(nodes.count())), "simhash-buckets")
     stars = index.where((F.col("fp") != F.col("pivot")) & _chain_ok(F.col("fp"), F.col("pivot"), F.col("start")) & (_bits(F.col("fp"), F.col("pivot")) <= TAU))
     first = connected_components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     labelled = index.select("slot", "start", "key", "fp").join(first.select(F.col("node").alias("fp"), "label"), "fp", "left").select(

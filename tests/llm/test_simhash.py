@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from calspark.llm import simhash
@@ -63,14 +64,30 @@ def test_pieces_of_a_long_text_count_as_one(monkeypatch):
         assert [simhash.fingerprint(t) for t in texts] == whole
 
 
-def test_index_loses_no_pair_within_tau():
-    r = random.Random(3)
-    masks = simhash._masks()
+@pytest.mark.parametrize("level,count,bits", [(0, 30, 26), (1, 100, 32), (2, 420, 39)])
+def test_index_loses_no_pair_within_tau(level, count, bits):
+    """Some key of a start whose chains stay within their budgets is free of differing bits."""
+    r, ring, masks = random.Random(3), simhash._ring(), simhash._masks(level)
+    assert len(masks) == count and all(abs(m.bit_count() - bits) <= 3 for _, m in masks)
     for _ in range(3000):
         x = 0
         for b in r.sample(range(64), r.randint(0, 4)):
             x |= 1 << b
-        assert any(x & m == 0 for _, m in masks)
+        starts = set()
+        for i in range(simhash.SEGMENTS):
+            held = [(x >> low & (1 << width) - 1).bit_count() for low, width in (ring[(i + k) % simhash.SEGMENTS] for k in range(simhash.SEGMENTS))]
+            if all(sum(held[:n]) <= n * simhash.TAU // simhash.SEGMENTS for n in range(1, simhash.SEGMENTS)):
+                starts.add(i)
+        assert any(x & m == 0 for i, m in masks if i in starts)
+
+
+def test_longer_keys_for_more_fingerprints(spark, monkeypatch):
+    assert [simhash.level_for(n) for n in (0, 10**6, 10**8, 10**9, 10**12)] == [0, 0, 0, 1, 2]
+    rows = corpus(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for level in (1, 2):
+        monkeypatch.setattr(simhash, "level_for", lambda n: level)
+        assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == brute(rows)
 
 
 def test_near_copies_in_one_bucket_emit_links_in_proportion(spark):
