@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -117,3 +118,114 @@ def test_redaction_masks_spans_and_keeps_rows(spark):
     got = sorted(map(tuple, secrets.redact(docs).collect()), key=str)
     want = sorted([(1, "a [secret] b", 12, "x"), (2, "k [secret] z", 12, "x"), *rows[2:]], key=str)
     assert got == want
+
+
+def brute_spans(texts):
+    """The spans of every text, kinds by name: patterns by re, the battery and the control of false discoveries by loops."""
+    tail = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+
+    def chi(x, df):
+        v = 2 / (9 * df)
+        return tail(((x / df) ** (1 / 3) - (1 - v)) / math.sqrt(v))
+
+    def kind_of(c):
+        return 0 if c in secrets.LOWER else 1 if c in secrets.UPPER else 2 if c in secrets.DIGIT else 3
+
+    def grid_of(token):
+        body = token.rstrip("=")
+        alphabet = next((letters for _, pattern, letters in secrets.ENCODINGS if re.search(pattern, body)), None)
+        n = len(body)
+        if alphabet is None or n < secrets.MIN_TOKEN:
+            return 0
+        k, codes = len(alphabet), [alphabet.index(c) for c in body]
+        symbols = chi(max(1e-9, k / n * sum(body.count(c) ** 2 for c in alphabet) - n), k - 1)
+        x, df = 0.0, -1
+        for letters in (secrets.LOWER, secrets.UPPER, secrets.DIGIT, "+/-_"):
+            size = sum(c in letters for c in alphabet)
+            if size:
+                expected = n * size / k
+                x, df = x + (sum(c in letters for c in body) - expected) ** 2 / expected, df + 1
+        classes = chi(max(1e-9, x), max(1, df)) if df > 0 else 1.0
+        high = [c >= k / 2 for c in codes]
+        n1 = sum(high)
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        expected = 1 + 2 * n1 * (n - n1) / n
+        by_runs = 2 * tail(abs(runs - expected) / math.sqrt(max(1e-9, (expected - 1) * (expected - 2) / (n - 1))))
+        mean = sum(codes) / n
+        spread = max(1e-9, sum((c - mean) ** 2 for c in codes))
+        serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n))
+        if 4 * min(symbols, classes, by_runs, serial) < secrets.BATTERY:
+            return 0
+        ordinary, kinds, letters = 0.0, [kind_of(c) for c in body], [secrets.LOWER.find(c) for c in body.lower()]
+        for i, c in enumerate(letters):
+            if c >= 0:
+                ordinary += (ord(secrets.BIGRAMS[26 * (letters[i - 1] + 1 if i and letters[i - 1] >= 0 else 0) + c]) - 48) / 10
+        ordinary += min(-math.log(1 / 4) - sum(math.log(table[a][b]) for a, b in zip(kinds, kinds[1:])) for table in secrets.CLASSES)
+        ordinary += math.log(10) * kinds.count(2) + math.log(4) * kinds.count(3)
+        return min(secrets.GRID - 1, math.floor(max(0.0, ordinary - n * math.log(k)) * secrets.STEP))
+
+    bases, tokens = [], []
+    for row, text in enumerate(texts):
+        t = text or ""
+        base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= secrets.MIN_ASSIGN]
+        base += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, t) if len(m[0]) >= secrets.MIN_ACCESS]
+        base += [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, t) if len(m[0]) >= secrets.MIN_HEX]
+        bases.append(sorted(base))
+        for m in re.finditer(secrets.TOKEN, t):
+            spans = {(m.start(), m.end())}
+            at = m.start()
+            for part in re.split(secrets.BREAK, m[0]):
+                if len(part.rstrip("=")) >= secrets.MIN_TOKEN and len(part) < len(m[0]):
+                    spans.add((at, at + len(part)))
+                at += len(part) + 1
+            for a, b in spans:
+                if not any(x < b and a < y for x, _, y in base):
+                    band = max(n for n, least in enumerate(secrets.BANDS) if b - a >= least)
+                    tokens.append((row, a, b, band, grid_of(t[a:b])))
+    found = [list(b) for b in bases]
+    for band in range(len(secrets.BANDS)):
+        mine = [x for x in tokens if x[3] == band]
+        least = min((g for g in {x[4] for x in mine} if g > 0 and math.exp(-g / secrets.STEP) <= secrets.FDR * sum(x[4] >= g for x in mine) / len(mine)), default=None)
+        for row, a, b, _, g in mine:
+            if least is not None and g >= least:
+                found[row].append((a, 3, b))
+    out = []
+    for spans in found:
+        random_ones = [s for s in spans if s[1] == 3]
+        inner = {s for s in random_ones if any(o != s and o[0] <= s[0] and s[2] <= o[2] for o in random_ones)}
+        out.append(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(set(spans) - inner)))
+    return out
+
+
+def test_whole_result_against_brute_force(spark):
+    r = random.Random(11)
+    alphabets = [letters for _, _, letters in secrets.ENCODINGS]
+    words = ["".join(r.choices("etaoinshrdlucm", k=r.randint(2, 9))) for _ in range(400)]
+
+    def token():
+        return "".join(r.choices(r.choice(alphabets), k=r.choice([16, 18, 20, 27, 32, 40, 64, 130]))) + "=" * r.choice([0, 0, 1, 2])
+
+    def text():
+        out = r.choices(words, k=r.randint(3, 60))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            out.insert(r.randrange(len(out)), r.choice(["", "KEY=", "a/b/", "token: ", "secret=", "é=", "https://x.org/", "some-long-name_"]) + token() + r.choice(["", "/tail", "-x", ".", "é"]))
+        for _ in range(r.choice([0, 0, 1])):
+            out.append(r.choice(["ThisIsALongCamelCaseIdentifier", "another_quite_long_snake_case_name", "aaaaaaaaaaaaaaaaaaaaaaaa", "2024/11/26/some-long-slug-of-a-page", "AKIA" + "A7" * 9, "0123456789abcdef" * 2]))
+        return " ".join(out)
+
+    texts = [text() for _ in range(300)] + [None, "", "word " * 30_000 + token(), "x" * 200_000]
+    texts += texts[:3]
+    docs = spark.createDataFrame([(n, t, "s", 1) for n, t in enumerate(texts)], "doc_id long, text string, spans string, number int").repartition(3)
+    got = {x.doc_id: x.spans for x in secrets.secrets(docs).collect()}
+    want = brute_spans(texts)
+    assert sum("random" in w for w in want) > 60
+    assert [(n, got[n], w) for n, w in enumerate(want) if got[n] != w] == []
+
+
+def test_long_keys_are_found_wherever_they_stand(spark):
+    r = random.Random(21)
+    rows = [(200 * k + n, before, "".join(r.choices(string.ascii_letters + string.digits, k=40))) for k, before in enumerate(("", "AWS_KEY=", "id=", "https://a.example.com/b/")) for n in range(200)]
+    docs = spark.createDataFrame([(d, f"words {before}{key} more") for d, before, key in rows], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.secrets(docs).collect()}
+    for k in range(4):
+        assert sum(got[d] == f"random:{6 + len(before)}:{46 + len(before)}" for d, before, _ in rows[200 * k : 200 * k + 200]) >= 190
