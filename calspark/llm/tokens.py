@@ -59,10 +59,9 @@ class Encoder:
         if not any(t in text for t in self.added):
             try:
                 return np.array(self.fast.encode_ordinary(text), "<u4")
-            except (KeyboardInterrupt, SystemExit):
-                raise
-            except BaseException:  # the native encoder panics on some texts; what it raises is no Exception
-                pass
+            except BaseException as raised:  # the native encoder panics on some texts; what it raises is no Exception
+                if type(raised).__name__ != "PanicException":
+                    raise
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 
