@@ -29,7 +29,7 @@ that a row that a third of the table repeats does not fill a range.
 
 Defined cases. Null text: empty. Empty text: SLOTS zeros. Null doc_id sorts first,
 equal doc_ids by a hash of the text. With one row the next document is that row itself.
-Very long texts are walked whole, CHUNK_CHARS characters or one text at a time. An
+Very long texts are walked whole; CHUNK_CHARS characters, or one text, walk at a time. An
 empty table gives an empty result. Extra columns, whatever their names, are ignored.
 The class of a document without doc_id has the name of its others, if they have one.
 """
@@ -58,8 +58,8 @@ RANGE_BYTES, MOST_RANGES, DRAWN = 16 << 20, 20_000, 32
 SEEN, SPREAD = 100_000, 1_000
 #: Steps after which the shared random bits repeat, classes of characters, seed.
 PERIOD, CLASSES, SEED = 4096, 256, 20_240_901
-#: Characters that walk together: bounds a task's memory.
-CHUNK_CHARS = 3_000_000
+#: Characters that walk together, and that a task gathers to walk texts of like length together: bound its memory.
+CHUNK_CHARS, HELD_CHARS = 3_000_000, 16_000_000
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -104,9 +104,21 @@ def _records() -> np.ndarray:
 
 
 def fingerprint_all(texts: list[str]) -> list[str]:
-    """Fingerprints of many texts; equal texts have equal fingerprints."""
-    if not texts:
-        return []
+    """Fingerprints of many texts; equal texts have equal fingerprints. Texts of like length walk together, as long as the longest of them."""
+    out, part, size = [""] * len(texts), [], 0
+    for n in sorted(range(len(texts)), key=lambda n: len(texts[n])):
+        if part and size + len(texts[n]) > CHUNK_CHARS:
+            for k, mark in zip(part, _walked([texts[k] for k in part])):
+                out[k] = mark
+            part, size = [], 0
+        part.append(n)
+        size += len(texts[n])
+    for k, mark in zip(part, _walked([texts[k] for k in part]) if part else ()):
+        out[k] = mark
+    return out
+
+
+def _walked(texts: list[str]) -> list[str]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     order = np.argsort(-lengths, kind="stable")
     longest = int(lengths[order[0]])
@@ -204,7 +216,7 @@ def _deal(cuts: list[tuple], least: tuple):
                 seen[key] = 0
                 fresh.append((key, text.as_py()))
                 size += len(fresh[-1][1])
-                if size >= CHUNK_CHARS:
+                if size >= HELD_CHARS:
                     yield flush(fresh)
                     fresh, size = [], 0
             if fresh:
@@ -256,7 +268,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 todo += found
                 size += len(found) * len(now[7])
             now = fresh
-            if size >= CHUNK_CHARS:
+            if size >= HELD_CHARS:
                 yield flush()
                 todo, size = [], 0
     if todo:
@@ -315,7 +327,7 @@ def _simple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, text in enumerate(batch.column(1)):
             rows.append(text.as_py() or "")
             size += len(rows[-1])
-            if size >= CHUNK_CHARS or n == batch.num_rows - 1:
+            if size >= HELD_CHARS or n == batch.num_rows - 1:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), pa.array(fingerprint_all(rows), pa.string())], ["doc_id", "fingerprint"])
                 rows, size, start = [], 0, n + 1
 

@@ -110,6 +110,7 @@ def test_chunks_of_a_stream_make_no_difference(monkeypatch):
     results = []
     for size in (1, 40, 500, 10**9):
         monkeypatch.setattr(editprint, "CHUNK_CHARS", size)
+        monkeypatch.setattr(editprint, "HELD_CHARS", 3 * size)
         results.append([x for b in editprint._stream(batches()) for x in b.to_pylist()])
     own = [x for x in rows if not x[1]]
     assert sum(x["copies"] for x in results[0]) == sum(x[5] for x in own) and all(x == results[0] for x in results)
