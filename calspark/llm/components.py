@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = materialize(_edges(edges), "cc-edges")
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     while not links.isEmpty():
-        up = links.groupBy("a").agg(F.min("b").alias("b"))
+        # written before it is joined with itself, so that adaptive execution can split a hub's rows
+        up = materialize(links.groupBy("a").agg(F.min("b").alias("b")), "cc-least")
         up = _through(up, "b", up)
         up = materialize(_through(up, "b", up), "cc-up")
         labels = materialize(_through(labels, "label", up), "cc-labels")
