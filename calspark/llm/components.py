@@ -3,7 +3,7 @@
 Every round links each node to its smallest smaller neighbour, follows those links
 up to four steps, and replaces both ends of every edge by where they lead. A path
 shrinks at least fourfold a round, a star vanishes in one. Rounds are written to
-the shared folder; only an emptiness test reaches the driver. The links of a hub
+the shared folder; only a count reaches the driver. The links of a hub
 are reduced by a partial minimum before the shuffle.
 """
 
@@ -32,11 +32,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = materialize(_edges(edges), "cc-edges")
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    while not links.isEmpty():
+    most = 2 * links.count()
+    while n := links.count():  # from the files' footers
         # written before it is joined with itself, so that adaptive execution can split a hub's rows
-        up = materialize(links.groupBy("a").agg(F.min("b").alias("b")), "cc-least")
+        up = materialize(links.groupBy("a").agg(F.min("b").alias("b")), "cc-least", n)
         up = _through(up, "b", up)
-        up = materialize(_through(up, "b", up), "cc-up")
-        labels = materialize(_through(labels, "label", up), "cc-labels")
-        links = materialize(_edges(_through(_through(links, "a", up), "b", up)), "cc-edges")
+        up = materialize(_through(up, "b", up), "cc-up", n)
+        labels = materialize(_through(labels, "label", up), "cc-labels", most)
+        links = materialize(_edges(_through(_through(links, "a", up), "b", up)), "cc-edges", n)
     return labels

@@ -59,7 +59,7 @@ SEEN, SPREAD = 100_000, 1_000
 #: Steps after which the shared random bits repeat, classes of characters, seed.
 PERIOD, CLASSES, SEED = 4096, 256, 20_240_901
 #: Characters that walk together, and that a task gathers to walk texts of like length together: bound its memory.
-CHUNK_CHARS, HELD_CHARS = 3_000_000, 16_000_000
+CHUNK_CHARS, HELD_CHARS = 3_000_000, 6_000_000
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -367,18 +367,20 @@ def linked_classes(found: DataFrame, least: float = LIKENESS) -> DataFrame:
     """(fingerprint, class_id) of (doc_id, fingerprint): the class is named by its smallest doc_id."""
     bits = F.array(*[F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("long") for k in range(SLOTS // 16)])
     named = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "editprint-nodes")
+    count = named.count()
     nodes = named.where("node is not null").select("node", bits.alias("bits"))
     index = nodes.select("node", F.explode(_keys()).alias("key"))
     # partial sums and a join that can be split, not a window: a key may be that of a third of all rows
     pivots = index.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "pivot")
-    index = materialize(index.join(materialize(pivots, "editprint-pivots"), "key"), "editprint-bands")
+    index = materialize(index.join(materialize(pivots, "editprint-pivots", BANDS * count // 2), "key"), "editprint-bands")
+    members = index.count()
     a, b = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"))
     like = _like("a_bits", "b_bits") >= F.lit(least)
     met = index.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     first = connected_components(met.join(a, "a").join(b, "b").where(like).select("a", "b"))
     labelled = index.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    labelled = materialize(labelled, "editprint-labelled")
-    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "editprint-mixed")
+    labelled = materialize(labelled, "editprint-labelled", members)
+    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "editprint-mixed", members)
     open_rows = labelled.join(mixed, "key", "left_semi").join(nodes, "node")
     x, y = open_rows.select("key", F.col("label").alias("a"), F.col("bits").alias("a_bits")), open_rows.select(F.col("key").alias("key2"), F.col("label").alias("b"), F.col("bits").alias("b_bits"))
     second = connected_components(x.join(y, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & like).select("a", "b").distinct())
@@ -390,7 +392,7 @@ def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prints(documents(spark, sf_dir))
     if found is None:
         return spark.createDataFrame([], SCHEMA + ", class_id long")
-    classes = materialize(linked_classes(found.select("doc_id", "fingerprint")), "editprint-classes")
+    classes = materialize(linked_classes(found.select("doc_id", "fingerprint")), "editprint-classes", found.count())
     return spread(found).join(classes, "fingerprint").select(*[f.split()[0] for f in SCHEMA.split(", ")], "class_id")
 
 

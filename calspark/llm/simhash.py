@@ -185,7 +185,7 @@ def components(fps: DataFrame) -> DataFrame:
     labelled = index.select("slot", "start", "key", "fp").join(first.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
         "slot", "start", "key", "fp", F.coalesce("label", "fp").alias("label")
     )
-    labelled = materialize(labelled, "simhash-labelled")
+    labelled = materialize(labelled, "simhash-labelled", index.count())
     a, b = labelled.alias("a"), labelled.alias("b")
     near = (
         (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
@@ -201,7 +201,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, key, fp) of every row, (fp, label) of every fingerprint), both written."""
     fps = materialize(fingerprints(docs), "simhash")
     nodes = fps.select("fp").distinct().join(components(fps), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    return fps, materialize(nodes, "simhash-nodes")
+    return fps, materialize(nodes, "simhash-nodes", fps.count())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps, nodes = grouped(docs)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(nodes, "fp")
     # written, so that a component of very many fingerprints meets its name in a join that adaptive execution can split
-    names = materialize(least.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names")
+    names = materialize(least.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-names", nodes.count())
     named = nodes.join(names, "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -29,11 +29,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/calspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage."""
+#: Rows of a file of an intermediate table whose size is known beforehand.
+ROWS_A_FILE = 500_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage.
+
+    Of a table of at most ``rows`` rows no more files are written than hold ROWS_A_FILE
+    each, so that a small table is not many files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(min(partitions(spark), -(-rows // ROWS_A_FILE) or 1))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
