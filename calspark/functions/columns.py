@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,22 @@ def gaussian_taps(sigma: float, radius: int) -> list[tuple[int, float]]:
 
 def odd(n: int) -> int:
     return n if n % 2 else n + 1
+
+
+def filtered(rows: DataFrame, keys, order: str, value: str, taps: list[tuple[int, float]], boundary: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the series of every key, in its order, under a filter of taps (offset, weight).
+
+    Places are counted, not read from ``order``. Under replication and reflection a row
+    holds only what its taps reach; wrapping needs the whole series. A null stays null,
+    and so does what it enters.
+    """
+    reach = max(abs(k) for k, _ in taps)
+    by = Window.partitionBy(*keys)
+    near = by.orderBy(order).rowsBetween(-reach, reach) if boundary != "wrap" else by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = rows.withColumns({"_near": F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(near), "_at": F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)})
+    first = F.greatest(F.col("_at") - reach, F.lit(0)) if boundary != "wrap" else F.lit(0)
+    total = None
+    for k, w in taps:
+        term = F.lit(w) * F.get("_near", (BOUNDARIES[boundary](F.col("_at") + k, F.col("_n")) - first).cast("int"))["v"]
+        total = term if total is None else total + term
+    return x.withColumn(out, total).drop("_near", "_at", "_n")

@@ -191,11 +191,40 @@ def projected(pixels: DataFrame, basis: np.ndarray, width: int) -> DataFrame:
 
 
 def nearest_ranked(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """a, b, rank: the k nearest true regions (b, y, x) of every synthetic one (a, y, x); both are a plane's centres."""
-    pairs = a.select("a", F.col("y").alias("ya"), F.col("x").alias("xa"), F.lit(0).alias("plane")).join(b.select("b", F.col("y").alias("yb"), F.col("x").alias("xb"), F.lit(0).alias("plane")), "plane")
-    d = F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2)
-    w = Window.partitionBy("a").orderBy(d, "b")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("a", "b", "rank")
+    """a, b, rank: the k nearest regions (b, y, x) of every region (a, y, x).
+
+    Regions meet in the nine cells of a grid around them; who has k neighbours within one
+    cell's width is done, the others look again in cells twice as wide.
+    """
+    ends = b.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).first()
+    span = a.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).first()
+    none = a.select("a").join(b.select("b"), F.lit(False)).withColumn("rank", F.lit(0))
+    if not ends["n"] or span["y0"] is None:
+        return none
+    whole = float(max(max(ends["y1"], span["y1"]) - min(ends["y0"], span["y0"]), max(ends["x1"], span["x1"]) - min(ends["x0"], span["x0"]))) + 1
+    size = max(whole / 2**20, math.sqrt(whole * whole * k / ends["n"]))
+    cell = lambda c, n: F.floor(F.col(c) / F.lit(size)) + n
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left, parts = a.select("a", F.col("y").alias("ya"), F.col("x").alias("xa")), []
+    while True:
+        there = b.select("b", F.col("y").alias("yb"), F.col("x").alias("xb"), cell("y", 0).alias("cy"), cell("x", 0).alias("cx"))
+        near = left.withColumn("s", F.explode(around)).select("a", "ya", "xa", cell("ya", F.col("s.i")).alias("cy"), cell("xa", F.col("s.j")).alias("cx"))
+        d = F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2)
+        met = near.join(there, ["cy", "cx"]).select("a", "b", d.alias("d"))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
+        if size > whole:
+            parts.append(ranked.select("a", "b", "rank"))
+            break
+        done = ranked.where((F.col("rank") == k) & (F.col("d") <= size * size)).select("a")
+        parts.append(ranked.join(done, "a", "left_semi").select("a", "b", "rank"))
+        left = left.join(done, "a", "left_anti")
+        if left.isEmpty():
+            break
+        size *= 2
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---- frames across files
@@ -216,6 +245,9 @@ def located(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def forward_filled(frames: DataFrame) -> DataFrame:
-    """plane, frame, arr with frames that failed to decode (null) replaced by the one before."""
+    """plane, frame, arr with frames that failed to decode (null) replaced by the one before. Only frame numbers are ordered; pixels meet them in a join."""
     w = Window.partitionBy("plane").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("arr", F.last("arr", True).over(w))
+    keys = frames.select("plane", "frame", F.when(F.col("arr").isNotNull(), F.col("frame")).alias("known"))
+    source = keys.select("plane", "frame", F.last("known", True).over(w).alias("source"))
+    good = frames.where(F.col("arr").isNotNull()).select("plane", F.col("frame").alias("source"), "arr")
+    return source.join(good, ["plane", "source"], "left").select("plane", "frame", "arr")

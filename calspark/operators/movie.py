@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calspark.functions.columns import BOUNDARIES, gaussian_taps
+from calspark.functions.columns import filtered, gaussian_taps
 
 PIXEL = ("plane", "y", "x")
 #: Sums of frames that a task holds before it hands them on.
@@ -118,13 +118,7 @@ def highpass_tumbling(pixels: DataFrame, width: int) -> DataFrame:
 def highpass_gaussian(pixels: DataFrame, width: float) -> DataFrame:
     """v minus its Gaussian smoothing in time (reflected ends)."""
     radius = int(4 * width + 0.5)
-    w = Window.partitionBy(*PIXEL).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x, n = pixels.withColumn("_all", F.collect_list("v").over(w)), F.size("_all")
-    smooth = None
-    for k, weight in gaussian_taps(width, radius):
-        term = F.lit(weight) * F.get("_all", BOUNDARIES["reflect"](F.col("t").cast("int") + k, n).cast("int"))
-        smooth = term if smooth is None else smooth + term
-    return x.withColumn("v", F.col("v") - smooth).drop("_all")
+    return filtered(pixels, PIXEL, "t", "v", gaussian_taps(width, radius), "reflect", "_smooth").withColumn("v", F.col("v") - F.col("_smooth")).drop("_smooth")
 
 
 def highpass(pixels: DataFrame, width: int) -> DataFrame:
@@ -346,12 +340,39 @@ def pca_denoised(frames: DataFrame, height: int, width: int, block: tuple[int, i
     return parts.groupBy("plane", "frame").applyInPandas(blend, f"plane {kinds['plane']}, frame {kinds['frame']}, arr array<double>")
 
 
-def bleed_through(image1: DataFrame, image2: DataFrame, block: int) -> DataFrame:
-    """plane, y, x, v: the second channel without its block-wise regression on the first, not below zero."""
+def block_shares(length: int, blocks: int, sigma: float) -> np.ndarray:
+    """[position, block]: the share of each block along one axis, blurred by a Gaussian with reflected ends; a position's shares sum to one."""
+    edges = np.linspace(0, length, blocks + 1).astype(int)
+    sharp = np.zeros((length, blocks))
+    for b in range(blocks):
+        sharp[edges[b] : edges[b + 1], b] = 1
+    if sigma <= 0:
+        return sharp
+    soft = np.zeros_like(sharp)
+    for k, weight in gaussian_taps(sigma, int(4 * sigma + 0.5)):
+        at = (np.arange(length) + k) % (2 * length)
+        soft += weight * sharp[np.where(at >= length, 2 * length - 1 - at, at)]
+    return soft
+
+
+def bleed_through(image1: DataFrame, image2: DataFrame, height: int, width: int, blocks: int = 3) -> DataFrame:
+    """plane, y, x, v: the second channel without its regression on the first, not below zero.
+
+    Slopes are those of blocks x blocks parts of the image, blended at every pixel by
+    the parts' smoothed shares in it, so that they do not jump at the borders.
+    """
+    sigma = float(np.round((height + width) / (2 * blocks) * 0.25))
+    spark = image1.sparkSession
+    axis = lambda n, at, part, share: spark.createDataFrame([(k, b, float(v)) for k, row in enumerate(block_shares(n, blocks, sigma)) for b, v in enumerate(row) if v > 0], f"{at} int, {part} int, {share} double")
+    rows, columns = axis(height, "y", "by", "gy"), axis(width, "x", "bx", "gx")
+    edges = lambda n: np.linspace(0, n, blocks + 1).astype(int)[1:-1].tolist()
+    part = lambda c, n: sum([(F.col(c) >= e).cast("int") for e in edges(n)], F.lit(0))
     both = image1.withColumnRenamed("v", "v1").join(image2.withColumnRenamed("v", "v2"), list(PIXEL))
-    w = Window.partitionBy("plane", F.expr(f"y div {block}"), F.expr(f"x div {block}"))
-    slope = F.try_divide(F.sum(F.col("v1") * F.col("v2")).over(w), F.sum(F.col("v1") * F.col("v1")).over(w))
-    return both.select(*PIXEL, F.greatest(F.lit(0.0), F.col("v2") - slope * F.col("v1")).alias("v"))
+    slope = F.try_divide(F.sum(F.col("v1") * F.col("v2")), F.sum(F.col("v1") * F.col("v1")))
+    slopes = both.groupBy("plane", part("y", height).alias("by"), part("x", width).alias("bx")).agg(slope.alias("slope"))
+    # tables of one image's size at most
+    blended = slopes.join(F.broadcast(rows), "by").join(F.broadcast(columns), "bx").groupBy(*PIXEL).agg(F.sum(F.col("slope") * F.col("gy") * F.col("gx")).alias("slope"))
+    return both.join(blended, list(PIXEL)).select(*PIXEL, F.greatest(F.lit(0.0), F.col("v2") - F.col("slope") * F.col("v1")).alias("v"))
 
 
 def weighted_traces(pixels: DataFrame, masks: DataFrame) -> DataFrame:

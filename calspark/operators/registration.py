@@ -156,15 +156,16 @@ def refine_reference(frames: np.ndarray, reference: np.ndarray, settings: RigidS
 
 
 def sample_frames(frames: DataFrame, n: int) -> DataFrame:
-    """At most n equally spaced frames of every plane: the indices of linspace, by a semi-join on the position."""
-    x = frames.withColumn("t", F.row_number().over(Window.partitionBy("plane").orderBy("frame")) - 1)
+    """At most n equally spaced frames of every plane: the indices of linspace. Only plane and frame are ordered; pixels stay where they are."""
+    x = frames.select("plane", "frame").withColumn("t", F.row_number().over(Window.partitionBy("plane").orderBy("frame")) - 1)
     total = x.groupBy("plane").agg(F.count(F.lit(1)).alias("total"))
     count = F.least(F.col("total"), F.lit(n))
     step = F.when(count > 1, (F.col("total") - 1) / (count - 1)).otherwise(F.lit(0.0))
     wanted = total.select("plane", "total", count.alias("count"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"), step.alias("step"))
     at = F.when((F.col("count") > 1) & (F.col("k") == F.col("count") - 1), F.col("total") - 1).otherwise(F.floor(F.col("k") * F.col("step")))
     wanted = wanted.select("plane", at.cast("int").alias("t")).distinct()
-    return x.join(wanted, ["plane", "t"], "left_semi").drop("t")
+    chosen = x.join(wanted, ["plane", "t"], "left_semi").select("plane", "frame")
+    return frames.join(F.broadcast(chosen), ["plane", "frame"], "left_semi")  # at most n rows a plane
 
 
 def reference_images(frames: DataFrame, height: int, width: int, n: int = 400, settings: RigidSettings = RigidSettings(), refine: bool = True) -> DataFrame:
@@ -249,9 +250,27 @@ def rigid_offsets(frames: DataFrame, references: DataFrame, height: int, width:
     return _by_plane(frames.select("plane", "frame", _representation(frames)), references, make, run, f"plane {kinds['plane']}, frame {kinds['frame']}, yoff int, xoff int, corr double")
 
 
+def with_offsets(frames: DataFrame, offsets: DataFrame, names: list[str]) -> DataFrame:
+    """frames joined with the columns ``names`` of their offsets; a frame that has none fails the query, so that no frame vanishes."""
+    kinds = dict(offsets.dtypes)
+    x = frames.join(offsets.select("plane", "frame", *names), ["plane", "frame"], "left")
+    missing = F.raise_error(F.concat(F.lit("no offset for frame "), F.col("frame").cast("string"), F.lit(" of plane "), F.col("plane").cast("string")))
+    return x.withColumn(names[0], F.coalesce(names[0], missing.cast(kinds[names[0]])))
+
+
+def check_offsets(frames: DataFrame, offsets: DataFrame) -> None:
+    """Raises unless every frame has one offset with a value and every offset a frame. Only keys are read."""
+    key = ["plane", "frame"]
+    mine = offsets.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("yoff").isNotNull() & F.col("xoff").isNotNull(), 1)).alias("known"))
+    both = frames.select(*key).distinct().withColumn("here", F.lit(True)).join(mine, key, "full_outer")
+    wrong = both.where(F.col("here").isNull() | F.col("n").isNull() | (F.col("n") != 1) | (F.col("known") != 1)).groupBy("plane").agg(F.count(F.lit(1)).alias("count"), F.min("frame").alias("first")).orderBy("plane").collect()
+    if wrong:
+        raise ValueError("frames and offsets differ: " + "; ".join(f"plane {r['plane']}: {r['count']} frames, first {r['first']}" for r in wrong))
+
+
 def shifted(frames: DataFrame, offsets: DataFrame, height: int, width: int) -> DataFrame:
     """plane, frame, arr rolled by stored offsets (of any channel): an equality join, then array slices in the engine."""
-    x = frames.join(offsets.select("plane", "frame", "yoff", "xoff"), ["plane", "frame"])
+    x = with_offsets(frames, offsets, ["yoff", "xoff"])
     y = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda i: F.pmod(i + F.col("yoff"), F.lit(height)))
 
     def line(i):
@@ -473,7 +492,7 @@ def apply_offsets(frames: DataFrame, registered: DataFrame, height: int, width:
     """plane, frame, arr of another channel, moved by the shifts that ``register`` found (yoff, xoff, yoff1, xoff1)."""
     grid, counts, _ = block_grid(height, width, blocks.block) if blocks else ([], (1, 1), None)
     held = _representation(frames)
-    x = frames.select("plane", "frame", held).join(registered.select("plane", "frame", "yoff", "xoff", "yoff1", "xoff1"), ["plane", "frame"])
+    x = with_offsets(frames.select("plane", "frame", held), registered, ["yoff", "xoff", "yoff1", "xoff1"]).select("plane", "frame", held, "yoff", "xoff", "yoff1", "xoff1")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -495,7 +514,8 @@ def rigid_offsets_smoothed(frames: DataFrame, references: DataFrame, height: int
 
     images = {r["plane"]: np.array(r["arr"], float).reshape(height, width) for r in references.select("plane", "arr").collect()}  # an image a plane
     taps = gaussian_taps(sigma, int(4 * sigma + 0.5))
-    ordered = frames.withColumn("_batch", F.expr(f"(row_number() over (partition by plane order by frame) - 1) div {batch}"))
+    numbers = frames.select("plane", "frame").withColumn("_batch", F.expr(f"(row_number() over (partition by plane order by frame) - 1) div {batch}"))
+    ordered = frames.select("plane", "frame", "arr").join(numbers, ["plane", "frame"])  # frames are not sorted, their numbers are
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -522,7 +542,7 @@ def upsampled_mean(frames: DataFrame, registered: DataFrame, height: int, width:
     Workers hand back sums over their frames; the sums meet in one aggregation.
     """
     grid, counts, _ = block_grid(height, width, blocks.block)
-    x = frames.select("plane", "frame", "arr").join(registered.select("plane", "frame", "yoff", "xoff", "yoff1", "xoff1"), ["plane", "frame"])
+    x = with_offsets(frames.select("plane", "frame", "arr"), registered, ["yoff", "xoff", "yoff1", "xoff1"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict = {}

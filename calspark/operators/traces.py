@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calspark.functions.columns import BOUNDARIES, gaussian_taps, odd
+from calspark.functions.columns import filtered, gaussian_taps, odd
+
+
+#: Traces of a block of the correlation matrix.
+TRACES_A_BLOCK = 512
 
 
 def by_roi() -> Window:
@@ -45,19 +49,10 @@ def filtered_by_snr(traces: DataFrame, threshold: float, value: str = "df") -> D
 
 
 def gaussian(traces: DataFrame, value: str, sigma: float, boundary: str, radius: int | None = None, out: str = "smooth") -> DataFrame:
-    """Gaussian filter along frames under a boundary rule.
-
-    The trace is gathered once by a window and every output reads its taps from that
-    array, so nothing is exploded.
-    """
+    """Gaussian filter along frames under a boundary rule; frames count by their order, whatever their numbers."""
     if radius is None:
         radius = round(3 * sigma) if boundary == "replicate" else int(4 * sigma + 0.5)
-    whole = Window.partitionBy("roi").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    index, n, total = BOUNDARIES[boundary], F.size("_all"), None
-    for k, w in gaussian_taps(sigma, radius):
-        term = F.lit(w) * F.get("_all", index(F.col("frame").cast("int") + k, n).cast("int"))
-        total = term if total is None else total + term
-    return traces.withColumn("_all", F.collect_list(F.col(value).cast("double")).over(whole)).withColumn(out, total).drop("_all")
+    return filtered(traces, ("roi",), "frame", value, gaussian_taps(sigma, radius), boundary, out)
 
 
 def rolling_min_max(traces: DataFrame, value: str, window: int, out: str = "baseline") -> DataFrame:
@@ -187,11 +182,41 @@ def corr_with_selection(binned: DataFrame, selected: list[int]) -> DataFrame:
 
 
 def corr_matrix(binned: DataFrame) -> DataFrame:
-    """a, b, r of every pair a < b of traces with a common bin, from one shuffle on the bin."""
+    """a, b, r of every pair a < b of traces with a common bin.
+
+    A matrix product in blocks: traces are dealt to groups of about TRACES_A_BLOCK, every
+    pair of groups is one task's product, and no row a pair and bin is ever made.
+    """
     c = _centred(binned).select("roi", "bin", "c", "s")
-    a, b = c.select(F.col("roi").alias("a"), "bin", F.col("c").alias("ca"), F.col("s").alias("sa")), c.select(F.col("roi").alias("b"), "bin", F.col("c").alias("cb"), F.col("s").alias("sb"))
-    pairs = a.join(b, "bin").where("a < b")
-    return pairs.groupBy("a", "b").agg((F.avg(F.col("ca") * F.col("cb")) / (F.max("sa") * F.max("sb") + 1e-3)).alias("r"))
+    held = c.groupBy("roi").agg(F.first("s").alias("s"), F.collect_list(F.struct("bin", "c")).alias("x"))
+    count = binned.select("roi").distinct().count()
+    blocks = max(1, -(-count // TRACES_A_BLOCK))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("roi"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = dealt.withColumn("other", other).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "roi", "s", F.col("x.bin").alias("bins"), F.col("x.c").alias("c"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        bins = {b: n for n, b in enumerate(np.unique(np.concatenate(pdf["bins"].to_numpy())))}
+        value, known = np.zeros((len(pdf), len(bins))), np.zeros((len(pdf), len(bins)))
+        for n, (where, what) in enumerate(zip(pdf["bins"], pdf["c"])):
+            at = [bins[b] for b in where]
+            value[n, at], known[n, at] = what, 1
+        mine = (pdf["block"] == pdf["low"]).to_numpy()
+        left = np.flatnonzero(mine)
+        right = left if pdf["low"].iloc[0] == pdf["high"].iloc[0] else np.flatnonzero(~mine)
+        common = known[left] @ known[right].T
+        roi, s = pdf["roi"].to_numpy(), pdf["s"].to_numpy(float)
+        i, j = np.nonzero(common > 0)
+        if right is left:
+            i, j = i[roi[left[i]] < roi[right[j]]], j[roi[left[i]] < roi[right[j]]]
+        product = value[left] @ value[right].T
+        r = product[i, j] / common[i, j] / (s[left[i]] * s[right[j]] + 1e-3)
+        a, b = roi[left[i]], roi[right[j]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "r": r})
+
+    kind = dict(binned.dtypes)["roi"]
+    return dealt.groupBy("low", "high").applyInPandas(run, f"a {kind}, b {kind}, r double")
 
 
 def merge_candidates(matrix: DataFrame, positions: DataFrame, least: float, within: float) -> DataFrame:

@@ -8,6 +8,7 @@ by plane, which is also what a later run reuses.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -58,21 +59,24 @@ def register(frames: DataFrame, height: int, width: int, settings: Settings) ->
 
 
 def detect(registered: DataFrame, marked: DataFrame, ranges: DataFrame, height: int, width: int, settings: Settings) -> DataFrame:
-    """plane, roi, y, x, lam on the whole field. Planes are cropped to the largest range that all of them share."""
-    r = ranges.agg(F.max("y0").alias("y0"), F.min("y1").alias("y1"), F.max("x0").alias("x0"), F.min("x1").alias("x1")).first()
-    n = marked.groupBy("plane").count().agg(F.max("count")).first()[0]
-    size = bin_size(n, settings)
-    bins = movie.frame_bins(marked.select("plane", "frame", "bad"), size, 500, settings.detection.nbins)
-    cut = movie.crop_frames(registered.select("plane", "frame", "arr"), width, r["y0"], r["y1"], r["x0"], r["x1"])
-    h, w = r["y1"] - r["y0"], r["x1"] - r["x0"]
-    sign = -1.0 if settings.detection.inverted_activity else 1.0
-    binned = movie.binned_frames(cut, bins).select("plane", (F.col("batch") * 1_000_000 + F.col("bin")).alias("frame"), F.transform("arr", lambda v: sign * v).alias("arr"))
-    if settings.detection.denoise:
-        binned = movie.pca_denoised(binned, h, w, tuple(settings.detection.block_size), 0.5)
+    """plane, roi, y, x, lam on the whole field. Every plane is cropped to its own range; planes of one range share a plan."""
     d = settings.detection
-    sparse = detection.SparseSettings(d.threshold_scaling, d.sparsery.highpass_neuropil, d.sparsery.max_ROIs, d.sparsery.spatial_scale, d.sparsery.active_percentile)
-    found = detection.detect(binned, h, w, d.algorithm, sparse, float(np.mean(settings.diameter)), d.highpass_time)
-    return found.select("plane", "roi", (F.col("y") + r["y0"]).alias("y"), (F.col("x") + r["x0"]).alias("x"), "lam")
+    shared: dict[tuple, list] = {}
+    for r in ranges.orderBy("plane").collect():  # a row a plane
+        shared.setdefault((r["y0"], r["y1"], r["x0"], r["x1"]), []).append(r["plane"])
+    n = marked.groupBy("plane").count().agg(F.max("count")).first()[0]
+    bins = movie.frame_bins(marked.select("plane", "frame", "bad"), bin_size(n, settings), 500, d.nbins)
+    sparse = detection.SparseSettings(d.threshold_scaling, d.sparse.highpass_neuropil, d.sparse.max_ROIs, d.sparse.spatial_scale, d.sparse.active_percentile)
+    sign = -1.0 if d.inverted_activity else 1.0
+    parts = []
+    for (y0, y1, x0, x1), planes in shared.items():
+        cut = movie.crop_frames(registered.where(F.col("plane").isin(planes)).select("plane", "frame", "arr"), width, y0, y1, x0, x1)
+        binned = movie.binned_frames(cut, bins).select("plane", (F.col("batch") * 1_000_000 + F.col("bin")).alias("frame"), F.transform("arr", lambda v: sign * v).alias("arr"))
+        if d.denoise:
+            binned = movie.pca_denoised(binned, y1 - y0, x1 - x0, tuple(d.block_size), 0.5)
+        found = detection.detect(binned, y1 - y0, x1 - x0, d.algorithm, sparse, float(np.mean(settings.diameter)), d.highpass_time, d.tile)
+        parts.append(found.select("plane", "roi", (F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "lam"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mean_pixels(frames: DataFrame, width: int) -> DataFrame:
@@ -113,6 +117,7 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
         if frames2:
             blocks = registration.BlockSettings(tuple(s.block_size)) if s.nonrigid else None
             moved = registration.apply_offsets(frames if second else frames2, done, height, width, blocks)
+            registration.check_offsets(frames if second else frames2, done)
             offsets = done.select("plane", "frame", "yoff", "xoff", "corr")
             stages.save("registered" if second else "registered2", moved.join(offsets, ["plane", "frame"]))
             out["registered2"] = stages.read("registered2")
@@ -162,7 +167,7 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     out["traces"], out["masks"] = t, regions
     out["stats"] = stats.join(traces.snr(t), "roi").join(traces.skew_std(t), "roi")
     if "registered2" in out:
-        image = mean_pixels(out["registered2"], width).withColumnRenamed("plane", "_p")
+        image = movie.bleed_through(out["mean_image"], mean_pixels(out["registered2"], width), height, width).withColumnRenamed("plane", "_p")
         ring = masks.dilated(regions.select("roi", "y", "x"), height, width, e.inner_neuropil_radius + 3).join(regions.select("roi", "y", "x"), ["roi", "y", "x"], "left_anti")
         by_plane = lambda m: m.withColumn("_p", F.expr("cast(roi div 1000000 as int)"))
         inside = masks.normalised(regions).transform(by_plane).join(image, ["_p", "y", "x"]).groupBy("roi").agg(F.greatest(F.sum(F.col("lam") * F.col("v")), F.lit(1e-3)).alias("inside"))

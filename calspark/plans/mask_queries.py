@@ -173,8 +173,8 @@ c as (select roi, min(k) cut from i join f using (roi) where k >= ida and w < to
 rad as (select roi, case when n > 10 then coalesce(cut, greatest(ceil(far) - 1, 0)) end radius from far left join c using (roi)),
 y as (select roi, coalesce(dist < radius, true) soma from x join rad using (roi))
 select roi, case when count(*) filter (soma) = 0 then count(*) else count(*) filter (soma) end npix_soma, count(*) npix from y group by roi""",
-    "roi_npix_norm": f"with {C.MASKS}, s as (select roi, count(*) npix from masks group by roi), q as (select quantile_cont(npix, 0.5) m from s where roi < 100) select roi, {R('npix / (m + 1e-10)')} npix_norm from s, q",
-    "roi_size_filter": f"with {C.MASKS}, s as (select roi, count(*) npix from masks group by roi), q as (select quantile_cont(npix, 0.5) m from s where roi < 100) select roi, {R('npix / (m + 1e-10)')} npix_norm from s, q where npix / (m + 1e-10) between 0.98 and 1.02",
+    "roi_npix_norm": f"with {C.MASKS}, s as (select roi, count(*) npix from masks group by roi), q as (select quantile_cont(npix, 0.5) m from (select npix from s order by roi limit 100)) select roi, {R('npix / (m + 1e-10)')} npix_norm from s, q",
+    "roi_size_filter": f"with {C.MASKS}, s as (select roi, count(*) npix from masks group by roi), q as (select quantile_cont(npix, 0.5) m from (select npix from s order by roi limit 100)) select roi, {R('npix / (m + 1e-10)')} npix_norm from s, q where npix / (m + 1e-10) between 0.98 and 1.02",
     "roi_dilate4": f"with {C.TILES}, {_DIL.format(a='tiles', b='d1', h=7)}, {_DIL.format(a='d1', b='d2', h=7)} select roi, y, x from d2",
     "roi_spread9": f"with {C.TILES} select roi, cast(y + dy as int) y, cast(x + dx as int) x, {R('sum(lam / 3)')} lam from tiles, range(-1, 2) p(dy), range(-1, 2) q(dx) where y + dy between 0 and 7 and x + dx between 0 and 7 group by 1, 2, 3",
     "roi_connected_component": f"""with recursive {C.TILES}, h as (select * from tiles where ord % 5 <> 2), seed as (select roi, arg_max(y, lam * 1000 - ord / 1000.0) y, arg_max(x, lam * 1000 - ord / 1000.0) x from h group by roi),

@@ -259,7 +259,7 @@ def pca_denoise_blocks(spark, d):
 def bleedthrough_regress(spark, d):
     """Two interleaved channels, demultiplexed by page."""
     p = V.demux(C.pixels(spark, d).withColumn("page", F.col("frame")).withColumn("v", F.abs("v")).withColumnRenamed("plane", "label"), 1, 2).withColumn("plane", F.col("label"))
-    return _r(V.bleed_through(V.mean_image(p.where("channel = 0")), V.mean_image(p.where("channel = 1")), 4), "v")
+    return _r(V.bleed_through(V.mean_image(p.where("channel = 0")), V.mean_image(p.where("channel = 1")), 8, 8, 2), "v")
 
 
 def extract_traces(spark, d):
@@ -382,7 +382,9 @@ cc as (select plane, l.i - 3 lag, sum(re * cos(2 * pi() * w * (l.i - 3) / 8) - i
     "zstack_pivot": f"with {C.PIXELS} select plane, frame, {', '.join(R(f'avg(v) filter (y = {k})') + f' z{k}' for k in range(8))} from pixels group by plane, frame",
     "crop_bad_frames": f"with {_BAD} select plane, frame, bad from mk",
     "crop_range": f"with {_BAD}, s as (select plane, avg(case when bad then 1 else 0 end) sh, max(abs(yoff)) filter (not bad) gy, max(abs(xoff)) filter (not bad) gx, max(abs(yoff)) ay, max(abs(xoff)) ax from mk group by plane), t as (select plane, cast(case when sh < 0.5 then gy else ay end as int) a, cast(case when sh < 0.5 then gx else ax end as int) b from s) select plane, a y0, 40 - a y1, b x0, 40 - b x1 from t",
-    "bleedthrough_regress": f"with {C.PIXELS}, a as (select plane, y, x, avg(abs(v)) filter (frame % 2 = 0) v1, avg(abs(v)) filter (frame % 2 = 1) v2 from pixels group by 1, 2, 3) select plane, y, x, {R('greatest(0.0, v2 - sum(v1 * v2) over w / sum(v1 * v1) over w * v1)')} v from a window w as (partition by plane, y // 4, x // 4)",
+    "bleedthrough_regress": f"""with {C.PIXELS}, a as (select plane, y, x, avg(abs(v)) filter (frame % 2 = 0) v1, avg(abs(v)) filter (frame % 2 = 1) v2 from pixels group by 1, 2, 3), {_taps('taps', 1)},
+b as (select plane, y // 4 py, x // 4 px, sum(v1 * v2) / sum(v1 * v1) s from a group by all), ax as (select i.i, cast({_reflect('i.i + k', '8')} // 4 as int) part, sum(w) g from range(8) i(i), taps group by all),
+bl as (select plane, q.i y, r.i x, sum(s * q.g * r.g) s from b join ax q on q.part = b.py join ax r on r.part = b.px group by all) select a.plane, a.y, a.x, {R('greatest(0.0, v2 - s * v1)')} v from a join bl using (plane, y, x)""",
     "extract_traces": f"with {C.TILES}, {C.PIXELS}, k as (select *, count(*) over (partition by y, x) n from tiles), m as (select roi, y, x, lam / sum(lam) over (partition by roi) lam from k where n = 1) select plane, roi, frame, {R('sum(v * lam)')} f from pixels join m using (y, x) group by plane, roi, frame",
     "extract_neuropil": f"with {C.TILES}, {C.PIXELS}, {_DIL.format(a='tiles', b='d1', h=7)}, ring as (select * from d1 where (roi, y, x) not in (select (roi, y, x) from tiles)) select plane, roi, frame, {R('avg(v)')} fneu from pixels join ring using (y, x) group by plane, roi, frame",
 }

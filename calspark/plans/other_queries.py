@@ -47,11 +47,11 @@ def _summary(masks):
 
 
 def detect_sparse(spark, d):
-    return _summary(D.detect(planted(spark), 40, 40, "sparsery", D.SparseSettings(highpass_neuropil=15)))
+    return _summary(D.detect(planted(spark), 40, 40, "sparse", D.SparseSettings(highpass_neuropil=15)))
 
 
 def detect_svd(spark, d):
-    return _summary(D.detect(planted(spark), 40, 40, "sourcery", diameter=6.0))
+    return _summary(D.detect(planted(spark), 40, 40, "components", diameter=6.0))
 
 
 def split_test(spark, d):
@@ -63,7 +63,7 @@ def detect_f1(spark, d):
     """Detected regions of the planted movie against the planted ones."""
     centres = [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]
     frames = planted(spark, planes=1)
-    found = D.detect(frames, 40, 40, "sparsery", D.SparseSettings(highpass_neuropil=15)).select("roi", "y", "x", "lam")
+    found = D.detect(frames, 40, 40, "sparse", D.SparseSettings(highpass_neuropil=15)).select("roi", "y", "x", "lam")
     truth = spark.createDataFrame([(n, y, x, 1.0) for n, (a, b) in enumerate(centres) for y in range(40) for x in range(40) if (y - a) ** 2 + (x - b) ** 2 <= 16], "roi long, y int, x int, lam double")
     pixels = C.exploded(frames, 40)
 

@@ -70,7 +70,7 @@ class Registration:
 
 
 @dataclass(frozen=True)
-class Sparsery:
+class SparsePursuit:
     highpass_neuropil: int = opt(25, "pixels of the surround that is taken out", 1)
     max_ROIs: int = opt(5000, "most regions a plane", 0)
     spatial_scale: int = opt(0, "0: estimated, else 1 to 4", 0, 4)
@@ -78,7 +78,7 @@ class Sparsery:
 
 
 @dataclass(frozen=True)
-class Sourcery:
+class ComponentPursuit:
     connected: bool = opt(True, "keep the connected part of a region")
     max_iterations: int = opt(20, "rounds", 1)
     smooth_masks: bool = opt(False, "smooth masks")
@@ -86,7 +86,7 @@ class Sourcery:
 
 @dataclass(frozen=True)
 class Detection:
-    algorithm: str = opt("sparsery", "sparsery or sourcery")
+    algorithm: str = opt("sparse", "sparse or components")
     denoise: bool = opt(False, "rebuild the movie from block components first")
     block_size: tuple = opt((64, 64), "pixels of a block for denoising")
     nbins: int = opt(5000, "most bins", 1)
@@ -99,8 +99,9 @@ class Detection:
     soma_crop: bool = opt(True, "leave dendrites out of shape statistics")
     chan2_threshold: float = opt(0.25, "share above which a region is in the second channel", 0.0, 1.0)
     inverted_activity: bool = opt(False, "activity darkens")
-    sparsery: Sparsery = field(default_factory=Sparsery)
-    sourcery: Sourcery = field(default_factory=Sourcery)
+    tile: int = opt(0, "side of the tiles that a large plane is searched in; 0: whole planes", 0)
+    sparse: SparsePursuit = field(default_factory=SparsePursuit)
+    components: ComponentPursuit = field(default_factory=ComponentPursuit)
 
 
 @dataclass(frozen=True)

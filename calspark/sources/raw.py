@@ -82,10 +82,9 @@ def export_flat(frames: DataFrame, path: str) -> None:
     frames.orderBy("frame").mapInPandas(pack, "value string").write.mode("overwrite").text(path)
 
 
-def sampled_mean(frames: DataFrame, n: int = 1000) -> DataFrame:
+def sampled_mean(frames: DataFrame, width: int, n: int = 1000) -> DataFrame:
     """plane, y, x, v: mean of at most n equally spaced frames."""
-    from calspark.operators.movie import exploded, mean_image
+    from calspark.operators.movie import exploded, summed_frames
     from calspark.operators.registration import sample_frames
 
-    side = int(np.sqrt(len(frames.first()["arr"])))
-    return mean_image(exploded(sample_frames(frames, n), side))
+    return exploded(summed_frames(sample_frames(frames, n), ["plane"]).withColumn("frame", F.lit(0)), width).drop("frame")

@@ -211,3 +211,127 @@ def test_denoising_keeps_a_low_rank_movie(spark):
     df = spark.createDataFrame(pd.DataFrame({"plane": 0, "frame": range(30), "arr": [m.tolist() for m in movie]}), "plane int, frame long, arr array<double>")
     got = V.pca_denoised(df, 8, 8, (4, 4), 1.0).toPandas().sort_values("frame")
     assert np.allclose(np.stack(got["arr"]), movie, atol=1e-6)
+
+
+def test_norms_are_by_plane(spark):
+    from calspark.operators import rois as S
+
+    sizes = spark.createDataFrame([(p, p * 1_000_000 + n, (10 + n) * (p + 1)) for p in (0, 1) for n in range(150)], "plane int, roi long, npix long")
+    got = {x.roi: x.npix_norm for x in S.npix_norm(sizes).collect()}
+    for p in (0, 1):  # the first hundred have sizes 10 .. 109
+        assert abs(got[p * 1_000_000] - 10 / 59.5) < 1e-9 and abs(got[p * 1_000_000 + 149] - 159 / 59.5) < 1e-9
+    alone = {x.roi: x.npix_norm for x in S.npix_norm(sizes.where("plane = 1")).collect()}
+    assert len(alone) == 150 and all(abs(v - got[r]) < 1e-9 for r, v in alone.items())
+
+
+def test_filters_count_places_and_keep_nulls(spark):
+    rows = [(1, 10 + 3 * n, 4.0) for n in range(4)] + [(2, n, float(n % 5)) for n in range(40)] + [(3, 0, 1.0), (3, 7, None), (3, 9, 1.0)]
+    traces = spark.createDataFrame(rows, "roi int, frame long, f double")
+    for boundary in ("replicate", "reflect", "wrap"):
+        got = {}
+        for x in T.gaussian(traces, "f", 2.0, boundary).orderBy("roi", "frame").collect():
+            got.setdefault(x.roi, []).append(x.smooth)
+        assert np.allclose(got[1], 4.0) and got[3][1] is None
+        values = np.array([n % 5 for n in range(40)], float)
+        radius = 6 if boundary == "replicate" else 8
+        w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / 2.0) ** 2)
+        padded = np.pad(values, radius, mode={"replicate": "edge", "reflect": "symmetric", "wrap": "wrap"}[boundary])
+        assert np.allclose(got[2], np.convolve(padded, w / w.sum(), "valid"))
+
+
+def test_correlations_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(roi, b, float(v)) for roi in range(30) for b, v in enumerate(r.normal(0, 1, 12)) if (roi + b) % 7 and not (roi == 4 and b > 1 or roi == 5 and b < 2)]
+    binned = spark.createDataFrame(rows, "roi long, bin long, v double")
+    held = {}
+    for roi, b, v in rows:
+        held.setdefault(roi, {})[b] = v
+    want = {}
+    for a in held:
+        for b in held:
+            common = held[a].keys() & held[b].keys()
+            if a < b and common:
+                ma, mb = np.mean(list(held[a].values())), np.mean(list(held[b].values()))
+                want[a, b] = np.mean([(held[a][k] - ma) * (held[b][k] - mb) for k in common]) / (np.std(list(held[a].values())) * np.std(list(held[b].values())) + 1e-3)
+    for size in (4, 512):
+        monkeypatch.setattr(T, "TRACES_A_BLOCK", size)
+        got = {(x.a, x.b): x.r for x in T.corr_matrix(binned).collect()}
+        assert got.keys() == want.keys() and (4, 5) not in got and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_nearest_by_cells_against_all_pairs(spark):
+    from calspark.operators import interactive as I
+
+    r = np.random.default_rng(5)
+    a = [(n, float(y), float(x)) for n, (y, x) in enumerate(r.normal(0, 50, (60, 2)))] + [(99, 4_000.0, -9_000.0), (98, 0.0, 0.0)]
+    b = [(n, float(y), float(x)) for n, (y, x) in enumerate(np.round(r.normal(0, 30, (80, 2))))] + [(100, 1e4, 1e4)]
+    make = lambda rows, name: spark.createDataFrame(rows, f"{name} long, y double, x double")
+    for k in (1, 3, 200):
+        got = {(x.a, x.rank): x.b for x in I.nearest_ranked(make(a, "a"), make(b, "b"), k).collect()}
+        want = {(n, rank): m for n, y, x in a for rank, (_, m) in enumerate(sorted(((y - v) ** 2 + (x - w) ** 2, m) for m, v, w in b)[:k], 1)}
+        assert got == want
+    assert I.nearest_ranked(make(a, "a"), make(b, "b").limit(0), 2).count() == 0
+
+
+def test_missing_and_extra_offsets_raise(spark):
+    frames = spark.createDataFrame([(0, k, [float(k)] * 6) for k in range(5)], "plane int, frame long, arr array<double>")
+    offsets = spark.createDataFrame([(0, k, 0, 0) for k in range(5)], "plane int, frame long, yoff int, xoff int")
+    G.check_offsets(frames, offsets)
+    assert G.shifted(frames, offsets, 2, 3).count() == 5
+    for wrong in (offsets.where("frame <> 3"), offsets.union(offsets.where("frame = 1")), offsets.union(spark.createDataFrame([(0, 9, 0, 0)], offsets.schema)), offsets.withColumn("yoff", V.F.when(V.F.col("frame") != 2, 0))):
+        with pytest.raises(ValueError, match="plane 0: 1 frames"):
+            G.check_offsets(frames, wrong)
+    with pytest.raises(Exception, match="no offset for frame 3 of plane 0"):
+        G.shifted(frames, offsets.where("frame <> 3"), 2, 3).collect()
+
+
+def test_samples_order_no_pixels(spark):
+    frames = spark.createDataFrame([(p, k * 3, [float(k)] * 6) for p in (0, 1) for k in range(50)], "plane int, frame long, arr array<double>")
+    got = sorted((x.plane, x.frame) for x in G.sample_frames(frames, 7).collect())
+    assert got == [(p, int(k) * 3) for p in (0, 1) for k in np.linspace(0, 49, 7).astype(int)]
+    from calspark.sources.raw import sampled_mean
+
+    image = {(x.plane, x.y, x.x): x.v for x in sampled_mean(frames, 3, 7).collect()}
+    assert len(image) == 12 and max(y for _, y, _ in image) == 1 and abs(image[0, 1, 2] - np.linspace(0, 49, 7).astype(int).mean()) < 1e-9
+    for made in (G.sample_frames(frames, 7), I_forward(frames)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+        assert windows and all("arr" not in line for line in windows)
+
+
+def I_forward(frames):
+    from calspark.operators import interactive as I
+
+    return I.forward_filled(frames)
+
+
+def test_blocks_of_bleed_through_blend():
+    share = V.block_shares(60, 3, 5.0)
+    assert np.allclose(share.sum(1), 1) and abs(share[19, 0] - share[20, 0]) < 0.1 and share[2, 0] > 0.99 and share[30, 1] > 0.9
+
+
+def test_bleed_through_is_taken_out(spark):
+    r = np.random.default_rng(2)
+    one = np.abs(r.normal(10, 3, (30, 45)))
+    slope = 0.2 + 0.3 * np.linspace(0, 1, 45)
+    two = one * slope
+    two[12:15, 20:23] += 40
+    rows = lambda x: spark.createDataFrame([(0, int(a), int(b), float(x[a, b])) for a in range(30) for b in range(45)], "plane int, y int, x int, v double")
+    got = np.zeros((30, 45))
+    for x in V.bleed_through(rows(one), rows(two), 30, 45).collect():
+        got[x.y, x.x] = x.v
+    weights = np.array([[(one[10 * a : 10 * a + 10, 15 * b : 15 * b + 15] * two[10 * a : 10 * a + 10, 15 * b : 15 * b + 15]).sum() / (one[10 * a : 10 * a + 10, 15 * b : 15 * b + 15] ** 2).sum() for b in range(3)] for a in range(3)])
+    sigma = float(np.round((30 + 45) / 6 * 0.25))
+    gy, gx = V.block_shares(30, 3, sigma), V.block_shares(45, 3, sigma)
+    assert np.allclose(got, np.maximum(0, two - one * (gy @ weights @ gx.T))) and got[13, 21] > 30
+
+
+def test_tiles_keep_each_region_once(spark):
+    from calspark.plans.other_queries import planted
+
+    frames = planted(spark, planes=1)
+    s = D.SparseSettings(highpass_neuropil=15)
+    centre = lambda df: sorted((round(p["y"].mean()), round(p["x"].mean())) for _, p in df.toPandas().groupby("roi"))
+    whole, tiles = centre(D.detect(frames, 40, 40, "sparse", s)), centre(D.detect(frames, 40, 40, "sparse", s, tile=20, halo=12))
+    for y, x in [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]:
+        assert sum(abs(a - y) + abs(b - x) <= 3 for a, b in whole) == sum(abs(a - y) + abs(b - x) <= 3 for a, b in tiles) == 1

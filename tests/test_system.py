@@ -97,7 +97,7 @@ def test_classifier_saves_and_loads(spark, tmp_path):
 
 def test_stage_chain_finds_planted_regions(spark, tmp_path):
     frames = planted(spark, frames=240, planes=2)
-    s = S.overlay(S.Settings(), {"fs": 2.0, "diameter": [6, 6], "registration": {"nonrigid": False, "maxregshift": 0.05}, "detection": {"bin_size": 1, "sparsery": {"highpass_neuropil": 15}}, "extraction": {"min_neuropil_pixels": 60}, "dcnv_preprocess": {"win_baseline": 30.0, "sig_baseline": 2.0}})
+    s = S.overlay(S.Settings(), {"fs": 2.0, "diameter": [6, 6], "registration": {"nonrigid": False, "maxregshift": 0.05}, "detection": {"bin_size": 1, "sparse": {"highpass_neuropil": 15}}, "extraction": {"min_neuropil_pixels": 60}, "dcnv_preprocess": {"win_baseline": 30.0, "sig_baseline": 2.0}})
     out = pipeline.run(frames, 40, 40, str(tmp_path / "run"), s)
     stats = out["stats"].toPandas()
     for plane in (0, 1):
