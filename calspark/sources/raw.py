@@ -13,9 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calspark.functions.strings import natural_key
+from calspark.sources import ranges
+
 CLAMP = 32766
 
 
@@ -65,11 +68,62 @@ def unpacked(blobs: DataFrame, height: int, width: int) -> DataFrame:
     return blobs.select("plane", "frame", "pix").mapInPandas(run, f"plane {kinds['plane']}, frame {kinds['frame']}, arr array<smallint>")
 
 
-def read_flat(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
-    """frame, pix of a flat file or folder of them, by Spark's fixed-length record reader; frame is the position in the file order."""
+def read_flat(spark: SparkSession, path: str | list[str], height: int, width: int, pattern: str = "*") -> DataFrame:
+    """file, frame, pix of flat files in natural order, a range of frames a task; frame counts on over the files."""
     size = 2 * height * width
-    records = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    return spark.createDataFrame(records, "frame long, pix binary")
+    files = ranges.listing(spark, path, pattern).withColumn("n", F.expr(f"length div {size}"))
+    first = files.select("path").first()
+    if first is None:
+        raise FileNotFoundError(f"no files below {path}")
+    w = Window.orderBy(natural_key(F.col("path")), "path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    units = files.select("path", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+
+    def cut(pdf: pd.DataFrame, read) -> Iterator[pd.DataFrame]:
+        for r in pdf.itertuples():
+            step = max(1, (8 << 20) // size)
+            for at in range(r.first, r.first + r.count, step):
+                n = min(step, r.first + r.count - at)
+                block = read(r, at * size, n * size)
+                yield pd.DataFrame({"file": r.path, "frame": np.arange(r.start + at, r.start + at + n), "pix": [block[k : k + size] for k in range(0, n * size, size)]})
+
+    def by_range(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path, part in pdf.groupby("path", sort=False):
+                with ranges.open_at(path) as f:
+                    yield from cut(part, lambda r, at, n: (f.seek(at), f.read(n))[1])
+
+    def whole(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield from cut(pdf.assign(first=0, count=pdf["n"]), lambda r, at, n: r.content[at : at + n])
+
+    schema = "file string, frame long, pix binary"
+    if ranges.reachable(first["path"]):
+        return ranges.spans(units, size).mapInPandas(by_range, schema)
+    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return content.join(units, "path").mapInPandas(whole, schema)
+
+
+def raw_recording(spark: SparkSession, path: str, geometry: dict, pattern: str = "*.raw") -> DataFrame:
+    """plane, channel, frame, pix of a RAW recording. geometry: width, height, planes, channels, flyback (of its XML).
+
+    Channels alternate by page, planes by page of a channel; planes recorded while the
+    objective flies back are left out.
+    """
+    channels, planes = geometry["channels"], geometry["planes"]
+    recorded = planes + (geometry["flyback"] if planes > 1 else 0)
+    flat = read_flat(spark, path, geometry["height"], geometry["width"], pattern).withColumnRenamed("frame", "page")
+    x = flat.select(F.expr(f"cast((page div {channels}) % {recorded} as int)").alias("plane"), F.expr(f"cast(page % {channels} as int)").alias("channel"), F.expr(f"page div {channels * recorded}").alias("frame"), "pix")
+    return x.where(F.col("plane") < planes)
+
+
+def arrays(blobs: DataFrame, height: int, width: int) -> DataFrame:
+    """plane, channel, frame, Ly, Lx, arr of blobs (plane, channel, frame, pix)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.drop(columns="pix").assign(Ly=height, Lx=width, arr=[np.frombuffer(b, "<i2") for b in pdf["pix"]])
+
+    return blobs.select("plane", "channel", "frame", "pix").mapInPandas(run, "plane int, channel int, frame long, Ly int, Lx int, arr array<smallint>")
 
 
 def export_flat(frames: DataFrame, path: str) -> None:

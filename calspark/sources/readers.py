@@ -1,22 +1,143 @@
 """Scan functions by format: files of a recording to pages, pages to planes and channels.
 
-Formats that need a library (HDF5, NWB, ND2, SBX, DCIMG, AVI / MP4) are registered here with
-what they need; asking for one whose library is missing says so.
+Formats whose files only a library opens (HDF5, NWB, ND2, SBX, DCIMG, AVI / MP4) are
+read through an opener: a function from a local path to something with a length and
+pages by number, called in the tasks. ``register`` adds formats of one's own.
 """
 
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calspark.functions.strings import natural_key
 from calspark.operators.movie import demux, ping_pong
+from calspark.sources import ranges
+from calspark.sources.tiff import PAGES, narrow
 
-#: Format -> (extensions, library).
-NEEDS = {"h5": (("*.h5", "*.hdf5", "*.mesc"), "h5py"), "nwb": (("*.nwb",), "pynwb"), "nd2": (("*.nd2",), "nd2"), "sbx": (("*.sbx",), "sbxreader"), "dcimg": (("*.dcimg",), "dcimg"), "movie": (("*.avi", "*.mp4"), "cv2")}
+
+@dataclass(frozen=True)
+class Pages:
+    """Pages of a file: their number, and a function from a number to an image."""
+
+    count: int
+    get: Callable[[int], np.ndarray]
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, n: int) -> np.ndarray:
+        return self.get(n)
+
+
+def _stack(data) -> Pages:
+    """Anything with a shape and indices whose last two axes are an image."""
+    lead = tuple(data.shape[:-2])
+    return Pages(int(np.prod(lead)), lambda n: np.asarray(data[np.unravel_index(n, lead)]))
+
+
+def open_h5(path: str, key: str = "data") -> Pages:
+    import h5py
+
+    return _stack(h5py.File(path, "r")[key])
+
+
+def open_nwb(path: str) -> Pages:
+    """The first image series under acquisition."""
+    import h5py
+
+    for series in h5py.File(path, "r")["acquisition"].values():
+        if "data" in series and series["data"].ndim >= 3:
+            return _stack(series["data"])
+    raise ValueError(f"{path} has no image series")
+
+
+def open_nd2(path: str) -> Pages:
+    import nd2
+
+    f = nd2.ND2File(path)
+    first = f.read_frame(0)
+    channels = first.shape[0] if first.ndim == 3 else 1
+    return Pages(f.attributes.sequenceCount * channels, lambda n: f.read_frame(n // channels).reshape(channels, *first.shape[-2:])[n % channels])
+
+
+def open_sbx(path: str) -> Pages:
+    from sbxreader import sbx_memmap
+
+    return _stack(sbx_memmap(path))
+
+
+def open_dcimg(path: str) -> Pages:
+    import dcimg
+
+    return _stack(dcimg.DCIMGFile(path))
+
+
+def open_video(path: str) -> Pages:
+    """Frames of a video as grey images; reading on is faster than jumping."""
+    import cv2
+
+    video, at = cv2.VideoCapture(path), [0]
+
+    def get(n: int) -> np.ndarray:
+        if at[0] != n:
+            video.set(cv2.CAP_PROP_POS_FRAMES, n)
+        fine, image = video.read()
+        at[0] = n + 1
+        if not fine:
+            raise ValueError(f"{path}: frame {n} cannot be decoded")
+        return cv2.cvtColor(image, cv2.COLOR_BGR2GRAY)
+
+    return Pages(int(video.get(cv2.CAP_PROP_FRAME_COUNT)), get)
+
+
+#: Format -> (file patterns, library or None, opener).
+FORMATS: dict[str, tuple[tuple[str, ...], str | None, Callable[[str], Pages]]] = {
+    "h5": (("*.h5", "*.hdf5", "*.mesc"), "h5py", open_h5), "nwb": (("*.nwb",), "h5py", open_nwb), "nd2": (("*.nd2",), "nd2", open_nd2),
+    "sbx": (("*.sbx",), "sbxreader", open_sbx), "dcimg": (("*.dcimg",), "dcimg", open_dcimg), "movie": (("*.avi", "*.mp4"), "cv2", open_video),
+}
+
+
+def register(name: str, patterns: tuple[str, ...], opener: Callable[[str], Pages], library: str | None = None) -> None:
+    """Make a format known: file patterns, and a function from a local path to its pages that tasks can call."""
+    FORMATS[name] = (tuple(patterns), library, opener)
+
+
+def _opened(patterns: tuple[str, ...], opener: Callable[[str], Pages]) -> Callable[[SparkSession, str], DataFrame]:
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path in pdf["path"]:
+                pages = opener(ranges.local(path))
+                yield pd.DataFrame({"path": [path], "n": [len(pages)], "size": [pages[0].nbytes if len(pages) else 1]})
+
+    def take(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for path, part in pdf.groupby("path", sort=False):
+                pages = opener(ranges.local(path))
+                for r in part.sort_values("first").itertuples():
+                    for n in range(r.first, r.first + r.count):
+                        image = narrow(np.asarray(pages[n]))
+                        yield pd.DataFrame({"file": [path], "page": [n], "Ly": [image.shape[0]], "Lx": [image.shape[1]], "arr": [image.ravel()]})
+
+    def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+        from calspark.sources.raw import temporary_folder
+
+        files = ranges.listing(spark, path, "{" + ",".join(patterns) + "}")
+        folder = temporary_folder(spark, "page-counts")  # a row a file
+        files.select("path").mapInPandas(count, "path string, n long, size long").write.parquet(folder)
+        counts = spark.read.parquet(folder)
+        size = counts.agg(F.max("size")).first()[0]
+        if size is None:
+            raise FileNotFoundError(f"no {' or '.join(patterns)} below {path}")
+        return ranges.spans(counts.select("path", "n"), size).mapInPandas(take, PAGES)
+
+    return read
 
 
 def list_files(spark: SparkSession, paths: list[str], pattern: str, recursive: bool = False) -> DataFrame:
@@ -61,16 +182,16 @@ def demultiplexed(pages: DataFrame, n_planes: int, n_channels: int, up_and_down:
 
 
 def reader(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The page reader of a format: (spark, path) -> file, page, Ly, Lx, arr."""
+    """The page reader of a format: (spark, path or paths) -> file, page, Ly, Lx, arr."""
     if name in ("tif", "tiff"):
         from calspark.sources.tiff import read_pages
 
         return read_pages
-    if name in NEEDS:
-        library = NEEDS[name][1]
-        if importlib.util.find_spec(library) is None:
+    if name in FORMATS:
+        patterns, library, opener = FORMATS[name]
+        if library and importlib.util.find_spec(library) is None:
             raise ImportError(f"reading {name} needs the library {library}, which is not installed")
-        raise NotImplementedError(f"register a page reader for {name} with calspark.sources.readers.register")
+        return _opened(patterns, opener)
     raise ValueError(f"unknown format {name!r}")
 
 
