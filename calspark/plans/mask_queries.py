@@ -11,6 +11,8 @@ from calspark.plans import carriers as C
 from calspark.plans.trace_queries import R, _r
 
 DIAMETER = (3.0, 4.0)
+#: Lines of the field of view that cell_pixel_map looks at.
+FIELD = 64
 
 
 def mask_overlap_flags(spark, d):
@@ -55,7 +57,7 @@ def mask_union_merge(spark, d):
 
 
 def overlap_greedy_filter(spark, d):
-    return M.greedy_overlap_filter(C.masks(spark, d).where("lam >= 60").withColumn("plane", F.col("roi") % 4), 0.5)
+    return M.greedy_overlap_filter(C.masks(spark, d).where("lam >= 60").withColumn("plane", F.col("roi") % 4), 0.5)  # a sparse carrier: whole masks overlap everywhere
 
 
 def roi_median_pixel(spark, d):
@@ -92,6 +94,7 @@ def roi_size_filter(spark, d):
 
 def roi_stats(spark, d):
     x = S.roi_stats(C.masks(spark, d).withColumn("ord", F.col("y") * 64 + F.col("x")), *DIAMETER)
+    x = x.select("roi", F.col("med.y").alias("med_y"), F.col("med.x").alias("med_x"), *[c for c in x.columns if c not in ("roi", "med")])
     return _r(x, "mrs", "mrs0", "compact", "radius", "aspect_ratio", "npix_norm", "npix_norm_no_crop")
 
 
@@ -123,7 +126,7 @@ def neuropil_ring_circular(spark, d):
 
 
 def cell_pixel_map(spark, d):
-    return M.cell_pixels(C.masks(spark, d), 1.0, 50.0, 64, 64)
+    return M.cell_pixels(C.masks(spark, d).where(F.col("y") < FIELD), 1.0, 50.0, FIELD, 64)
 
 
 def chan2_ratio(spark, d):
@@ -191,3 +194,30 @@ select roi, y, x from need join kk using (roi) where k <= kk and (roi, y, x) not
 ins as (select roi, greatest(sum(lam * v) / sum(lam), 1e-3) i from tiles join img using (y, x) group by roi), outs as (select roi, avg(v) o from d1 join img using (y, x) where (roi, y, x) not in (select (roi, y, x) from tiles) group by roi)
 select roi, {R('i')} inside, {R('o')} outside, {R('i / (i + o)')} prob from ins join outs using (roi)""",
 }
+
+_SOMA = ORACLES["roi_soma_crop"].split("select roi, case when n > 10")[0]
+ORACLES["roi_stats"] = f"""{_SOMA}select roi, case when n > 10 then coalesce(cut, greatest(ceil(far) - 1, 0)) end radius from far left join c using (roi)),
+y0 as (select x.*, coalesce(dist < radius, true) inn from x join rad using (roi)), y as (select roi, y, x, lam, inn or not bool_or(inn) over (partition by roi) soma from y0),
+sz as (select roi, count(*) npix, count(*) filter (soma) npix_soma from y group by roi), nn as (select *, row_number() over (order by roi) nth from sz),
+nm as (select quantile_cont(npix, 0.5) filter (nth <= 100) a, quantile_cont(npix_soma, 0.5) filter (nth <= 100) b from nn),
+i2 as (select roi, y, x, lam from y where soma), disk(n, v) as (values {_DISK}), dk as (select n, avg(v) over (order by n) v from disk),
+q2 as (select roi, quantile_cont(y, 0.5) my, quantile_cont(x, 0.5) mx, least(count(*), (select count(*) from disk)) n from i2 group by roi),
+cp as (select roi, avg(sqrt(power((y - my) / {DY}, 2) + power((x - mx) / {DX}, 2))) mrs, max(n) n from i2 join q2 using (roi) group by roi), cq as (select roi, mrs, v mrs0 from cp join dk using (n)),
+s1 as (select roi, sum(lam) s, sum(lam * y / {DY}) / sum(lam) my, sum(lam * x / {DX}) / sum(lam) mx from i2 group by roi),
+v1 as (select roi, sum(lam * power(y / {DY} - my, 2)) / max(s) a, sum(lam * power(x / {DX} - mx, 2)) / max(s) b, sum(lam * (y / {DY} - my) * (x / {DX} - mx)) / max(s) c from i2 join s1 using (roi) group by roi),
+e1 as (select roi, 2 * sqrt((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c)) r1, 2 * sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0)) r2 from v1)
+select roi, p.y med_y, p.x med_x, npix, npix_soma, {R('mrs')} mrs, {R('mrs0')} mrs0, {R('greatest(1.0, mrs / (1e-10 + mrs0))')} compact, {R(f"r1 * {(DY + DX) / 2}")} radius, {R("2 * r1 / (0.01 + r1 + r2)")} aspect_ratio,
+  {R('npix_soma / (b + 1e-10)')} npix_norm, {R('npix / (a + 1e-10)')} npix_norm_no_crop from sz join med using (roi) join cq using (roi) join e1 using (roi), nm"""
+ORACLES["neuropil_ring_circular"] = f"""with {C.TILES}, cell as (select distinct y, x from tiles),
+fa as (select t.roi, cast(a.i as int) y, cast(b.i as int) x, min(abs(a.i - t.y) + abs(b.i - t.x)) far from tiles t, range(24) a(i), range(24) b(i) group by 1, 2, 3),
+fr as (select *, greatest(0, ceil((far - 1) / 2.0)) k from fa where (y, x) not in (select (y, x) from cell)),
+ku as (select roi, k, sum(count(*)) over (partition by roi order by k) n, sum(count(*) filter (far <= 1)) over (partition by roi) ins from fr group by roi, k),
+kk as (select roi, coalesce(min(k) filter (n - ins > 40), 100) kk from ku group by roi) select roi, y, x from fr join kk using (roi) where far > 1 and k <= kk"""
+ORACLES["cell_pixel_map"] = f"""with {C.MASKS}, pk as (select y, x, max(lam) v from masks where y < {FIELD} group by 1, 2), o as (select i.i - 2 k from range(5) i(i)),
+nb as (select p.y, p.x, p.v, case when p.y + a.k < 0 then -1 - (p.y + a.k) when p.y + a.k >= {FIELD} then {2 * FIELD - 1} - (p.y + a.k) else p.y + a.k end yy, case when p.x + b.k < 0 then -1 - (p.x + b.k) when p.x + b.k >= 64 then 127 - (p.x + b.k) else p.x + b.k end xx from pk p, o a, o b),
+ls as (select nb.y, nb.x, any_value(nb.v) v, list_sort(list(coalesce(q.v, 0))) l from nb left join pk q on q.y = nb.yy and q.x = nb.xx group by 1, 2) select y, x from ls where v >= l[13]"""
+ORACLES["overlap_greedy_filter"] = f"""with recursive {C.MASKS}, m as (select roi % 4 plane, roi, y, x from masks where lam >= 60), px as (select plane, y, x, list(roi) l from m group by 1, 2, 3),
+rs as (select m.plane, m.roi, list(list_filter(l, lambda z: z <> m.roi)) others from m join px using (plane, y, x) group by 1, 2), o as (select *, row_number() over (partition by plane order by roi desc) n from rs),
+st(plane, n, roi, gone) as (select distinct plane, cast(0 as bigint), cast(null as bigint), cast([] as bigint[]) from o union all
+  select o.plane, o.n, o.roi, case when list_avg(list_transform(o.others, lambda l: case when len(list_filter(l, lambda z: not list_contains(st.gone, z))) > 0 then 1.0 else 0.0 end)) > 0.5 then list_append(st.gone, o.roi) else st.gone end from st join o on o.plane = st.plane and o.n = st.n + 1)
+select plane, roi from st where n > 0 and not list_contains(gone, roi)"""

@@ -388,6 +388,28 @@ bl as (select plane, q.i y, r.i x, sum(s * q.g * r.g) s from b join ax q on q.pa
     "extract_traces": f"with {C.TILES}, {C.PIXELS}, k as (select *, count(*) over (partition by y, x) n from tiles), m as (select roi, y, x, lam / sum(lam) over (partition by roi) lam from k where n = 1) select plane, roi, frame, {R('sum(v * lam)')} f from pixels join m using (y, x) group by plane, roi, frame",
     "extract_neuropil": f"with {C.TILES}, {C.PIXELS}, {_DIL.format(a='tiles', b='d1', h=7)}, ring as (select * from d1 where (roi, y, x) not in (select (roi, y, x) from tiles)) select plane, roi, frame, {R('avg(v)')} fneu from pixels join ring using (y, x) group by plane, roi, frame",
 }
+
+
+def _masked(references: str, frames: str, half: int, taper: float, sigma: float) -> str:
+    """cc (key, plane, frame, dy, dx, c) of rf (key, y, x, v) and fr (key, plane, frame, y, x, v), by transforms written out."""
+    angle = "2 * pi() * (u * y + w * x) / 8"
+    return f"""rf as ({references}), fr as ({frames}),
+bd as (select key, trunc(quantile_cont(v, 0.01)) lo, trunc(quantile_cont(v, 0.99)) hi from rf group by key), rc as (select key, y, x, least(greatest(v, lo), hi) v from rf join bd using (key)), rm as (select key, avg(v) m from rc group by key),
+sg as (select i.i, 1 / (1 + exp((abs(i.i - 3.5) - (3.5 - 2 * {taper})) / {taper})) t, exp(-0.5 * power((i.i - 3.5) / {sigma}, 2)) g from range(8) i(i)), gs as (select i, g / sum(g) over () g from sg),
+g1 as (select k.i u, sum(g * cos(2 * pi() * k.i * ((gs.i + 4) % 8) / 8)) re, -sum(g * sin(2 * pi() * k.i * ((gs.i + 4) % 8) / 8)) im from gs, range(8) k(i) group by 1),
+g2 as (select a.u, b.u w, a.re * b.re - a.im * b.im g from g1 a, g1 b), uv as (select a.i u, b.i w from range(8) a(i), range(8) b(i)),
+cl as (select key, plane, frame, y, x, least(greatest(v, lo), hi) * p.t * q.t + m * (1 - p.t * q.t) v from fr join bd using (key) join rm using (key) join sg p on p.i = y join sg q on q.i = x),
+ft as (select key, plane, frame, u, w, sum(v * cos({angle})) re, -sum(v * sin({angle})) im from cl, uv group by 1, 2, 3, 4, 5), fw as (select key, plane, frame, u, w, re / (1e-5 + sqrt(re * re + im * im)) re, im / (1e-5 + sqrt(re * re + im * im)) im from ft),
+rt as (select key, u, w, sum(v * cos({angle})) re, -sum(v * sin({angle})) im from rc, uv group by 1, 2, 3), rw as (select key, u, w, g * re / (1e-5 + sqrt(re * re + im * im)) re, g * im / (1e-5 + sqrt(re * re + im * im)) im from rt join g2 using (u, w)),
+pq as (select a.key, a.plane, a.frame, a.u, a.w, a.re * b.re + a.im * b.im re, a.im * b.re - a.re * b.im im from fw a join rw b using (key, u, w)), lg as (select a.i - {half} dy, b.i - {half} dx from range({2 * half + 1}) a(i), range({2 * half + 1}) b(i)),
+cc as (select key, plane, frame, dy, dx, sum(re * cos(2 * pi() * (u * dy + w * dx) / 8) - im * sin(2 * pi() * (u * dy + w * dx) / 8)) / 64 c from pq, lg group by all)"""
+
+
+ORACLES["phase_corr_masked"] = f"""with {_COUNTS}, {_masked("select plane key, y, x, arg_min(v, frame) v from px group by 1, 2, 3", "select plane key, plane, frame, y, x, v from px", 3, 0.8, 1.15)},
+bs as (select *, row_number() over (partition by frame order by c desc) k from cc) select plane, frame, cast(dy as int) yoff, cast(dx as int) xoff, {R('c')} corr from bs where k = 1"""
+_STACK = "select z.i as key, cast(a.i as int) y, cast(b.i as int) x, (a.i * (z.i + 2) + b.i * 3) % 11 v from range(3) z(i), range(8) a(i), range(8) b(i)"
+ORACLES["zstack_correlate"] = f"""with {_COUNTS}, {_masked(_STACK, "select z.i as key, plane, frame, y, x, v from px, range(3) z(i)", 2, 0.8, 1.15)}
+select plane, frame, cast(key as int) z, {R('max(c)')} corr from cc group by plane, frame, key"""
 ORACLES["movie_bin_blocks"] = ORACLES["movie_bin_badframes"]
 ORACLES["movie_mean_image_blocks"] = ORACLES["movie_mean_image"]
 ORACLES["extract_traces_blocks"] = f"select * from ({ORACLES['extract_traces']}) join ({ORACLES['extract_neuropil']}) using (plane, roi, frame)"

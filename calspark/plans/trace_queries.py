@@ -236,4 +236,10 @@ select frame, {R("s.v + (k.t - s.t) * (s.v1 - s.v) / (s.t1 - s.t)", 3)} v from k
     "key_intersection": f"with {C.TRACES} select roi from traces where event_type = 'click' intersect select roi from traces where event_type = 'error'",
     "trace_robust_colour": f"with {C.TRACES}, {_stats('traces', 'f')}, q as (select quantile_cont(std, 0.02) a, quantile_cont(std, 0.98) b from sk) select roi, {R('least(greatest((std - a) / nullif(b - a, 0), 0.0), 1.0)')} colour from sk, q",
     "trace_rank_colour": f"with {C.TRACES}, {_stats('traces', 'f')} select roi, {R('(row_number() over (order by round(std, 6), roi) - 1) / greatest(count(*) over () - 1, 1)')} colour from sk",
+    "merge_groups": f"""with recursive {C.TRACES}, {_BINS}, {_MATRIX}, {_CANDIDATES},
+od as (select a, b, row_number() over (order by round(r, 6) desc, a, b) n from cand where distance <= 2),
+st(n, grp) as (select cast(0 as bigint), cast([] as struct(roi bigint, g bigint)[]) union all
+  select o.n, list_concat(grp, list_filter([{{'roi': a, 'g': gg}}, {{'roi': b, 'g': gg}}], lambda e: not list_contains(list_transform(grp, lambda z: z.roi), e.roi)))
+  from (select od.*, grp, coalesce(list_filter(grp, lambda z: z.roi = od.a)[1].g, list_filter(grp, lambda z: z.roi = od.b)[1].g, od.a) gg from st join od on od.n = st.n + 1) o),
+l as (select unnest(grp) e from (select grp from st order by n desc limit 1)) select e.roi roi, e.g as "group" from l""",
 }

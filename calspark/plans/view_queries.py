@@ -182,3 +182,13 @@ ORACLES = {
     "frames_forward_filled": f"with {C.PIXELS}, k as (select plane, frame, max(v) filter (y = 0 and x = 1) > cast(-0.1 as double) ok from pixels group by 1, 2), l as (select plane, frame, last_value(case when ok then frame end ignore nulls) over (partition by plane order by frame rows between unbounded preceding and current row) src from k) select l.plane, l.frame, p.y, p.x, p.v from l join pixels p on p.plane = l.plane and p.frame = l.src",
     "channel2_registered": "select label plane, vec_id frame, true same from embeddings",
 }
+
+_LABELS = f"""{C.PIXELS}, mp as (select plane, y, x, max(v) v from pixels group by all), th as (select plane, quantile_cont(v, 0.7) q from mp group by plane), ins as (select plane, y, x, y * 8 + x i from mp join th using (plane) where v > q),
+wk(plane, i, y, x) as (select plane, i, y, x from ins union select w.plane, w.i, n.y, n.x from wk w join ins n on n.plane = w.plane and abs(n.y - w.y) + abs(n.x - w.x) = 1),
+fi as (select plane, y, x, min(i) i from wk group by 1, 2, 3), lb as (select plane, y, x, dense_rank() over (partition by plane order by i) label from fi)"""
+ORACLES["image_segmented"] = f"with recursive {_LABELS} select plane, y, x, label from lb"
+ORACLES["label_statistics"] = f"""with recursive {_LABELS}, l as (select plane * 1000 + label label, y, x from lb), q as (select label, quantile_cont(y, 0.5) my, quantile_cont(x, 0.5) mx, 2 * sqrt(count(*) / pi()) diameter from l group by 1),
+r as (select label, y, x, diameter, row_number() over (partition by label order by power(y - my, 2) + power(x - mx, 2), y, x) k from l join q using (label)) select label, y, x, {R('diameter')} diameter from r where k = 1"""
+ORACLES["image_enhanced"] = f"""with {C.PIXELS}, mp as (select plane, y, x, max(v) v from pixels group by all), h as (select plane, y, x, v, avg(v) over w m, avg(v * v) over w s from mp window w as (partition by plane, y order by x rows between 2 preceding and 2 following)),
+u as (select plane, y, x, v, avg(m) over w m, avg(s) over w s from h window w as (partition by plane, x order by y rows between 2 preceding and 2 following)), z as (select plane, y, x, (v - m) / (sqrt(greatest(s - m * m, 0)) + 1e-6) v from u),
+q as (select plane, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from z group by plane) select plane, y, x, {R('least(greatest((v - a) / (b - a), 0.0), 1.0)', 5)} v from z join q using (plane)"""
