@@ -31,6 +31,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Rows of a file of an intermediate table whose size is known beforehand.
 ROWS_A_FILE = 500_000
+#: Rows of an Arrow batch while a table is written: bounds the texts that an executor and its Python workers hold at a time.
+ARROW_ROWS = 1_000
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -40,8 +42,13 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     each, so that a small table is not many files.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    (df if rows is None else df.coalesce(min(partitions(spark), -(-rows // ROWS_A_FILE) or 1))).write.parquet(path)
+    path, key = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        (df if rows is None else df.coalesce(min(partitions(spark), -(-rows // ROWS_A_FILE) or 1))).write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
