@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,36 @@ def combined_images(images: DataFrame, layout: DataFrame) -> DataFrame:
     return images.join(layout.select("plane", "dy", "dx"), "plane").select("plane", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
 
 
+def canvas_size(layout: DataFrame) -> tuple[int, int]:
+    """(height, width) of the canvas that holds every plane."""
+    r = layout.agg(F.max(F.col("dy") + F.col("height")).alias("h"), F.max(F.col("dx") + F.col("width")).alias("w")).first()
+    return int(r["h"]), int(r["w"])
+
+
+def combined_frames(frames: DataFrame, layout: DataFrame) -> DataFrame:
+    """frame, arr: the planes' frames of one number pasted on the canvas, zeros between them; later planes over earlier ones.
+
+    frames: plane, frame, arr. Planes without a place are left out. Frames that a placed
+    plane lacks fail: planes of one recording are as long as each other.
+    """
+    places = {r["plane"]: (r["dy"], r["dx"], r["height"], r["width"]) for r in layout.collect()}  # a row a plane
+    height, width = canvas_size(layout)
+    kinds = dict(frames.dtypes)
+    value = kinds["arr"].removeprefix("array<").removesuffix(">")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) != len(places):
+            raise ValueError(f"frame {pdf['frame'].iloc[0]} is there in {len(pdf)} of {len(places)} planes")
+        out = np.zeros((height, width), np.asarray(pdf["arr"].iloc[0]).dtype)
+        for r in pdf.sort_values("plane").itertuples():
+            y, x, h, w = places[r.plane]
+            out[y : y + h, x : x + w] = np.asarray(r.arr).reshape(h, w)
+        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "arr": [out.ravel()]})
+
+    placed = frames.where(F.col("plane").isin(list(places))).select("plane", "frame", "arr")
+    return placed.groupBy("frame").applyInPandas(run, f"frame {kinds['frame']}, arr array<{value}>")
+
+
 def union_planes(parts: dict[int, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("plane", F.lit(k)) for k, p in sorted(parts.items())])
 

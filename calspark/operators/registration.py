@@ -611,6 +611,39 @@ def z_correlation(frames: DataFrame, stack: list[np.ndarray], settings: RigidSet
     return frames.select("plane", "frame", "arr").mapInPandas(run, f"plane {kinds['plane']}, frame {kinds['frame']}, z int, corr double")
 
 
+def register_to_stack(frames: DataFrame, stack: list[np.ndarray], rigid: RigidSettings = RigidSettings(), blocks: BlockSettings | None = None) -> DataFrame:
+    """plane, frame, z, yoff, xoff, corr, corrs, yoff1, xoff1, corr1: every frame's best image of a stack and its shifts against that one.
+
+    The image is chosen by the rigid correlation (corrs has those with all images); block
+    shifts, where ``blocks`` are given, are found against the chosen image. No frame is moved.
+    """
+    height, width = stack[0].shape
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [Rigid(z, rigid) for z in stack]
+        local = [Blocks(z, blocks) for z in stack] if blocks else None
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["arr"].to_numpy()).reshape(-1, height, width).astype(float)
+            y, z, c = (np.stack(v, 1) for v in zip(*(k.shifts(x) for k in whole)))
+            best = c.argmax(1)
+            rows = np.arange(len(x))
+            out = pdf[["plane", "frame"]].assign(z=best.astype("int32"), yoff=y[rows, best].astype("int32"), xoff=z[rows, best].astype("int32"), corr=c[rows, best], corrs=list(c))
+            fields: list[list] = [[None] * len(x) for _ in range(3)]
+            for k in np.unique(best) if local else ():
+                mine = np.flatnonzero(best == k)
+                found = local[k].shifts(rolled(x[mine], y[mine, k], z[mine, k]))
+                for field, values in zip(fields, found):
+                    for n, v in zip(mine, values):
+                        field[n] = v
+            yield out.assign(yoff1=fields[0], xoff1=fields[1], corr1=fields[2])
+
+    kinds = dict(frames.dtypes)
+    many = "corrs array<double>, yoff1 array<double>, xoff1 array<double>, corr1 array<double>"
+    return frames.select("plane", "frame", "arr").mapInPandas(run, f"plane {kinds['plane']}, frame {kinds['frame']}, z int, yoff int, xoff int, corr double, {many}")
+
+
 def z_position(zcorr: DataFrame, sigma: float = 2.0) -> DataFrame:
     """plane, frame, z: the best plane after a Gaussian over z (reflected ends), the first on ties."""
     from calspark.functions.columns import gaussian_taps, reflect_index

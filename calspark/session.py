@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 import zipfile
@@ -11,6 +12,24 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def log_to(folder: str | None = None, level: int = logging.INFO) -> logging.Logger:
+    """The package's logger on the driver: to the console and, with a folder, to run.log in it. Called again, it replaces its handlers."""
+    log = logging.getLogger("calspark")
+    for h in list(log.handlers):
+        log.removeHandler(h)
+        h.close()
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+        handlers.append(logging.FileHandler(os.path.join(folder, "run.log"), mode="w"))
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+    log.setLevel(level)
+    log.propagate = False
+    return log
+
+
 def ship(spark: SparkSession) -> None:
     """Hands a zip of this package to the executors, once an application.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 
@@ -199,6 +200,23 @@ def load(path: str) -> dict:
         return json.load(f)
 
 
+#: Where a user keeps settings of their own, laid over the defaults.
+USER_SETTINGS = "~/.calspark/settings.json"
+
+
+def user_settings(path: str = USER_SETTINGS) -> Settings:
+    """The defaults with the user's own settings over them, where there are any."""
+    path = os.path.expanduser(path)
+    return overlay(Settings(), load(path)) if os.path.exists(path) else Settings()
+
+
+def save_folder(record: Recording, root: str = "", name: str = "calspark") -> str:
+    """Where the tables of a recording go: below ``root``, else below its first folder."""
+    if not root and not record.data_path:
+        raise ValueError("a recording without folders needs a folder for its tables")
+    return f"{(root or record.data_path[0]).rstrip('/')}/{name}"
+
+
 def markdown(base=None) -> str:
     """The settings as a table."""
     rows = ["| setting | default | meaning |", "|---|---|---|"]

@@ -137,6 +137,70 @@ def test_streams(spark, tmp_path):
     assert early and all(abs(spikes.get(k, 0.0) - whole[k]) < 0.3 for k in early)
 
 
+def test_a_silent_region_gives_out_its_last_frames_and_late_ones_are_left_out(spark, tmp_path):
+    import time
+
+    from calspark.streaming import online
+
+    v = np.abs(np.random.default_rng(4).normal(0, 1, 60))
+    tr = str(tmp_path / "tr")
+    put = lambda frames, values: spark.createDataFrame(pd.DataFrame({"roi": 5, "frame": frames, "v": values}), online.TRACE).coalesce(1).write.mode("append").parquet(tr)
+    put(range(60), v)
+    def until(idle, done):
+        """Triggers until done(); timeouts keep such a stream busy, so it never says that all is processed."""
+        stream = online.online_spikes(spark.readStream.schema(online.TRACE).parquet(tr), hold=200, idle=idle)
+        q = stream.writeStream.format("memory").queryName("rest").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+        end = time.time() + 40
+        try:
+            while not done(q) and time.time() < end:
+                time.sleep(0.3)
+        finally:
+            q.stop()
+
+    rows = lambda q: sum(p["numInputRows"] for p in q.recentProgress)
+    sent = []
+
+    def late(q):
+        if rows(q) == 60 and not sent:
+            put([3, 7], [99.0, 99.0])
+            sent.append(1)
+        return rows(q) == 62 and spark.table("rest").count() > 0
+
+    until("5 seconds", late)
+    spikes = {x.frame: x.spk for x in spark.table("rest").collect()}
+    whole = T.deconvolve_array(v, np.exp(-0.1))
+    assert {k for k in spikes if spikes[k] > 1e-9} == {k for k in range(1, 60) if whole[k] > 1e-9} and all(abs(spikes[k] - whole[k]) < 1e-9 for k in spikes)
+
+
+def test_chain_of_a_plane_without_plane_zero_and_of_planes_that_crop_differently(spark, tmp_path):
+    frames = planted(spark, frames=240, planes=2)
+    s = S.overlay(S.Settings(), {"fs": 2.0, "diameter": [6, 6], "registration": {"nonrigid": False, "maxregshift": 0.05}, "detection": {"bin_size": 1, "npix_norm_min": 0.1, "sparse": {"highpass_neuropil": 15}}, "extraction": {"min_neuropil_pixels": 60}, "run": {"do_deconvolution": False}})
+    alone = pipeline.run(frames.where("plane = 1"), 40, 40, str(tmp_path / "one"), s)["stats"].toPandas()
+    assert len(alone) >= 6 and alone["npix_norm"].notna().all() and abs(alone["npix_norm"].median() - 1) < 0.5
+    bad = frames.select("plane", "frame").distinct().withColumn("bad", pipeline.F.lit(False))
+    ranges = spark.createDataFrame([(0, 0, 40, 0, 40), (1, 3, 38, 12, 40)], "plane int, y0 int, y1 int, x0 int, x1 int")
+    found = pipeline.detect(frames.select("plane", "frame", "arr"), bad, ranges, 40, 40, s).toPandas()
+    for plane, spots in ((0, [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]), (1, [(9, 29), (20, 18), (31, 31), (19, 33)])):
+        centres = [(p["y"].mean(), p["x"].mean()) for _, p in found[found["plane"] == plane].groupby("roi")]
+        assert all(min(abs(a - y) + abs(b - x) for a, b in centres) <= 3 for y, x in spots)
+    assert found[found["plane"] == 0]["x"].min() < 12 <= found[found["plane"] == 1]["x"].min()
+
+
+def test_user_settings_folders_and_log(tmp_path):
+    from calspark.session import log_to
+
+    assert S.user_settings(str(tmp_path / "none.json")) == S.Settings()
+    (tmp_path / "s.json").write_text('{"fs": 7.0, "run": {"do_detection": false}}')
+    mine = S.user_settings(str(tmp_path / "s.json"))
+    assert mine.fs == 7 and not mine.run.do_detection and mine.tau == 1
+    assert S.save_folder(S.Recording(data_path=["/a/b/"])) == "/a/b/calspark" and S.save_folder(S.Recording(), "/x", "y") == "/x/y"
+    with pytest.raises(ValueError):
+        S.save_folder(S.Recording())
+    log_to(str(tmp_path / "l")).info("hello")
+    log_to()
+    assert "hello" in (tmp_path / "l" / "run.log").read_text()
+
+
 def test_command_line(capsys, tmp_path):
     from calspark.__main__ import main
 
