@@ -59,7 +59,7 @@ SEEN, SPREAD = 100_000, 1_000
 #: Steps after which the shared random bits repeat, classes of characters, seed.
 PERIOD, CLASSES, SEED = 4096, 256, 20_240_901
 #: Characters that walk together, and that a task gathers to walk texts of like length together: bound its memory.
-CHUNK_CHARS, HELD_CHARS = 3_000_000, 6_000_000
+CHUNK_CHARS, HELD_CHARS = 3_000_000, 9_000_000
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -206,8 +206,8 @@ def _deal(cuts: list[tuple], least: tuple):
             marks = fingerprint_all([t for _, t in fresh])
             return batch_of([x for (key, t), mark in zip(fresh, marks) for x in rows_of(key, 1, mark, pack(t.encode()))])
 
+        fresh, size = [], 0
         for batch in batches:
-            fresh, size = [], 0
             for known, doc, h, text in zip(*batch.columns):
                 key = (known.as_py(), doc.as_py(), h.as_py())
                 if key in seen:
@@ -219,10 +219,10 @@ def _deal(cuts: list[tuple], least: tuple):
                 if size >= HELD_CHARS:
                     yield flush(fresh)
                     fresh, size = [], 0
-            if fresh:
-                yield flush(fresh)
             if len(seen) > SEEN and (rest := counted()):
                 yield batch_of(rest)
+        if fresh:
+            yield flush(fresh)
         if rest := counted():
             yield batch_of(rest)
 
