@@ -186,7 +186,7 @@ def kernel_smooth(spark, d):
 
 def kriging_upsample(spark, d):
     k, side = G.upsampler(3, 10)
-    return _r(spark.createDataFrame([(int(i), int(j), float(k[i, j])) for i in range(49) for j in range(0, side * side, 97)], "point int, fine int, w double"), "w")
+    return _r(spark.createDataFrame([(int(i), int(j), float(k[i, j])) for i in range(49) for j in range(side * side)], "point int, fine int, w double"), "w")
 
 
 def _synthetic(spark, d, size=24):

@@ -182,9 +182,53 @@ def tiff_roundtrip(spark, d):
     return read_tiff(spark, path).groupBy("plane").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.aggregate("arr", F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))).alias("total"))
 
 
+def _thousandths(spark, d):
+    return C.movie(spark, d).withColumn("arr", F.transform("arr", lambda v: F.round(v * 1000).cast("short")))
+
+
+def _total(frames, *keys):
+    return frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.aggregate("arr", F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))).alias("total"))
+
+
+def tiff_files_roundtrip(spark, d):
+    """Frames written as compressed .tif files and read back by ranges of pages; a page is known by its file and place."""
+    from calspark.sources import ranges
+    from calspark.sources.raw import temporary_folder
+    from calspark.sources.tiff import read_pages, write_tiff_files
+
+    path = temporary_folder(spark, "tif-files")
+    write_tiff_files(_thousandths(spark, d), ranges.file_system(path)[1], 8, 8, 100, True)
+    return _total(read_pages(spark, path), F.regexp_extract("file", r"plane(\d+)_\d+\.tif$", 1).cast("int").alias("plane"))
+
+
+def recording_from_files(spark, d):
+    """The movie as pages of .tif files, converted to two planes and two channels."""
+    from calspark.settings import Recording
+    from calspark.sources import ranges, recording
+    from calspark.sources.raw import temporary_folder
+    from calspark.sources.tiff import write_tiff_files
+
+    path, out = temporary_folder(spark, "recording"), temporary_folder(spark, "converted")
+    write_tiff_files(_thousandths(spark, d).withColumn("plane", F.lit(0)), ranges.file_system(path)[1], 8, 8, 64)
+    made = recording.convert(spark, Recording(data_path=[path], nplanes=2, nchannels=2, functional_chan=2), out)
+    return _total(made.frames, "plane", F.lit(2).alias("channel")).unionByName(_total(made.frames2, "plane", F.lit(1).alias("channel")))
+
+
+def movie_on_canvas(spark, d):
+    """Planes side by side on one canvas, as far as all of them last; rows of pixels are summed."""
+    ranked = T.F.row_number().over(T.Window.partitionBy("plane").orderBy("frame")) - 1
+    m = _thousandths(spark, d).withColumn("frame", ranked.cast("long")).where("plane < 6")
+    last = m.groupBy("plane").agg(F.max("frame").alias("last")).agg(F.min("last").alias("last"))
+    m = m.join(F.broadcast(last)).where(F.col("frame") <= F.col("last"))
+    layout = L.canvas(m.select("plane").distinct().select("plane", F.lit(8).alias("height"), F.lit(8).alias("width")))
+    _, width = L.canvas_size(layout)
+    x = C.exploded(L.combined_frames(m, layout).withColumn("plane", F.lit(0)), width)
+    return x.groupBy("frame", "y", F.expr("x div 8").alias("column")).agg(F.sum(F.col("v").cast("long")).alias("total"))
+
+
 QUERIES = {f.__name__: f for f in (
     detect_sparse, detect_svd, detect_f1, split_test, classifier_grid, classifier_smooth, classifier_logodds, classifier_predict, classifier_override, training_union, canvas_layout, mosaic_layout, combine_planes, plane_field_configs,
-    f1_match, f1_score, match_one_to_one, natural_sort_files, raw_binary_roundtrip, npy_roundtrip, tiff_roundtrip,
+    f1_match, f1_score, match_one_to_one, natural_sort_files, raw_binary_roundtrip, npy_roundtrip, tiff_roundtrip, tiff_files_roundtrip, recording_from_files, movie_on_canvas,
 )}
 
 _GRID = f"""
@@ -217,4 +261,10 @@ select path, folder, cast(row_number() over (partition by folder order by nk, pa
     "raw_binary_roundtrip": f"with {C.PIXELS} select plane, frame, y, x, cast(round(v * 1000) as int) v from pixels",
     "npy_roundtrip": _SUM16,
     "tiff_roundtrip": _SUM16,
+    "tiff_files_roundtrip": _SUM16,
+    "recording_from_files": "with p as (select row_number() over (order by vec_id) - 1 k, list_sum(list_transform(embedding, lambda v: cast(round(cast(v as double) * 1000) as bigint))) s from embeddings) select cast(k // 2 % 2 as int) plane, cast(k % 2 + 1 as int) channel, count(*) frames, cast(sum(s) as bigint) total from p group by 1, 2",
+    "movie_on_canvas": """with t as (select label plane, row_number() over (partition by label order by vec_id) - 1 t, embedding e from embeddings where label < 6), c as (select count(distinct plane) n, ceil(sqrt(8 * 8 * count(distinct plane)) / 8) ac from t),
+k as (select min(m) k from (select max(t) m from t group by plane)), p as (select plane, t, i.i // 8 y, cast(round(cast(e[i.i + 1] as double) * 1000) as bigint) v from t, k, range(64) i(i) where t <= k),
+q as (select t, cast(floor(plane / ac) * 8 + y as int) y, cast(plane % ac as bigint) col, sum(v) total from p, c group by all), g as (select t.i t, cast(y.i as int) y, x.i col from (select distinct t i from q) t, c, range(cast(8 * ceil(n / ac) as bigint)) y(i), range(cast(ac as bigint)) x(i))
+select g.t frame, g.y, g.col as "column", cast(coalesce(total, 0) as bigint) total from g left join q using (t, y, col)""",
 }

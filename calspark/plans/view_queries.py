@@ -13,7 +13,7 @@ from calspark.operators import movie as V
 from calspark.operators import registration as G
 from calspark.operators import traces as T
 from calspark.plans import carriers as C
-from calspark.plans.movie_queries import BLOCK, _counts, _first, _synthetic, _timed
+from calspark.plans.movie_queries import _COUNTS, BLOCK, _counts, _first, _masked, _reflect, _synthetic, _taps, _timed
 from calspark.plans.trace_queries import _BINS, BIN, R, _r, _stats
 
 
@@ -192,3 +192,7 @@ r as (select label, y, x, diameter, row_number() over (partition by label order
 ORACLES["image_enhanced"] = f"""with {C.PIXELS}, mp as (select plane, y, x, max(v) v from pixels group by all), h as (select plane, y, x, v, avg(v) over w m, avg(v * v) over w s from mp window w as (partition by plane, y order by x rows between 2 preceding and 2 following)),
 u as (select plane, y, x, v, avg(m) over w m, avg(s) over w s from h window w as (partition by plane, x order by y rows between 2 preceding and 2 following)), z as (select plane, y, x, (v - m) / (sqrt(greatest(s - m * m, 0)) + 1e-6) v from u),
 q as (select plane, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from z group by plane) select plane, y, x, {R('least(greatest((v - a) / (b - a), 0.0), 1.0)', 5)} v from z join q using (plane)"""
+ORACLES["phase_corr_smoothed"] = f"""with {_COUNTS}, {_masked("select plane key, y, x, arg_min(v, frame) v from px group by 1, 2, 3", "select plane key, plane, frame, y, x, v from px", 3, 0.8, 1.15)}, {_taps("taps", 1.0)},
+fn as (select plane, frame, row_number() over (partition by plane order by frame) - 1 t from (select distinct plane, frame from px)), bt as (select plane, frame, t // 20 b, t % 20 j, count(*) over (partition by plane, t // 20) n from fn),
+nx as (select plane, frame, b, {_reflect("j + k", "n")} i, sum(w) w from bt, taps group by all), sm as (select nx.plane, nx.frame, cc.dy, cc.dx, sum(nx.w * cc.c) c from nx join bt s on s.plane = nx.plane and s.b = nx.b and s.j = nx.i join cc on cc.frame = s.frame group by all),
+bs as (select *, row_number() over (partition by frame order by c desc) k from sm) select plane, frame, cast(dy as int) yoff, cast(dx as int) xoff, {R('c')} corr from bs where k = 1"""
