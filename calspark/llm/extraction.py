@@ -16,10 +16,13 @@ joined by host; skewed hosts are then split by adaptive execution.
 Within the article, menus, headers, footers, sidebars, notices, adverts, forms (but
 for one that wraps the page or its article, of which only the controls go),
 comments, scripts and styles are left out by tag, role, visibility and words of
-class and id. Defined cases. Null or empty html: empty text. Null url: its pages
+class and id. A name alone does not hide what holds the article, nor a section of
+prose within it. Defined cases. Null or empty html: empty text. Null url: its pages
 share the host ''. Truncated markup: an unfinished tag is dropped, open elements
-end with the page; a head without an end tag ends before what belongs in a body. No container: the body's text. Repeated rows give repeated
-rows. Extra columns are ignored; an empty table gives an empty result.
+end with the page; a head without an end tag ends before what belongs in a body. No
+container: the body's text. Very long and very deep pages are parsed whole, a page at a
+time, in steps that follow its length. Repeated rows give repeated rows. Extra columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
