@@ -42,7 +42,7 @@ def image_scaled(image: DataFrame, low: float = 0.01, high: float = 0.99) -> Dat
     """plane, y, x, v: every plane's image between two of its quantiles, clipped to [0, 1]."""
     ends = image.groupBy("plane").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("_e"))
     s = F.try_divide(F.col("v") - F.col("_e")[0], F.col("_e")[1] - F.col("_e")[0])
-    return image.join(F.broadcast(ends), "plane").select("plane", "y", "x", F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)).alias("v"))
+    return image.join(ends, "plane").select("plane", "y", "x", F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)).alias("v"))
 
 
 def enhanced_mean(image: DataFrame, radius: int = 3) -> DataFrame:

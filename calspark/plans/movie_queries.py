@@ -38,7 +38,7 @@ def movie_narrow_int16(spark, d):
 
 def _bins(spark, d, bad):
     frames = C.movie(spark, d).select("plane", "frame", bad.alias("bad"))
-    return V.binned(C.pixels(spark, d), V.frame_bins(frames, 4, batch=20, bins=30))
+    return V.binned(C.pixels(spark, d), V.frame_bins(frames, 4, batch=20))
 
 
 def movie_bin(spark, d):
@@ -56,7 +56,7 @@ def movie_mean_image(spark, d):
 def movie_bin_blocks(spark, d):
     """The same bins on array frames: sums by task, no pixel rows."""
     frames = C.movie(spark, d).select("plane", "frame", (F.element_at("arr", 1) > 0.05 * (F.col("plane") % 3 - 1)).alias("bad"))
-    x = V.binned_frames(C.movie(spark, d), V.frame_bins(frames, 4, batch=20, bins=30))
+    x = V.binned_frames(C.movie(spark, d), V.frame_bins(frames, 4, batch=20))
     pixels = C.exploded(x.withColumn("frame", F.col("batch") * 1000 + F.col("bin")))
     return _r(pixels.select("plane", F.expr("frame div 1000").alias("batch"), (F.col("frame") % 1000).alias("bin"), "y", "x", "v"), "v")
 
@@ -310,7 +310,7 @@ def _binned(bad: str) -> str:
     return f"""with {C.PIXELS}, f0 as (select plane, frame, {bad} bad from pixels group by plane, frame),
 f1 as (select *, row_number() over (partition by plane order by frame) - 1 t, count(*) over (partition by plane) n, count(*) filter (not bad) over (partition by plane) good from f0),
 f2 as (select *, greatest(least(good, 20), 1) size from f1), f3 as (select *, t // size batch, cast(ceil(n / size) as bigint) there from f2),
-f4 as (select *, least(greatest(30 // greatest(size // 4, 1), 1), there) kept from f3),
+f4 as (select *, least(greatest(5000 // greatest(size // 4, 1), 1), there) kept from f3),
 f5 as (select * from f4 where batch in (select unnest(list_transform(range(0, kept), lambda k: case when kept > 1 and k = kept - 1 then there - 1 else cast(floor(case when kept > 1 then k * ((there - 1) / (kept - 1)) else 0 end) as bigint) end)))),
 f6 as (select *, avg(case when bad then 0 else 1 end) over (partition by plane, batch) share from f5),
 f7 as (select plane, frame, batch, row_number() over (partition by plane, batch order by frame) - 1 k, count(*) over (partition by plane, batch) m from f6 where share <= 0.5 or not bad),

@@ -167,7 +167,7 @@ def numbered(pages: DataFrame, files: DataFrame) -> DataFrame:
     ranked = files.select("folder_rank", F.col("path").alias("file"), natural_key(F.col("path")).alias("_k")).join(per, "file")
     w = Window.orderBy("folder_rank", "_k").rowsBetween(Window.unboundedPreceding, -1)
     start = ranked.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).select("file", "start")
-    return pages.join(F.broadcast(start), "file").withColumn("global_page", F.col("start") + F.col("page")).drop("start")
+    return pages.join(start, "file").withColumn("global_page", F.col("start") + F.col("page")).drop("start")
 
 
 def demultiplexed(pages: DataFrame, n_planes: int, n_channels: int, up_and_down: bool = False, swap: bool = False) -> DataFrame:
