@@ -25,12 +25,13 @@ def _edges(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, label): label is the smallest node of the component; isolated nodes are absent.
 
-    ``edges`` has columns a, b. Self links and nulls are dropped, repeats ignored.
+    ``edges`` has columns a, b and, where that is known, at most ``rows`` rows. Self links
+    and nulls are dropped, repeats ignored.
     """
-    links = materialize(_edges(edges), "cc-edges")
+    links = materialize(_edges(edges), "cc-edges", rows)
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     most = 2 * links.count()
     while n := links.count():  # from the files' footers

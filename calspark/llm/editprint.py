@@ -377,7 +377,7 @@ def linked_classes(found: DataFrame, least: float = LIKENESS) -> DataFrame:
     a, b = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits")), nodes.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"))
     like = _like("a_bits", "b_bits") >= F.lit(least)
     met = index.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = connected_components(met.join(a, "a").join(b, "b").where(like).select("a", "b"))
+    first = connected_components(met.join(a, "a").join(b, "b").where(like).select("a", "b"), members)
     labelled = index.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = materialize(labelled, "editprint-labelled", members)
     mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "editprint-mixed", members)

@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     for h in hashes:
         least = sample.groupBy(h).agg(F.min_by(F.struct("text", "quality", "toxic", *hashes), F.struct(F.xxhash64("text"), "quality", "toxic")).alias("r"))
         sample = least.select("r.*")
-    unique = materialize(sample.drop(*hashes), "quality-unique")
+    unique = materialize(sample.drop(*hashes), "quality-unique", limit)
     rows = unique.where("quality is not null").select("text", "quality").mapInArrow(_forms, "form array<double>, quality double").collect()
     quality = Logistic.fit(np.array([r["form"] for r in rows]), np.array([r["quality"] > 0.5 for r in rows], float)) if rows else None
     known = unique.where("toxic is not null").select("text", (F.col("toxic") > 0.5).alias("bad"))

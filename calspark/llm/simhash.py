@@ -179,13 +179,16 @@ def buckets(nodes: DataFrame, level: int = 0) -> DataFrame:
 def components(fps: DataFrame) -> DataFrame:
     """(fp, label): the component of every distinct fingerprint of ``fps`` that has a neighbour."""
     nodes = fps.select("fp").distinct()
-    index = materialize(buckets(nodes, level_for(nodes.count())), "simhash-buckets")
+    count = nodes.count()
+    level = level_for(count)
+    index = materialize(buckets(nodes, level), "simhash-buckets", count * len(_masks(level)))
+    members = index.count()
     stars = index.where((F.col("fp") != F.col("pivot")) & _chain_ok(F.col("fp"), F.col("pivot"), F.col("start")) & (_bits(F.col("fp"), F.col("pivot")) <= TAU))
-    first = connected_components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
+    first = connected_components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")), members)
     labelled = index.select("slot", "start", "key", "fp").join(first.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
         "slot", "start", "key", "fp", F.coalesce("label", "fp").alias("label")
     )
-    labelled = materialize(labelled, "simhash-labelled", index.count())
+    labelled = materialize(labelled, "simhash-labelled", members)
     a, b = labelled.alias("a"), labelled.alias("b")
     near = (
         (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))

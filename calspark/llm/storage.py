@@ -38,8 +38,8 @@ ARROW_ROWS = 1_000
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage.
 
-    Of a table of at most ``rows`` rows no more files are written than hold ROWS_A_FILE
-    each, so that a small table is not many files.
+    Of a table of at most ``rows`` rows, made by an aggregation or a join, no more files are
+    written than hold ROWS_A_FILE each, so that a small table is not many files.
     """
     spark = df.sparkSession
     path, key = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
