@@ -227,3 +227,21 @@ def test_package_reaches_the_workers(spark):
             yield pd.DataFrame({"there": [os.path.exists(SparkFiles.get("calspark.zip"))]})
 
     assert spark.range(1).mapInPandas(where, "there boolean").first().there
+
+
+def test_command_line_from_files(spark, tmp_path):
+    """Two planes interleaved in .tif files, through the whole chain, as the command line does it."""
+    from calspark.__main__ import main
+
+    stack = {(r.plane, r.frame): np.array(r.arr).reshape(40, 40) for r in planted(spark, frames=120).collect()}
+    pages = np.stack([stack[p, t] * 50 + 200 for t in range(120) for p in (0, 1)])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m1.tif").write_bytes(tiff.encode(pages[:100], True))
+    (tmp_path / "in" / "m2.tif").write_bytes(tiff.encode(pages[100:]))
+    (tmp_path / "what.json").write_text(json.dumps({"nplanes": 2}))
+    (tmp_path / "how.json").write_text(json.dumps({"fs": 2.0, "diameter": [6, 6], "registration": {"nonrigid": False, "maxregshift": 0.05}, "detection": {"bin_size": 1, "sparse": {"highpass_neuropil": 15}}, "extraction": {"min_neuropil_pixels": 60}, "run": {"do_deconvolution": False, "do_regmetrics": False}}))
+    out = str(tmp_path / "out")
+    assert main(["--input", str(tmp_path / "in"), "--recording", str(tmp_path / "what.json"), "--settings", str(tmp_path / "how.json"), "--out", out, "--plane", "1"]) == 0
+    stats = spark.read.parquet(out + "/result/stats").toPandas()
+    assert len(stats) and (stats["roi"] // 1_000_000 == 1).all()
+    assert spark.read.parquet(out + "/registered").count() == 120 and "table stats" in (tmp_path / "out" / "run.log").read_text()
