@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "licenses", "decontaminate", "simhash", "rollup", "extraction", "quality", "editprint", "packing", "secrets")
+MODULES = ("warc", "licenses", "decontaminate", "simhash", "rollup", "extraction", "quality", "editprint", "packing", "secrets", "alignment", "substrings", "negatives")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
