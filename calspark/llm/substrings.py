@@ -7,7 +7,7 @@ Anchors. COVERS holds, for a period, a set of residues such that for any two pos
 there is a shift below the period that takes both of them to residues of the set. Only the
 runs of ``window - period + 1`` words at such positions are hashed: two equal windows,
 wherever they start, hold an equal anchor at the same shift. Anchors that occur
-twice are extended: the windows that hold one are hashed whole, with 128 bits, and
+twice are extended: the windows that hold one are hashed whole, with 96 bits, and
 those that occur twice are the ones sought. Of 35 words, 5 of 21 positions are anchors of 15
 words.
 
@@ -114,9 +114,9 @@ def _sent(numbers: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> pa
     docs, at = np.unique(numbers[settled], return_index=True)
     lists = np.split(places[settled].astype(np.int32), at[1:]) if len(docs) else []
     rows = np.concatenate((single, marks))
-    spread = _mixed(docs.astype(np.uint64) + np.uint64(1)).view(np.int64)
+    spread = _mixed(docs.astype(np.uint64) + np.uint64(1)).view(np.int64)  # a key of each document's own
     null = np.concatenate((np.zeros(len(single), bool), np.ones(len(marks), bool), np.zeros(len(docs), bool)))
-    columns = [pa.array(np.concatenate((k.view(np.int64)[rows], spread))) for k in keys]
+    columns = [pa.array(np.concatenate((k[rows], spread.astype(k.dtype)))) for k in keys]
     columns.append(pa.array(np.concatenate((numbers[rows], docs)), pa.int64(), mask=null))
     columns.append(pa.array(np.concatenate((places[rows], np.zeros(len(docs), np.int64))), pa.int32()))
     columns.append(pa.array([None] * len(rows) + [x.tobytes() for x in lists], pa.binary()))
@@ -154,7 +154,7 @@ def _anchors(window: int):
         return np.flatnonzero(np.resize(wanted, n - length + 1)) if n >= window else np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _parts(batches, places_of, lambda hashes, places: [run_hashes(hashes, places, length, BASES[0])])
+        return _parts(batches, places_of, lambda hashes, places: [run_hashes(hashes, places, length, BASES[0]).view(np.int64)])
 
     return run
 
@@ -174,8 +174,12 @@ def _windows(window: int):
         np.add.at(turns, anchors + 1, -1)
         return np.flatnonzero(np.cumsum(turns)[: n - window + 1] > 0)
 
+    def keys_of(hashes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        one, two = (run_hashes(hashes, places, window, base) for base in BASES)
+        return [one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _parts(batches, places_of, lambda hashes, places: [run_hashes(hashes, places, window, base) for base in BASES])
+        return _parts(batches, places_of, keys_of)
 
     return run
 
@@ -217,7 +221,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     anchors = _met(texts.mapInArrow(_anchors(window), "k0 long, number long, place int, settled binary"), ["k0"])
     near = texts.join(anchors, "number").select("number", "text", "doc_id", "places", "packed")
-    return _met(near.mapInArrow(_windows(window), "k0 long, k1 long, number long, place int, settled binary"), ["k0", "k1"])
+    return _met(near.mapInArrow(_windows(window), "k0 long, k1 int, number long, place int, settled binary"), ["k0", "k1"])
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     cur = con.execute(queries.oracle_sql()[name])
