@@ -17,15 +17,17 @@ test rejects (Bonferroni at BATTERY) is no secret.
 
 False discoveries. The other hypothesis is ordinary text: classes (lower, upper, digit,
 symbol) follow one another by CLASSES, letters by the bigrams of BIGRAMS. The p-value
-is bounded from above by the likelihood ratio (Markov): likelihood under ordinary text,
-in upper case or in mixed, over that of a uniform draw from the alphabet. Tokens that
-the battery rejects get p = 1. The Benjamini-Hochberg
+is bounded from above (Markov) by the likelihood ratio over the battery's own p-value: likelihood
+under ordinary text, in upper case or in mixed, over that of a uniform draw from the alphabet,
+over the Bonferroni p-value of the four tests, so that a token counts for less the less it
+looks like a draw. Tokens that the battery rejects get p = 1. The Benjamini-Hochberg
 procedure at FDR is run over all tokens of the corpus in each band of lengths, on
 p-values rounded up to a fixed grid, so that its input is a histogram of at most
 BANDS x GRID rows.
 
 Defined cases. Null or empty text: no spans. Repeated rows each give their row.
-Very long texts are scanned whole. Extra columns are ignored; an empty table gives
+Very long texts are scanned whole, those with very many matches too: offsets are running totals
+in two levels, what touches a base span is found by halving, and masks are joined once. Extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -109,22 +111,54 @@ CLASSES = (
 MARK = "\x01"
 
 SPAN = "struct<start: int, kind: int, end: int>"
+TOKEN_SPAN = f"struct<span: {SPAN}, token: string>"
+#: Values of a level of a running total, and code points of a block of a text that is cut at many places.
+SCAN, BLOCK = 128, 512
 
 
-def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the leftmost non-overlapping matches that ``keep`` accepts."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, op, start: int) -> Column:
+    """``op`` over the values before each, from ``start``, in two levels of SCAN values: an array that grows by one is copied at every step."""
+
+    def over(x: Column, first: Column) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(x, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def inner(x: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SCAN).cast("int"))
+        return _bound(F.transform(cuts, lambda c: F.slice(x, c * SCAN + 1, SCAN)), outer)
+
+    def outer(parts: Column) -> Column:
+        whole = F.transform(parts, lambda part: F.aggregate(part, F.lit(start), op))
+        return _bound(over(whole, F.lit(start)), lambda at: F.flatten(F.transform(parts, lambda part, k: over(part, F.get(at, k)))))
+
+    return _bound(values, lambda x: F.when(F.size(x) > 0, inner(x)).otherwise(F.array().cast("array<int>")))
+
+
+def _lengths_before(parts: Column) -> Column:
+    return _before(F.transform(parts, lambda x: F.length(x)), lambda a, b: a + b, 0)
+
+
+def _matches(text: Column, pattern: str, kind: int, keep, token: bool = False) -> Column:
+    """Spans of the leftmost non-overlapping matches that ``keep`` accepts; with ``token``, structs of span and token."""
     clean = F.translate(text, MARK, "\x02")
     parts = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        found = acc["odd"] & keep(part)
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(found, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def found(parts: Column, at: Column) -> Column:
+        def match(x: Column, k: Column) -> Column:
+            start = F.get(at, k)
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x)).alias("end"))
+            return F.when((k % 2 == 1) & keep(x), F.struct(span.alias("span"), x.alias("token")) if token else span)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
+        return F.filter(F.transform(parts, match), lambda s: s.isNotNull())
+
+    some = _bound(parts, lambda x: _bound(_lengths_before(x), lambda at: found(x, at)))
+    return F.when(text.rlike(pattern), some).otherwise(F.array().cast(f"array<{TOKEN_SPAN if token else SPAN}>"))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -204,7 +238,8 @@ def scored(tokens: DataFrame) -> DataFrame:
     correlation = F.col("lagged") / F.greatest(F.col("spread"), F.lit(1e-9))
     p_serial = 2.0 * _upper_tail(F.abs(correlation + 1.0 / F.col("n")) * F.sqrt("n"))
     x = x.withColumn("p_random", 4.0 * F.least(p_symbols, p_classes, p_runs, p_serial))
-    evidence = F.greatest(F.lit(0.0), ordinary - F.col("n") * F.log(F.greatest(F.col("k"), F.lit(1.0))))
+    ratio = ordinary - F.col("n") * F.log(F.greatest(F.col("k"), F.lit(1.0)))
+    evidence = F.greatest(F.lit(0.0), ratio + F.log(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), F.col("p_random")))))
     fine = F.col("encoding").isNotNull() & (F.col("n") >= MIN_TOKEN) & (F.col("p_random") >= BATTERY)
     grid = F.when(fine, F.least(F.lit(GRID - 1), F.floor(evidence * STEP))).otherwise(0).cast("int")
     band = F.lit(0)
@@ -223,28 +258,44 @@ def thresholds(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
 
 
 def _pieces(run: Column) -> Column:
-    """Spans of the pieces of MIN_TOKEN or more characters of a run between breaks."""
+    """Structs of span and token: the pieces of MIN_TOKEN or more characters of a run between breaks."""
+
+    def found(parts: Column, at: Column) -> Column:
+        def piece(x: Column, k: Column) -> Column:
+            start = run["span"]["start"] + F.get(at, k) + k  # a break is one character
+            span = F.struct(start.alias("start"), F.lit(3).alias("kind"), (start + F.length(x)).alias("end"))
+            return F.when(F.length(F.rtrim(F.translate(x, "=", " "))) >= MIN_TOKEN, F.struct(span.alias("span"), x.alias("token")))
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(3).alias("kind"), end.alias("end"))
-        long = F.length(F.rtrim(F.translate(part, "=", " "))) >= MIN_TOKEN
-        return F.struct((end + 1).alias("at"), F.when(long, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.filter(F.transform(parts, piece), lambda s: s.isNotNull())
 
-    start = F.struct(run["span"]["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(F.split(run["token"], BREAK, -1), start, step, lambda acc: acc["out"])
+    return _bound(F.split(run["token"], BREAK, -1), lambda x: _bound(_lengths_before(x), lambda at: found(x, at)))
 
 
 def _outermost(spans: Column) -> Column:
     """Spans without those that lie within another, where spans are apart or one within the other."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
-    def step(acc, s):
-        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["back"]).alias("end"))
-        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def found(x: Column, ends: Column) -> Column:
+        span = lambda s, k: F.when(s["start"] >= F.get(ends, k), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["back"]).alias("end")))
+        return F.filter(F.transform(x, span), lambda s: s.isNotNull())
+
+    return _bound(ordered, lambda x: _bound(_before(F.transform(x, lambda s: -s["back"]), lambda a, b: F.greatest(a, b), 0), lambda ends: found(x, ends)))
+
+
+def _strides(ordered: Column) -> Column:
+    """Powers of two below the size, largest first."""
+    return F.transform(F.sequence(F.floor(F.log2(F.size(ordered) + 1.0)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+
+def _below(ordered: Column, value: Column, strides: Column) -> Column:
+    """How many of increasing values are below ``value``, by strides that halve."""
+    return F.aggregate(strides, F.lit(0), lambda at, k: F.when(F.get(ordered, at + k - 1) < value, at + k).otherwise(at))
+
+
+def _apart(span: Column) -> Column:
+    """No base span touches the span: as many begin before its end as end at its start or before."""
+    below = lambda ordered, value: _below(F.col(ordered), value, F.col("strides"))
+    return F.when(F.size("starts") == 0, True).otherwise(below("starts", span["end"]) == below("ends", span["start"] + 1))
 
 
 def _scan(docs: DataFrame, row: Column) -> DataFrame:
@@ -252,12 +303,11 @@ def _scan(docs: DataFrame, row: Column) -> DataFrame:
     rows = docs.select(row.alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
     spans = rows.select("row", "t", *[c.alias(k) for c, k in zip(base_spans(F.col("t")), KINDS)])
     spans = spans.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    token = lambda s: F.struct(s.alias("span"), F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]).alias("token"))
-    spans = spans.withColumn("runs", F.transform(_matches(F.col("t"), TOKEN, 3, lambda m: F.lit(True)), token))
-    pieces = F.flatten(F.transform("runs", lambda r: F.when(r["token"].rlike(BREAK), _pieces(r)).otherwise(F.array().cast(f"array<{SPAN}>"))))
-    candidates = F.concat(F.filter("runs", lambda r: apart(r["span"])), F.transform(F.filter(pieces, apart), token))
-    return spans.withColumn("candidates", candidates).drop("t", "runs")
+    spans = spans.withColumns({"starts": F.array_sort(F.col("base")["start"]), "ends": F.array_sort(F.col("base")["end"]), "strides": _strides(F.col("base"))})
+    spans = spans.withColumn("runs", _matches(F.col("t"), TOKEN, 3, lambda m: F.lit(True), True))
+    pieces = F.flatten(F.transform("runs", lambda r: F.when(r["token"].rlike(BREAK), _pieces(r)).otherwise(F.array().cast(f"array<{TOKEN_SPAN}>"))))
+    candidates = F.filter(F.concat("runs", pieces), lambda r: _apart(r["span"]))
+    return spans.withColumn("candidates", candidates).drop("t", "runs", "starts", "ends", "strides")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -297,14 +347,21 @@ def secrets(docs: DataFrame) -> DataFrame:
     )
 
 
-def _masked(text, spans, mask: str):
-    def step(acc, s):
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        apart = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with sorted spans masked, those that touch a masked one with it. The text is cut to blocks once, and each stretch is taken from its own."""
+
+    def found(spans: Column, ends: Column, blocks: Column) -> Column:
+        def stretch(start: Column, end: Column) -> Column:
+            first = F.floor(start / BLOCK).cast("int")
+            held = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(held, start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+        pieces = F.transform(spans, lambda s, k: F.when(s["start"] >= F.get(ends, k), F.concat(stretch(F.get(ends, k), s["start"]), F.lit(mask))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), stretch(last, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    ends = _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0)
+    return _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: _bound(ends, lambda at: found(spans, at, blocks)))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:

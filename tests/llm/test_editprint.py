@@ -179,3 +179,34 @@ def test_whole_query(spark):
         e = editprint.edited(t, following)
         x = rows[d]
         assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and [x.fingerprint, x.edited_fingerprint] == editprint.fingerprint_all([t, e]) and x.class_id <= d
+
+
+def test_classes_of_repeated_ids_follow_the_text(spark):
+    """Unlike texts under one doc_id stay apart; a class is named by the smallest id of its texts."""
+    r = random.Random(21)
+    a, b, c = prose(r, 150), prose(r, 150), prose(r, 150)
+    rows = [(5, a), (5, b), (7, mutated(r, a, 0.0008)), (8, mutated(r, b, 0.0008)), (None, c), (None, mutated(r, c, 0.0008)), (4, mutated(r, b, 0.0008))]
+    found = editprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    prints = editprint.fingerprint_all([t for _, t in rows])
+    assert editprint.likeness(prints[0], prints[1]) < 0.4 and min(editprint.likeness(prints[0], prints[2]), editprint.likeness(prints[1], prints[3]), editprint.likeness(prints[1], prints[6])) >= editprint.LIKENESS
+    classes = {x.fingerprint: x.class_id for x in editprint.linked_classes(found).collect()}
+    assert [classes[p] for p in prints] == [5, 4, 5, 4, None, None, 4]
+
+
+def test_few_and_many_texts_walk_alike(monkeypatch):
+    r = random.Random(22)
+    texts = [prose(r, r.randint(1, 60)) for _ in range(200)]
+    whole = editprint.fingerprint_all(texts)
+    for few in (0, 1, 7, 10**6):
+        monkeypatch.setattr(editprint, "FEW", few)
+        assert editprint.fingerprint_all(texts) == whole
+
+
+def test_a_long_text_by_itself_takes_seconds():
+    import time
+
+    r = random.Random(23)
+    text = prose(r, 1000) * 350
+    began = time.process_time()
+    mark, other = editprint.fingerprint_all([text])[0], editprint.fingerprint_all([text + "x"])[0]
+    assert len(text) > 1_900_000 and editprint.likeness(mark, other) > 0.95 and time.process_time() - began < 8

@@ -4,6 +4,8 @@ import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
 from calspark.llm import secrets
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -154,7 +156,8 @@ def brute_spans(texts):
         mean = sum(codes) / n
         spread = max(1e-9, sum((c - mean) ** 2 for c in codes))
         serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n))
-        if 4 * min(symbols, classes, by_runs, serial) < secrets.BATTERY:
+        battery = 4 * min(symbols, classes, by_runs, serial)
+        if battery < secrets.BATTERY:
             return 0
         ordinary, kinds, letters = 0.0, [kind_of(c) for c in body], [secrets.LOWER.find(c) for c in body.lower()]
         for i, c in enumerate(letters):
@@ -162,7 +165,7 @@ def brute_spans(texts):
                 ordinary += (ord(secrets.BIGRAMS[26 * (letters[i - 1] + 1 if i and letters[i - 1] >= 0 else 0) + c]) - 48) / 10
         ordinary += min(-math.log(1 / 4) - sum(math.log(table[a][b]) for a, b in zip(kinds, kinds[1:])) for table in secrets.CLASSES)
         ordinary += math.log(10) * kinds.count(2) + math.log(4) * kinds.count(3)
-        return min(secrets.GRID - 1, math.floor(max(0.0, ordinary - n * math.log(k)) * secrets.STEP))
+        return min(secrets.GRID - 1, math.floor(max(0.0, ordinary - n * math.log(k) + math.log(min(1.0, battery))) * secrets.STEP))
 
     bases, tokens = [], []
     for row, text in enumerate(texts):
@@ -231,3 +234,38 @@ def test_long_keys_are_found_wherever_they_stand(spark):
         # behind a path the outermost discovery may begin earlier in the run
         hit = lambda d, n: got[d].endswith(f":{46 + n}") and int(got[d].split(":")[1]) <= 6 + n
         assert sum(hit(d, len(before)) for d, before, _ in rows[200 * k : 200 * k + 200]) >= 190
+
+
+def test_very_many_matches_in_one_text(spark):
+    """200,000 hex tokens, keys with names and paths in one text of 7 million characters: found and masked in time that follows its length."""
+    import time
+
+    r = random.Random(31)
+    parts = [f"{r.getrandbits(100):026x}" for _ in range(200_000)]
+    parts[::1000] = [f"token={p}" for p in parts[::1000]]
+    parts[7::1000] = ["/v1-beta/keys_" + "".join(r.choices(string.ascii_letters + string.digits, k=40)) + "/use" for _ in parts[7::1000]]
+    text = "é " + " \n".join(parts)
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "token = " + "ab" * 9, 26)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.secrets(docs).collect()}
+    masked = {x.doc_id: x for x in secrets.redact(docs).collect()}
+    took = time.time() - began
+    assert [got[1].n_assign, got[1].n_access, got[1].n_hex] == base(text)[0] and got[1].base_sha256 == base(text)[1]
+    spans = [(int(s), int(e)) for _, s, e in (x.split(":") for x in got[1].spans.split(","))]
+    out, at = [], 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], "[secret]"]
+        at = max(at, e)
+    assert masked[1].text == "".join(out) + text[at:] and masked[1].n_chars == len(masked[1].text)
+    assert got[1].spans.count("random") >= 150 and took < 60
+
+
+def test_running_totals_and_halving(spark):
+    r = random.Random(32)
+    rows = [([r.randint(0, 9) for _ in range(n)],) for n in (0, 1, 2, 511, 512, 513, 1024, 1500)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for x in df.select("v", secrets._before(F.col("v"), lambda a, b: a + b, 0).alias("sums"), secrets._before(F.col("v"), lambda a, b: F.greatest(a, b), -1).alias("most")).collect():
+        assert x.sums == [sum(x.v[:k]) for k in range(len(x.v))] and x.most == [max([-1, *x.v[:k]]) for k in range(len(x.v))]
+    for x in df.select(F.array_sort("v").alias("v"), *[secrets._below(F.array_sort("v"), F.lit(k), secrets._strides(F.col("v"))).alias(f"b{k}") for k in range(-1, 11)]).collect():
+        assert [x[f"b{k}"] for k in range(-1, 11)] == [sum(v < k for v in x.v) for k in range(-1, 11)]
