@@ -41,6 +41,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ SEEN, SPREAD = 100_000, 1_000
 PERIOD, CLASSES, SEED = 4096, 256, 20_240_901
 #: Characters that walk together, and that a task gathers to walk texts of like length together: bound its memory.
 CHUNK_CHARS, HELD_CHARS = 3_000_000, 9_000_000
+#: Texts that still walk together; fewer walk one by one, which costs less for each character of them.
+FEW = 64
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -87,6 +90,11 @@ def _waits() -> np.ndarray:
     return waits[:PERIOD].reshape(-1).copy()
 
 
+@cache
+def _waits_listed() -> list[int]:
+    return _waits().tolist()
+
+
 @cache
 def _records() -> np.ndarray:
     """[slot, r]: the steps at which the slot's smallest priority so far falls, increasing; the last are out of reach."""
@@ -131,7 +139,8 @@ def _walked(texts: list[str]) -> list[str]:
     waits, leave = _waits(), np.empty(int(starts[-1]), np.int32 if longest < 1 << 28 else np.int64)
     at = np.zeros(len(texts), leave.dtype)
     shift, mask = CLASSES.bit_length() - 1, PERIOD - 1
-    bounds = starts.tolist()
+    together = int((active >= FEW).sum())
+    bounds = starts[: together + 1].tolist()
     for a, b in zip(bounds, bounds[1:]):
         now = at[: b - a]
         index = now & mask
@@ -139,6 +148,13 @@ def _walked(texts: list[str]) -> list[str]:
         index |= classes[a:b]
         now += waits[index]
         leave[a:b] = now
+    if together < longest:  # what the few longest have left, each by itself
+        table = _waits_listed()
+        for rank in range(int(active[together])):
+            places = starts[together : int(lengths[order[rank]])] + rank
+            steps = accumulate(classes[places].tobytes(), lambda now, c: now + table[(now & mask) << shift | c], initial=int(at[rank]))
+            next(steps)
+            leave[places] = np.fromiter(steps, leave.dtype, len(places))
     records, out = _records(), [""] * len(texts)
     digits = np.frombuffer(b"0123456789abcdef", np.uint8)
     for rank, n in enumerate(order):
@@ -364,11 +380,11 @@ def _like(a: str, b: str):
 
 
 def linked_classes(found: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(fingerprint, class_id) of (doc_id, fingerprint): the class is named by its smallest doc_id."""
+    """(fingerprint, class_id) of (doc_id, fingerprint): the class is named by its smallest doc_id. A node is a fingerprint, by a number of its own."""
     bits = F.array(*[F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("long") for k in range(SLOTS // 16)])
-    named = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "editprint-nodes")
+    named = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "editprint-nodes")
     count = named.count()
-    nodes = named.where("node is not null").select("node", bits.alias("bits"))
+    nodes = named.select("node", bits.alias("bits"))
     index = nodes.select("node", F.explode(_keys()).alias("key"))
     # partial sums and a join that can be split, not a window: a key may be that of a third of all rows
     pivots = index.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "pivot")
@@ -384,8 +400,12 @@ def linked_classes(found: DataFrame, least: float = LIKENESS) -> DataFrame:
     open_rows = labelled.join(mixed, "key", "left_semi").join(nodes, "node")
     x, y = open_rows.select("key", F.col("label").alias("a"), F.col("bits").alias("a_bits")), open_rows.select(F.col("key").alias("key2"), F.col("label").alias("b"), F.col("bits").alias("b_bits"))
     second = connected_components(x.join(y, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & like).select("a", "b").distinct())
-    classes = named.join(first, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("label"))
-    return classes.join(second.withColumnRenamed("label", "outer"), F.col("label") == F.col("node"), "left").select("fingerprint", F.coalesce("outer", "label").alias("class_id"))
+    labels = named.select("fingerprint", "least", "node").join(first, "node", "left").select("fingerprint", "least", F.coalesce("label", "node").alias("label"))
+    labels = labels.join(second.withColumnRenamed("label", "outer"), F.col("label") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("outer", "label").alias("label"))
+    labels = materialize(labels, "editprint-labels", count)
+    # written, so that a class of very many fingerprints meets its name in a join that adaptive execution can split
+    names = materialize(labels.groupBy("label").agg(F.min("least").alias("class_id")), "editprint-names", count)
+    return labels.join(names, "label").select("fingerprint", "class_id")
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
