@@ -36,10 +36,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calspark.llm.storage import documents, materialize
 
@@ -243,30 +243,23 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 
 def _scorer(model: Model):
-    """Rows (row, host, path[, text]) to (row, host, path, good, bad); without a text column the text is that of the row."""
+    """Text to its two log-odds, as a column: texts go to Python, numbers come back, the row stays where it is."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                texts = batch.column(3) if batch.num_columns > 3 else batch.column(0).field("text")
-                good, bad = model.score(["" if (x := t.as_py()) is None else str(x) for t in texts])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good), pa.array(bad)], ["row", "host", "path", "good", "bad"])
+    @F.pandas_udf("good double, bad double")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        parts = [model.score(["" if t is None else t for t in texts.iloc[at : at + ROWS]]) for at in range(0, len(texts), ROWS)]
+        good, bad = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [])
+        return pd.DataFrame({"good": good, "bad": bad}, dtype=float)
 
-    return run
+    return score
 
 
 def _scored(docs: DataFrame, model: Model, host: str, path: str, whole: bool) -> DataFrame:
-    """row, host, path, good, bad of every row. ``row`` is a struct of all columns, so that no name can clash, or of doc_id alone.
-
-    A whole row goes to Python and back with its text in it once.
-    """
+    """row, host, path, good, bad of every row. ``row`` is a struct of all columns, so that no name can clash, or of doc_id alone."""
     site = [F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in ((host, "host"), (path, "path"))]
-    text = docs["text"].cast("string")
-    inside = whole and dict(docs.dtypes)["text"] == "string"
-    rows = docs.select(F.struct("*" if whole else "doc_id").alias("row"), *site, *([] if inside else [text.alias("text")]))
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("good", T.DoubleType()), T.StructField("bad", T.DoubleType())])
-    return rows.mapInArrow(_scorer(model), schema)
+    rows = docs.select(F.struct("*" if whole else "doc_id").alias("row"), *site, *([] if whole else [docs["text"].alias("text")]))
+    text = F.col("row")["text"] if whole else F.col("text")
+    return rows.select("row", "host", "path", _scorer(model)(text.cast("string")).alias("score")).select("row", "host", "path", "score.good", "score.bad")
 
 
 def _probability(logit):
