@@ -59,3 +59,29 @@ def filtered(rows: DataFrame, keys, order: str, value: str, taps: list[tuple[int
         term = F.lit(w) * F.get("_near", (BOUNDARIES[boundary](F.col("_at") + k, F.col("_n")) - first).cast("int"))["v"]
         total = term if total is None else total + term
     return x.withColumn(out, total).drop("_near", "_at", "_n")
+
+
+#: Widest window whose extremum is taken anew for every row.
+SLIDING = 5
+
+
+def rolling(rows: DataFrame, keys, order: str, value: str, window: int, largest: bool, out: str) -> DataFrame:
+    """``rows`` with ``out``: the least or largest value within an odd window around every row, in the order of its key.
+
+    Beyond SLIDING the cost does not follow the window: in blocks as long as the window a row
+    knows the extremum from its block's start and that to its block's end, by two growing frames,
+    and a window is the end of one block and the start of the next. At the ends windows are cut.
+    """
+    h, size = window // 2, 2 * (window // 2) + 1
+    extremum, of_two = (F.max, F.greatest) if largest else (F.min, F.least)
+    by = Window.partitionBy(*keys)
+    if size <= SLIDING:
+        return rows.withColumn(out, extremum(value).over(by.orderBy(order).rowsBetween(-h, h)))
+    x = rows.withColumns({"_at": F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)}).withColumn("_block", F.expr(f"_at div {size}"))
+    block = Window.partitionBy(*keys, "_block")
+    grown = lambda way: extremum(value).over(block.orderBy(way).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("_from", grown(F.col("_at"))).withColumn("_to", grown(F.desc("_at")))
+    x = x.withColumns({"_last": F.max_by("_from", "_at").over(by), "_before": F.lag("_to", h).over(by.orderBy("_at")), "_after": F.lead("_from", h).over(by.orderBy("_at"))})
+    same = (F.col("_at") >= h) & (F.expr(f"(_at - {h}) div {size}") == F.expr(f"(_n - 1) div {size}"))
+    after = F.when(F.col("_at") + h < F.col("_n"), F.col("_after")).when(~same, F.col("_last"))
+    return x.withColumn(out, of_two("_before", after)).drop("_at", "_n", "_block", "_from", "_to", "_last", "_before", "_after")

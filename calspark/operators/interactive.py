@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calspark.functions.columns import rolling
+
 
 def activity(traces: DataFrame, mode: str, coefficient: float = 0.7) -> DataFrame:
     """roi, frame, v: raw, surround, corrected or spikes."""
@@ -177,9 +179,8 @@ def strided(pixels: DataFrame, step: int = 2) -> DataFrame:
 
 def above_baseline(pixels: DataFrame, window: int) -> DataFrame:
     """v minus the rolling maximum of its rolling minimum in time, by pixel. pixels: plane, y, x, t, v."""
-    h = window // 2
-    w = Window.partitionBy("plane", "y", "x").orderBy("t").rowsBetween(-h, h)
-    return pixels.withColumn("_low", F.min("v").over(w)).withColumn("v", F.col("v") - F.max("_low").over(w)).drop("_low")
+    low = rolling(pixels, ("plane", "y", "x"), "t", "v", window, False, "_low")
+    return rolling(low, ("plane", "y", "x"), "t", "_low", window, True, "_high").withColumn("v", F.col("v") - F.col("_high")).drop("_low", "_high")
 
 
 def projected(pixels: DataFrame, basis: np.ndarray, width: int) -> DataFrame:

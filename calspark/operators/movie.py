@@ -279,28 +279,6 @@ def bidirectional_shift(pixels: DataFrame, k: int) -> DataFrame:
 # ---- projections on a basis, blocks
 
 
-def low_high_frames(frames: DataFrame, components: int, n: int) -> DataFrame:
-    """plane, pc, side, arr: mean of the n frames with the lowest and highest weight on each principal component.
-
-    The Gram matrix of a bounded sample of frames is decomposed in one group a plane.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        x = np.stack(pdf["arr"].to_numpy())
-        x0 = x - x.mean(0)
-        values, vectors = np.linalg.eigh(x0 @ x0.T)
-        rows = []
-        for pc in range(min(components, len(x))):
-            v = vectors[:, -1 - pc]
-            v = v * (1 if v[np.abs(v).argmax()] > 0 else -1)
-            order = np.argsort(v, kind="stable")
-            rows += [(pdf["plane"].iloc[0], pc, "low", x0[order[:n]].mean(0).tolist()), (pdf["plane"].iloc[0], pc, "high", x0[order[-n:]].mean(0).tolist())]
-        return pd.DataFrame(rows, columns=["plane", "pc", "side", "arr"])
-
-    return frames.select("plane", "frame", "arr").groupBy("plane").applyInPandas(run, f"plane {dict(frames.dtypes)['plane']}, pc int, side string, arr array<double>")
-
-
 def pca_denoised(frames: DataFrame, height: int, width: int, block: tuple[int, int], share: float) -> DataFrame:
     """plane, frame, arr rebuilt from the leading components of overlapping blocks, blended with tapered weights.
 

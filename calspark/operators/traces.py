@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calspark.functions.columns import filtered, gaussian_taps, odd
+from calspark.functions.columns import filtered, gaussian_taps, odd, rolling
+from calspark.operators.deconvolution import pooled, spikes_of
 
 
 #: Traces of a block of the correlation matrix.
@@ -56,10 +57,9 @@ def gaussian(traces: DataFrame, value: str, sigma: float, boundary: str, radius:
 
 
 def rolling_min_max(traces: DataFrame, value: str, window: int, out: str = "baseline") -> DataFrame:
-    """Rolling minimum, then rolling maximum, over an odd window; truncated edges equal replicated ones."""
-    h = odd(window) // 2
-    frame = by_roi().rowsBetween(-h, h)
-    return traces.withColumn("_low", F.min(value).over(frame)).withColumn(out, F.max("_low").over(frame)).drop("_low")
+    """Rolling minimum, then rolling maximum, over an odd window; truncated edges equal replicated ones. The cost does not follow the window."""
+    low = rolling(traces, ("roi",), "frame", value, odd(window), False, "_low")
+    return rolling(low, ("roi",), "frame", "_low", odd(window), True, out).drop("_low")
 
 
 def baseline_maximin(traces: DataFrame, value: str, window: int, sigma: float) -> DataFrame:
@@ -94,35 +94,15 @@ def preprocess(traces: DataFrame, value: str, baseline: str, window: int, sigma:
 
 
 def deconvolve_array(values: np.ndarray, decay: float) -> np.ndarray:
-    """Spikes of one trace: the non-negative-jump fit c[t] = decay * c[t-1] + s[t] of least squares.
-
-    In y[t] / decay**t the constraint says that the fit does not fall: a weighted
-    isotonic regression, solved by merging neighbouring pools that are out of order.
-    Pools keep (level at their start, weight, start, length), levels relative to
-    their own start, which keeps long traces within range.
-    """
-    level, weight, start, length = [], [], [], []
-    for t, v in enumerate(values):
-        level.append(float(v))
-        weight.append(1.0)
-        start.append(t)
-        length.append(1)
-        while len(level) > 1 and level[-2] * decay ** length[-2] > level[-1]:
-            v1, w1, l1 = level.pop(), weight.pop(), length.pop()
-            start.pop()
-            g = decay ** length[-1]
-            total = weight[-1] + w1 * g * g
-            level[-1] = (level[-1] * weight[-1] + v1 * w1 * g) / total
-            weight[-1] = total
-            length[-1] += l1
-    spikes = np.zeros(len(values))
-    for p in range(1, len(level)):
-        spikes[start[p]] = level[p] - level[p - 1] * decay ** length[p - 1]
-    return spikes
+    """Spikes of one trace: the non-negative-jump fit c[t] = decay * c[t-1] + s[t] of least squares."""
+    return spikes_of(pooled(values, decay), len(values), decay)
 
 
 def deconvolve(traces: DataFrame, value: str, tau: float = 1.0, fs: float = 10.0) -> DataFrame:
-    """roi, frame, spk. Traces are dealt by roi, sorted, and read as a stream; only the trace at a batch's end is held over."""
+    """roi, frame, spk. Traces are dealt by roi, sorted, and read as a stream; only the trace at a batch's end is held over.
+
+    ``deconvolution.deconvolve_blocks`` gives the same for traces too long for one task.
+    """
     decay = math.exp(-1.0 / (tau * fs))
 
     def spikes(pdf: pd.DataFrame) -> pd.DataFrame:

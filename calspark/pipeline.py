@@ -14,10 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calspark.operators import classify, detection, extraction, masks, movie, registration, rois, traces
+from calspark.operators import classify, components, deconvolution, detection, extraction, masks, movie, registration, rois, traces
 from calspark.settings import Settings
 
 
+#: Frames from which a trace is deconvolved by blocks.
+LONG_TRACE = 1_000_000
+
+
 @dataclass
 class Stages:
     """Where the tables of a run are, by name."""
@@ -44,18 +48,17 @@ def bin_size(n_frames: int, settings: Settings) -> int:
     return settings.detection.bin_size or int(max(1, n_frames // settings.detection.nbins, round(settings.tau * settings.fs)))
 
 
-def register(frames: DataFrame, height: int, width: int, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(registered frames with offsets, reference images)."""
+def register(frames: DataFrame, height: int, width: int, settings: Settings, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """(registered frames with offsets, reference images). References are saved before they are used, so that each is computed once."""
     s = settings.registration
     rigid = registration.RigidSettings(s.maxregshift, s.smooth_sigma, s.spatial_taper, s.norm_frames)
     blocks = registration.BlockSettings(tuple(s.block_size), s.maxregshiftNR, s.snr_thresh, 3, s.subpixel, s.smooth_sigma, s.spatial_taper, s.norm_frames) if s.nonrigid else None
-    references = registration.reference_images(frames, height, width, s.nimg_init, rigid)
-    done = registration.register(frames, references, height, width, rigid, blocks)
-    if s.two_step_registration:
-        mean = movie.summed_frames(done, ["plane"]).drop("n")
-        done = registration.register(frames, mean, height, width, rigid, blocks)
-        references = mean
-    return done, references
+    first = stages.save("first_references" if s.two_step_registration else "references", registration.reference_images(frames, height, width, s.nimg_init, rigid))
+    done = registration.register(frames, first, height, width, rigid, blocks)
+    if not s.two_step_registration:
+        return done, first
+    mean = stages.save("references", movie.summed_frames(done, ["plane"]).drop("n"))
+    return registration.register(frames, mean, height, width, rigid, blocks), mean
 
 
 def detect(registered: DataFrame, marked: DataFrame, ranges: DataFrame, height: int, width: int, settings: Settings) -> DataFrame:
@@ -85,7 +88,7 @@ def mean_pixels(frames: DataFrame, width: int) -> DataFrame:
 
 
 def keyed(m: DataFrame) -> DataFrame:
-    """Masks of all planes as one table: roi becomes plane and number in one."""
+    """Masks of all planes as one table: roi becomes plane and number in one. Regions of a plane are numbered from 0, below a million."""
     return m.select("plane", (F.col("plane").cast("long") * 1_000_000 + F.col("roi")).alias("roi"), "y", "x", "lam", (F.col("y") * 100_000 + F.col("x")).alias("ord"))
 
 
@@ -111,8 +114,7 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     flag = settings.run.do_registration
     if flag and (flag > 1 or not stages.exists("registered")):
         second = bool(frames2 and s.align_by_chan2)
-        done, references = register(frames2 if second else frames, height, width, settings)
-        out["references"] = stages.save("references", references)
+        done, out["references"] = register(frames2 if second else frames, height, width, settings, stages)
         done = stages.save("registered2" if second else "registered", done)
         if frames2:
             blocks = registration.BlockSettings(tuple(s.block_size)) if s.nonrigid else None
@@ -133,7 +135,7 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     out["ranges"] = registration.crop_ranges(out["offsets"], height, width)
     out["mean_image"] = mean_pixels(moved, width)
     if settings.run.do_regmetrics and count >= 1500:
-        low_high = movie.low_high_frames(registration.sample_frames(moved.select("plane", "frame", "arr"), 2000), 30, 300)
+        low_high = components.low_high_frames(registration.sample_frames(moved.select("plane", "frame", "arr"), 2000), height, width, 30, 300)
         out["regmetrics"] = registration.component_shifts(low_high, height, width)
     if not settings.run.do_detection:
         return out
@@ -177,7 +179,9 @@ def run(frames: DataFrame, height: int, width: int, folder: str, settings: Setti
     if settings.run.do_deconvolution:
         b = settings.dcnv_preprocess
         flat = traces.preprocess(t, "df", b.baseline, int(b.win_baseline * settings.fs), b.sig_baseline, b.prctile_baseline)
-        out["spikes"] = traces.deconvolve(flat, "corrected", settings.tau, settings.fs)
+        # a trace of very many frames is no single task's
+        spikes = deconvolution.deconvolve_blocks if count > LONG_TRACE else traces.deconvolve
+        out["spikes"] = spikes(flat, "corrected", settings.tau, settings.fs)
     if classifier:
         out["labels"] = classifier.predict(out["stats"])
     if zstack:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from calspark.functions.columns import gaussian_taps
+from calspark.operators import components as P
 from calspark.operators import movie as V
 from calspark.operators import registration as G
 from calspark.plans import carriers as C
@@ -244,11 +245,11 @@ def _offsets(spark, d):
 
 
 def pca_low_high(spark, d):
-    return V.low_high_frames(C.movie(spark, d), 2, 5).select("plane", "pc", "side", F.round(F.aggregate("arr", F.lit(0.0), lambda s, v: s + v * v), 6).alias("energy"))
+    return P.low_high_frames(C.movie(spark, d), 8, 8, 2, 5, 2).select("plane", "pc", "side", F.round(F.aggregate("arr", F.lit(0.0), lambda s, v: s + v * v), 6).alias("energy"))
 
 
 def pc_shift_metrics(spark, d):
-    x = V.low_high_frames(_synthetic(spark, d), 2, 5)
+    x = P.low_high_frames(_synthetic(spark, d), 24, 24, 2, 5)
     return _r(G.component_shifts(x, 24, 24, G.RigidSettings(max_shift=0.25, spatial_taper=1.0, norm_frames=False), BLOCK), "rigid", "mean_block", "max_block", "mean_both", digits=4)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from calspark.functions.columns import gaussian_taps, rounded
 from calspark.operators import traces as T
+from calspark.operators.deconvolution import deconvolve_blocks
 from calspark.plans import carriers as C
 
 WINDOW, SIGMA, BIN = 11, 2.0, 5
@@ -61,6 +62,11 @@ def spikes_deconvolve(spark, d):
     return _r(T.deconvolve(C.traces(spark, d), "f"), "spk", digits=4)
 
 
+def spikes_deconvolve_blocks(spark, d):
+    """The same in blocks of 16 frames, whose pools merge across their borders."""
+    return _r(deconvolve_blocks(C.traces(spark, d), "f", block=16), "spk", digits=4)
+
+
 def _bins(spark, d):
     return T.bin_mean(C.traces(spark, d), "f", BIN)
 
@@ -157,7 +163,7 @@ def trace_rank_colour(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     trace_neuropil_correct, trace_snr, trace_skew_std, baseline_maximin, baseline_percentile, baseline_constant, trace_summary, trace_gaussian_replicate, trace_gaussian_reflect,
-    spikes_deconvolve, trace_bin_mean, trace_zscore_clip, trace_minmax, trace_corr_with_selection, trace_corr_matrix, merge_candidates, merge_groups, behaviour_resample_linear, behaviour_corr,
+    spikes_deconvolve, spikes_deconvolve_blocks, trace_bin_mean, trace_zscore_clip, trace_minmax, trace_corr_with_selection, trace_corr_matrix, merge_candidates, merge_groups, behaviour_resample_linear, behaviour_corr,
     roi_top_n, roi_bottom_n, roi_snr_filter, pad_traces, union_recordings, key_intersection, trace_robust_colour, trace_rank_colour,
 )}
 
@@ -243,3 +249,4 @@ st(n, grp) as (select cast(0 as bigint), cast([] as struct(roi bigint, g bigint)
   from (select od.*, grp, coalesce(list_filter(grp, lambda z: z.roi = od.a)[1].g, list_filter(grp, lambda z: z.roi = od.b)[1].g, od.a) gg from st join od on od.n = st.n + 1) o),
 l as (select unnest(grp) e from (select grp from st order by n desc limit 1)) select e.roi roi, e.g as "group" from l""",
 }
+ORACLES["spikes_deconvolve_blocks"] = ORACLES["spikes_deconvolve"]

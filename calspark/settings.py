@@ -100,7 +100,7 @@ class Detection:
     soma_crop: bool = opt(True, "leave dendrites out of shape statistics")
     chan2_threshold: float = opt(0.25, "share above which a region is in the second channel", 0.0, 1.0)
     inverted_activity: bool = opt(False, "activity darkens")
-    tile: int = opt(0, "side of the tiles that a large plane is searched in; 0: whole planes", 0)
+    tile: int = opt(128, "side of the tiles that a larger plane is searched in, a multiple of 16; 0: whole planes", 0)
     sparse: SparsePursuit = field(default_factory=SparsePursuit)
     components: ComponentPursuit = field(default_factory=ComponentPursuit)
 

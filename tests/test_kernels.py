@@ -326,12 +326,51 @@ def test_bleed_through_is_taken_out(spark):
     assert np.allclose(got, np.maximum(0, two - one * (gy @ weights @ gx.T))) and got[13, 21] > 30
 
 
-def test_tiles_keep_each_region_once(spark):
+def test_components_of_bands_give_the_regions_of_the_whole(spark):
     from calspark.plans.other_queries import planted
 
-    frames = planted(spark, planes=1)
-    s = D.SparseSettings(highpass_neuropil=15)
-    centre = lambda df: sorted((round(p["y"].mean()), round(p["x"].mean())) for _, p in df.toPandas().groupby("roi"))
-    whole, tiles = centre(D.detect(frames, 40, 40, "sparse", s)), centre(D.detect(frames, 40, 40, "sparse", s, tile=20, halo=12))
-    for y, x in [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]:
-        assert sum(abs(a - y) + abs(b - x) <= 3 for a, b in whole) == sum(abs(a - y) + abs(b - x) <= 3 for a, b in tiles) == 1
+    frames = planted(spark, planes=2)
+    got = {}
+    for r in D.component_regions(frames, 40, 40, 6.0, rows=7).collect():
+        got.setdefault((r.plane, r.roi), {})[r.y, r.x] = r.lam
+    for plane in (0, 1):
+        x = np.stack([r.arr for r in frames.where(f"plane = {plane}").orderBy("frame").collect()]).reshape(-1, 40, 40)
+        want = D.component_pursuit(D.high_passed(x, 100), 6.0)
+        assert len(want) >= 6 and {k[1] for k in got if k[0] == plane} == set(range(len(want)))
+        for n, (lam, _) in enumerate(want):
+            mine = np.zeros((40, 40))
+            for (y, z), v in got[plane, n].items():
+                mine[y, z] = v
+            assert np.allclose(mine, lam, atol=1e-6)
+
+
+@pytest.mark.parametrize("frames,height,width,rows,k", [(30, 17, 9, 4, 5), (8, 6, 40, 6, 20), (50, 5, 5, 2, 3)])
+def test_components_of_bands_against_lapack(spark, frames, height, width, rows, k):
+    from calspark.operators import components
+
+    r = np.random.default_rng(frames)
+    x = r.normal(size=(2, frames, height * width)) @ np.diag(np.linspace(3, 1, height * width))
+    df = spark.createDataFrame([(p, t, x[p, t].tolist()) for p in (0, 1) for t in range(frames)], "plane int, frame long, arr array<double>").repartition(5)
+    got = {(c.plane, c.pc): c for c in components.spatial_components(df, height, width, k, rows=rows).collect()}
+    assert len(got) == 2 * min(k, frames)
+    for p in (0, 1):
+        u, s, v = np.linalg.svd(x[p] - x[p].mean(0), full_matrices=False)
+        for pc in range(min(k, frames - 1, height * width)):
+            sign = np.sign(u[np.abs(u[:, pc]).argmax(), pc])
+            assert np.allclose(got[p, pc].arr, sign * s[pc] * v[pc], atol=1e-6) and abs(got[p, pc].value - s[pc] ** 2) < 1e-6 * s[0] ** 2
+
+
+@pytest.mark.parametrize("window", [1, 3, 7, 11, 12, 31, 99, 400])
+def test_rolling_extrema_of_any_window(spark, window):
+    from calspark.functions.columns import rolling
+
+    r = np.random.default_rng(window)
+    rows = [(k, int(3 * t + r.integers(0, 3)), None if r.random() < 0.1 else float(r.integers(-50, 50))) for k, n in enumerate([1, 2, 10, 11, 12, 33, 150]) for t in range(n)]
+    df = spark.createDataFrame(rows, "roi int, frame int, v double").repartition(3)
+    for largest, best in ((False, min), (True, max)):
+        got = {(x.roi, x.frame): x.e for x in rolling(df, ("roi",), "frame", "v", window, largest, "e").collect()}
+        for k in range(7):
+            own = [(f, v) for roi, f, v in rows if roi == k]
+            for n, (f, _) in enumerate(own):
+                near = [v for _, v in own[max(0, n - window // 2) : n + window // 2 + 1] if v is not None]
+                assert got[k, f] == (best(near) if near else None)
