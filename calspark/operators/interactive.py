@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calspark.functions.columns import rolling
+from calspark.operators.labels import numbered_parts
 
 
 def activity(traces: DataFrame, mode: str, coefficient: float = 0.7) -> DataFrame:
@@ -85,24 +86,8 @@ def segmented(images: DataFrame, segmenter, height: int, width: int) -> DataFram
 
 
 def threshold_segmenter(share: float = 0.9):
-    """A plain stand-in for a trained network: four-connected parts above a quantile."""
-
-    def run(image: np.ndarray) -> np.ndarray:
-        inside = image > np.quantile(image, share)
-        labels, n = np.zeros(image.shape, int), 0
-        for start in zip(*np.nonzero(inside)):
-            if labels[start]:
-                continue
-            n += 1
-            todo = [start]
-            while todo:
-                y, x = todo.pop()
-                if 0 <= y < image.shape[0] and 0 <= x < image.shape[1] and inside[y, x] and not labels[y, x]:
-                    labels[y, x] = n
-                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
-        return labels
-
-    return run
+    """A plain stand-in for a trained network: four-connected parts above a quantile. ``labels.labelled`` does the same in tiles."""
+    return lambda image: numbered_parts(image > np.quantile(image, share))
 
 
 def patches(image: DataFrame, centres: DataFrame, half: int) -> DataFrame:
@@ -145,6 +130,14 @@ def with_default_labels(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.join(l, "roi", "left").withColumn("iscell", F.coalesce("_c", F.lit(True))).withColumn("prob", F.coalesce("_p", F.lit(1.0))).drop("_c", "_p")
 
 
+def with_values(regions: DataFrame, values: DataFrame, name: str = "value") -> DataFrame:
+    """``regions`` (a row a region, with roi) with a vector of the user's, rows (at, v): the at-th value goes to the at-th region by number, from 0."""
+    numbered = regions.withColumn("_at", F.row_number().over(Window.orderBy("roi")) - 1)
+    if regions.count() != values.count():
+        raise ValueError("a vector has as many values as there are regions")
+    return numbered.join(values.select(F.col("at").alias("_at"), F.col("v").alias(name)), "_at", "left").drop("_at")
+
+
 def sorted_activity(binned: DataFrame, neighbours: int = 3) -> DataFrame:
     """roi, rank, bin, v: clipped z-scores smoothed over neighbours in the order of the first component.
 

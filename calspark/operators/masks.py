@@ -164,46 +164,96 @@ def outline(masks: DataFrame) -> DataFrame:
     return masks.select("roi", "y", "x").join(full, ["roi", "y", "x"], "left_anti")
 
 
+def _taken(cell_pixels: DataFrame, height: int, width: int) -> np.ndarray:
+    """The cell pixels of one frame as an image: its bits, packed by one task, are all that reaches the driver."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width), bool)
+        image[pdf["y"], pdf["x"]] = True
+        return pd.DataFrame({"bits": [np.packbits(image).tobytes()]})
+
+    pixels = cell_pixels.select(F.col("y").cast("int"), F.col("x").cast("int")).distinct()
+    found = pixels.withColumn("frame", F.lit(0)).groupBy("frame").applyInPandas(pack, "bits binary").collect()  # at most a row
+    bits = np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(-(-height * width // 8), np.uint8)
+    return np.unpackbits(bits, count=height * width).reshape(height, width).astype(bool)
+
+
+def _grown(shape: np.ndarray, times: int) -> np.ndarray:
+    for _ in range(times):
+        new = shape.copy()
+        new[1:] |= shape[:-1]
+        new[:-1] |= shape[1:]
+        new[:, 1:] |= shape[:, :-1]
+        new[:, :-1] |= shape[:, 1:]
+        shape = new
+    return shape
+
+
+#: Most steps that surroundings grow.
+STEPS = 100
+
+
 def neuropil_rings(masks: DataFrame, cell_pixels: DataFrame, height: int, width: int, inner: int = 2, least: int = 350, extend: int = 5, circular: bool = False) -> DataFrame:
     """roi, y, x: the surroundings of every region without cell pixels and without a ring of ``inner`` pixels around it.
 
-    The box (or the dilated shape) grows by ``extend`` until it holds more than
-    ``least`` free pixels beyond the ring, at most 100 times. The image of cell pixels
-    has the size of one frame and goes to every task; regions go in parallel.
+    The box around the ring grows by ``extend`` until it holds more than ``least`` free pixels
+    beyond those of the ring, at most STEPS times. Free pixels are summed over the frame once, so a box is
+    counted by four look-ups, and the number of steps is found by halving. With
+    ``circular`` the dilated shape grows, in a cut of the frame that grows with it. The
+    frame's bits go to every task; regions go in parallel.
     """
-    taken = np.zeros((height, width), bool)
-    for r in cell_pixels.select("y", "x").distinct().collect():  # at most one row a pixel of a frame
-        taken[r["y"], r["x"]] = True
-
-    def grow(shape: np.ndarray, times: int) -> np.ndarray:
-        for _ in range(times):
-            new = shape.copy()
-            new[1:] |= shape[:-1]
-            new[:-1] |= shape[1:]
-            new[:, 1:] |= shape[:, :-1]
-            new[:, :-1] |= shape[:, 1:]
-            shape = new
-        return shape
+    free = ~_taken(cell_pixels, height, width)
+    sums = np.zeros((height + 1, width + 1), np.int64)
+    sums[1:, 1:] = free.cumsum(0).cumsum(1)
+    sent = masks.sparkSession.sparkContext.broadcast((np.packbits(free), sums))  # one frame
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = np.zeros((height, width), bool)
-        shape[pdf["y"], pdf["x"]] = True
-        ring = grow(shape, inner)
-        free = ~taken
-        inside, area = (ring & free).sum(), ring
-        ys, xs = np.nonzero(ring)
-        y0, y1, x0, x1 = ys.min(), ys.max(), xs.min(), xs.max()
-        for _ in range(100):
-            if (area & free).sum() - inside > least:
+        bits, sums = sent.value
+        free = np.unpackbits(bits, count=height * width).reshape(height, width).astype(bool)
+        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+
+        def cut(margin: int) -> tuple[slice, slice, np.ndarray]:
+            rows = slice(max(0, int(ys.min()) - margin), min(height, int(ys.max()) + margin + 1))
+            columns = slice(max(0, int(xs.min()) - margin), min(width, int(xs.max()) + margin + 1))
+            shape = np.zeros((rows.stop - rows.start, columns.stop - columns.start), bool)
+            shape[ys - rows.start, xs - columns.start] = True
+            return rows, columns, _grown(shape, inner)
+
+        rows, columns, ring = cut(inner)
+        inside = int((ring & free[rows, columns]).sum())
+
+        def box(k: int) -> tuple[int, int, int, int]:
+            return max(0, rows.start - k * extend), min(height, rows.stop + k * extend), max(0, columns.start - k * extend), min(width, columns.stop + k * extend)
+
+        def enough(k: int) -> bool:
+            y0, y1, x0, x1 = box(k)
+            return sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0] - inside > least
+
+        if least < 0:
+            area = ring
+        elif not circular:
+            low, high = 1, STEPS
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if enough(middle) else (middle + 1, high)
+            y0, y1, x0, x1 = box(low)
+            area = np.ones((y1 - y0, x1 - x0), bool)
+            narrow, rows, columns = (rows, columns, ring), slice(y0, y1), slice(x0, x1)
+            ring = np.zeros_like(area)
+            ring[narrow[0].start - y0 : narrow[0].stop - y0, narrow[1].start - x0 : narrow[1].stop - x0] = narrow[2]
+        else:
+            for most in (4, 16, STEPS):
+                rows, columns, ring = cut(inner + most * extend)
+                area, here = ring, free[rows, columns]
+                for _ in range(most):
+                    area = _grown(area, extend)
+                    if (area & here).sum() - inside > least:
+                        break
+                else:
+                    continue
                 break
-            if circular:
-                area = grow(area, extend)
-            else:
-                y0, y1, x0, x1 = max(0, y0 - extend), min(height - 1, y1 + extend), max(0, x0 - extend), min(width - 1, x1 + extend)
-                area = np.zeros_like(ring)
-                area[y0 : y1 + 1, x0 : x1 + 1] = True
-        y, x = np.nonzero(area & free & ~ring)
-        return pd.DataFrame({"roi": pdf["roi"].iloc[0], "y": y.astype("int32"), "x": x.astype("int32")})
+        y, x = np.nonzero(area & free[rows, columns] & ~ring)
+        return pd.DataFrame({"roi": pdf["roi"].iloc[0], "y": (y + rows.start).astype("int32"), "x": (x + columns.start).astype("int32")})
 
     return masks.select("roi", "y", "x").groupBy("roi").applyInPandas(run, f"roi {dict(masks.dtypes)['roi']}, y int, x int")
 
@@ -230,6 +280,19 @@ def cell_pixels(masks: DataFrame, radius: float, percent: float, height: int, wi
     return peak.withColumn("plane", F.lit(0)).groupBy("plane").applyInPandas(run, "y int, x int")
 
 
+def with_drawn(masks: DataFrame, shapes: DataFrame, height: int, width: int) -> DataFrame:
+    """roi, y, x, lam of the regions and of ellipses drawn by hand (k, cy, cx, ry, rx), numbered after them in the order of k, with even weights."""
+    y = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil(F.col("cy") - F.col("ry"))).cast("int"), F.least(F.lit(height - 1), F.floor(F.col("cy") + F.col("ry"))).cast("int"), F.lit(1)))
+    x = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil(F.col("cx") - F.col("rx"))).cast("int"), F.least(F.lit(width - 1), F.floor(F.col("cx") + F.col("rx"))).cast("int"), F.lit(1)))
+    seen = shapes.where((F.col("cy") + F.col("ry") >= 0) & (F.col("cy") - F.col("ry") <= height - 1) & (F.col("cx") + F.col("rx") >= 0) & (F.col("cx") - F.col("rx") <= width - 1))
+    pixels = seen.select("*", y.alias("y")).select("*", x.alias("x")).where(F.pow((F.col("y") - F.col("cy")) / F.col("ry"), 2) + F.pow((F.col("x") - F.col("cx")) / F.col("rx"), 2) <= 1)
+    number = F.row_number().over(Window.orderBy("k"))  # a row a drawn shape
+    last = masks.agg(F.coalesce(F.max("roi"), F.lit(-1)).cast("long").alias("last"))
+    named = shapes.select("k", number.alias("n")).join(F.broadcast(last)).select("k", (F.col("last") + F.col("n")).alias("roi"))
+    even = (1.0 / F.count(F.lit(1)).over(Window.partitionBy("roi"))).alias("lam")
+    return masks.select("roi", "y", "x", "lam").unionByName(pixels.join(named, "k").select("roi", "y", "x", even))
+
+
 def contrast(masks: DataFrame, rings: DataFrame, image: DataFrame) -> DataFrame:
     """roi, inside, outside, prob: weighted mean of a second channel in the region against the mean of its surroundings."""
     inside = normalised(masks).join(image, list(PIXEL)).groupBy("roi").agg(F.sum(F.col("lam") * F.col("v")).alias("inside"))

@@ -41,22 +41,31 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MASKS = "masks as (select l_suppkey roi, cast(l_partkey // 64 as int) y, cast(l_partkey % 64 as int) x, sum(l_quantity) lam from lineitem group by all)"
 
-#: Boxes on the 8 x 8 grid: roi, first row, first column, height, width.
-BOXES = ((0, 0, 0, 3, 3), (1, 1, 1, 4, 4), (2, 4, 4, 4, 3), (3, 0, 5, 2, 3), (4, 5, 0, 3, 4), (5, 3, 3, 3, 3))
+#: Side of the field that the boxes lie on, and of the one that frames of 8 x 8 share.
+SIDE, SMALL_SIDE = 128, 8
 
 
-def tile_masks(spark: SparkSession) -> DataFrame:
-    """roi, y, x, lam, ord: fixed boxes with weights that grow to the lower right."""
-    boxes = spark.createDataFrame(BOXES, "roi int, y0 int, x0 int, h int, w int")
+def tile_masks(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
+    """roi, y, x, lam, ord: a box a supplier, 3 to 5 pixels a side, with weights that grow to the lower right."""
+    s = table(spark, sf_dir, "supplier")
+    cents = F.round(F.col("s_acctbal") * 100).cast("long")
+    boxes = s.select(
+        F.col("s_suppkey").alias("roi"), F.pmod(cents, F.lit(side - 4)).cast("int").alias("y0"), ((F.col("s_suppkey") * 31 + F.col("s_nationkey") * 7) % (side - 4)).cast("int").alias("x0"),
+        (3 + F.col("s_nationkey") % 3).cast("int").alias("h"), (3 + F.expr("s_nationkey div 3") % 3).cast("int").alias("w"),
+    )
     y, x = F.explode(F.expr("sequence(y0, y0 + h - 1)")), F.explode(F.expr("sequence(x0, x0 + w - 1)"))
     p = boxes.select("*", y.alias("y")).select("*", x.alias("x"))
     return p.select("roi", "y", "x", (1.0 + 0.5 * (F.col("y") - F.col("y0")) + 0.25 * (F.col("x") - F.col("x0"))).alias("lam"), ((F.col("y") - F.col("y0")) * F.col("w") + F.col("x") - F.col("x0")).alias("ord"))
 
 
-TILES = f"""
-boxes(roi, y0, x0, h, w) as (values {", ".join(map(str, BOXES))}),
+def tiles_sql(side: int) -> str:
+    return f"""
+boxes as (select s_suppkey roi, cast((cast(round(s_acctbal * 100) as bigint) % {side - 4} + {side - 4}) % {side - 4} as int) y0, cast((s_suppkey * 31 + s_nationkey * 7) % {side - 4} as int) x0, cast(3 + s_nationkey % 3 as int) h, cast(3 + s_nationkey // 3 % 3 as int) w from supplier),
 ty as (select *, unnest(range(y0, y0 + h)) y from boxes), tx as (select *, unnest(range(x0, x0 + w)) x from ty),
-tiles as (select roi, cast(y as int) y, cast(x as int) x, cast(1 + 0.5 * (y - y0) + 0.25 * (x - x0) as double) lam, (y - y0) * w + x - x0 ord from tx)"""
+tiles as (select roi, cast(y as int) y, cast(x as int) x, cast(1 + 0.5 * (y - y0) + 0.25 * (x - x0) as double) lam, cast((y - y0) * w + x - x0 as int) ord from tx)"""
+
+
+TILES, SMALL_TILES = tiles_sql(SIDE), tiles_sql(SMALL_SIDE)
 
 
 def movie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +73,17 @@ def movie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("plane"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda v: v.cast("double")).alias("arr"))
 
 
+#: Side of the frames of wide_movie.
+WIDE = 40
+
+
+def wide_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plane, frame, arr: frames of 40 x 40, each component as a square of 5 x 5 with a little of the others in it."""
+    i = lambda n: F.col("arr")[(n.cast("int"))]
+    square = lambda k: F.floor(F.floor(k / WIDE) / 5) * 8 + F.floor((k % WIDE) / 5)
+    return movie(spark, sf_dir).withColumn("arr", F.transform(F.sequence(F.lit(0), F.lit(WIDE * WIDE - 1)), lambda k: i(square(k)) + 0.3 * i((k * 13 + F.floor(k / WIDE)) % 64)))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plane, frame, y, x, v."""
     return exploded(movie(spark, sf_dir))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calspark.functions.columns import rounded
 from calspark.operators import masks as M
 from calspark.operators import rois as S
+from calspark.operators.interactive import with_values
 from calspark.plans import carriers as C
 from calspark.plans.trace_queries import R, _r
 
 DIAMETER = (3.0, 4.0)
-#: Lines of the field of view that cell_pixel_map looks at.
-FIELD = 64
 
 
 def mask_overlap_flags(spark, d):
@@ -24,7 +24,7 @@ def mask_normalise(spark, d):
 
 
 def mask_drop_overlap(spark, d):
-    return _r(M.cell_masks(C.tile_masks(spark)).select("roi", "y", "x", "lam"), "lam")
+    return _r(M.cell_masks(C.tile_masks(spark, d)).select("roi", "y", "x", "lam"), "lam")
 
 
 def mask_iou_pairs(spark, d):
@@ -48,7 +48,7 @@ def mask_top3_per_pixel(spark, d):
 
 
 def mask_label_image(spark, d):
-    return M.label_image(C.masks(spark, d).where("lam >= 80"))
+    return M.label_image(C.tile_masks(spark, d))
 
 
 def mask_union_merge(spark, d):
@@ -57,7 +57,7 @@ def mask_union_merge(spark, d):
 
 
 def overlap_greedy_filter(spark, d):
-    return M.greedy_overlap_filter(C.masks(spark, d).where("lam >= 60").withColumn("plane", F.col("roi") % 4), 0.5)  # a sparse carrier: whole masks overlap everywhere
+    return M.greedy_overlap_filter(C.tile_masks(spark, d).withColumn("plane", F.col("roi") % 4), 0.5)
 
 
 def roi_median_pixel(spark, d):
@@ -73,7 +73,7 @@ def roi_gaussian_fit(spark, d):
 
 
 def roi_compactness(spark, d):
-    return _r(S.compactness(C.tile_masks(spark), *DIAMETER), "mrs", "mrs0", "compact")
+    return _r(S.compactness(C.tile_masks(spark, d), *DIAMETER), "mrs", "mrs0", "compact")
 
 
 def roi_soma_crop(spark, d):
@@ -99,46 +99,62 @@ def roi_stats(spark, d):
 
 
 def roi_dilate4(spark, d):
-    return M.dilated(C.tile_masks(spark), 8, 8, 2)
+    return M.dilated(C.tile_masks(spark, d), C.SIDE, C.SIDE, 2)
 
 
 def roi_spread9(spark, d):
-    return _r(M.spread9(C.tile_masks(spark), 8, 8), "lam")
+    return _r(M.spread9(C.tile_masks(spark, d), C.SIDE, C.SIDE), "lam")
 
 
 def roi_connected_component(spark, d):
-    holes = C.tile_masks(spark).where("not (ord % 5 = 2)")
+    holes = C.tile_masks(spark, d).where("not (ord % 5 = 2)")
     return M.connected_component(holes).select("roi", "y", "x")
 
 
 def roi_outline(spark, d):
-    return M.outline(C.tile_masks(spark))
+    return M.outline(C.tile_masks(spark, d))
 
 
 def neuropil_ring(spark, d):
-    tiles = C.tile_masks(spark)
-    return M.neuropil_rings(tiles, tiles, 24, 24, inner=1, least=40, extend=2)
+    tiles = C.tile_masks(spark, d)
+    return M.neuropil_rings(tiles, tiles, C.SIDE, C.SIDE, inner=1, least=40, extend=2)
 
 
 def neuropil_ring_circular(spark, d):
-    tiles = C.tile_masks(spark)
-    return M.neuropil_rings(tiles, tiles, 24, 24, inner=1, least=40, extend=2, circular=True)
+    tiles = C.tile_masks(spark, d)
+    return M.neuropil_rings(tiles, tiles, C.SIDE, C.SIDE, inner=1, least=40, extend=2, circular=True)
 
 
 def cell_pixel_map(spark, d):
-    return M.cell_pixels(C.masks(spark, d).where(F.col("y") < FIELD), 1.0, 50.0, FIELD, 64)
+    m = C.masks(spark, d)
+    return M.cell_pixels(m, 1.0, 50.0, (m.agg(F.max("y")).first()[0] or 0) + 1, 64)
 
 
 def chan2_ratio(spark, d):
     image = C.pixels(spark, d).groupBy("y", "x").agg(F.avg(F.abs("v")).alias("v"))
-    tiles = C.tile_masks(spark)
+    tiles = C.tile_masks(spark, d, C.SMALL_SIDE)
     ring = M.dilated(tiles, 8, 8, 1).join(tiles.select("roi", "y", "x"), ["roi", "y", "x"], "left_anti")
     return _r(M.contrast(tiles, ring, image), "inside", "outside", "prob")
 
 
+def drawn_regions(spark, d):
+    """Traces of the suppliers' boxes and of an ellipse for every region of the world."""
+    k = F.col("r_regionkey")
+    shapes = C.table(spark, d, "region").select(k.alias("k"), (1.0 + k).alias("cy"), (6.0 - k).alias("cx"), F.lit(1.5).alias("ry"), F.lit(2.0).alias("rx"))
+    m = M.normalised(M.with_drawn(C.tile_masks(spark, d, C.SMALL_SIDE), shapes, 8, 8))
+    return _r(C.pixels(spark, d).join(m, ["y", "x"]).groupBy("plane", "roi", "frame").agg(F.sum(F.col("v") * F.col("lam")).alias("f")), "f")
+
+
+def roi_user_values(spark, d):
+    """Balances, in the order of customers of least number, as a vector for the suppliers' boxes."""
+    rois = C.table(spark, d, "supplier").select(F.col("s_suppkey").alias("roi"))
+    c = C.table(spark, d, "customer").select((F.row_number().over(Window.orderBy("c_custkey")) - 1).alias("at"), F.col("c_acctbal").alias("v"))
+    return with_values(rois, c.where(F.col("at") < rois.count()))
+
+
 QUERIES = {f.__name__: f for f in (
     mask_overlap_flags, mask_normalise, mask_drop_overlap, mask_iou_pairs, mask_cosine_pairs, mask_max_iou, mask_max_weight_map, mask_top3_per_pixel, mask_label_image, mask_union_merge, overlap_greedy_filter,
-    roi_median_pixel, roi_in_rectangle, roi_gaussian_fit, roi_compactness, roi_soma_crop, roi_npix_norm, roi_size_filter, roi_stats, roi_dilate4, roi_spread9, roi_connected_component, roi_outline, neuropil_ring, neuropil_ring_circular, cell_pixel_map, chan2_ratio,
+    roi_median_pixel, roi_in_rectangle, roi_gaussian_fit, roi_compactness, roi_soma_crop, roi_npix_norm, roi_size_filter, roi_stats, roi_dilate4, roi_spread9, roi_connected_component, roi_outline, neuropil_ring, neuropil_ring_circular, cell_pixel_map, chan2_ratio, drawn_regions, roi_user_values,
 )}
 
 DY, DX = DIAMETER
@@ -157,7 +173,7 @@ ORACLES = {
     "mask_max_iou": f"with {C.MASKS}, {_IOU} select roi, {R('coalesce(max(iou), 0)')} iou from (select distinct roi from masks) left join (select a roi, iou from iou union all select b, iou from iou) using (roi) group by roi",
     "mask_max_weight_map": f"with {C.MASKS} select y, x, max(lam) lam, arg_min(roi, -lam * 1000000 + roi) roi from masks group by y, x",
     "mask_top3_per_pixel": f"with {C.MASKS} select y, x, row_number() over (partition by y, x order by lam desc, roi) rank, roi, lam from masks qualify rank <= 3",
-    "mask_label_image": f"with {C.MASKS} select y, x, max(roi) roi from masks where lam >= 80 group by y, x having count(*) = 1",
+    "mask_label_image": f"with {C.TILES} select y, x, max(roi) roi from tiles group by y, x having count(*) = 1",
     "mask_union_merge": f"with {C.MASKS} select roi - roi % 3 roi, y, x, arg_min(lam, roi) lam from masks group by all",
     "roi_median_pixel": f"with {C.MASKS}, {_MED} select roi, p.y, p.x from med",
     "roi_in_rectangle": f"with {C.MASKS}, {_MED} select roi, p.y, p.x from med where p.y >= 10 and p.y < 20 and p.x >= 20 and p.x < 44",
@@ -178,19 +194,19 @@ y as (select roi, coalesce(dist < radius, true) soma from x join rad using (roi)
 select roi, case when count(*) filter (soma) = 0 then count(*) else count(*) filter (soma) end npix_soma, count(*) npix from y group by roi""",
     "roi_npix_norm": f"with {C.MASKS}, s as (select roi, count(*) npix from masks group by roi), q as (select quantile_cont(npix, 0.5) m from (select npix from s order by roi limit 100)) select roi, {R('npix / (m + 1e-10)')} npix_norm from s, q",
     "roi_size_filter": f"with {C.MASKS}, s as (select roi, count(*) npix from masks group by roi), q as (select quantile_cont(npix, 0.5) m from (select npix from s order by roi limit 100)) select roi, {R('npix / (m + 1e-10)')} npix_norm from s, q where npix / (m + 1e-10) between 0.98 and 1.02",
-    "roi_dilate4": f"with {C.TILES}, {_DIL.format(a='tiles', b='d1', h=7)}, {_DIL.format(a='d1', b='d2', h=7)} select roi, y, x from d2",
-    "roi_spread9": f"with {C.TILES} select roi, cast(y + dy as int) y, cast(x + dx as int) x, {R('sum(lam / 3)')} lam from tiles, range(-1, 2) p(dy), range(-1, 2) q(dx) where y + dy between 0 and 7 and x + dx between 0 and 7 group by 1, 2, 3",
+    "roi_dilate4": f"with {C.TILES}, {_DIL.format(a='tiles', b='d1', h=C.SIDE - 1)}, {_DIL.format(a='d1', b='d2', h=C.SIDE - 1)} select roi, y, x from d2",
+    "roi_spread9": f"with {C.TILES} select roi, cast(y + dy as int) y, cast(x + dx as int) x, {R('sum(lam / 3)')} lam from tiles, range(-1, 2) p(dy), range(-1, 2) q(dx) where y + dy between 0 and {C.SIDE - 1} and x + dx between 0 and {C.SIDE - 1} group by 1, 2, 3",
     "roi_connected_component": f"""with recursive {C.TILES}, h as (select * from tiles where ord % 5 <> 2), seed as (select roi, arg_max(y, lam * 1000 - ord / 1000.0) y, arg_max(x, lam * 1000 - ord / 1000.0) x from h group by roi),
 walk as (select * from seed union select h.roi, h.y, h.x from walk w join h on h.roi = w.roi and abs(h.y - w.y) + abs(h.x - w.x) = 1) select roi, y, x from walk""",
     "roi_outline": f"with {C.TILES} select roi, y, x from tiles t where (select count(*) from tiles u where u.roi = t.roi and abs(u.y - t.y) + abs(u.x - t.x) = 1) < 4",
-    "neuropil_ring": f"""with {C.TILES}, {_DIL.format(a='tiles', b='ring', h=23)}, cell as (select distinct y, x from tiles),
-free as (select cast(a.i as int) y, cast(b.i as int) x from range(24) a(i), range(24) b(i) where (a.i, b.i) not in (select (y, x) from cell)),
+    "neuropil_ring": f"""with {C.TILES}, {_DIL.format(a='tiles', b='ring', h=C.SIDE - 1)}, cell as (select distinct y, x from tiles),
+free as (select cast(a.i as int) y, cast(b.i as int) x from range({C.SIDE}) a(i), range({C.SIDE}) b(i) where (a.i, b.i) not in (select (y, x) from cell)),
 bx as (select roi, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from ring group by roi), nr as (select roi, count(*) nr from ring join free using (y, x) group by roi),
 need as (select roi, y, x, greatest(1, ceil(greatest(y0 - y, y - y1, x0 - x, x - x1) / 2.0)) k from bx, free),
 cum as (select roi, k, sum(count(*)) over (partition by roi order by k) n from need group by roi, k),
-kk as (select roi, min(k) filter (n - coalesce(nr, 0) > 40) kk from cum left join nr using (roi) group by roi)
+kk as (select roi, coalesce(min(k) filter (n - coalesce(nr, 0) > 40), 100) kk from cum left join nr using (roi) group by roi)
 select roi, y, x from need join kk using (roi) where k <= kk and (roi, y, x) not in (select (roi, y, x) from ring)""",
-    "chan2_ratio": f"""with {C.TILES}, {C.PIXELS}, img as (select y, x, avg(abs(v)) v from pixels group by 1, 2), {_DIL.format(a='tiles', b='d1', h=7)},
+    "chan2_ratio": f"""with {C.SMALL_TILES}, {C.PIXELS}, img as (select y, x, avg(abs(v)) v from pixels group by 1, 2), {_DIL.format(a='tiles', b='d1', h=7)},
 ins as (select roi, greatest(sum(lam * v) / sum(lam), 1e-3) i from tiles join img using (y, x) group by roi), outs as (select roi, avg(v) o from d1 join img using (y, x) where (roi, y, x) not in (select (roi, y, x) from tiles) group by roi)
 select roi, {R('i')} inside, {R('o')} outside, {R('i / (i + o)')} prob from ins join outs using (roi)""",
 }
@@ -209,15 +225,19 @@ e1 as (select roi, 2 * sqrt((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c)) r
 select roi, p.y med_y, p.x med_x, npix, npix_soma, {R('mrs')} mrs, {R('mrs0')} mrs0, {R('greatest(1.0, mrs / (1e-10 + mrs0))')} compact, {R(f"r1 * {(DY + DX) / 2}")} radius, {R("2 * r1 / (0.01 + r1 + r2)")} aspect_ratio,
   {R('npix_soma / (b + 1e-10)')} npix_norm, {R('npix / (a + 1e-10)')} npix_norm_no_crop from sz join med using (roi) join cq using (roi) join e1 using (roi), nm"""
 ORACLES["neuropil_ring_circular"] = f"""with {C.TILES}, cell as (select distinct y, x from tiles),
-fa as (select t.roi, cast(a.i as int) y, cast(b.i as int) x, min(abs(a.i - t.y) + abs(b.i - t.x)) far from tiles t, range(24) a(i), range(24) b(i) group by 1, 2, 3),
+fa as (select t.roi, cast(a.i as int) y, cast(b.i as int) x, min(abs(a.i - t.y) + abs(b.i - t.x)) far from tiles t, range({C.SIDE}) a(i), range({C.SIDE}) b(i) group by 1, 2, 3),
 fr as (select *, greatest(0, ceil((far - 1) / 2.0)) k from fa where (y, x) not in (select (y, x) from cell)),
 ku as (select roi, k, sum(count(*)) over (partition by roi order by k) n, sum(count(*) filter (far <= 1)) over (partition by roi) ins from fr group by roi, k),
 kk as (select roi, coalesce(min(k) filter (n - ins > 40), 100) kk from ku group by roi) select roi, y, x from fr join kk using (roi) where far > 1 and k <= kk"""
-ORACLES["cell_pixel_map"] = f"""with {C.MASKS}, pk as (select y, x, max(lam) v from masks where y < {FIELD} group by 1, 2), o as (select i.i - 2 k from range(5) i(i)),
-nb as (select p.y, p.x, p.v, case when p.y + a.k < 0 then -1 - (p.y + a.k) when p.y + a.k >= {FIELD} then {2 * FIELD - 1} - (p.y + a.k) else p.y + a.k end yy, case when p.x + b.k < 0 then -1 - (p.x + b.k) when p.x + b.k >= 64 then 127 - (p.x + b.k) else p.x + b.k end xx from pk p, o a, o b),
+ORACLES["cell_pixel_map"] = f"""with {C.MASKS}, f as (select max(y) + 1 h from masks), pk as (select y, x, max(lam) v from masks group by 1, 2), o as (select i.i - 2 k from range(5) i(i)),
+nb as (select p.y, p.x, p.v, case when p.y + a.k < 0 then -1 - (p.y + a.k) when p.y + a.k >= h then 2 * h - 1 - (p.y + a.k) else p.y + a.k end yy, case when p.x + b.k < 0 then -1 - (p.x + b.k) when p.x + b.k >= 64 then 127 - (p.x + b.k) else p.x + b.k end xx from pk p, f, o a, o b),
 ls as (select nb.y, nb.x, any_value(nb.v) v, list_sort(list(coalesce(q.v, 0))) l from nb left join pk q on q.y = nb.yy and q.x = nb.xx group by 1, 2) select y, x from ls where v >= l[13]"""
-ORACLES["overlap_greedy_filter"] = f"""with recursive {C.MASKS}, m as (select roi % 4 plane, roi, y, x from masks where lam >= 60), px as (select plane, y, x, list(roi) l from m group by 1, 2, 3),
+ORACLES["overlap_greedy_filter"] = f"""with recursive {C.TILES}, m as (select roi % 4 plane, roi, y, x from tiles), px as (select plane, y, x, list(roi) l from m group by 1, 2, 3),
 rs as (select m.plane, m.roi, list(list_filter(l, lambda z: z <> m.roi)) others from m join px using (plane, y, x) group by 1, 2), o as (select *, row_number() over (partition by plane order by roi desc) n from rs),
 st(plane, n, roi, gone) as (select distinct plane, cast(0 as bigint), cast(null as bigint), cast([] as bigint[]) from o union all
   select o.plane, o.n, o.roi, case when list_avg(list_transform(o.others, lambda l: case when len(list_filter(l, lambda z: not list_contains(st.gone, z))) > 0 then 1.0 else 0.0 end)) > 0.5 then list_append(st.gone, o.roi) else st.gone end from st join o on o.plane = st.plane and o.n = st.n + 1)
 select plane, roi from st where n > 0 and not list_contains(gone, roi)"""
+ORACLES["drawn_regions"] = f"""with {C.SMALL_TILES}, {C.PIXELS}, dr as (select r_regionkey k, cast(p.i as int) y, cast(q.i as int) x from region, range(8) p(i), range(8) q(i) where power((p.i - (1 + r_regionkey)) / 1.5, 2) + power((q.i - (6 - r_regionkey)) / 2.0, 2) <= 1),
+nr as (select r_regionkey k, (select max(roi) from tiles) + row_number() over (order by r_regionkey) roi from region), al as (select roi, y, x, lam from tiles union all select roi, y, x, 1.0 / count(*) over (partition by k) from dr join nr using (k)),
+m as (select roi, y, x, lam / sum(lam) over (partition by roi) lam from al) select plane, roi, frame, {R('sum(v * lam)')} f from pixels join m using (y, x) group by 1, 2, 3"""
+ORACLES["roi_user_values"] = "with s as (select s_suppkey roi, row_number() over (order by s_suppkey) n from supplier), c as (select c_acctbal as value, row_number() over (order by c_custkey) n from customer) select roi, value from s join c using (n)"

@@ -169,25 +169,48 @@ def bidiphase_estimate(spark, d):
     return G.bidiphase(_counts(spark, d), 8, 8, 3)
 
 
+def _planes(spark, d):
+    return C.table(spark, d, "nation").select(F.col("n_nationkey").alias("plane"))
+
+
+def _gridded(df, height, width, block):
+    """``df`` with a row for each block of the grid: b, iy, ix, y0, y1, x0, x1."""
+    blocks, (_, nx), _ = G.block_grid(height, width, block)
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("b", "iy", "ix", "y0", "y1", "x0", "x1"), (k, k // nx, k % nx, *box))]) for k, box in enumerate(blocks)])
+    return df.withColumn("_g", F.explode(each)).select(*df.columns, "_g.*")
+
+
 def block_grid(spark, d):
-    return G.grid_table(spark, 512, 400, (128, 100))
+    """The blocks of every plane."""
+    return _gridded(_planes(spark, d), 512, 400, (128, 100))
+
+
+def _block_means(spark, d):
+    """plane, b, n, v: the mean of every block of every plane over its pixels and frames, which overlapping blocks share."""
+    p = _gridded(C.pixels(spark, d).groupBy("plane", "y", "x").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")), 8, 8, (4, 4))
+    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
+    return p.where(inside).groupBy("plane", "b").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("v"))
 
 
 def block_assign(spark, d):
-    """Pixels of the grid's blocks: one-dimensional starts meet the axis by bucketed equality."""
-    g = G.grid_table(spark, 20, 16, (8, 8))
-    y, x = F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x")
-    return g.select("b", "x0", "x1", y).select("b", "y", x).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("first_block"))
+    return _r(_block_means(spark, d), "v")
 
 
 def kernel_smooth(spark, d):
-    k = G.block_smoother(4, 3)
-    return _r(spark.createDataFrame([(i, j, float(k[i, j])) for i in range(12) for j in range(12)], "a int, b int, w double"), "w")
+    """The block means of every plane, each replaced by the kernel-weighted mean of all blocks."""
+    k = G.block_smoother(3, 3)
+    weights = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in k])
+    x = _block_means(spark, d).select("plane", "v", F.posexplode(F.element_at(weights, F.col("b") + 1)).alias("b", "w"))
+    return _r(x.groupBy("plane", "b").agg(F.sum(F.col("v") * F.col("w")).alias("v")), "v")
 
 
 def kriging_upsample(spark, d):
+    """The first 7 x 7 pixels of every plane's mean image on a grid ten times finer."""
     k, side = G.upsampler(3, 10)
-    return _r(spark.createDataFrame([(int(i), int(j), float(k[i, j])) for i in range(49) for j in range(side * side)], "point int, fine int, w double"), "w")
+    mean = C.pixels(spark, d).where("y < 7 and x < 7").groupBy("plane", "y", "x").agg(F.avg("v").alias("v"))
+    weights = spark.createDataFrame([(i // 7, i % 7, [float(v) for v in k[i]]) for i in range(49)], "y int, x int, w array<double>")
+    x = mean.join(F.broadcast(weights), ["y", "x"]).select("plane", "v", F.posexplode("w").alias("fine", "w"))
+    return _r(x.groupBy("plane", "fine").agg(F.sum(F.col("v") * F.col("w")).alias("v")), "v")
 
 
 def _synthetic(spark, d, size=24):
@@ -266,13 +289,13 @@ def bleedthrough_regress(spark, d):
 def extract_traces(spark, d):
     from calspark.operators.masks import cell_masks
 
-    return _r(V.weighted_traces(C.pixels(spark, d), cell_masks(C.tile_masks(spark))), "f")
+    return _r(V.weighted_traces(C.pixels(spark, d), cell_masks(C.tile_masks(spark, d, C.SMALL_SIDE))), "f")
 
 
 def extract_neuropil(spark, d):
     from calspark.operators.masks import dilated
 
-    t = C.tile_masks(spark)
+    t = C.tile_masks(spark, d, C.SMALL_SIDE)
     ring = dilated(t, 8, 8, 1).join(t.select("roi", "y", "x"), ["roi", "y", "x"], "left_anti")
     return _r(C.pixels(spark, d).join(F.broadcast(ring), ["y", "x"]).groupBy("plane", "roi", "frame").agg(F.avg("v").alias("fneu")), "fneu")
 
@@ -282,7 +305,7 @@ def extract_traces_blocks(spark, d):
     from calspark.operators.extraction import extract
     from calspark.operators.masks import cell_masks, dilated
 
-    t = C.tile_masks(spark)
+    t = C.tile_masks(spark, d, C.SMALL_SIDE)
     ring = dilated(t, 8, 8, 1).join(t.select("roi", "y", "x"), ["roi", "y", "x"], "left_anti")
     return _r(extract(C.movie(spark, d), cell_masks(t), ring, 8), "f", "fneu")
 
@@ -333,6 +356,7 @@ _BAD = f"""{_OFF}, o2 as (select *, cast(yoff as double) dyo, cast(xoff as doubl
 o3 as (select *, {_median('dyo')} my, {_median('dxo')} mx, {_median('dc')} mc from o2 window w as (partition by plane order by frame rows between 2 preceding and 2 following)),
 o4 as (select *, sqrt(power(yoff - my, 2) + power(xoff - mx, 2)) dd from o3), o5 as (select *, dd / nullif(avg(dd) over (partition by plane), 0) r, greatest(0, coalesce(corr / nullif(mc, 0), 0)) c from o4),
 mk as (select plane, frame, yoff, xoff, coalesce(case when c > 0 then r / c > 100 * 0.02 else r > 0 end, false) or abs(yoff) > 0.95 * 0.1 * 40 or abs(xoff) > 0.95 * 0.1 * 40 bad from o5)"""
+_MEANS = """bl as (select cast(a.i * 3 + c.i as int) b, a.i * 2 y0, c.i * 2 x0 from range(3) a(i), range(3) c(i)), means as (select plane, b, count(*) n, avg(v) v from pixels join bl on y >= y0 and y < y0 + 4 and x >= x0 and x < x0 + 4 group by 1, 2)"""
 _GRID = """ys as (select i iy, cast(floor(i * ((512 - 128) / 5.0)) as int) y0 from range(6) r(i)), xs as (select i ix, cast(floor(i * ((400 - 100) / 5.0)) as int) x0 from range(6) r(i))"""
 
 ORACLES = {
@@ -376,9 +400,9 @@ bs as (select *, row_number() over (partition by frame order by c desc) k from c
 wh as (select plane, frame, y, w, re / (1e-5 + sqrt(re * re + im * im)) re, im / (1e-5 + sqrt(re * re + im * im)) im from ft),
 pq as (select a.plane, a.w, sum(a.re * b.re + a.im * b.im) re, sum(a.im * b.re - a.re * b.im) im from wh a join wh b on a.frame = b.frame and a.w = b.w and a.y = b.y + 1 and a.y % 2 = 1 group by 1, 2),
 cc as (select plane, l.i - 3 lag, sum(re * cos(2 * pi() * w * (l.i - 3) / 8) - im * sin(2 * pi() * w * (l.i - 3) / 8)) c from pq, range(7) l(i) group by 1, 2) select plane, cast(-arg_max(lag, c) as int) phase from cc group by plane""",
-    "block_grid": f"with {_GRID} select cast(iy * 6 + ix as int) b, cast(iy as int) iy, cast(ix as int) ix, y0, y0 + 128 y1, x0, x0 + 100 x1 from ys, xs",
-    "block_assign": "with ys as (select i iy, cast(floor(i * (12 / 3.0)) as int) y0 from range(4) r(i)), xs as (select i ix, cast(floor(i * (8 / 2.0)) as int) x0 from range(3) r(i)), p as (select cast(iy * 3 + ix as int) b, unnest(range(y0, y0 + 8)) y, x0 from ys, xs), q as (select b, cast(y as int) y, unnest(range(x0, x0 + 8)) x from p) select y, cast(x as int) x, count(*) n, min(b) first_block from q group by 1, 2",
-    "kernel_smooth": f"with k as (select a.i a, b.i b, exp(-(power(a.i // 3 - b.i // 3, 2) + power(a.i % 3 - b.i % 3, 2))) e from range(12) a(i), range(12) b(i)) select cast(a as int) a, cast(b as int) b, {R('e / sum(e) over (partition by a)')} w from k",
+    "block_grid": f"with {_GRID} select n_nationkey plane, cast(iy * 6 + ix as int) b, cast(iy as int) iy, cast(ix as int) ix, y0, y0 + 128 y1, x0, x0 + 100 x1 from ys, xs, nation",
+    "block_assign": f"with {C.PIXELS}, {_MEANS} select plane, b, n, {R('v')} v from means",
+    "kernel_smooth": f"with {C.PIXELS}, {_MEANS}, k as (select a.i a, b.i b, exp(-(power(a.i // 3 - b.i // 3, 2) + power(a.i % 3 - b.i % 3, 2))) e from range(9) a(i), range(9) b(i)), w as (select a, b, e / sum(e) over (partition by b) w from k) select plane, cast(a as int) b, {R('sum(v * w)')} v from means join w using (b) group by plane, a",
     "zstack_argmax": f"with {C.PIXELS}, z as (select plane, frame, y z, avg(v) c from pixels group by 1, 2, 3), {_taps('taps', 1.0)}, w as (select plane, frame, z, {_reflect('z + k', '8')} i, w from z, taps), s as (select w.plane, w.frame, w.z, round(sum(w.w * q.c), 9) c from w join z q on q.frame = w.frame and q.z = w.i group by 1, 2, 3), r as (select *, row_number() over (partition by frame order by c desc, z) k from s) select plane, frame, z from r where k = 1",
     "zstack_pivot": f"with {C.PIXELS} select plane, frame, {', '.join(R(f'avg(v) filter (y = {k})') + f' z{k}' for k in range(8))} from pixels group by plane, frame",
     "crop_bad_frames": f"with {_BAD} select plane, frame, bad from mk",
@@ -386,8 +410,8 @@ cc as (select plane, l.i - 3 lag, sum(re * cos(2 * pi() * w * (l.i - 3) / 8) - i
     "bleedthrough_regress": f"""with {C.PIXELS}, a as (select plane, y, x, avg(abs(v)) filter (frame % 2 = 0) v1, avg(abs(v)) filter (frame % 2 = 1) v2 from pixels group by 1, 2, 3), {_taps('taps', 1)},
 b as (select plane, y // 4 py, x // 4 px, sum(v1 * v2) / sum(v1 * v1) s from a group by all), ax as (select i.i, cast({_reflect('i.i + k', '8')} // 4 as int) part, sum(w) g from range(8) i(i), taps group by all),
 bl as (select plane, q.i y, r.i x, sum(s * q.g * r.g) s from b join ax q on q.part = b.py join ax r on r.part = b.px group by all) select a.plane, a.y, a.x, {R('greatest(0.0, v2 - s * v1)')} v from a join bl using (plane, y, x)""",
-    "extract_traces": f"with {C.TILES}, {C.PIXELS}, k as (select *, count(*) over (partition by y, x) n from tiles), m as (select roi, y, x, lam / sum(lam) over (partition by roi) lam from k where n = 1) select plane, roi, frame, {R('sum(v * lam)')} f from pixels join m using (y, x) group by plane, roi, frame",
-    "extract_neuropil": f"with {C.TILES}, {C.PIXELS}, {_DIL.format(a='tiles', b='d1', h=7)}, ring as (select * from d1 where (roi, y, x) not in (select (roi, y, x) from tiles)) select plane, roi, frame, {R('avg(v)')} fneu from pixels join ring using (y, x) group by plane, roi, frame",
+    "extract_traces": f"with {C.SMALL_TILES}, {C.PIXELS}, k as (select *, count(*) over (partition by y, x) n from tiles), m as (select roi, y, x, lam / sum(lam) over (partition by roi) lam from k where n = 1) select plane, roi, frame, {R('sum(v * lam)')} f from pixels join m using (y, x) group by plane, roi, frame",
+    "extract_neuropil": f"with {C.SMALL_TILES}, {C.PIXELS}, {_DIL.format(a='tiles', b='d1', h=7)}, ring as (select * from d1 where (roi, y, x) not in (select (roi, y, x) from tiles)) select plane, roi, frame, {R('avg(v)')} fneu from pixels join ring using (y, x) group by plane, roi, frame",
 }
 
 
@@ -413,4 +437,4 @@ ORACLES["zstack_correlate"] = f"""with {_COUNTS}, {_masked(_STACK, "select z.i a
 select plane, frame, cast(key as int) z, {R('max(c)')} corr from cc group by plane, frame, key"""
 ORACLES["movie_bin_blocks"] = ORACLES["movie_bin_badframes"]
 ORACLES["movie_mean_image_blocks"] = ORACLES["movie_mean_image"]
-ORACLES["extract_traces_blocks"] = f"select * from ({ORACLES['extract_traces']}) join ({ORACLES['extract_neuropil']}) using (plane, roi, frame)"
+ORACLES["extract_traces_blocks"] = f"select plane, roi, frame, coalesce(f, 0.0) f, coalesce(fneu, 0.0) fneu from ({ORACLES['extract_traces']}) full join ({ORACLES['extract_neuropil']}) using (plane, roi, frame)"

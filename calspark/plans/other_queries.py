@@ -18,59 +18,46 @@ from calspark.plans.trace_queries import _BINS, BIN, R, _r
 NODES = 50
 
 
-def planted(spark, frames=240, size=40, seed=7, planes=2):
-    """plane, frame, arr: movies with six Gaussian regions that fire in bursts over noise, made on the executors from the frame number."""
-    centres = [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]
-
-    def run(it):
-        import numpy as np
-        import pandas as pd
-
-        y, x = np.mgrid[:size, :size]
-        spots = [np.exp(-((y - a) ** 2 + (x - b) ** 2) / (2 * 2.0**2)) for a, b in centres]
-        for pdf in it:
-            rows = []
-            for k in pdf["id"]:
-                plane, t = divmod(int(k), frames)
-                image = np.random.default_rng([seed, int(k)]).normal(0, 0.3, (size, size))
-                for n, s in enumerate(spots):
-                    period = 37 + 11 * n + 5 * plane
-                    image += 8 * np.exp(-((t + 13 * n) % period) / 5.0) * s
-                rows.append((plane, t, image.ravel()))
-            yield pd.DataFrame(rows, columns=["plane", "frame", "arr"])
-
-    return spark.range(planes * frames).mapInPandas(run, "plane int, frame long, arr array<double>")
-
-
 def _summary(masks):
     return masks.groupBy("plane", "roi").agg(F.count(F.lit(1)).alias("npix"), F.round(F.sum(F.col("y") * F.col("lam")) / F.sum("lam"), 3).alias("y"), F.round(F.sum(F.col("x") * F.col("lam")) / F.sum("lam"), 3).alias("x"))
 
 
+SPARSE = D.SparseSettings(highpass_neuropil=15)
+
+
+def _sparse(spark, d):
+    return D.detect(C.wide_movie(spark, d), C.WIDE, C.WIDE, "sparse", SPARSE)
+
+
+def _svd(spark, d):
+    return D.detect(C.wide_movie(spark, d), C.WIDE, C.WIDE, "components", D.SparseSettings(threshold_scaling=0.6), diameter=6.0)
+
+
 def detect_sparse(spark, d):
-    return _summary(D.detect(planted(spark), 40, 40, "sparse", D.SparseSettings(highpass_neuropil=15)))
+    return _summary(_sparse(spark, d))
 
 
 def detect_svd(spark, d):
-    return _summary(D.detect(planted(spark), 40, 40, "components", diameter=6.0))
+    return _summary(_svd(spark, d))
 
 
 def split_test(spark, d):
-    boxes = spark.createDataFrame([(0, y, x, 1.0) for y in range(5, 11) for x in range(5, 12)] + [(1, y, x, 1.0) for y in range(5, 12) for x in range(6, 32)], "roi int, y int, x int, lam double")
-    return _r(D.split_tests(planted(spark, planes=1), boxes, 40, 2.0), "ratio", digits=4)
+    """A supplier's box on the plane of its number."""
+    boxes = C.tile_masks(spark, d, C.WIDE).withColumn("plane", (F.col("roi") % 10).cast("int"))
+    return _r(D.split_tests(C.wide_movie(spark, d), boxes, C.WIDE, 2.0), "ratio", digits=4)
 
 
 def detect_f1(spark, d):
-    """Detected regions of the planted movie against the planted ones."""
-    centres = [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]
-    frames = planted(spark, planes=1)
-    found = D.detect(frames, 40, 40, "sparse", D.SparseSettings(highpass_neuropil=15)).select("roi", "y", "x", "lam")
-    truth = spark.createDataFrame([(n, y, x, 1.0) for n, (a, b) in enumerate(centres) for y in range(40) for x in range(40) if (y - a) ** 2 + (x - b) ** 2 <= 16], "roi long, y int, x int, lam double")
-    pixels = C.exploded(frames, 40)
+    """Regions of the sparse search against those on components, planes one below the other."""
+    movie = C.wide_movie(spark, d)
+    below = (F.col("y") + F.col("plane") * C.WIDE).alias("y")
+    found, other = (m.select((F.col("plane").cast("long") * 100_000 + F.col("roi")).alias("roi"), below, "x", "lam") for m in (_sparse(spark, d), _svd(spark, d)))
+    pixels = C.exploded(movie, C.WIDE).select("frame", below, "x", "v")
 
     def traces(m):
         return pixels.join(M.normalised(m), ["y", "x"]).groupBy("roi", F.col("frame").alias("bin")).agg(F.sum(F.col("v") * F.col("lam")).alias("v"))
 
-    return E.f1(E.matches(found, truth, traces(found), traces(truth), 0.3, 0.5), found, truth)
+    return _r(E.f1(E.matches(found, other, traces(found), traces(other), 0.3, 0.5), found, other), "f1")
 
 
 def classifier_grid(spark, d):
@@ -126,7 +113,9 @@ def combine_planes(spark, d):
 
 
 def plane_field_configs(spark, d):
-    return L.plane_configs(5, [[1, 2], [3, 4, 5]], [4], spark).select("plane", "field", F.size("lines").alias("n_lines"))
+    """A field of view a region, with its nations as lines, on as many planes as there are regions but one."""
+    lines = C.table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("lines")).orderBy("n_regionkey").collect()  # a row a region
+    return L.plane_configs(len(lines), [r["lines"] for r in lines], [len(lines) - 1], spark).select("plane", "field", F.size("lines").alias("n_lines"))
 
 
 def f1_match(spark, d):
@@ -153,15 +142,41 @@ def natural_sort_files(spark, d):
 
 
 def raw_binary_roundtrip(spark, d):
-    """Frames written as flat int16 files by the sink and read back by the source."""
+    """Frames written as blobs by the sink and read back by the source."""
     from calspark.sources.raw import read_raw, temporary_folder, write_raw
 
     path = temporary_folder(spark, "raw")
-    frames = C.movie(spark, d).withColumn("arr", F.transform("arr", lambda v: F.round(v * 1000).cast("short")))
-    write_raw(frames, path, 8, 8)
+    write_raw(_thousandths(spark, d), path, 8, 8)
     return C.exploded(read_raw(spark, path, 8, 8)).select("plane", "frame", "y", "x", F.col("v").cast("int").alias("v"))
 
 
+def _flat_recording(spark, d):
+    from calspark.sources.framesource import read_frames, write_frames
+    from calspark.sources.raw import temporary_folder, unpacked
+
+    path = temporary_folder(spark, "recording")
+    write_frames(_thousandths(spark, d), path, 8, 8, block=32)
+    return lambda **o: read_frames(spark, path, **o), lambda blobs: C.exploded(unpacked(blobs, 8, 8)).select("plane", "frame", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+def flat_recording_roundtrip(spark, d):
+    """Frames written as flat int16 files with a manifest and read back."""
+    read, pixels = _flat_recording(spark, d)
+    return pixels(read())
+
+
+def flat_recording_range(spark, d):
+    """A range of frames of one plane, whose blocks alone are read."""
+    read, pixels = _flat_recording(spark, d)
+    return pixels(read().where("plane = 3 and frame >= 100 and frame < 300"))
+
+
+def flat_recording_frames(spark, d):
+    """Frames of every plane, counted without their pixels."""
+    read, _ = _flat_recording(spark, d)
+    return read(pixels=False).groupBy("plane").agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+
+
 def npy_roundtrip(spark, d):
     from calspark.sources.npy import read_npy, write_npy
     from calspark.sources.raw import temporary_folder
@@ -228,7 +243,7 @@ def movie_on_canvas(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     detect_sparse, detect_svd, detect_f1, split_test, classifier_grid, classifier_smooth, classifier_logodds, classifier_predict, classifier_override, training_union, canvas_layout, mosaic_layout, combine_planes, plane_field_configs,
-    f1_match, f1_score, match_one_to_one, natural_sort_files, raw_binary_roundtrip, npy_roundtrip, tiff_roundtrip, tiff_files_roundtrip, recording_from_files, movie_on_canvas,
+    f1_match, f1_score, match_one_to_one, natural_sort_files, raw_binary_roundtrip, flat_recording_roundtrip, flat_recording_range, flat_recording_frames, npy_roundtrip, tiff_roundtrip, tiff_files_roundtrip, recording_from_files, movie_on_canvas,
 )}
 
 _GRID = f"""
@@ -253,12 +268,15 @@ ORACLES = {
     "canvas_layout": "with a as (select ceil(sqrt(300 * 420 * count(*)) / 420) c from nation) select n_nationkey plane, 300 as height, 420 as width, cast(floor(n_nationkey / c) * 300 as int) dy, cast(n_nationkey % c * 420 as int) dx from nation, a",
     "mosaic_layout": "with f as (select r_regionkey field, r_regionkey % 2 * 120 dy, cast(r_regionkey // 2 * 90 as int) dx from region), e as (select max(dy + 110) h, max(dx + 80) w, count(*) n from f), a as (select *, ceil(sqrt(h * w * 4) / w) c from e) select z.i * n + field plane, cast(z.i as int) depth, field, cast(dy + floor(z.i / c) * h as int) dy, cast(dx + z.i % c * w as int) dx from f, a, range(4) z(i)",
     "combine_planes": f"with {C.MASKS}, a as (select ceil(sqrt(300 * 420 * count(*)) / 420) c from nation) select cast(roi % 30 as int) plane, roi, cast(y + floor((roi % 30) / c) * 300 as int) y, cast(x + (roi % 30) % c * 420 as int) x, lam from masks, a where roi % 30 in (select n_nationkey from nation)",
-    "plane_field_configs": "select cast(p.i as int) plane, cast(f.i as int) field, cast(case when f.i = 0 then 2 else 3 end as int) n_lines from range(4) p(i), range(2) f(i)",
+    "plane_field_configs": "with f as (select n_regionkey, count(*) n, row_number() over (order by n_regionkey) - 1 field from nation group by 1) select cast(p.i as int) plane, cast(field as int) field, cast(n as int) n_lines from f, range(100) p(i) where p.i < (select count(*) - 1 from f)",
     "f1_match": f"with {C.TRACES}, {_BINS}, {C.MASKS}, {_MATCH} select a, b, {R('iou')} iou, {R('r')} r from mt",
     "f1_score": f"with {C.TRACES}, {_BINS}, {C.MASKS}, {_MATCH}, s as (select count(distinct mt.a) tp, (select count(*) from na) f, (select count(*) from nb) t from mt) select tp, f - tp fp, t - tp fn, {R('tp / (tp + 0.5 * (f - tp + t - tp))')} f1 from s",
     "natural_sort_files": r"""with p as (select distinct url path, regexp_extract(url, '^(.*/)[^/]*$', 1) folder from pages), k as (select *, array_to_string(list_transform(regexp_extract_all(path, '(\d+|\D+)', 1), lambda z: case when regexp_matches(z, '^\d') then lpad(z, 20, '0') else z end), '') nk from p)
 select path, folder, cast(row_number() over (partition by folder order by nk, path) as int) rank, row_number() over (partition by folder order by nk, path) = 1 first_in_folder from k""",
     "raw_binary_roundtrip": f"with {C.PIXELS} select plane, frame, y, x, cast(round(v * 1000) as int) v from pixels",
+    "flat_recording_roundtrip": f"with {C.PIXELS} select plane, frame, y, x, cast(round(v * 1000) as int) v from pixels",
+    "flat_recording_range": f"with {C.PIXELS} select plane, frame, y, x, cast(round(v * 1000) as int) v from pixels where plane = 3 and frame >= 100 and frame < 300",
+    "flat_recording_frames": "select label plane, count(*) frames, min(vec_id) as first, max(vec_id) as last from embeddings group by 1",
     "npy_roundtrip": _SUM16,
     "tiff_roundtrip": _SUM16,
     "tiff_files_roundtrip": _SUM16,

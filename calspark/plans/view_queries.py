@@ -12,6 +12,7 @@ from calspark.operators import masks as M
 from calspark.operators import movie as V
 from calspark.operators import registration as G
 from calspark.operators import traces as T
+from calspark.operators.labels import labelled
 from calspark.plans import carriers as C
 from calspark.plans.movie_queries import _COUNTS, BLOCK, _counts, _first, _masked, _reflect, _synthetic, _taps, _timed
 from calspark.plans.trace_queries import _BINS, BIN, R, _r, _stats
@@ -47,6 +48,11 @@ def image_segmented(spark, d):
     return I.segmented(V.max_projection(C.pixels(spark, d)), I.threshold_segmenter(0.7), 8, 8)
 
 
+def image_labelled_tiles(spark, d):
+    """The same labels from tiles of 3 x 3, joined across their borders."""
+    return labelled(V.max_projection(C.pixels(spark, d)), 0.7, 3)
+
+
 def label_statistics(spark, d):
     labels = I.segmented(V.max_projection(C.pixels(spark, d)), I.threshold_segmenter(0.7), 8, 8)
     return _r(M.label_centres(labels.select((F.col("plane") * 1000 + F.col("label")).alias("label"), "y", "x")), "diameter")
@@ -64,10 +70,10 @@ def region_circles(spark, d):
 
 
 def mask_pixel_distances(spark, d):
-    t = C.tile_masks(spark)
-    rois = t.select("roi").distinct()
-    pairs = rois.withColumnRenamed("roi", "a").join(rois.withColumnRenamed("roi", "b"), F.col("a") < F.col("b"))
-    return _r(I.pixel_distances(t, pairs), "distance")
+    """Regions of suppliers whose nations have the same last digit against one another."""
+    s = C.table(spark, d, "supplier").withColumn("digit", F.col("s_nationkey") % 10)
+    a, b = s.select(F.col("s_suppkey").alias("a"), "digit"), s.select(F.col("s_suppkey").alias("b"), "digit")
+    return _r(I.pixel_distances(C.tile_masks(spark, d), a.join(b, "digit").where("a < b")), "distance")
 
 
 def mask_iou_between(spark, d):
@@ -137,14 +143,13 @@ def mean_image_upsampled(spark, d):
 
 
 def masks_extended(spark, d):
-    from calspark.plans.other_queries import planted
-
-    boxes = spark.createDataFrame([(0, y, x) for y in range(6, 9) for x in range(7, 10)] + [(1, y, x) for y in range(19, 22) for x in range(17, 20)], "roi int, y int, x int")
-    return D.extended(planted(spark, planes=1), boxes, 40, 40, 0.05).groupBy("roi").agg(F.count(F.lit(1)).alias("npix"), F.round(F.sum("lam"), 3).alias("weight"))
+    """The suppliers' boxes on frames of 40 x 40, all frames as one field of view."""
+    boxes = C.tile_masks(spark, d, C.WIDE)
+    return D.extended(C.wide_movie(spark, d), boxes, C.WIDE, C.WIDE, 0.05).groupBy("roi").agg(F.count(F.lit(1)).alias("npix"), F.round(F.sum("lam"), 3).alias("weight"))
 
 
 QUERIES = {f.__name__: f for f in (
-    activity_corrected, statistic_scaled, statistic_colours, image_scaled, image_enhanced, image_for_segmentation, image_segmented, label_statistics, image_patches, region_circles, mask_pixel_distances, mask_iou_between,
+    activity_corrected, statistic_scaled, statistic_colours, image_scaled, image_enhanced, image_for_segmentation, image_segmented, image_labelled_tiles, label_statistics, image_patches, region_circles, mask_pixel_distances, mask_iou_between,
     traces_merged, labels_with_defaults, activity_sorted, movie_strided, movie_above_baseline, movie_basis_weights, nearest_regions, frames_located, frames_forward_filled, channel2_registered, phase_corr_smoothed, mean_image_upsampled, masks_extended,
 )}
 
@@ -170,7 +175,7 @@ ORACLES = {
     "image_for_segmentation": f"with {C.PIXELS} select plane, y, x, {R('ln(greatest(1e-3, max(abs(v)) / greatest(1e-3, avg(abs(v)))))')} v from pixels group by plane, y, x",
     "image_patches": f"with {C.MASKS}, im as (select y, x, sum(lam) v from masks group by all), c as (select s_suppkey roi, cast(s_suppkey * 7 % 40 as int) cy, cast(s_suppkey * 11 % 64 as int) cx from supplier) select roi, cast(a.i as int) py, cast(b.i as int) px, coalesce(v, 0) v from c, range(6) a(i), range(6) b(i) left join im on im.y = cy + a.i - 3 and im.x = cx + b.i - 3",
     "region_circles": f"select n_nationkey roi, cast(k.i as int) k, cast(trunc((2.0 + n_regionkey * cast(1.7 as double)) * 1.25 * cos(k.i * {2 * math.pi / 49!r}) + n_nationkey * 13 + 40) as int) y, cast(trunc((2.0 + n_regionkey * cast(1.7 as double)) * 1.25 * sin(k.i * {2 * math.pi / 49!r}) + n_nationkey * 5 + 60) as int) x from nation, range(50) k(i)",
-    "mask_pixel_distances": f"with {C.TILES} select p.roi a, q.roi b, {R('avg(sqrt(power(p.y - q.y, 2) + power(p.x - q.x, 2)))')} distance from tiles p join tiles q on p.roi < q.roi group by 1, 2",
+    "mask_pixel_distances": f"with {C.TILES} select p.roi a, q.roi b, {R('avg(sqrt(power(p.y - q.y, 2) + power(p.x - q.x, 2)))')} distance from supplier m join supplier n on m.s_nationkey % 10 = n.s_nationkey % 10 and m.s_suppkey < n.s_suppkey join tiles p on p.roi = m.s_suppkey join tiles q on q.roi = n.s_suppkey group by 1, 2",
     "mask_iou_between": f"with {C.MASKS}, a as (select * from masks where lam > 15), b as (select * from masks where lam < 45), na as (select roi, count(*) n from a group by 1), nb as (select roi, count(*) n from b group by 1), io as (select a.roi r, b.roi s, count(*) n from a join b using (y, x) group by 1, 2) select na.roi, {R('coalesce(max(io.n / (na.n + nb.n - io.n)), 0)')} iou from na left join io on io.r = na.roi left join nb on nb.roi = io.s group by na.roi",
     "traces_merged": f"with {C.TRACES} select roi - roi % 3 roi, frame, {R('avg(f)', 5)} f, {R('avg(fneu)', 5)} fneu from traces group by roi - roi % 3, frame",
     "labels_with_defaults": "select doc_id roi, coalesce(quality = 1, true) iscell, cast(coalesce(quality * 0.5, 1.0) as double) prob from documents left join labels using (doc_id)",
@@ -187,6 +192,7 @@ _LABELS = f"""{C.PIXELS}, mp as (select plane, y, x, max(v) v from pixels group
 wk(plane, i, y, x) as (select plane, i, y, x from ins union select w.plane, w.i, n.y, n.x from wk w join ins n on n.plane = w.plane and abs(n.y - w.y) + abs(n.x - w.x) = 1),
 fi as (select plane, y, x, min(i) i from wk group by 1, 2, 3), lb as (select plane, y, x, dense_rank() over (partition by plane order by i) label from fi)"""
 ORACLES["image_segmented"] = f"with recursive {_LABELS} select plane, y, x, label from lb"
+ORACLES["image_labelled_tiles"] = ORACLES["image_segmented"]
 ORACLES["label_statistics"] = f"""with recursive {_LABELS}, l as (select plane * 1000 + label label, y, x from lb), q as (select label, quantile_cont(y, 0.5) my, quantile_cont(x, 0.5) mx, 2 * sqrt(count(*) / pi()) diameter from l group by 1),
 r as (select label, y, x, diameter, row_number() over (partition by label order by power(y - my, 2) + power(x - mx, 2), y, x) k from l join q using (label)) select label, y, x, {R('diameter')} diameter from r where k = 1"""
 ORACLES["image_enhanced"] = f"""with {C.PIXELS}, mp as (select plane, y, x, max(v) v from pixels group by all), h as (select plane, y, x, v, avg(v) over w m, avg(v * v) over w s from mp window w as (partition by plane, y order by x rows between 2 preceding and 2 following)),

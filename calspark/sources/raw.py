@@ -39,8 +39,8 @@ def to_int16(x: np.ndarray) -> np.ndarray:
 def write_raw(frames: DataFrame, path: str, height: int, width: int) -> None:
     """plane, frame, arr to a folder of Parquet files with a frame's bytes a row, partitioned by plane.
 
-    Frame blobs in Parquet keep distributed writes atomic and frames splittable; see
-    ``export_raw`` for one flat file a plane.
+    Frame blobs in Parquet keep distributed writes atomic and frames splittable;
+    ``framesource.write_frames`` writes flat files.
     """
 
     def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,16 +126,6 @@ def arrays(blobs: DataFrame, height: int, width: int) -> DataFrame:
     return blobs.select("plane", "channel", "frame", "pix").mapInPandas(run, "plane int, channel int, frame long, Ly int, Lx int, arr array<smallint>")
 
 
-def export_flat(frames: DataFrame, path: str) -> None:
-    """One plane's frames (frame, arr) as ordered flat parts, to be concatenated by name."""
-
-    def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame({"value": [to_int16(np.asarray(a)).astype("<i2").tobytes().hex() for a in pdf["arr"]]})
-
-    frames.orderBy("frame").mapInPandas(pack, "value string").write.mode("overwrite").text(path)
-
-
 def sampled_mean(frames: DataFrame, width: int, n: int = 1000) -> DataFrame:
     """plane, y, x, v: mean of at most n equally spaced frames."""
     from calspark.operators.movie import exploded, summed_frames

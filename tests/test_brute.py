@@ -7,10 +7,13 @@ import numpy as np
 import pytest
 
 from calspark.operators import classify as K
+from calspark.operators import detection as D
+from calspark.operators import pursuit as P
 from calspark.operators import registration as G
 from calspark.plans import carriers as C
 from calspark.plans import catalog
 from calspark.plans.movie_queries import BLOCK
+from calspark.plans.other_queries import SPARSE, _sparse, _svd
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -28,13 +31,15 @@ def movie(spark):
     return {p: ([f for f, _ in x], np.stack([a for _, a in x])) for p, x in out.items()}
 
 
-def test_kriging(spark):
-    got = {(r.point, r.fine): r.w for r in rows(spark, "kriging_upsample")}
+def test_kriging(spark, movie):
     coarse, fine = [(a, b) for a in range(-3, 4) for b in range(-3, 4)], [(a / 10, b / 10) for a in range(-30, 31) for b in range(-30, 31)]
     k = lambda p, q: math.exp(-((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) / (2 * 0.85**2))
-    inverse = np.linalg.inv([[k(p, q) for q in coarse] for p in coarse])
-    want = inverse @ np.array([[k(p, q) for q in fine] for p in coarse])
-    assert len(got) == want.size and all(abs(want[i, j] - w) < 2e-6 for (i, j), w in got.items())
+    weights = np.linalg.inv([[k(p, q) for q in coarse] for p in coarse]) @ np.array([[k(p, q) for q in fine] for p in coarse])
+    got = {(r.plane, r.fine): r.v for r in rows(spark, "kriging_upsample")}
+    assert len(got) == 61 * 61 * len(movie)
+    for plane, (_, x) in movie.items():
+        want = x.mean(0).reshape(8, 8)[:7, :7].ravel() @ weights
+        assert all(abs(want[j] - got[plane, j]) < 2e-6 for j in range(61 * 61))
 
 
 def test_components_low_and_high(spark, movie):
@@ -216,19 +221,127 @@ def test_classifier_by_newton_steps(spark):
     assert all(abs(got.get(k, 0) - n) <= 1 for k, n in want.items())
 
 
-def test_extended_masks_cover_the_planted_spots(spark):
+@pytest.fixture(scope="module")
+def wide(movie):
+    """plane -> (frames, movie of 40 x 40)."""
+    k = np.arange(1600)
+    square, other = k // 40 // 5 * 8 + k % 40 // 5, (13 * k + k // 40) % 64
+    return {p: (f, (x[:, square] + 0.3 * x[:, other]).reshape(-1, 40, 40)) for p, (f, x) in movie.items()}
+
+
+@pytest.fixture(scope="module")
+def boxes(spark):
+    out = {}
+    for r in C.tile_masks(spark, DATA, C.WIDE).orderBy("roi", "y", "x").collect():
+        out.setdefault(r.roi, []).append((r.y, r.x, r.lam))
+    return {roi: np.array(v) for roi, v in out.items()}
+
+
+def greedy(movie, settings):
+    """Sparse pursuit with all maps made anew for every region."""
+    movie = movie - np.concatenate([np.repeat(movie[a : a + 100].mean(0)[None], len(movie[a : a + 100]), 0) for a in range(0, len(movie), 100)])
+    sd = np.maximum(np.sqrt((np.diff(movie, axis=0) ** 2).sum(0) / len(movie)), 1e-10)
+    work = P.without_surround(movie / sd, settings.highpass_neuropil)
+    scale = P.estimate_scale([r.max(0) for r in P.pyramid(work)], settings.spatial_scale)
+    threshold, found = 5 * settings.threshold_scaling * max(1, scale), []
+    while True:
+        maps = [P.energy(r, threshold) for r in P.pyramid(work)]
+        s = int(np.argmax([m.max() for m in maps]))
+        if maps[s].max() < threshold * max(1.0, len(movie) / 1200):
+            return found
+        y, x = np.unravel_index(maps[s].argmax(), maps[s].shape)
+        y, x, half = min(y * 2**s + 2**s // 2, 39), min(x * 2**s + 2**s // 2, 39), 3 * 2**s // 2
+        inside = np.zeros((40, 40), bool)
+        inside[max(0, y - half) : y - half + 3 * 2**s, max(0, x - half) : x - half + 3 * 2**s] = True
+        lam = inside / np.sqrt(inside.sum())
+        active = work[:, inside] @ lam[inside] > threshold
+        for _ in range(3):
+            if not active.any():
+                return found
+            inside, lam = P.grow_region(work, inside, active)
+            active = work[:, inside] @ lam[inside] > threshold
+        if not active.any():
+            return found
+        gain, part = P.split_ratio(work[:, inside], lam[inside], threshold)
+        if gain > 1.25:
+            lam = np.zeros((40, 40))
+            lam[inside] = np.where(part > part.max() / 5, part, 0)
+            lam /= max(np.linalg.norm(lam), 1e-10)
+            active = work.reshape(len(work), -1) @ lam.ravel() > threshold
+            if not active.any():
+                return found
+        proj = work.reshape(len(work), -1) @ lam.ravel()
+        work = work - np.where(active, proj, 0)[:, None, None] * lam
+        found.append(lam * sd)
+
+
+def summary(found):
+    out = []
+    for n, lam in enumerate(found):
+        y, x = np.nonzero(lam > 0)
+        w = lam[y, x]
+        out.append((n, len(y), (y * w).sum() / w.sum(), (x * w).sum() / w.sum()))
+    return out
+
+
+def test_regions_of_the_carrier(spark, wide):
+    for name, search in (("detect_sparse", lambda x: greedy(x, SPARSE)), ("detect_svd", lambda x: [lam for lam, _ in D.component_pursuit(D.high_passed(x, 100), 6.0, 0.6)])):
+        got = {}
+        for r in rows(spark, name):
+            got.setdefault(r.plane, []).append((r.roi, r.npix, r.y, r.x))
+        want = {p: summary(search(x)) for p, (_, x) in wide.items()}
+        want = {p: w for p, w in want.items() if w}
+        assert want and got.keys() == want.keys(), name
+        for p in want:
+            assert np.allclose(sorted(got[p]), want[p], atol=2e-3), (name, p)
+
+
+def test_split_ratios_of_boxes(spark, wide, boxes):
+    want = {}
+    for roi, b in boxes.items():
+        if roi % 10 in wide:
+            x = wide[roi % 10][1][:, b[:, 0].astype(int), b[:, 1].astype(int)]
+            want[roi] = P.split_ratio(x, b[:, 2] / np.linalg.norm(b[:, 2]), 2.0)[0]
+    got = {r.roi: r.ratio for r in rows(spark, "split_test")}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
+
+
+def test_extended_boxes(spark, wide, boxes):
+    order = sorted((f, p, n) for p, (frames, _) in wide.items() for n, f in enumerate(frames))
+    x = np.stack([wide[p][1][n] for _, p, n in order])
     got = {r.roi: (r.npix, r.weight) for r in rows(spark, "masks_extended")}
-    assert set(got) == {0, 1} and all(12 <= n <= 80 for n, _ in got.values())  # spots of deviation two have some 50 pixels above a fifth
-
-
-def test_planted_regions_are_found_and_scored(spark):
-    centres = [(7, 8), (9, 29), (20, 18), (30, 7), (31, 31), (19, 33)]
-    for name in ("detect_sparse", "detect_svd"):
-        found = rows(spark, name)
-        for plane in (0, 1):
-            near = [sum(abs(r.y - y) + abs(r.x - x) <= 3 for r in found if r.plane == plane) for y, x in centres]
-            assert min(near) >= 1, (name, plane, near)
-    score = rows(spark, "detect_f1")[0]
-    assert score.tp + score.fn == 6 and score.f1 == score.tp / (score.tp + 0.5 * (score.fp + score.fn)) and score.tp >= 5
-    ratio = {r.roi: r.ratio for r in rows(spark, "split_test")}
-    assert ratio[1] > 1.25 and ratio[1] > 1.1 * ratio[0]  # the second box holds two spots; flat weights fit neither
+    assert got.keys() == boxes.keys()
+    for roi, b in boxes.items():
+        ys, xs = b[:, 0].astype(int), b[:, 1].astype(int)
+        cut = slice(max(0, ys.min() - 10), ys.max() + 11), slice(max(0, xs.min() - 10), xs.max() + 11)
+        part = x[(slice(None), *cut)]
+        inside = np.zeros(part.shape[1:], bool)
+        inside[ys - cut[0].start, xs - cut[1].start] = True
+        mean = part[:, inside].mean(1)
+        _, lam = P.grow_region(part - part.mean(0), inside, mean >= np.quantile(mean, 0.95))
+        lam = D.connected_part(lam)
+        assert got[roi][0] == (lam > 0).sum() and abs(got[roi][1] - lam.sum()) < 2e-3
+
+
+def test_score_of_two_searches(spark, wide):
+    sides = []
+    for search in (_sparse, _svd):
+        regions = {}
+        for r in search(spark, DATA).collect():
+            regions.setdefault((r.plane, r.roi), {})[r.y, r.x] = r.lam
+        sides.append(regions)
+
+    def trace(key, region):
+        ys, xs = (np.array(v) for v in zip(*region))
+        w = np.array(list(region.values()))
+        return wide[key[0]][1][:, ys, xs] @ (w / w.sum())
+
+    matched = set()
+    for k, a in sides[0].items():
+        for m, b in sides[1].items():
+            both = len(a.keys() & b.keys())
+            if k[0] == m[0] and both / (len(a) + len(b) - both) > 0.3 and np.corrcoef(trace(k, a), trace(m, b))[0, 1] > 0.5:
+                matched.add(k)
+    tp, (score,) = len(matched), rows(spark, "detect_f1")
+    assert (score.tp, score.fp, score.fn) == (tp, len(sides[0]) - tp, len(sides[1]) - tp)
+    assert abs(score.f1 - tp / (tp + 0.5 * (score.fp + score.fn))) < 1e-6

@@ -327,7 +327,7 @@ def test_bleed_through_is_taken_out(spark):
 
 
 def test_components_of_bands_give_the_regions_of_the_whole(spark):
-    from calspark.plans.other_queries import planted
+    from planted import planted
 
     frames = planted(spark, planes=2)
     got = {}

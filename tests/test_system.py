@@ -12,7 +12,7 @@ from calspark.functions.strings import file_order, trimmed_to
 from calspark.operators import classify as K
 from calspark.operators import registration as G
 from calspark.operators import traces as T
-from calspark.plans.other_queries import planted
+from planted import planted
 from calspark.sources import npy, raw, readers, tiff
 
 
