@@ -107,7 +107,10 @@ def _twice(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sent(numbers: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows (key.., number, place, settled) of a part: single keys, marks of repeated ones (number null), settled places by document."""
+    """Rows (key.., place, number, settled) of a part: single keys, marks of repeated ones (number null), settled places by document.
+
+    What a row shares with the one before it stands together at its end, which the exchange compresses.
+    """
     again, marks = _twice(keys)
     single, settled = np.flatnonzero(~again), np.flatnonzero(again)
     settled = settled[np.argsort(numbers[settled], kind="stable")]
@@ -117,10 +120,10 @@ def _sent(numbers: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> pa
     spread = _mixed(docs.astype(np.uint64) + np.uint64(1)).view(np.int64)  # a key of each document's own
     null = np.concatenate((np.zeros(len(single), bool), np.ones(len(marks), bool), np.zeros(len(docs), bool)))
     columns = [pa.array(np.concatenate((k[rows], spread.astype(k.dtype)))) for k in keys]
-    columns.append(pa.array(np.concatenate((numbers[rows], docs)), pa.int64(), mask=null))
     columns.append(pa.array(np.concatenate((places[rows], np.zeros(len(docs), np.int64))), pa.int32()))
+    columns.append(pa.array(np.concatenate((numbers[rows], docs)), pa.int64(), mask=null))
     columns.append(pa.array([None] * len(rows) + [x.tobytes() for x in lists], pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, [*(f"k{n}" for n in range(len(keys))), "number", "place", "settled"])
+    return pa.RecordBatch.from_arrays(columns, [*(f"k{n}" for n in range(len(keys))), "place", "number", "settled"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], places_of, keys_of) -> Iterator[pa.RecordBatch]:
@@ -219,9 +222,9 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
     All columns of ``texts`` go through every step, so that the steps and the caller share its exchange.
     """
-    anchors = _met(texts.mapInArrow(_anchors(window), "k0 long, number long, place int, settled binary"), ["k0"])
+    anchors = _met(texts.mapInArrow(_anchors(window), "k0 long, place int, number long, settled binary"), ["k0"])
     near = texts.join(anchors, "number").select("number", "text", "doc_id", "places", "packed")
-    return _met(near.mapInArrow(_windows(window), "k0 long, k1 int, number long, place int, settled binary"), ["k0", "k1"])
+    return _met(near.mapInArrow(_windows(window), "k0 long, k1 int, place int, number long, settled binary"), ["k0", "k1"])
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
