@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calspark.operators.masks import overlaps
+
 
 def matches(masks: DataFrame, truth: DataFrame, traces: DataFrame, truth_traces: DataFrame, least_iou: float = 0.5, least_r: float = 0.5) -> DataFrame:
     """a, b, iou, r: pairs of a region and a true one whose masks and traces agree.
@@ -14,10 +16,8 @@ def matches(masks: DataFrame, truth: DataFrame, traces: DataFrame, truth_traces:
     masks: roi, y, x. traces: roi, bin, v. Masks meet by pixel, traces only for pairs
     that passed the mask test.
     """
-    a, b = masks.select(F.col("roi").alias("a"), "y", "x"), truth.select(F.col("roi").alias("b"), "y", "x")
-    na, nb = a.groupBy("a").agg(F.count(F.lit(1)).alias("na")), b.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    inter = a.join(b, ["y", "x"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    iou = inter.join(na, "a").join(nb, "b").select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou")).where(F.col("iou") > least_iou)
+    met = overlaps(masks.select("roi", "y", "x"), truth.select("roi", "y", "x"))
+    iou = met.select("a", "b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("iou")).where(F.col("iou") > least_iou)
     ta, tb = traces.select(F.col("roi").alias("a"), "bin", F.col("v").alias("va")), truth_traces.select(F.col("roi").alias("b"), "bin", F.col("v").alias("vb"))
     r = iou.join(ta, "a").join(tb, ["b", "bin"]).groupBy("a", "b", "iou").agg(F.corr("va", "vb").alias("r"))
     return r.where(F.col("r") > least_r)
