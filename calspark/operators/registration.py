@@ -182,16 +182,58 @@ def reference_images(frames: DataFrame, height: int, width: int, n: int = 400, s
     return sample_frames(frames.select("plane", "frame", "arr"), n).groupBy("plane").applyInPandas(run, f"plane {dict(frames.dtypes)['plane']}, arr array<double>")
 
 
-def seed_frames(frames: DataFrame, height: int, width: int, n: int = 400, top: int = 20) -> DataFrame:
-    """plane, frame: the seed of every plane's reference."""
+#: Frames of a block of the matrix of correlations that seeds are found in.
+SEED_BLOCK = 4096
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        seed, _ = seed_reference(np.stack(pdf["arr"].to_numpy()).reshape(-1, height, width), top)
-        return pdf.iloc[[seed]][["plane", "frame"]]
 
+def seed_frames(frames: DataFrame, height: int, width: int, n: int | None = None, top: int = 20) -> DataFrame:
+    """plane, frame: the seed of every plane's reference, of all its frames, or of n sampled ones.
+
+    A task holds a block of a plane's frames and reads the plane past it, keeping the best
+    ``top`` correlations of each; the matrix of frames by frames is never whole anywhere.
+    """
+    x = frames.select("plane", "frame", "arr") if n is None else sample_frames(frames.select("plane", "frame", "arr"), n)
+    most = x.groupBy("plane").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // SEED_BLOCK))
+    own = F.pmod(F.xxhash64("frame"), F.lit(blocks)).cast("int")
+    dealt = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("passes", F.lit(1))
+    dealt = dealt.unionByName(x.withColumns({"block": own, "passes": F.lit(0)})).repartition("plane", "block").sortWithinPartitions("plane", "block", "passes", "frame")
     kinds = dict(frames.dtypes)
-    return sample_frames(frames.select("plane", "frame", "arr"), n).groupBy("plane").applyInPandas(run, f"plane {kinds['plane']}, frame {kinds['frame']}")
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        flat = np.stack(pdf["arr"].to_numpy()).astype(float)
+        flat -= flat.mean(1, keepdims=True)
+        return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, best = None, [], None
+
+        def scores() -> pd.DataFrame:
+            mean = -np.sort(-best, axis=1)[:, 1:].mean(1) if best.shape[1] > 1 else np.zeros(len(best))
+            return pd.DataFrame({"plane": key[0], "frame": np.concatenate([f for f, _ in held]), "score": mean})
+
+        for pdf in it:
+            for (plane, block, passes), part in pdf.groupby(["plane", "block", "passes"], sort=True):
+                if key != (plane, block):
+                    if best is not None:
+                        yield scores()
+                    key, held, best = (plane, block), [], None
+                if not passes:
+                    held.append((part["frame"].to_numpy(), unit(part)))
+                    continue
+                if not held:
+                    continue
+                left = np.concatenate([u for _, u in held])
+                for at in range(0, len(part), SEED_BLOCK // 4):
+                    r = left @ unit(part.iloc[at : at + SEED_BLOCK // 4]).T
+                    best = r if best is None else np.concatenate([best, r], axis=1)
+                    if best.shape[1] > top:
+                        best = -np.partition(-best, top - 1, axis=1)[:, :top]
+        if best is not None:
+            yield scores()
+
+    found = dealt.mapInPandas(run, f"plane {kinds['plane']}, frame {kinds['frame']}, score double")
+    return found.groupBy("plane").agg(F.max_by("frame", F.struct("score", -F.col("frame"))).alias("frame"))
 
 
 # ---- rigid registration of a table of frames

@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 
+from calspark.operators import components as P
 from calspark.operators import masks as M
+from calspark.operators import registration as G
 
 
 def _masks(spark, seed, n):
@@ -29,3 +31,33 @@ def test_overlaps_are_finished_in_their_blocks(spark, monkeypatch):
     # the only rows that are shuffled are pixels and regions: no aggregation by pair
     plan = M.cosine_pairs(masks)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInPandas" in plan
+
+
+def test_seed_is_sought_in_all_frames(spark, monkeypatch):
+    """More frames than the 400 that were sampled."""
+    monkeypatch.setattr(G, "SEED_BLOCK", 200)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2, 700, 12)) + r.normal(size=(2, 1, 12)) * r.uniform(0, 2, (2, 700, 1))
+    frames = spark.createDataFrame([(p, k * 3, x[p, k].tolist()) for p in range(2) for k in range(700)], "plane int, frame long, arr array<double>")
+    want = {}
+    for p in range(2):
+        cc = np.corrcoef(x[p])
+        want[p] = 3 * int((-np.sort(-cc, axis=1))[:, 1:20].mean(1).argmax())
+    assert {r.plane: r.frame for r in G.seed_frames(frames, 3, 4).collect()} == want
+
+
+def test_low_and_high_frames_of_long_movies(spark):
+    """More frames than pixels: no row or block of frames by frames."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2, 300, 20)) * np.linspace(1, 4, 20) + 7
+    frames = spark.createDataFrame([(p, k, x[p, k].tolist()) for p in range(2) for k in range(300)], "plane int, frame long, arr array<double>")
+    got = {(r.plane, r.pc, r.side): np.array(r.arr) for r in P.low_high_frames(frames, 4, 5, 3, 6, 2).collect()}
+    assert len(got) == 12
+    for p in range(2):
+        c = x[p] - x[p].mean(0)
+        u = np.linalg.svd(c, full_matrices=False)[0]
+        for pc in range(3):
+            order = np.argsort(u[:, pc] * np.sign(u[np.abs(u[:, pc]).argmax(), pc]))
+            assert np.allclose(got[p, pc, "low"], c[order[:6]].mean(0), atol=1e-9) and np.allclose(got[p, pc, "high"], c[order[-6:]].mean(0), atol=1e-9)
+    held = P.covariance(frames, 20).collect()
+    assert len(held) == 2 and all(len(r.g) == 20 * 20 * 8 for r in held)
