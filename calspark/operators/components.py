@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calspark.sources.tables import materialize
@@ -149,7 +149,12 @@ def spatial_components(frames: DataFrame, height: int, width: int, k: int, prepa
 
 
 def low_high_frames(frames: DataFrame, height: int, width: int, components: int, n: int, rows: int = ROWS) -> DataFrame:
-    """plane, pc, side, arr: mean of the n frames with the lowest and highest weight on each principal component, without the mean of all."""
+    """plane, pc, side, arr: mean of the n frames with the lowest and highest weight on each principal component, without the mean of all.
+
+    Planes of more frames than pixels are decomposed by pixels, so that nothing grows with the square of their frames.
+    """
+    if (frames.groupBy("plane").count().agg(F.max("count")).first()[0] or 0) > height * width:
+        return _low_high_by_pixels(frames, height * width, components, n)
 
     def means(x: np.ndarray, vectors: np.ndarray, _: np.ndarray):
         for pc, v in enumerate(vectors):
@@ -160,3 +165,68 @@ def low_high_frames(frames: DataFrame, height: int, width: int, components: int,
     cut = bands(frames, height, width, 0, rows)
     vectors = materialize(leading(gram(cut, width, 0, centred), components), "components")
     return assembled(projected(cut, vectors, width, centred, means, "pc int, side string, arr array<double>"), "plane", "pc", "side")
+
+
+def covariance(frames: DataFrame, pixels: int) -> DataFrame:
+    """plane, n, mean, i, g: blocks of rows, as bytes of doubles, of the sum of (x - mean)(x - mean)^T over the frames of every plane.
+
+    A task adds up the frames it has; a plane's sums travel once a task.
+    """
+    kind = dict(frames.dtypes)["plane"]
+
+    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in it:
+            for plane, part in pdf.groupby("plane"):
+                x = np.stack(part["arr"].to_numpy()).astype(float)
+                n, s, g = total.get(plane, (0, 0.0, 0.0))
+                total[plane] = n + len(x), s + x.sum(0), g + x.T @ x
+        for plane, (n, s, g) in total.items():
+            for i in range(0, pixels, BLOCK):
+                yield pd.DataFrame({"plane": [plane], "i": [np.int32(i // BLOCK)], "n": [n], "s": [s.tobytes()], "g": [g[i : i + BLOCK].tobytes()]})
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s, g = pdf["n"].sum(), sum(np.frombuffer(b) for b in pdf["s"]), sum(np.frombuffer(b) for b in pdf["g"])
+        i = pdf["i"].iloc[0]
+        g = g.reshape(-1, pixels) - np.outer(s[i * BLOCK : (i + 1) * BLOCK], s) / n
+        return pd.DataFrame({"plane": [pdf["plane"].iloc[0]], "n": [n], "mean": [s / n], "i": [i], "g": [g.tobytes()]})
+
+    parts = frames.select("plane", "arr").mapInPandas(partial, f"plane {kind}, i int, n long, s binary, g binary")
+    return parts.groupBy("plane", "i").applyInPandas(summed, f"plane {kind}, n long, mean array<double>, i int, g binary")
+
+
+def _low_high_by_pixels(frames: DataFrame, pixels: int, components: int, n: int) -> DataFrame:
+    """The same as from frames by frames: a component's weight on a frame is the frame's product with its image."""
+    kinds = dict(frames.dtypes)
+    matrix = materialize(covariance(frames, pixels), "covariance")
+    count = matrix.where("i = 0").select("plane", "n", "mean")
+    images = leading(matrix.select("plane", "i", "g"), components).join(count, "plane").where(F.col("pc") < F.col("n"))
+    found: dict = {}
+    for r in images.orderBy("plane", "pc").collect():  # a few images a plane
+        found.setdefault(r["plane"], (np.array(r["mean"]), []))[1].append(r["vector"])
+
+    def weigh(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for plane, part in pdf.groupby("plane"):
+                mean, vectors = found[plane]
+                w = (np.stack(part["arr"].to_numpy()) - mean) @ np.array(vectors).T
+                yield pd.DataFrame({"plane": plane, "frame": part["frame"].to_numpy(), "w": list(w)})
+
+    w = frames.select("plane", "frame", "arr").mapInPandas(weigh, f"plane {kinds['plane']}, frame {kinds['frame']}, w array<double>")
+    w = w.select("plane", "frame", F.posexplode("w").alias("pc", "w"))
+    keys = ["plane", "pc"]
+    # the largest weight is positive
+    sign = w.groupBy(*keys).agg(F.when(F.max_by("w", F.struct(F.abs("w"), -F.col("frame"))) > 0, 1.0).otherwise(-1.0).alias("sign"))
+    w = w.join(F.broadcast(sign), keys).select(*keys, "frame", (F.col("w") * F.col("sign")).alias("w"))
+
+    def end(side: str, *order) -> DataFrame:
+        return w.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= n).select(*keys, "frame", F.lit(side).alias("side"))
+
+    chosen = end("low", F.col("w"), F.col("frame")).unionByName(end("high", F.col("w").desc(), F.col("frame").desc()))
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        return pd.DataFrame({"plane": [first["plane"]], "pc": [first["pc"]], "side": [first["side"]], "arr": [np.stack(pdf["arr"].to_numpy()).mean(0) - found[first["plane"]][0]]})
+
+    ends = frames.select("plane", "frame", F.col("arr").cast("array<double>").alias("arr")).join(F.broadcast(chosen), ["plane", "frame"])  # 2 n rows a component
+    return ends.groupBy(*keys, "side").applyInPandas(mean, f"plane {kinds['plane']}, pc int, side string, arr array<double>")
