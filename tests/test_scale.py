@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 
 from calspark.operators import components as P
+from calspark.operators import interactive as I
 from calspark.operators import masks as M
 from calspark.operators import registration as G
+from calspark.operators import rois as S
 
 
 def _masks(spark, seed, n):
@@ -61,3 +63,27 @@ def test_low_and_high_frames_of_long_movies(spark):
             assert np.allclose(got[p, pc, "low"], c[order[:6]].mean(0), atol=1e-9) and np.allclose(got[p, pc, "high"], c[order[-6:]].mean(0), atol=1e-9)
     held = P.covariance(frames, 20).collect()
     assert len(held) == 2 and all(len(r.g) == 20 * 20 * 8 for r in held)
+
+
+def test_distances_make_no_row_a_pair_of_pixels(spark, monkeypatch):
+    p, masks = _masks(spark, 5, 6)
+    pairs = [(int(a), int(b)) for a in p.roi.unique() for b in p.roi.unique() if a < b] + [(-99, 0)]
+    found = I.pixel_distances(masks, spark.createDataFrame(pairs, "a long, b long"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    at = {k: g[["y", "x"]].to_numpy(float) for k, g in p.groupby("roi")}
+    want = {(a, b): np.sqrt(((at[a][:, None] - at[b][None]) ** 2).sum(-1)).mean() for a, b in pairs if a in at and b in at}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    monkeypatch.setattr(I, "MASK_PIXELS", 10)  # by joins
+    got = {(r.a, r.b): r.distance for r in I.pixel_distances(masks, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_soma_is_cropped_once_for_all_statistics(spark):
+    p, masks = _masks(spark, 6, 6)
+    masks = masks.withColumn("ord", masks.y * 64 + masks.x)
+    assert "Window" not in S.soma_crop(masks)._jdf.queryExecution().optimizedPlan().toString()
+    plan = S.roi_stats(masks, 3.0, 4.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # read from a table
+    marked = S.soma_crop(masks).toPandas()
+    assert len(marked) == len(p) and marked.groupby("roi")["soma"].any().all()
