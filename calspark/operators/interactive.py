@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calspark.functions.columns import rolling
+from calspark.operators.extraction import MASK_PIXELS
 from calspark.operators.labels import numbered_parts
 
+#: Distances of pixels worked out at a time.
+DISTANCES_AT_A_TIME = 500_000
+
 
 def activity(traces: DataFrame, mode: str, coefficient: float = 0.7) -> DataFrame:
     """roi, frame, v: raw, surround, corrected or spikes."""
@@ -113,10 +118,41 @@ def circles(regions: DataFrame, points: int = 100) -> DataFrame:
 
 
 def pixel_distances(masks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, distance: mean distance between all pixels of two regions, for given pairs (merge candidates)."""
-    a, b = masks.select(F.col("roi").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa")), masks.select(F.col("roi").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"))
-    d = F.sqrt(F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").groupBy("a", "b").agg(F.avg(d).alias("distance"))
+    """a, b, distance: mean distance between all pixels of two regions, for given pairs (merge candidates).
+
+    The masks of a field of view go to every worker and a pair travels as two numbers; no row
+    a pair of pixels is made. Beyond MASK_PIXELS the relational form is used instead.
+    """
+    pairs, own = pairs.select("a", "b").distinct(), masks.select("roi", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    if own.limit(MASK_PIXELS + 1).count() > MASK_PIXELS:
+        a, b = own.select(F.col("roi").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa")), own.select(F.col("roi").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"))
+        d = F.sqrt(F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2))
+        return pairs.join(a, "a").join(b, "b").groupBy("a", "b").agg(F.avg(d).alias("distance"))
+    held = own.toPandas().sort_values("roi", kind="stable")
+    rois, start, size = np.unique(held["roi"], return_index=True, return_counts=True)
+    sent = masks.sparkSession.sparkContext.broadcast((rois, start, size, held["y"].to_numpy(), held["x"].to_numpy()))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rois, start, size, y, x = sent.value
+        for pdf in it:
+            if not len(rois):
+                continue
+            at = [np.minimum(np.searchsorted(rois, pdf[c]), len(rois) - 1) for c in "ab"]
+            there = np.flatnonzero((rois[at[0]] == pdf["a"]) & (rois[at[1]] == pdf["b"]))
+            i, j = at[0][there], at[1][there]
+            mean = np.empty(len(there))
+            # pairs of as many pixels together
+            kinds, kind = np.unique(np.stack([size[i], size[j]]), axis=1, return_inverse=True)
+            for k, (m, n) in enumerate(kinds.T):
+                rows, most = np.flatnonzero(kind == k), max(1, DISTANCES_AT_A_TIME // (m * n))
+                for part in (rows[c : c + most] for c in range(0, len(rows), most)):
+                    p, q = start[i[part], None] + np.arange(m), start[j[part], None] + np.arange(n)
+                    dy, dx = y[p][:, :, None] - y[q][:, None, :], x[p][:, :, None] - x[q][:, None, :]
+                    mean[part] = np.sqrt(dy * dy + dx * dx).mean((1, 2))
+            yield pd.DataFrame({"a": rois[i], "b": rois[j], "distance": mean})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, distance double")
 
 
 def merged_traces(traces: DataFrame, groups: DataFrame) -> DataFrame:
