@@ -87,3 +87,11 @@ def test_soma_is_cropped_once_for_all_statistics(spark):
     assert "FlatMapGroupsInPandas" not in plan  # read from a table
     marked = S.soma_crop(masks).toPandas()
     assert len(marked) == len(p) and marked.groupby("roi")["soma"].any().all()
+
+
+def test_surroundings_and_drawn_regions_make_no_row_a_pixel(spark):
+    from calspark.plans import catalog
+
+    for name in ("extract_neuropil", "drawn_regions"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" in plan and "Join" not in plan and "Generate" not in plan
