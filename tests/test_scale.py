@@ -8,6 +8,7 @@ from calspark.operators import interactive as I
 from calspark.operators import masks as M
 from calspark.operators import registration as G
 from calspark.operators import rois as S
+from calspark.operators import traces as T
 
 
 def _masks(spark, seed, n):
@@ -95,3 +96,37 @@ def test_surroundings_and_drawn_regions_make_no_row_a_pixel(spark):
     for name in ("extract_neuropil", "drawn_regions"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInPandas" in plan and "Join" not in plan and "Generate" not in plan
+
+
+def test_candidates_are_judged_in_their_blocks(spark, monkeypatch):
+    """Against the matrix of all pairs, by blocks of a few traces each, ordered by y."""
+    r = np.random.default_rng(7)
+    binned = spark.createDataFrame([(int(k), b, float(v)) for k in range(40) for b, v in enumerate(r.normal(0, 1, 6)) if (k + b) % 5], "roi long, bin long, v double")
+    at = {k: (float(y), float(x)) for k, (y, x) in enumerate(r.normal(0, 2, (40, 2)))}
+    at[3], at[4] = (1.0, 0.0), (3.0, 0.0)  # as far apart as may be
+    positions = spark.createDataFrame([(k, *v) for k, v in at.items()], "roi long, y double, x double")
+    far = lambda a, b: float(np.sqrt((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2))
+    want = {(p.a, p.b): (p.r, far(p.a, p.b)) for p in T.corr_matrix(binned).collect() if p.r >= 0.2 and far(p.a, p.b) <= 2.0}
+    for size in (4, 2048):
+        monkeypatch.setattr(T, "TRACES_A_BLOCK", size)
+        monkeypatch.setattr(T, "LEFT_AT_A_TIME", 3)
+        found = T.merge_candidates(binned, positions, 0.2, 2.0)
+        got = {(p.a, p.b): (p.r, p.distance) for p in found.collect()}
+        assert len(want) > 20 and got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("MapInPandas")[0]  # no pair leaves its block to be judged
+
+
+def test_groups_follow_best_pairs(spark):
+    """Against the walk over all candidates in order; long chains, ties and no pair at all. No task gets all candidates."""
+    r = np.random.default_rng(8)
+    pairs = {(int(min(p)), int(max(p))): round(float(v), 1) for p, v in zip(r.integers(0, 150, (300, 2)), r.uniform(0.5, 1, 300)) if p[0] != p[1]}
+    pairs |= {(k, k + 1): 0.9 - k / 10_000 for k in range(200, 260)}
+    want: dict = {}
+    for (a, b), _ in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
+        g = want.get(a, want.get(b, min(a, b)))
+        want.setdefault(a, g), want.setdefault(b, g)
+    got = T.merge_groups(spark.createDataFrame([(*k, v) for k, v in pairs.items()], "a long, b long, r double").repartition(5))
+    assert {(x.roi, x.group) for x in got.collect()} == set(want.items())
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert T.merge_groups(spark.createDataFrame([], "a long, b long, r double")).count() == 0
