@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 
 from calspark.operators import components as P
+from calspark.operators import detection as D
 from calspark.operators import interactive as I
 from calspark.operators import masks as M
+from calspark.operators import pursuit as U
 from calspark.operators import registration as G
 from calspark.operators import rois as S
 from calspark.operators import traces as T
@@ -130,3 +132,30 @@ def test_groups_follow_best_pairs(spark):
     assert {(x.roi, x.group) for x in got.collect()} == set(want.items())
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert T.merge_groups(spark.createDataFrame([], "a long, b long, r double")).count() == 0
+
+
+def _movie_and_regions(spark, seed):
+    """Two planes of 50 frames of 12 x 20, and regions within a tile, across tiles, twice the same and partly below the frame."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(2, 50, 12, 20)) + 3 * r.normal(size=(2, 50, 1, 1)) * (r.uniform(size=(12, 20)) > 0.6)
+    frames = spark.createDataFrame([(p, k * 2, x[p, k].ravel().tolist()) for p in range(2) for k in range(50)], "plane int, frame long, arr array<double>").repartition(3)
+    shapes = [(0, 0, 3, 3), (6, 5, 4, 9), (6, 5, 4, 9), (8, 15, 3, 4), (10, 2, 5, 3)]
+    rows = [(n, a, b, 1.0 + a - y + 0.5 * (b - z)) for n, (y, z, h, w) in enumerate(shapes) for a in range(y, y + h) for b in range(z, z + w)]
+    return x, frames, rows, lambda keep: spark.createDataFrame([k for k in rows if keep(k)], "roi long, y int, x int, lam double")
+
+
+def test_split_ratios_without_a_row_a_pixel(spark, monkeypatch):
+    x, frames, rows, masks = _movie_and_regions(spark, 9)
+    regions = masks(lambda k: True)
+    for own, planes in ((regions, (0, 1)), (regions.withColumn("plane", (regions.roi % 2).cast("int")), None)):
+        want = {}
+        for n in range(5):
+            p = np.array([k[1:] for k in rows if k[0] == n and k[1] < 12])
+            ys, xs, lam = p[:, 0].astype(int), p[:, 1].astype(int), p[:, 2]
+            for plane in planes or (n % 2,):
+                want[plane, n] = U.split_ratio(x[plane][:, ys, xs], lam / np.linalg.norm(lam), 1.0)[0]
+        found = D.split_tests(frames, own, 20, 1.0)
+        got = {(k.plane, k.roi): k.ratio for k in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
