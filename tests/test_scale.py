@@ -159,3 +159,25 @@ def test_split_ratios_without_a_row_a_pixel(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "Join" not in plan
+
+
+def test_extended_masks_in_chunks(spark, monkeypatch):
+    """Regions of the same pixels are one shape; frames and shapes are taken a few at a time."""
+    monkeypatch.setattr(D, "SHAPES", 2)
+    monkeypatch.setattr(D, "FRAMES", 7)
+    x, frames, rows, masks = _movie_and_regions(spark, 10)
+    movie = x.reshape(100, 12, 20)
+    got = {}
+    for k in D.extended(frames, masks(lambda k: k[1] < 12), 12, 20, 0.1, 2).collect():
+        got.setdefault(k.roi, {})[k.y, k.x] = k.lam
+    for n in range(5):
+        p = np.array([k[1:3] for k in rows if k[0] == n and k[1] < 12])
+        inside = np.zeros((12, 20), bool)
+        inside[p[:, 0], p[:, 1]] = True
+        mean = movie[:, inside].mean(1)
+        cut = slice(max(0, p[:, 0].min() - 2), p[:, 0].max() + 3), slice(max(0, p[:, 1].min() - 2), p[:, 1].max() + 3)
+        part = movie[(slice(None), *cut)]
+        lam = D.connected_part(U.grow_region(part - part.mean(0), inside[cut], mean >= np.quantile(mean, 0.9))[1])
+        want = {(int(a) + cut[0].start, int(b) + cut[1].start): lam[a, b] for a, b in np.argwhere(lam > 0)}
+        assert got[n].keys() == want.keys() and all(abs(got[n][k] - want[k]) < 1e-9 for k in want)
+    assert D.extended(frames.where("false"), masks(lambda k: True), 12, 20).count() == 0
