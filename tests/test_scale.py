@@ -181,3 +181,25 @@ def test_extended_masks_in_chunks(spark, monkeypatch):
         want = {(int(a) + cut[0].start, int(b) + cut[1].start): lam[a, b] for a, b in np.argwhere(lam > 0)}
         assert got[n].keys() == want.keys() and all(abs(got[n][k] - want[k]) < 1e-9 for k in want)
     assert D.extended(frames.where("false"), masks(lambda k: True), 12, 20).count() == 0
+
+
+def test_regions_of_long_movies_come_from_pixels(spark, monkeypatch):
+    """More frames than pixels: the regions of the whole movie, from sums over spans and parts of it."""
+    monkeypatch.setattr(D, "SPAN", 200)
+    r = np.random.default_rng(11)
+    n, height, width = 700, 20, 24
+    x = r.normal(size=(2, n, height, width))
+    for plane in range(2):
+        for y, z in ((4, 5), (13, 17), (5, 18)):
+            x[plane, :, y : y + 4, z : z + 4] += 4 * (r.uniform(size=(n, 1, 1)) > 0.9)
+    frames = spark.createDataFrame([(p, k * 3, x[p, k].ravel().tolist()) for p in range(2) for k in range(n)], "plane int, frame long, arr array<double>").repartition(3)
+    found = D.component_regions(frames, height, width, 6.0, 0.6)
+    got = {}
+    for k in found.collect():
+        got.setdefault((k.plane, k.roi), {})[k.y, k.x] = k.lam
+    for plane in range(2):
+        want = D.component_pursuit(D.high_passed(x[plane], 100), 6.0, 0.6)
+        assert len(want) >= 3 and {k[1] for k in got if k[0] == plane} == set(range(len(want)))
+        for k, (lam, _) in enumerate(want):
+            assert got[plane, k].keys() == {(int(a), int(b)) for a, b in np.argwhere(lam > 0)} and all(abs(v - lam[at]) < 1e-6 for at, v in got[plane, k].items())
+    assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no second pass by frames x frames
