@@ -14,6 +14,7 @@ from calspark.operators import masks as M
 from calspark.operators import traces as T
 from calspark.plans import carriers as C
 from calspark.plans.trace_queries import _BINS, BIN, R, _r
+from calspark.sources.tables import materialize
 
 NODES = 50
 
@@ -49,15 +50,11 @@ def split_test(spark, d):
 
 def detect_f1(spark, d):
     """Regions of the sparse search against those on components, planes one below the other."""
-    movie = C.wide_movie(spark, d)
-    below = (F.col("y") + F.col("plane") * C.WIDE).alias("y")
-    found, other = (m.select((F.col("plane").cast("long") * 100_000 + F.col("roi")).alias("roi"), below, "x", "lam") for m in (_sparse(spark, d), _svd(spark, d)))
-    pixels = C.exploded(movie, C.WIDE).select("frame", below, "x", "v")
-
-    def traces(m):
-        return pixels.join(M.normalised(m), ["y", "x"]).groupBy("roi", F.col("frame").alias("bin")).agg(F.sum(F.col("v") * F.col("lam")).alias("v"))
-
-    return _r(E.f1(E.matches(found, other, traces(found), traces(other), 0.3, 0.5), found, other), "f1")
+    movie, below, number = C.wide_movie(spark, d), (F.col("y") + F.col("plane") * C.WIDE).alias("y"), (F.col("plane").cast("long") * 100_000 + F.col("roi")).alias("roi")
+    sides = [materialize(search(spark, d), "found") for search in (_sparse, _svd)]
+    found, other = (m.select(number, below, "x", "lam") for m in sides)
+    traces = (D.region_traces(movie, m, C.WIDE).select(number, F.col("frame").alias("bin"), "v") for m in sides)
+    return _r(E.f1(E.matches(found, other, *traces, 0.3, 0.5), found, other), "f1")
 
 
 def classifier_grid(spark, d):

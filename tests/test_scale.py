@@ -203,3 +203,14 @@ def test_regions_of_long_movies_come_from_pixels(spark, monkeypatch):
         for k, (lam, _) in enumerate(want):
             assert got[plane, k].keys() == {(int(a), int(b)) for a, b in np.argwhere(lam > 0)} and all(abs(v - lam[at]) < 1e-6 for at, v in got[plane, k].items())
     assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no second pass by frames x frames
+
+
+def test_traces_of_found_regions_make_no_row_a_pixel(spark):
+    x, frames, rows, masks = _movie_and_regions(spark, 12)
+    regions = masks(lambda k: k[1] < 12)
+    found = D.region_traces(frames, regions.withColumn("plane", (regions.roi % 2).cast("int")), 20)
+    got = {(k.plane, k.roi, k.frame): k.v for k in found.collect()}
+    assert len(got) == 5 * 50 and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for (plane, n, frame), v in got.items():
+        p = np.array([k[1:] for k in rows if k[0] == n and k[1] < 12])
+        assert plane == n % 2 and abs(v - (x[plane, frame // 2][p[:, 0].astype(int), p[:, 1].astype(int)] * p[:, 2]).sum() / p[:, 2].sum()) < 1e-9
