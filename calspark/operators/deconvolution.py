@@ -11,6 +11,7 @@ pool takes over from the next block moves into its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -95,26 +96,45 @@ def deconvolve_blocks(traces: DataFrame, value: str, tau: float = 1.0, fs: float
     placed = traces.select("roi", F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("v"), (F.row_number().over(order) - 1).cast("long").alias("at"))
     placed = materialize(placed.withColumn("block", F.expr(f"at div {block}")), "deconvolution")
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        pools = pooled(pdf["v"].to_numpy(), decay)
-        pools.start = (np.array(pools.start) + int(pdf["at"].iloc[0])).tolist()
-        return pd.DataFrame([_row(pdf["roi"].iloc[0], pdf["block"].iloc[0], pools)], columns=names)
+    def first(rows: pd.DataFrame) -> list[tuple]:
+        pools = pooled(rows["v"].to_numpy(), decay)
+        pools.start = (np.array(pools.start) + int(rows["at"].iloc[0])).tolist()
+        return [_row(rows["roi"].iloc[0], rows["block"].iloc[0], pools)]
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("block").itertuples())
+    def merged(pdf: pd.DataFrame) -> list[tuple]:
+        rows = list(pdf.itertuples())
         if len(rows) < 2:
-            return pdf[names]
+            return [_row(r.roi, r.block, _pools(r)) for r in rows]
         left, right = (_pools(r) for r in rows)
         count = len(left.level)
         left.extend(right, decay)
         # the pools that begin in the first block stay there, those that begin in the second in theirs
         own = min(count, int(np.searchsorted(left.start, right.start[0])))
         parts = [Pools(*(getattr(left, f)[s] for f in FIELDS)) for s in (slice(0, own), slice(own, None))]
-        return pd.DataFrame([_row(r.roi, r.block, p) for r, p in zip(rows, parts) if p.level], columns=names)
+        return [_row(r.roi, r.block, p) for r, p in zip(rows, parts) if p.level]
+
+    def grouped(use, keys: tuple[str, str]):
+        """``use`` on the rows of every pair of keys of a stream in their order: a batch gives a batch, whatever the number of groups."""
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: pd.DataFrame | None = None
+            for pdf in it:
+                if held is not None and len(held):
+                    pdf = pd.concat([held, pdf], ignore_index=True)
+                k, m = (pdf[c].to_numpy() for c in keys)
+                edges = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (m[1:] != m[:-1])) + 1).tolist()] if len(pdf) else [0]
+                out = [row for a, b in zip(edges, edges[1:]) for row in use(pdf.iloc[a:b])]
+                held = pdf.iloc[edges[-1] :]  # may go on in the next batch
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+            if held is not None and len(held):
+                yield pd.DataFrame(use(held), columns=names)
+
+        return run
 
     schema = f"roi {kind}, {SCHEMA}"
-    state = materialize(placed.groupBy("roi", "block").applyInPandas(first, schema), "pools")
+    dealt = placed.repartition("roi", "block").sortWithinPartitions("roi", "block", "at")
+    state = materialize(dealt.select("roi", "block", "at", "v").mapInPandas(grouped(first, ("roi", "block")), schema), "pools")
     by = Window.partitionBy("roi").orderBy("block")  # a row a block, without its pools
     turn = 0
     while True:
@@ -123,7 +143,8 @@ def deconvolve_blocks(traces: DataFrame, value: str, tau: float = 1.0, fs: float
         if not ends.where("open").limit(1).count():
             break
         pairs = ends.select("roi", "block", F.floor((F.col("n") + turn) / 2).alias("pair"))
-        state = materialize(state.join(pairs, ["roi", "block"]).groupBy("roi", "pair").applyInPandas(merged, schema), "pools")
+        dealt = state.join(pairs, ["roi", "block"]).repartition("roi", "pair").sortWithinPartitions("roi", "pair", "block")
+        state = materialize(dealt.select("roi", "pair", "block", *FIELDS).mapInPandas(grouped(merged, ("roi", "pair")), schema), "pools")
         turn = 1 - turn
     last = state.select("roi", "block", F.element_at("level", -1).alias("level"), F.element_at("length", -1).alias("length"))
     before = last.select("roi", "block", (F.lag("level").over(by) * F.pow(F.lit(decay), F.lag("length").over(by))).alias("before"))

@@ -214,3 +214,23 @@ def test_traces_of_found_regions_make_no_row_a_pixel(spark):
     for (plane, n, frame), v in got.items():
         p = np.array([k[1:] for k in rows if k[0] == n and k[1] < 12])
         assert plane == n % 2 and abs(v - (x[plane, frame // 2][p[:, 0].astype(int), p[:, 1].astype(int)] * p[:, 2]).sum() / p[:, 2].sum()) < 1e-9
+
+
+def test_blocks_of_traces_are_streamed(spark, monkeypatch):
+    """Short blocks go through Python by batches, not a group at a time; blocks go on over the ends of batches."""
+    from calspark.operators import deconvolution as N
+
+    plans, write = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    r = np.random.default_rng(13)
+    data = {k: r.normal(0, 1, n).tolist() for k, n in enumerate((1, 30, 47, 48, 100))}
+    traces = spark.createDataFrame([(k, t, v) for k, values in data.items() for t, v in enumerate(values)], "roi long, frame long, f double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(k.roi, k.frame): k.spk for k in N.deconvolve_blocks(traces, "f", block=16).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for k, values in data.items():
+        assert np.allclose([got[k, t] for t in range(len(values))], T.deconvolve_array(np.array(values), np.exp(-0.1)), atol=1e-9)
+    assert any("MapInPandas" in p for p in plans) and not any("FlatMapGroupsInPandas" in p for p in plans)
