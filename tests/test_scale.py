@@ -234,3 +234,25 @@ def test_blocks_of_traces_are_streamed(spark, monkeypatch):
     for k, values in data.items():
         assert np.allclose([got[k, t] for t in range(len(values))], T.deconvolve_array(np.array(values), np.exp(-0.1)), atol=1e-9)
     assert any("MapInPandas" in p for p in plans) and not any("FlatMapGroupsInPandas" in p for p in plans)
+
+
+def test_regions_of_one_shape_are_made_once_and_written_side_by_side(spark, tmp_path):
+    """As many regions as suppliers share few shapes: rows take less than a byte each, whatever their number."""
+    from calspark.operators import extraction as X
+
+    r = np.random.default_rng(11)
+    x = r.normal(size=(300, 64))
+    frames = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "plane int, frame long, arr array<double>").coalesce(1)
+    cell = {k: [(k % 5, c, 1.0 + c) for c in range(3)] for k in range(4000)}
+    ring = {k: [(7, c + k % 3) for c in range(4)] for k in range(4000) if k % 7}
+    cells = spark.createDataFrame([(k, *p) for k, v in cell.items() for p in v], "roi long, y int, x int, lam double")
+    rings = spark.createDataFrame([(k, *p) for k, v in ring.items() for p in v], "roi long, y int, x int")
+    X.extract(frames, cells, rings, 8).write.parquet(path := f"{tmp_path}/traces")
+    assert sum(f.stat().st_size for f in (tmp_path / "traces").glob("*.parquet")) < 300 * 4000
+    got = spark.read.parquet(path).toPandas().sort_values(["roi", "frame"])
+    assert len(got) == 300 * 4000 and not got.duplicated(["roi", "frame"]).any()
+    for k in (0, 1, 8, 3999):
+        f = sum(w * x[:, 8 * y + c] for y, c, w in cell[k])
+        n = np.mean([x[:, 8 * y + c] for y, c in ring[k]], axis=0) if k in ring else np.zeros(300)
+        own = got[got.roi == k]
+        assert np.allclose(own.f, f) and np.allclose(own.fneu, n)
