@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calspark.operators.masks import overlaps
+from calspark.sources.tables import materialize
 
 
 def matches(masks: DataFrame, truth: DataFrame, traces: DataFrame, truth_traces: DataFrame, least_iou: float = 0.5, least_r: float = 0.5) -> DataFrame:
@@ -60,15 +64,100 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
+def sparse_assignment(edges: list[list[tuple[int, float]]], columns: int) -> tuple[list[int], list[float], list[float]]:
+    """(column of each row or -1, prices of rows, prices of columns) of the matching of greatest total weight.
+
+    edges: of each row its columns and weights. Rows are added one by one along the cheapest path that ends
+    at a free column or sets a row free. Prices prove it: none is negative, those of a pair are its weight at
+    least, those of a matched pair just that, and what is free has none.
+    """
+    mate, owner = [-1] * len(edges), [-1] * columns
+    u, v = [0.0] * len(edges), [0.0] * columns
+    for first, own in enumerate(edges):
+        u[first] = max([0.0, *(w - v[j] for j, w in own)])
+        if not u[first]:
+            continue
+        # the way from the new row: nearest rows and columns first, up to the best end known
+        at, came, reached, done, heap = {first: 0.0}, {}, {}, {}, []
+        end, freed, length = -1, first, u[first]
+        row = first
+        while True:
+            d, price = at[row], u[row]
+            for j, w in edges[row]:
+                far = d + max(0.0, price + v[j] - w)
+                if far < length and far < reached.get(j, math.inf) and j not in done:
+                    reached[j], came[j] = far, row
+                    if owner[j] < 0:
+                        end, length = j, far
+                    else:
+                        heapq.heappush(heap, (far, j))
+            while heap and (heap[0][1] in done or heap[0][0] > reached[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= length:
+                break
+            far, j = heapq.heappop(heap)
+            done[j] = far
+            row = owner[j]
+            at[row] = far
+            if far + u[row] < length:
+                end, freed, length = -1, row, far + u[row]
+        for i, d in at.items():
+            if d < length:
+                u[i] -= length - d
+        for j, d in done.items():
+            if d < length:
+                v[j] += length - d
+        if end < 0:  # the row set free hands its column on
+            end, u[freed] = mate[freed], 0.0
+            mate[freed] = -1
+            if freed == first:
+                continue
+        while end >= 0:
+            i = came[end]
+            mate[i], owner[end], end = end, i, mate[i]
+    return mate, u, v
+
+
+#: Best pairs of each region that the search begins with, and pairs of each that a round adds at most.
+BEST = 12
+#: By how much a pair may exceed its prices: rounding of sums.
+SLACK = 1e-12
+
+
 def one_to_one(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """plane, a, b, cosine: the best one-to-one matching of a plane's pairs (plane, a, b, cosine) of at least that value."""
+    """plane, a, b, cosine: of the one-to-one matching of a plane's pairs (plane, a, b, cosine) of greatest total, those of at least that value.
+
+    The matching is found on the best pairs of each region, with a price for every region. All pairs are then held
+    against the prices; those that exceed them join, until there are none, which proves the matching the best of all pairs.
+    A task holds some pairs a region of a plane, never a matrix; all pairs stay in a table, which is read in each round.
+    """
+    kinds = dict(pairs.dtypes)
+    plane, a, b = kinds["plane"], kinds["a"], kinds["b"]
+    held = materialize(pairs.select("plane", "a", "b", F.col("cosine").cast("double").alias("cosine")).where("cosine > 0"), "pairs")
+
+    def best(x: DataFrame, by: str) -> DataFrame:
+        """The first BEST pairs of each region on either side."""
+        top = [x.withColumn("n", F.row_number().over(Window.partitionBy("plane", k).orderBy(F.desc(by), other))).where(F.col("n") <= BEST) for k, other in (("a", "b"), ("b", "a"))]
+        return top[0].unionByName(top[1]).select("plane", "a", "b", "cosine").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.unique(pdf["a"]), np.unique(pdf["b"])
-        value = np.zeros((len(a), len(b)))
-        value[np.searchsorted(a, pdf["a"]), np.searchsorted(b, pdf["b"])] = pdf["cosine"]
-        rows = [(pdf["plane"].iloc[0], a[i], b[j], value[i, j]) for i, j in assignment(-value) if value[i, j] >= least]
-        return pd.DataFrame(rows, columns=["plane", "a", "b", "cosine"])
+        left, i = np.unique(pdf["a"], return_inverse=True)
+        right, j = np.unique(pdf["b"], return_inverse=True)
+        edges: list[list[tuple[int, float]]] = [[] for _ in left]
+        for m, n, w in zip(i.tolist(), j.tolist(), pdf["cosine"].tolist()):
+            edges[m].append((n, w))
+        mate, u, v = sparse_assignment(edges, len(right))
+        value = [dict(e).get(m) for e, m in zip(edges, mate)]
+        rows = pd.DataFrame({"plane": pdf["plane"].iloc[0], "a": left, "b": [right[m] if m >= 0 else None for m in mate], "cosine": value, "price": u})
+        columns = pd.DataFrame({"plane": pdf["plane"].iloc[0], "a": None, "b": right, "cosine": None, "price": v})
+        return pd.concat([rows.astype(object), columns.astype(object)])
 
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy("plane").applyInPandas(run, f"plane {kinds['plane']}, a {kinds['a']}, b {kinds['b']}, cosine double")
+    core = materialize(best(held, "cosine"), "best-pairs")
+    while True:
+        solved = materialize(core.groupBy("plane").applyInPandas(run, f"plane {plane}, a {a}, b {b}, cosine double, price double"), "prices")
+        rows, columns = solved.where("a is not null").select("plane", "a", F.col("price").alias("u")), solved.where("a is null").select("plane", "b", F.col("price").alias("v"))
+        over = held.join(F.broadcast(rows), ["plane", "a"]).join(F.broadcast(columns), ["plane", "b"]).withColumn("over", F.col("cosine") - F.col("u") - F.col("v")).where(F.col("over") > SLACK)
+        fresh = materialize(best(over, "over"), "more-pairs")
+        if fresh.isEmpty():
+            return solved.where(F.col("a").isNotNull() & (F.col("cosine") >= least)).select("plane", "a", "b", "cosine")
+        core = core.unionByName(fresh)

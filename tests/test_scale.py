@@ -5,6 +5,7 @@ import pandas as pd
 
 from calspark.operators import components as P
 from calspark.operators import detection as D
+from calspark.operators import evaluate as E
 from calspark.operators import interactive as I
 from calspark.operators import masks as M
 from calspark.operators import pursuit as U
@@ -256,3 +257,22 @@ def test_regions_of_one_shape_are_made_once_and_written_side_by_side(spark, tmp_
         n = np.mean([x[:, 8 * y + c] for y, c in ring[k]], axis=0) if k in ring else np.zeros(300)
         own = got[got.roi == k]
         assert np.allclose(own.f, f) and np.allclose(own.fneu, n)
+
+
+def test_matching_holds_no_matrix_of_regions(spark, monkeypatch):
+    """The best of all pairs, found from a few pairs a region: as by the matrix, on planes of many ties."""
+    r = np.random.default_rng(12)
+    monkeypatch.setattr(E, "BEST", 2)
+    rows, want = [], {}
+    for plane in range(3):
+        value = np.where(r.random((30, 25)) < (0.9, 0.3, 0.1)[plane], np.round(r.random((30, 25)), 2), 0)
+        rows += [(plane, int(i), 100 + int(j), float(value[i, j])) for i, j in np.argwhere(value > 0)]
+        want[plane] = sum(value[i, j] for i, j in E.assignment(-value))
+    pairs = spark.createDataFrame(rows, "plane int, a long, b long, cosine double")
+    monkeypatch.setattr(E, "assignment", None)  # a matrix of regions by regions
+    got = E.one_to_one(pairs, 0.0).collect()
+    known = {(p, a, b): w for p, a, b, w in rows}
+    assert all(known[g.plane, g.a, g.b] == g.cosine for g in got)
+    assert len({(g.plane, g.a) for g in got}) == len({(g.plane, g.b) for g in got}) == len(got)
+    assert all(abs(sum(g.cosine for g in got if g.plane == p) - w) < 1e-9 for p, w in want.items())
+    assert all(g.cosine >= 0.7 for g in E.one_to_one(pairs, 0.7).collect())
