@@ -276,3 +276,30 @@ def test_matching_holds_no_matrix_of_regions(spark, monkeypatch):
     assert len({(g.plane, g.a) for g in got}) == len({(g.plane, g.b) for g in got}) == len(got)
     assert all(abs(sum(g.cosine for g in got if g.plane == p) - w) < 1e-9 for p, w in want.items())
     assert all(g.cosine >= 0.7 for g in E.one_to_one(pairs, 0.7).collect())
+
+
+def test_sparse_search_holds_a_part_of_the_frames(spark, monkeypatch):
+    """As by one task a plane; planes of unequal length, of which one leaves tasks without frames, and regions that are split."""
+    from calspark.operators import parts
+
+    r = np.random.default_rng(13)
+    y, x = np.mgrid[:40, :36]
+    rows = []
+    for plane, n in ((2, 330), (5, 45), (7, 401)):
+        movie = r.normal(0, 0.5, (n, 40, 36))
+        for cell in range(9):
+            at, burst = r.uniform(5, 31, 2), (np.arange(n) + 5 * cell) % 23
+            movie += (8 * np.exp(-burst / 4))[:, None, None] * np.exp(-((y - at[0]) ** 2 + (x - at[1]) ** 2) / 8)
+        rows += [(plane, 3 * k, v.ravel().tolist()) for k, v in enumerate(movie)]
+    frames = spark.createDataFrame(rows, "plane int, frame long, arr array<double>").repartition(5)
+    for settings in (U.SparseSettings(highpass_neuropil=15), U.SparseSettings(max_rois=4, active_percentile=95.0)):
+        found = []
+        for alone in (10**9, 1):
+            monkeypatch.setattr(parts, "ALONE", alone)
+            df = D.detect(frames, 40, 36, "sparse", settings, highpass=20)
+            found.append(df.toPandas().sort_values(["plane", "roi", "y", "x"]).reset_index(drop=True))
+        whole, parted = found
+        assert whole.groupby("plane").roi.nunique().min() >= 4 and len(whole) == len(parted)
+        keys = ["plane", "roi", "y", "x", "scale"]
+        assert (whole[keys] == parted[keys]).all().all() and np.allclose(whole.lam, parted.lam, atol=1e-9)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()  # a plane in one task
