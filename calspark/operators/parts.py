@@ -9,8 +9,10 @@ over all tasks: a task's memory is a plane's frames over the number of tasks.
 from __future__ import annotations
 
 import os
+import socket
 from collections.abc import Callable, Iterator
-from multiprocessing.connection import Client, Listener
+from multiprocessing.connection import Client, Connection, Listener
+from multiprocessing.reduction import ForkingPickler
 
 import numpy as np
 import pandas as pd
@@ -26,19 +28,16 @@ ALONE = 4_000_000
 #: Frames taken at a time.
 FRAMES = 256
 
-Exchange = Callable[[object], list]
-
-
 class Part:
     """A stretch of a plane's frames; ``exchange`` gives what every part's task hands in, in the order of the frames."""
 
-    def __init__(self, movie: np.ndarray, height: int, width: int, settings: SparseSettings, highpass: int, exchange: Exchange):
+    def __init__(self, movie: np.ndarray, height: int, width: int, settings: SparseSettings, highpass: int, exchange: _Tasks):
         self.settings, self.exchange = settings, exchange
         self.work = high_passed(movie.reshape(-1, height, width), highpass)
-        last = [x for x in exchange((len(self.work), self.work[-1].copy() if len(self.work) else None))]
+        last = exchange((len(self.work), self.work[-1].copy() if len(self.work) else None))
         self.frames = sum(n for n, _ in last)
-        self.before = sum(n for n, _ in last[: self._rank()])
-        edge = next((x for n, x in reversed(last[: self._rank()]) if n), None)
+        self.before = sum(n for n, _ in last[: exchange.rank])
+        edge = next((x for n, x in reversed(last[: exchange.rank]) if n), None)
         steps = np.zeros((height, width))
         for at in self._blocks():
             x = self.work[at] if edge is None else np.concatenate([edge[None], self.work[at]])
@@ -57,9 +56,6 @@ class Part:
             self.squares = [s + q for s, q in zip(self.squares, self._squared(self.work[at]))]
         self.squares = [np.sum(q, axis=0) for q in zip(*exchange(self.squares))]
 
-    def _rank(self) -> int:
-        return self.exchange.rank
-
     def _blocks(self) -> list[slice]:
         return [slice(k, k + FRAMES) for k in range(0, len(self.work), FRAMES)]
 
@@ -142,6 +138,13 @@ class Part:
         return found
 
 
+def _at_once(connection: Connection) -> Connection:
+    """What is sent does not wait to be joined by more."""
+    with socket.socket(fileno=os.dup(connection.fileno())) as s:
+        s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return connection
+
+
 class _Tasks:
     """What the tasks of a barrier stage hand to one another, in the order of their numbers.
 
@@ -162,11 +165,11 @@ class _Tasks:
         if listener:
             self.others = {}
             for _ in infos[1:]:
-                other = listener.accept()
+                other = _at_once(listener.accept())
                 self.others[other.recv()] = other
             listener.close()
         else:
-            self.first = Client((host, int(port)), authkey=bytes.fromhex(key))
+            self.first = _at_once(Client((host, int(port)), authkey=bytes.fromhex(key)))
             self.first.send(self.rank)
 
     def __call__(self, x: object) -> list:
@@ -174,8 +177,9 @@ class _Tasks:
             self.first.send(x)
             return self.first.recv()
         said = [x, *(self.others[k].recv() for k in sorted(self.others))]
+        packed = ForkingPickler.dumps(said)
         for other in self.others.values():
-            other.send(said)
+            other.send_bytes(packed)
         return said
 
 
