@@ -93,6 +93,14 @@ def test_soma_is_cropped_once_for_all_statistics(spark):
     assert len(marked) == len(p) and marked.groupby("roi")["soma"].any().all()
 
 
+def test_a_small_region_far_out_keeps_its_radii(spark):
+    boxes = {1: [(18003, 41, 7.0)], 2: [(18003, 41, 31.0), (18004, 41, 17.0)], 3: [(18003, 41, 5.0), (18004, 41, 9.0), (18004, 42, 3.0)]}
+    at = lambda y0, x0: spark.createDataFrame([(k, y - y0, x - x0, w) for k, p in boxes.items() for y, x, w in p], "roi long, y int, x int, lam double")
+    near, far = ({r.roi: (r.radius, r.aspect) for r in S.gaussian_fit(at(*o), 3.0, 4.0).collect()} for o in ((18000, 40), (0, 0)))
+    assert far[1][0] == 0.0 and far[2][0] > 0
+    assert all(abs(p - q) < 1e-8 for k in boxes for p, q in zip(near[k], far[k]))
+
+
 def test_surroundings_and_drawn_regions_make_no_row_a_pixel(spark):
     from calspark.plans import catalog
 
