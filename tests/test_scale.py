@@ -286,6 +286,35 @@ def test_matching_holds_no_matrix_of_regions(spark, monkeypatch):
     assert all(g.cosine >= 0.7 for g in E.one_to_one(pairs, 0.7).collect())
 
 
+def test_a_matching_goes_on_from_a_part_of_its_pairs():
+    r = np.random.default_rng(31)
+    for n, m in ((9, 9), (12, 7), (6, 15)):
+        for _ in range(20):
+            w = np.where(r.random((n, m)) < 0.6, r.integers(1, 40, (n, m)) / 40, 0.0)
+            edges = [[(j, w[i, j]) for j in range(m) if w[i, j]] for i in range(n)]
+            some = [[e for e in own if r.random() < 0.5] for own in edges]
+            mate, u, v = E.sparse_assignment(edges, m, E.sparse_assignment(some, m))
+            got = sum(w[i, j] for i, j in enumerate(mate) if j >= 0)
+            assert abs(got - sum(w[i, j] for i, j in E.assignment(-w))) < 1e-9 and abs(got - sum(u) - sum(v)) < 1e-9
+            assert min(u) >= 0 and min(v) >= 0 and all(x <= u[i] + v[j] + 1e-9 for i, own in enumerate(edges) for j, x in own)
+
+
+def test_components_of_pairs_are_matched_in_tasks_of_their_own(spark, monkeypatch):
+    left, right = np.array([0, 1, 5, 3, 2]), np.array([6, 6, 8, 9, 9])
+    assert E.components(left, right, 10).tolist() == [0, 0, 2, 2, 4, 5, 0, 7, 5, 2]
+    key = 2**60  # beyond what a float holds
+    rows = [(0, key + 10 * k + i, key + 10 * k + j, 0.5 + 0.04 * ((i * j + k) % 9)) for k in range(5) for i in range(6) for j in range(7) if (i + j) % 2]
+    pairs = spark.createDataFrame(rows, "plane int, a long, b long, cosine double")
+    monkeypatch.setattr(E, "BEST", 1)  # several rounds
+    monkeypatch.setattr(E, "sparse_assignment", lambda edges, *rest, solve=E.sparse_assignment: solve(edges, *rest) if len(edges) <= 6 else None)
+    got, known = E.one_to_one(pairs, 0.0).collect(), {r[1:3]: r[3] for r in rows}
+    want = 0.0
+    for k in range(5):
+        w = np.array([[known.get((key + 10 * k + i, key + 10 * k + j), 0.0) for j in range(7)] for i in range(6)])
+        want += sum(w[i, j] for i, j in E.assignment(-w))
+    assert abs(sum(known[g.a, g.b] for g in got) - want) < 1e-9
+
+
 def test_sparse_search_holds_a_part_of_the_frames(spark, monkeypatch):
     """As by one task a plane; planes of unequal length, of which one leaves tasks without frames, and regions that are split."""
     from calspark.operators import parts
