@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from calspark.functions.columns import rolling
 from calspark.operators.extraction import MASK_PIXELS
 from calspark.operators.labels import numbered_parts
+from calspark.sources.tables import materialize
 
 #: Distances of pixels worked out at a time.
 DISTANCES_AT_A_TIME = 500_000
+#: Distances of kinds of regions that a task keeps at most.
+DISTANCES_HELD = 16_000_000
 
 
 def activity(traces: DataFrame, mode: str, coefficient: float = 0.7) -> DataFrame:
@@ -117,42 +120,70 @@ def circles(regions: DataFrame, points: int = 100) -> DataFrame:
     return x.select("roi", "k", (F.col("radius") * 1.25 * F.cos(angle) + F.col("y")).cast("int").alias("y"), (F.col("radius") * 1.25 * F.sin(angle) + F.col("x")).cast("int").alias("x"))
 
 
-def pixel_distances(masks: DataFrame, pairs: DataFrame) -> DataFrame:
+def pixel_distances(masks: DataFrame, pairs: DataFrame, distinct: bool = False) -> DataFrame:
     """a, b, distance: mean distance between all pixels of two regions, for given pairs (merge candidates).
 
-    The masks of a field of view go to every worker and a pair travels as two numbers; no row
-    a pair of pixels is made. Beyond MASK_PIXELS the relational form is used instead.
+    Regions of the same pixels but for their place are one kind, and the distance of two kinds follows from how far
+    apart they lie: a task looks it up, made once from the differences of their pixels. Kinds and places, a row a region,
+    go to every worker and a pair travels as two numbers, without a shuffle if the pairs are said to be
+    ``distinct``; no row a pair of pixels is made. Beyond MASK_PIXELS the relational form is used instead.
     """
-    pairs, own = pairs.select("a", "b").distinct(), masks.select("roi", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
-    if own.limit(MASK_PIXELS + 1).count() > MASK_PIXELS:
+    pairs = pairs.select("a", "b") if distinct else pairs.select("a", "b").distinct()
+    own = masks.select("roi", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    shapes = own.groupBy("roi").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.collect_list(F.struct("y", "x")).alias("p"))
+    shapes = materialize(shapes.select("roi", "y0", "x0", F.array_sort(F.transform("p", lambda p: F.struct((p["y"] - F.col("y0")).alias("y"), (p["x"] - F.col("x0")).alias("x")))).alias("p")), "region-kinds")
+    kinds = materialize(shapes.select("p").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    if shapes.count() + (kinds.agg(F.sum(F.size("p"))).first()[0] or 0) > MASK_PIXELS:
         a, b = own.select(F.col("roi").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa")), own.select(F.col("roi").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"))
         d = F.sqrt(F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2))
         return pairs.join(a, "a").join(b, "b").groupBy("a", "b").agg(F.avg(d).alias("distance"))
-    held = own.toPandas().sort_values("roi", kind="stable")
-    rois, start, size = np.unique(held["roi"], return_index=True, return_counts=True)
-    sent = masks.sparkSession.sparkContext.broadcast((rois, start, size, held["y"].to_numpy(), held["x"].to_numpy()))
+    held = shapes.join(kinds, "p").select("roi", "kind", "y0", "x0").toPandas().sort_values("roi")
+    pixels = {r["kind"]: np.array(r["p"], float).reshape(-1, 2) for r in kinds.collect()}
+    numbers, kind = np.unique(held["kind"], return_inverse=True)
+    sent = masks.sparkSession.sparkContext.broadcast((held["roi"].to_numpy(), kind, held["y0"].to_numpy(), held["x0"].to_numpy(), [pixels[k] for k in numbers]))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rois, start, size, y, x = sent.value
+        rois, kind, y, x, pixels = sent.value
+        high, across = (int(v.max() - v.min()) if len(v) else 0 for v in (y, x))
+        shape = len(pixels), len(pixels), 2 * high + 1, 2 * across + 1
+        whole = bool((y == np.floor(y)).all() and (x == np.floor(x)).all()) and math.prod(shape) <= DISTANCES_HELD
+        known = np.full(math.prod(shape), np.nan) if whole else None
         for pdf in it:
             if not len(rois):
                 continue
             at = [np.minimum(np.searchsorted(rois, pdf[c]), len(rois) - 1) for c in "ab"]
             there = np.flatnonzero((rois[at[0]] == pdf["a"]) & (rois[at[1]] == pdf["b"]))
             i, j = at[0][there], at[1][there]
-            mean = np.empty(len(there))
-            # pairs of as many pixels together
-            kinds, kind = np.unique(np.stack([size[i], size[j]]), axis=1, return_inverse=True)
-            for k, (m, n) in enumerate(kinds.T):
-                rows, most = np.flatnonzero(kind == k), max(1, DISTANCES_AT_A_TIME // (m * n))
-                for part in (rows[c : c + most] for c in range(0, len(rows), most)):
-                    p, q = start[i[part], None] + np.arange(m), start[j[part], None] + np.arange(n)
-                    dy, dx = y[p][:, :, None] - y[q][:, None, :], x[p][:, :, None] - x[q][:, None, :]
-                    mean[part] = np.sqrt(dy * dy + dx * dx).mean((1, 2))
+            dy, dx = y[j] - y[i], x[j] - x[i]
+            if known is None:
+                mean = _kind_distances(pixels, kind[i], kind[j], dy, dx)
+            else:
+                place = np.ravel_multi_index((kind[i], kind[j], dy.astype(int) + high, dx.astype(int) + across), shape)
+                mean = known[place]
+                missing = np.flatnonzero(np.isnan(mean))
+                if len(missing):
+                    new, first = np.unique(place[missing], return_index=True)
+                    k = missing[first]
+                    known[new] = _kind_distances(pixels, kind[i[k]], kind[j[k]], dy[k], dx[k])
+                    mean = known[place]
             yield pd.DataFrame({"a": rois[i], "b": rois[j], "distance": mean})
 
-    kinds = dict(pairs.dtypes)
-    return pairs.mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, distance double")
+    types = dict(pairs.dtypes)
+    return pairs.mapInPandas(run, f"a {types['a']}, b {types['b']}, distance double")
+
+
+def _kind_distances(pixels: list[np.ndarray], a: np.ndarray, b: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """Mean distances of pixels of kinds a and b, of which b lies dy, dx further."""
+    mean = np.empty(len(a))
+    code = a.astype(np.int64) * len(pixels) + b
+    order = np.argsort(code, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(a) else []:
+        p, q = pixels[a[rows[0]]], pixels[b[rows[0]]]
+        steps, times = np.unique((q[None] - p[:, None]).reshape(-1, 2), axis=0, return_counts=True)
+        most = max(1, DISTANCES_AT_A_TIME // len(steps))
+        for part in (rows[c : c + most] for c in range(0, len(rows), most)):
+            mean[part] = np.hypot(dy[part, None] + steps[:, 0], dx[part, None] + steps[:, 1]) @ times / times.sum()
+    return mean
 
 
 def merged_traces(traces: DataFrame, groups: DataFrame) -> DataFrame:

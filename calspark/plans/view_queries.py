@@ -73,7 +73,8 @@ def mask_pixel_distances(spark, d):
     """Regions of suppliers whose nations have the same last digit against one another."""
     s = C.table(spark, d, "supplier").withColumn("digit", F.col("s_nationkey") % 10)
     a, b = s.select(F.col("s_suppkey").alias("a"), "digit").repartition(64, "a"), s.select(F.col("s_suppkey").alias("b"), "digit")  # few rows, many pairs
-    return _r(I.pixel_distances(C.tile_masks(spark, d), a.join(b, "digit").where("a < b")), "distance")
+    once = not s.groupBy("s_suppkey").count().where("count > 1").limit(1).count()
+    return _r(I.pixel_distances(C.tile_masks(spark, d), a.join(b, "digit").where("a < b"), once), "distance")
 
 
 def mask_iou_between(spark, d):

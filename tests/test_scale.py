@@ -93,6 +93,22 @@ def test_soma_is_cropped_once_for_all_statistics(spark):
     assert len(marked) == len(p) and marked.groupby("roi")["soma"].any().all()
 
 
+def test_distances_follow_from_the_kinds_of_regions(spark, monkeypatch):
+    r = np.random.default_rng(37)
+    rows = [(k, int(y0 + i), int(x0 + j)) for k, (y0, x0) in enumerate(r.integers(-40, 40, (30, 2))) for i in range(3 + k % 2) for j in range(3)]
+    at = {k: np.array([p[1:] for p in rows if p[0] == k], float) for k in range(30)}
+    masks = spark.createDataFrame(rows, "roi long, y int, x int")
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(30) if a < b], "a long, b long").coalesce(1)
+    monkeypatch.setattr(I, "MASK_PIXELS", 60)  # 30 places and 21 pixels of two kinds; 315 pixels of regions
+    for held in (16_000_000, 0):
+        monkeypatch.setattr(I, "DISTANCES_HELD", held)
+        found = I.pixel_distances(masks, pairs, distinct=True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Join" not in plan
+        got = {(x.a, x.b): x.distance for x in found.collect()}
+        assert len(got) == 435 and all(abs(v - np.sqrt(((at[a][:, None] - at[b][None]) ** 2).sum(-1)).mean()) < 1e-9 for (a, b), v in got.items())
+
+
 def test_a_small_region_far_out_keeps_its_radii(spark):
     boxes = {1: [(18003, 41, 7.0)], 2: [(18003, 41, 31.0), (18004, 41, 17.0)], 3: [(18003, 41, 5.0), (18004, 41, 9.0), (18004, 42, 3.0)]}
     at = lambda y0, x0: spark.createDataFrame([(k, y - y0, x - x0, w) for k, p in boxes.items() for y, x, w in p], "roi long, y int, x int, lam double")
